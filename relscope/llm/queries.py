@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .minhash import op7_minhash_near_dedup
 from .packing import op9_best_fit_packing
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 

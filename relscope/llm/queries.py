@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .embedding_dedup import op10_embedding_near_dedup
+from .knn import op8_permutation_knn
 from .minhash import op7_minhash_near_dedup
 from .packing import op9_best_fit_packing
 from .token_counts import op4_token_counts
@@ -15,7 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_permutation_knn": op8_permutation_knn,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

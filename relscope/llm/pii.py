@@ -118,9 +118,16 @@ def features(text: str, start: int, end: int) -> np.ndarray:
     return f
 
 
+_NUMERIC = re.compile(r"[0-9+(](?:[0-9 .()+\[\]-]|dot|DOT)*[0-9]")
+
+
 def _candidate(span: str) -> bool:
-    """Whether the dynamic programme takes a segment for an entity at all."""
-    return sum(map(span.count, "0123456789")) >= 4 or "@" in span or "(at)" in span.lower() or "[at]" in span.lower()
+    """Whether the dynamic programme takes a segment for an entity at all: written like an address, or of 7 to 19 digits."""
+    if len(span) > 80:
+        return False
+    if span[0].isalpha() or "@" in span:
+        return bool(_AT.fullmatch(span))
+    return bool(_NUMERIC.fullmatch(span)) and (7 <= len(_digits(span)) <= 19 or bool(_OCTETS.fullmatch(span)))
 
 
 class Lattice:
@@ -129,7 +136,7 @@ class Lattice:
     def __init__(self, text: str, start: int, end: int):
         self.edges = [m.start() for m in _TOKEN.finditer(text, start, end)] + [end]
         n = len(self.edges) - 1
-        self.spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1) if not text[self.edges[i]].isspace() and not text[self.edges[j] - 1].isspace() and _candidate(text[self.edges[i] : self.edges[j]])]
+        self.spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1) if _candidate(text[self.edges[i] : self.edges[j]])]
         self.phi = np.array([features(text, self.edges[i], self.edges[j]) for i, j in self.spans]).reshape(-1, N_FEATURES)
         self.n = n
 
@@ -166,11 +173,13 @@ class Lattice:
         """The best segmentation's entities, each of which wins by ``margin``."""
         if not self.spans:
             return []
-        score, prefix = self.forward(weights - 0.0, lambda ways: max(ways))
+        score, prefix = self.forward(weights, max)
+        ends: dict[int, list[int]] = {}
+        for s, (_, j) in enumerate(self.spans):
+            ends.setdefault(j, []).append(s)
         out, j = [], self.n
         while j:
-            own = [s for s, (_, e) in enumerate(self.spans) if e == j]
-            s = max(own, key=lambda s: prefix[self.spans[s][0]] + score[s].max(), default=None)
+            s = max(ends.get(j, ()), key=lambda s: prefix[self.spans[s][0]] + score[s].max(), default=None)
             if s is None or prefix[self.spans[s][0]] + score[s].max() <= prefix[j - 1]:
                 j -= 1
                 continue

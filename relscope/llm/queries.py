@@ -11,11 +11,15 @@ from .embedding_dedup import op10_embedding_near_dedup
 from .knn import op8_permutation_knn
 from .minhash import op7_minhash_near_dedup
 from .packing import op9_best_fit_packing
+from .pii import op5_personal_data
+from .quality import op1_quality_classifier
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_personal_data": op5_personal_data,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_permutation_knn": op8_permutation_knn,
     "op9_best_fit_packing": op9_best_fit_packing,

@@ -14,16 +14,21 @@ from .packing import op9_best_fit_packing
 from .pii import op5_personal_data
 from .quality import op1_quality_classifier
 from .token_counts import op4_token_counts
+from .url_filters import op6_url_filters, oracle
+from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op5_personal_data": op5_personal_data,
+    "op6_url_filters": op6_url_filters,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_permutation_knn": op8_permutation_knn,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others train models, run tokenizers or approximate, which SQL can't express.
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": oracle()}

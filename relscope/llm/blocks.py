@@ -54,33 +54,67 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (pd.util.hash_array(keys, categorize=False) % np.uint64(shards)).astype(np.int64)
 
 
-def _narrow(a: np.ndarray) -> np.ndarray:
+def _planes(a: np.ndarray) -> np.ndarray:
     """Bytes by significance: zstd packs such planes well."""
-    a = np.ascontiguousarray(a, "<u4")
-    return a.view(np.uint8).reshape(-1, 4).T.copy()
+    return np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4).T.copy()
 
 
-def _wide(a: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(a.T).view("<u4").ravel()
+def _whole(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.T).view("<u4").ravel().astype(np.int64)
+
+
+def _steps(code: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Codes that rise within each owner, as differences: small numbers."""
+    steps = np.diff(code.astype(np.int64), prepend=0)
+    first = (np.cumsum(by) - by)[by > 0]
+    steps[first] = code[first]
+    return steps
+
+
+def _codes(steps: np.ndarray, by: np.ndarray) -> np.ndarray:
+    upto = np.cumsum(steps)
+    by = by[by > 0]
+    first = np.cumsum(by) - by
+    return upto - np.repeat(upto[first] - steps[first], by)
+
+
+def _keys(keys: np.ndarray) -> tuple:
+    """Sorted keys, strings as one."""
+    if keys.dtype != object:
+        return "numbers", np.diff(keys, prepend=0)
+    keys = keys.tolist()
+    return ("strings", "\0".join(keys)) if not any("\0" in k for k in keys) else ("list", keys)
+
+
+def keys_of(data: tuple) -> list | np.ndarray:
+    kind, keys = data
+    return np.cumsum(keys) if kind == "numbers" else keys.split("\0") if kind == "strings" else keys
 
 
 def packed(docs: DataFrame, extract: Callable[[Iterator[tuple]], Iterator[Counts]], shards: int) -> DataFrame:
-    """Block rows of the documents; ``extract`` makes Counts of a task's rows."""
+    """Block rows of the documents; ``extract`` makes Counts of a task's rows.
+
+    A block's codes follow the order of shard and key, so a shard's keys are a range of them.
+    """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         task = TaskContext.get().partitionId()
         for n, c in enumerate(extract(rows)):
             block = f"{task}-{n}"
-            by = np.diff(np.searchsorted(c.owner, np.arange(len(c.ids) + 1))) if len(c.ids) else np.zeros(0)
-            yield block, COUNTS, runtime.pack((c.ids, c.extra, by.astype(np.int64), _narrow(c.code), _narrow(c.freq), len(c.keys)))
-            if not len(c.keys):
-                continue
-            shard = shard_of(c.keys, shards)
+            shard = shard_of(c.keys, shards) if len(c.keys) else np.zeros(0, np.int64)
             order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(edges)):
-                own = order[edges[s] : edges[s + 1]]
-                yield block, int(s), runtime.pack((c.keys[own].tolist() if c.keys.dtype == object else c.keys[own], own.astype(np.uint32)))
+            edges = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                own = order[a:b]
+                order[a:b] = own[np.argsort(c.keys[own])] if c.keys.dtype != object else sorted(own.tolist(), key=c.keys.__getitem__)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            code = place[c.code]
+            rise = np.lexsort((code, c.owner))
+            by = np.bincount(c.owner, minlength=len(c.ids))
+            yield block, COUNTS, runtime.pack((c.ids, c.extra, by, _planes(_steps(code[rise], by)), _planes(c.freq[rise]), len(c.keys)))
+            for s in np.flatnonzero(np.diff(edges)).tolist():
+                yield block, s, runtime.pack((_keys(c.keys[order[edges[s] : edges[s + 1]]]), edges[s]))
 
     return docs.mapInArrow(runtime.by_rows(run, BLOCKS, 16), "block string, shard int, data binary")
 
@@ -107,11 +141,11 @@ def summed(blocks: DataFrame, answers: DataFrame, shards: int, finish: Callable,
                 continue
             ids, extra, by, code, freq, n_keys = runtime.unpack(data)
             value = np.zeros(n_keys)
-            for own, v in held:
-                value[own] = v
+            for at, v in held:
+                value[at : at + len(v)] = v
             held = []
-            owner, freq = np.repeat(np.arange(len(ids)), by), _wide(freq).astype(float)
-            total = np.bincount(owner, freq * value[_wide(code)], len(ids)) if n_keys else np.zeros(len(ids))
+            owner, freq = np.repeat(np.arange(len(ids)), by), _whole(freq).astype(float)
+            total = np.bincount(owner, freq * value[_codes(_whole(code), by)], len(ids)) if n_keys else np.zeros(len(ids))
             n = np.bincount(owner, freq, len(ids)) if n_keys else np.zeros(len(ids))
             yield from (finish(*x) for x in zip(ids, extra, total.tolist(), n.tolist(), strict=True))
 

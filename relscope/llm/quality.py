@@ -143,7 +143,7 @@ def _answer(rows: Iterator[tuple]) -> Iterator[tuple]:
         if sorted_ is None:
             order = np.argsort(k := np.concatenate(keys))
             sorted_ = k[order], np.concatenate(values)[order]
-        yield block, shard, runtime.pack((b, sorted_[1][np.searchsorted(sorted_[0], a)]))
+        yield block, shard, runtime.pack((b, sorted_[1][np.searchsorted(sorted_[0], blocks.keys_of(a))]))
 
 
 KEYS = pa.schema([("gram", pa.int64())])
@@ -151,7 +151,7 @@ KEYS = pa.schema([("gram", pa.int64())])
 
 def _dictionary(rows: Iterator[tuple]) -> Iterator[tuple]:
     for _, _, data in rows:
-        yield from ((k,) for k in runtime.unpack(data)[0].tolist())
+        yield from ((k,) for k in blocks.keys_of(runtime.unpack(data)[0]).tolist())
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_grams", pa.int64()), ("log_perplexity", pa.float64())])

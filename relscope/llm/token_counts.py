@@ -58,8 +58,8 @@ def _answer(path: str):
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         count = vocab.PieceCounts(path)
         for block, shard, data in rows:
-            keys, own = runtime.unpack(data)
-            yield block, shard, runtime.pack((own, np.array([count[k] for k in keys], np.uint32)))
+            keys, at = runtime.unpack(data)
+            yield block, shard, runtime.pack((at, np.array([count[k] for k in blocks.keys_of(keys)], np.uint32)))
             count.trim()
 
     return run

@@ -34,11 +34,14 @@ def _fold(start: Column, steps: int, f, finish) -> Column:
 def bound(f, **values: Column) -> Column:
     """``f`` of values that are computed once, however often it uses them.
 
-    The optimizer copies a column's definition to each of its uses; a lambda's variable
+    A null gives null.  The optimizer copies a column's definition to each of its uses; a lambda's variable
     stays one.
     """
     one = F.array(F.struct(*(v.cast("double").alias(k) for k, v in values.items())))
-    return F.element_at(F.transform(one, lambda s: f(*(s[k] for k in values))), 1)
+    known = F.lit(True)
+    for v in values.values():
+        known = known & v.isNotNull()
+    return F.when(known, F.element_at(F.transform(one, lambda s: f(*(s[k] for k in values))), 1))
 
 
 def lgamma(x: Column) -> Column:

@@ -40,14 +40,14 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def sql_chi2_sf(x: str, k: str) -> str:
     a, y = f"(({k}) / 2.0)", f"(({x}) / 2.0)"
-    return f"(CASE WHEN ({x}) IS NULL OR ({k}) < 1 THEN NULL WHEN {y} <= 0 THEN 1.0 WHEN {y} > 1000 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 3000), lambda n: exp(({a} + n) * ln({y}) - {y} - lgamma({a} + n + 1))))) END)"
+    return f"(CASE WHEN ({x}) IS NULL OR ({k}) < 1 THEN NULL WHEN {y} <= 0 THEN 1.0 WHEN {y} > 1000 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 3000), lambda i_: exp(({a} + i_) * ln({y}) - {y} - lgamma({a} + i_ + 1))))) END)"
 
 
 def sql_beta(a: str, b: str, x: str, y: str) -> str:
     """I_x(a, b) for x + y = 1."""
 
     def series(a: str, b: str, x: str, y: str) -> str:
-        return f"list_sum(list_transform(range(0, 3000), lambda n: exp(({a} + n) * ln({x}) + {b} * ln({y}) + lgamma({a} + {b} + n) - lgamma({b}) - lgamma({a} + n + 1))))"
+        return f"list_sum(list_transform(range(0, 3000), lambda i_: exp(({a} + i_) * ln({x}) + {b} * ln({y}) + lgamma({a} + {b} + i_) - lgamma({b}) - lgamma({a} + i_ + 1))))"
 
     return f"(CASE WHEN {x} <= 0 THEN 0.0 WHEN {y} <= 0 THEN 1.0 WHEN {x} <= 0.5 THEN {series(a, b, x, y)} WHEN {a} * {y} > 800 THEN 0.0 ELSE greatest(0.0, 1 - {series(b, a, y, x)}) END)"
 
@@ -417,14 +417,16 @@ def multi_test_comparison(spark, sf):
 
 @query()
 def full_dataset_analysis(spark, sf):
-    d = read(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    band = F.when(F.col("l_quantity") > 25, "high").otherwise("low")
+    d = read(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag", band.alias("band"))
     return analyzer.Analyzer().fit_full_dataset_analysis(d, super_sub=True).relationships(d)
 
 
 @query()
 def multivariate_relationships(spark, sf):
-    d = read(spark, sf, "part").select("p_size", "p_brand", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("other").alias("mark"))
-    return analyzer.Analyzer(numnum=False).fit_full_dataset_analysis(d, numeric_target="p_size", multivariates=True).relationships(d)
+    one, two = F.col("p_partkey") % 2, F.floor(F.col("p_partkey") / 2) % 2
+    d = read(spark, sf, "part").select((F.col("p_size") + 20 * ((one + two) % 2)).cast("double").alias("shifted"), one.cast("string").alias("one"), two.cast("string").alias("two"), "p_type")
+    return analyzer.Analyzer(numnum=False).fit_full_dataset_analysis(d, numeric_target="shifted", multivariates=True).relationships(d)
 
 
 @query("SELECT p_brand || '_|&|_' || p_type AS both, count(*) AS n FROM part GROUP BY 1")
@@ -447,7 +449,8 @@ def rescaled_bins(spark, sf):
 
 @query()
 def minimum_bins(spark, sf):
-    found = binning.relational(read(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"), ("pearson", 0.6, True), ("kruskal", 0.05, False))
+    d = read(spark, sf, "lineitem").select("l_quantity", (F.col("l_quantity") + F.col("l_extendedprice") / 10_000).alias("mixed"), F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("band"))
+    found = binning.relational(d, ("pearson", 0.6, True), ("kruskal", 0.05, False))
     return spark.createDataFrame([(y, x, s.found, s.beyond, s.stat) for y, m in found.items() for x, s in m.by_feature.items()], "y string, x string, min_bins int, beyond int, stat double")
 
 
@@ -480,7 +483,7 @@ def one_hot_proportion(spark, sf):
 # Probability.
 
 
-@query(f"WITH m AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM part) SELECT p_partkey, round(exp(-((p_size - m) / s) ** 2 / 2) / (s * sqrt(2 * pi())), 6) AS pdf, round(0.5 * (1 + sign(p_size - m) * (1 - {sql_chi2_sf('((p_size - m) / s) ** 2', '1')})), 6) AS cdf FROM part, m WHERE p_partkey < 200")
+@query(f"WITH m AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM part) SELECT p_partkey, round(exp(-(((p_size - m) / s) ** 2) / 2) / (s * sqrt(2 * pi())), 6) AS pdf, round(0.5 * (1 + sign(p_size - m) * (1 - {sql_chi2_sf('((p_size - m) / s) ** 2', '1')})), 6) AS cdf FROM part, m WHERE p_partkey < 200")
 def normal_model(spark, sf):
     d = read(spark, sf, "part")
     d = d.where("p_partkey < 200").crossJoin(F.broadcast(probability.fit_normal(d, "p_size")))
@@ -558,7 +561,7 @@ def column_profile(spark, sf):
     return preparation.column_counts(read(spark, sf, "events"), ["event_type", "value", "ts"]).select("column", "rows", "n_unique", "n_null")
 
 
-@query("SELECT column, proposed FROM (VALUES ('n', 'long'), ('d', 'datetime'), ('x', 'double'), ('c', 'category')) t(column, proposed)")
+@query('SELECT "column", proposed FROM (VALUES (\'n\', \'long\'), (\'d\', \'datetime\'), (\'x\', \'double\'), (\'c\', \'category\')) t("column", proposed)')
 def type_proposals(spark, sf):
     d = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("n"), F.col("o_orderdate").cast("string").alias("d"), F.col("o_totalprice").cast("string").alias("x"), F.col("o_orderstatus").alias("c"))
     return spark.createDataFrame([(p.column, p.proposed) for p in preparation.profiles(d)], "column string, proposed string")

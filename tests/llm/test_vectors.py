@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from relscope.llm import embedding_dedup, graphs, knn, runtime
+from relscope.llm import embedding_dedup, knn, runtime
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 ODD = [(900, None, 0, ""), (901, [0.0] * 8, 0, ""), (902, [float("nan")] + [1.0] * 7, 0, ""), (903, [None] + [1.0] * 7, 0, ""), (904, [float("inf")] + [1.0] * 7, 0, ""), (905, [], 0, ""), (906, [1.0, 2.0], 0, ""), (None, [1.0] * 8, 0, "")]
@@ -85,4 +85,3 @@ def test_fewer_candidates_than_asked(spark):
     vecs = spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (1, [0.5, 0.0], 0, ""), (20, [0.5, 0.0], 0, "")], SCHEMA)
     got = sorted(tuple(r) for r in knn.search(vecs, vecs.where("vec_id % 20 = 0")).collect())
     assert got == [(0, 1, 1, 0.5), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.25)]
-    assert graphs.HOT_SHARE

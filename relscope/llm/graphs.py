@@ -1,4 +1,4 @@
-"""Joins with hot keys, and connected components, in DataFrame operations."""
+"""Joins on hot keys, and connected components, in DataFrame operations."""
 
 from __future__ import annotations
 
@@ -7,22 +7,14 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-#: A key is hot from this share of the rows on, so there are at most as many hot keys.
-HOT_SHARE = 1000
 
+def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of stored tables on a key that may be hot in ``left``.
 
-def lookup(left: DataFrame, right: DataFrame, key: str, least: int = 2000) -> DataFrame:
-    """Inner join to a table with few rows per key, when keys of ``left`` may be hot.
-
-    Rows with a hot key (at most 1000 of them exist) meet their match by broadcast and are
-    not shuffled; the rest is an ordinary join.  Both frames should be stored tables.
+    Both inputs of the join are exchanges of its own, so adaptive execution splits the
+    partition of a hot key over many tasks.
     """
-    total = left.count()
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(least, total // HOT_SHARE + 1)).select(key)
-    hot = hot.sparkSession.createDataFrame(hot.collect(), hot.schema)
-    hot_rows = right.join(F.broadcast(hot), key)
-    near = left.join(F.broadcast(hot_rows), key)
-    return left.join(F.broadcast(hot), key, "left_anti").join(right, key).unionByName(near)
+    return left.join(right, key)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,12 +27,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
     both = runtime.stored(pairs.union(pairs.select("other", "node")).distinct())
     labels = runtime.stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
+    total = None
     while True:
         seen = both.join(labels, "node").select(F.col("other").alias("node"), "component")
         low = runtime.stored(labels.union(seen).groupBy("node").agg(F.min("component").alias("component")))
         jump = low.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-        new = runtime.stored(low.join(jump, "component").select("node", F.col("_to").alias("component")))
-        changed = new.join(labels, ["node", "component"], "left_anti").limit(1).count()
-        labels = new
-        if not changed:
+        labels = runtime.stored(low.join(jump, "component").select("node", F.col("_to").alias("component")))
+        # Labels only fall, so an equal sum means that none has changed.
+        before, total = total, labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return labels

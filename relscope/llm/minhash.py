@@ -12,9 +12,10 @@ per class:
 3. the exact similarity of the full sets verifies.
 
 Only the connected components are wanted, so a list does not emit all its pairs.  First
-each member meets the list's first one; members already in one component need no
-comparison.  What remains of a list meets in rounds of ``LEADERS`` members against the
-rest, until each pair in different components has been compared: nothing is dropped.
+each member meets the list's most typical one, the one with the most shared values; members
+already in one component need no further comparison.  Lists that still hold several
+components form groups, whose members meet in tiles: a task holds two tiles and compares
+all their sets by products of 0/1 matrices, and passes on one link per pair of components.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import graphs, runtime
@@ -33,7 +34,8 @@ from .shingles import shingle_sets
 K, SHARE = 32, 0.45
 #: The estimate from a union sketch may fall short of the similarity by this much.
 SLACK = 0.35
-LEADERS = 32
+#: Documents of a tile, and columns of a 0/1 matrix.
+TILE, WIDTH = 256, 8192
 #: Pairs that one task verifies with one copy of their common document.
 CELL = 64
 #: Ids that are broadcast to pick texts: 1 MB; with more, the texts are shuffled.
@@ -68,25 +70,30 @@ def _signatures(docs: DataFrame, n: int, k: int) -> DataFrame:
     return runtime.with_text(docs).mapInArrow(runtime.by_rows(run, SIGNED, 256), SIGNED_DDL)
 
 
+def _needed(n: Column, k: int) -> Column:
+    """Values that the sketches of linked documents share at least.
+
+    Up to 0.8 * k shingles both sketches are whole sets, and 0.8 of the larger is shared.
+    """
+    size = F.least(n, F.lit(k))
+    return F.when(n <= int(0.8 * k), F.ceil(n * 4 / 5)).otherwise(F.greatest(F.lit(1), F.floor(size * SHARE))).cast("int")
+
+
 def _lists(reps: DataFrame, k: int) -> DataFrame:
-    """(value, rep, n): each representative under the rarest values of its sketch that others share."""
-    entries = runtime.stored(reps.select("rep", "n", F.explode("sketch").alias("value")))
+    """(value, rep, n, typical): each representative under the rarest values of its sketch, where others share them."""
+    entries = reps.select("rep", "n", F.explode("sketch").alias("value"))
     shared = runtime.stored(entries.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"))
-    common = graphs.lookup(entries, shared, "value").select("rep", "n", F.struct("c", "value").alias("v"))
-    size = F.least(F.size("sketch"), F.lit(k))
+    common = graphs.lookup(entries, shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("vs"))
     # Values of its own stand before all shared ones.
-    rare = size - F.greatest(F.lit(1), F.floor(size * SHARE)) + 1
-    own = reps.select("rep", "n", rare.alias("rare"), F.size("sketch").alias("all"))
-    by_rep = common.groupBy("rep", "n").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    kept = by_rep.join(own, ["rep", "n"]).withColumn("take", F.greatest(F.lit(0), (F.col("rare") - F.col("all") + F.size("vs")).cast("int")))
-    return kept.select("rep", "n", F.explode(F.expr("slice(vs, 1, take)")).alias("v")).select(F.col("v.value").alias("value"), "rep", "n").distinct()
+    size = F.least("n", F.lit(k))
+    take = F.greatest(F.lit(0), size - _needed(F.col("n"), k) + 1 - (size - F.size("vs"))).cast("int")
+    return common.withColumn("take", take).select("rep", "n", F.size("vs").alias("typical"), F.explode(F.expr("slice(vs, 1, take)")).alias("v")).select(F.col("v.value").alias("value"), "rep", "n", "typical").distinct()
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs that the union sketch doesn't rule out."""
-    pairs = runtime.stored(pairs)
     b = graphs.lookup(pairs, reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
-    both = graphs.lookup(runtime.stored(b), reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
+    both = graphs.lookup(b, reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     estimate = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -96,7 +103,6 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataF
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs whose full sets are similar.  ``a`` may be hot: its pairs are spread over cells of ``CELL``."""
     spark = pairs.sparkSession
-    pairs = runtime.stored(pairs)
     sizes = runtime.stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells")))
     cells = runtime.stored(graphs.lookup(pairs, sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"), "b"))
     members = runtime.stored(cells.withColumn("rep", F.col("b")).unionByName(cells.select("a", "cell").distinct().withColumn("rep", F.col("a")), allowMissingColumns=True))
@@ -123,6 +129,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return runtime.stored(placed.mapInArrow(runtime.by_rows(run, schema), "a long, b long").distinct())
 
 
+def _matches(sets: list[np.ndarray], split: int, percent: int) -> np.ndarray:
+    """Which of the first ``split`` sets are similar to which of the others."""
+    sizes = np.array([len(x) for x in sets])
+    values, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # Values of one set add to no intersection.
+    place = np.cumsum(often > 1) - 1
+    shared = often[code] > 1
+    owner, code = owner[shared], place[code[shared]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    both = np.zeros((split, len(sets) - split), np.float64)
+    for low in range(0, int(place[-1]) + 1, WIDTH):
+        a, b = np.searchsorted(code, (low, low + WIDTH))
+        part = np.zeros((len(sets), WIDTH), np.float32)
+        part[owner[a:b], code[a:b] - low] = 1
+        both += part[:split] @ part[split:].T
+    return 100 * both >= percent * (sizes[:split, None] + sizes[None, split:] - both)
+
+
+def _tiled(label: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components that share a list, all their members compared."""
+    spark = label.sparkSession
+    low = label.groupBy("value").agg(F.min("component").alias("b"), F.max("component").alias("high")).where("b < high")
+    mixed = runtime.stored(graphs.lookup(label, runtime.stored(low.select("value", "b")), "value").select("rep", "component", "b").distinct())
+    groups = graphs.components(mixed.select(F.col("component").alias("a"), "b").distinct())
+    members = runtime.stored(graphs.lookup(mixed.select("rep", "component").distinct(), groups.select(F.col("node").alias("component"), F.col("component").alias("family")), "component"))
+    sizes = runtime.stored(members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    placed = graphs.lookup(members, sizes, "family").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    needed = members.select("rep").distinct()
+    if needed.count() <= FEW:
+        texts = texts.join(F.broadcast(needed), "rep")
+    whole = placed.join(texts, "rep").withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    cells = whole.select("family", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "rep", "component", "text")
+    cells = cells.repartition(runtime.shards(spark), "family", "t", "u").sortWithinPartitions("family", "t", "u", "tile", "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, held = None, []
+
+        def compared() -> Iterator[tuple]:
+            one = [h for h in held if h[0] == now[1]]
+            two = [h for h in held if h[0] == now[2]]
+            found = _matches([h[3] for h in one + two], len(one), percent)
+            seen = set()
+            for i, j in np.argwhere(found):
+                (_, a, ca, _), (_, b, cb, _) = one[i], two[j]
+                if ca != cb and (ca, cb) not in seen:
+                    seen |= {(ca, cb), (cb, ca)}
+                    yield min(a, b), max(a, b)
+
+        for (family, t, u, tile, rep, component, _), own in _sets(rows, n):
+            if (family, t, u) != now:
+                if held:
+                    yield from compared()
+                now, held = (family, t, u), []
+            held.append((tile, rep, component, own))
+        if held:
+            yield from compared()
+
+    return runtime.stored(cells.mapInArrow(runtime.by_rows(run, schema), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -139,41 +208,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     nodes = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = runtime.stored(nodes.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
     members = runtime.stored(graphs.lookup(nodes.select("doc_id", "n_shingles", "set_id"), classes, "set_id"))
-    # Of the rows that name a class, one: the sketch and the text stand for the set.
-    firsts = signed.join(classes, (signed.set_id == classes.set_id) & (signed.doc_id == classes.rep)).drop(classes.set_id)
-    firsts = runtime.stored(firsts.select("rep", F.col("n_shingles").alias("n"), "set_id", "sketch", "text").dropDuplicates(["rep", "set_id"]))
-    reps, texts = firsts.select("rep", "n", "sketch"), firsts.select("rep", "text")
+    # Of the rows that name a class, one: its sketch stands for the set.
+    firsts = nodes.select("set_id", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").join(classes, ["set_id", "rep"])
+    reps = runtime.stored(firsts.dropDuplicates(["set_id"]).drop("set_id"))
+    texts = nodes.select(F.col("doc_id").alias("rep"), "text")
     lists = runtime.stored(_lists(reps, k))
     # Rows of one doc_id in several classes tie these together.
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
     tied = members.join(F.broadcast(several) if several.count() <= FEW else several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     links = runtime.stored(tied.distinct())
 
-    leaders = runtime.stored(lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select("value", F.col("first.rep").alias("a"), F.col("first.n").alias("na")))
+    typical = F.max_by(F.struct("rep", "n"), F.struct("typical", -F.col("rep"))).alias("first")
+    leaders = runtime.stored(lists.groupBy("value").agg(typical, F.count("*").alias("c")).where("c > 1").select("value", F.col("first.rep").alias("a"), F.col("first.n").alias("na")))
     fits = F.least("n", "na") * 100 >= F.greatest("n", "na") * percent
-    pairs = graphs.lookup(lists, leaders, "value").where(fits & (F.col("a") < F.col("rep"))).select("a", F.col("rep").alias("b")).distinct()
-    tested = None
-    while True:
-        candidates = runtime.stored(_estimated(pairs, reps, k, percent))
-        links = runtime.stored(links.union(_verified(candidates, texts, words, percent)))
-        tested = candidates if tested is None else runtime.stored(tested.union(candidates))
-        found = graphs.components(links)
-        label = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        label = runtime.stored(label.select("value", "rep", "n", F.coalesce("component", "rep").alias("component")))
-        mixed = label.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-        rows = runtime.stored(graphs.lookup(label, runtime.stored(mixed), "value"))
-        ranked = runtime.stored(rows.withColumn("at", F.row_number().over(Window.partitionBy("value").orderBy("rep", "n"))))
-        first = ranked.where(F.col("at") <= LEADERS).select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("at").alias("ata"))
-        met = ranked.join(first, "value").where(fits & (F.col("ata") < F.col("at")) & (F.col("ca") != F.col("component")))
-        fresh = met.select("a", F.col("rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = runtime.stored(fresh)
-        lists = runtime.stored(ranked.where(F.col("at") > LEADERS).select("value", "rep", "n"))
-        if not lists.limit(1).count() and not pairs.limit(1).count():
-            break
+    pairs = graphs.lookup(lists, leaders, "value").where(fits & (F.col("a") != F.col("rep"))).select("a", F.col("rep").alias("b")).distinct()
+    candidates = runtime.stored(_estimated(runtime.stored(pairs), reps, k, percent))
+    links = runtime.stored(links.union(_verified(candidates, texts, words, percent)))
+    found = graphs.components(links)
+    label = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    label = runtime.stored(label.select("value", "rep", F.coalesce("component", "rep").alias("component")))
+    found = graphs.components(links.union(_tiled(label, texts, words, percent)))
     out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = out.unionByName(signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group: the first of its smallest doc_id; rows with a null doc_id stay."""
+    gone = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = runtime.stored(gone)
+    left = docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, docs.doc_id == gone["_gone"], "left_anti")
+    named = left.where("doc_id IS NOT NULL")
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        left = left.where("doc_id IS NULL").unionByName(named.dropDuplicates(["doc_id"]))
+    return left
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(runtime.read(spark, sf_dir, "documents"), words=4)

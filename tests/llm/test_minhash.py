@@ -46,9 +46,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,leaders", [(1, 32), (2, 2)])
-def test_components(spark, monkeypatch, seed, leaders):
-    monkeypatch.setattr(minhash, "LEADERS", leaders)
+@pytest.mark.parametrize("seed,tile", [(1, 256), (2, 3)])
+def test_components(spark, monkeypatch, seed, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "WIDTH", 50)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(5)
     got = [tuple(r) for r in minhash.near_duplicates(docs, 4).collect()]
@@ -58,7 +59,6 @@ def test_components(spark, monkeypatch, seed, leaders):
 def test_hot_keys_and_shuffled_texts_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FEW", 0)
     monkeypatch.setattr(minhash, "CELL", 2)
-    monkeypatch.setattr(graphs.lookup, "__defaults__", (3,))
     rows = corpus(3)
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
     got = [tuple(r) for r in minhash.near_duplicates(docs, 5).collect()]

@@ -1,88 +1,131 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass orders the vectors lexicographically by the concatenation of its random
-hyperplane bits, and compares each with the ``WINDOW`` rows that follow.  Pairs whose exact
-cosine passes, of all passes, are united to components.  A window can't show a row all
-partners it has in a dense group, so the links within each component are then counted in
-full, tile by tile: counts are summed, pairs are not emitted.  Equal vectors are one class
-throughout, so copies cost nothing.
+Each pass orders the vectors by the concatenation of its random hyperplane bits, and
+compares all rows of a run, that is of one key.  Bits follow from the number of rows, so
+that a run of scattered vectors has ``RUN`` rows; passes follow from the bits, so that a
+pair of the least cosine shares no run with a chance of ``MISS``.  A dense group makes long
+runs, which are compared in full all the same, tile by tile, so density costs time and no
+links.  A cell of tiles emits edges that span its linked vectors, not its pairs; the links
+within each component are then counted in full.  Equal vectors are one class throughout,
+so copies cost nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graphs, runtime, vectors
 
-PASSES, BITS, WINDOW, TILE = 20, 64, 32, 512
+RUN, MISS, TILE = 2048, 1e-4, 512
 #: Pairs are picked in single precision with this margin and confirmed in double.
 MARGIN = 1e-4
+#: Runs that are broadcast, at most; beyond, they are shuffled.
+FEW = 1_000_000
 
-WINDOWED = pa.schema([("border", pa.int64()), ("at", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("embedding", pa.list_(pa.float64()))])
-WINDOWED_DDL = "border long, at long, a long, b long, embedding array<double>"
+SPANNED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 TILED = pa.schema([("rep", pa.int64()), ("n", pa.int64())])
 
 
-def _hashed(passes: int, dim: int):
-    """(rep, embedding) to (pass, key, rep, unit vector), once per pass."""
-    schema = pa.schema([("pass", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+def plan(n: int, least: float, run: int, miss: float) -> tuple[int, int]:
+    """(bits, passes) for ``n`` rows; a single pass without bits compares all."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / run)))
+    same = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return bits, 1 if same == 1 else math.ceil(math.log(miss) / math.log1p(-same))
+
+
+def keys(own: np.ndarray, bits: int, passes: int) -> np.ndarray:
+    """A row's key in each pass."""
+    out = np.zeros((len(own), passes), np.int64)
+    for number in range(passes):
+        plane = np.random.default_rng([number, own.shape[1]]).standard_normal((own.shape[1], bits))
+        out[:, number] = (own @ plane > 0) @ (1 << np.arange(bits, dtype=np.int64))
+    return out
+
+
+def _keyed(bits: int, passes: int, dim: int):
+    """(rep, embedding) to (rep, embedding, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = [np.random.default_rng([number, dim]).standard_normal((dim, BITS)) for number in range(passes)]
         for batch in batches:
-            own = vectors.unit(vectors.matrix(batch["embedding"], dim))
-            for number, plane in enumerate(planes):
-                bits = np.packbits(own @ plane > 0, axis=1).view(">u8").ravel().astype(np.uint64)
-                key = (bits ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number, np.int32)), pa.array(key), batch["rep"], vectors.lists(own)], schema=schema)
+            if len(batch):
+                found = keys(vectors.unit(vectors.matrix(batch["embedding"], dim)), bits, passes)
+                yield pa.RecordBatch.from_arrays([batch["rep"], batch["embedding"], vectors.lists(found)], names=["rep", "embedding", "keys"])
 
     return run
 
 
-def _close(own: np.ndarray, ids: np.ndarray, window: int, least: float) -> np.ndarray:
-    """Pairs of ids, smaller first, at most ``window`` rows apart whose rows have a product of ``least``."""
-    single, out = own.astype(np.float32), [np.zeros((0, 2), np.int64)]
-    for a in range(0, len(own), 256):
-        near = single[a : a + 256] @ single[a : a + 256 + window].T
-        i, j = np.nonzero(near >= least - MARGIN)
-        keep = (j > i) & (j - i <= window)
-        i, j = i[keep] + a, j[keep] + a
-        keep = (np.einsum("ij,ij->i", own[i], own[j]) >= least) & (ids[i] != ids[j])
-        out.append(np.sort(np.stack([ids[i[keep]], ids[j[keep]]], axis=1), axis=1))
-    return np.unique(np.concatenate(out), axis=0)
-
+def _near(one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows have a product of ``least``."""
+    product = one.astype(np.float32) @ two.astype(np.float32).T
+    near = product >= least - MARGIN
+    i, j = np.nonzero(near & (product < least + MARGIN))
+    for a in range(0, len(i), 65_536):
+        p, q = i[a : a + 65_536], j[a : a + 65_536]
+        near[p, q] = np.einsum("ij,ij->i", one[p], two[q]) >= least
+    return near
+
+
+def _spanning(near: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Edges of ids that connect what the links ``near`` of ids ``one`` to ids ``two`` connect."""
+    if np.count_nonzero(near) <= 4 * (len(one) + len(two)):
+        i, j = np.nonzero(near)
+        edges = np.stack([one[i], two[j]], axis=1)
+    else:
+        out, rows, left = [], near.any(axis=1), np.ones(len(two), bool)
+        while rows.any():
+            start = rows.argmax()
+            ahead = np.array([start])
+            rows[start] = False
+            while len(ahead):
+                met = np.flatnonzero(near[ahead].any(axis=0) & left)
+                left[met] = False
+                ahead = np.flatnonzero(near[:, met].any(axis=1) & rows)
+                rows[ahead] = False
+                found = np.concatenate([two[met], one[ahead]])
+                out.append(np.stack([np.full(len(found), one[start]), found], axis=1))
+        edges = np.concatenate(out)
+    return np.unique(np.sort(edges[edges[:, 0] != edges[:, 1]], axis=1), axis=0)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], columns: tuple[str, ...], dim: int) -> Iterator[tuple]:
+    """(cell, columns' values, unit vectors) of sorted rows, a cell at a time."""
+    now, held = None, []
+
+    def whole() -> tuple:
+        return now, [np.concatenate([h[k] for h in held]) for k in range(len(columns))], np.concatenate([h[-1] for h in held])
+
+    for batch in batches:
+        cell = np.array([batch[c].to_numpy() for c in by]).T
+        edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b == a:
+                continue
+            if now != tuple(cell[a].tolist()):
+                if held:
+                    yield whole()
+                now, held = tuple(cell[a].tolist()), []
+            part = batch.slice(a, b - a)
+            held.append((*(part[c].to_numpy() for c in columns), vectors.unit(vectors.matrix(part["embedding"], dim))))
+    if held:
+        yield whole()
 
-def _window(window: int, least: float, dim: int, borders: bool):
-    """Compares the rows of a partition in order; with ``borders`` also passes on its first and last rows, to meet its neighbours'."""
 
-    def edge(border: int, at: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        n = len(ids)
-        empty = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, border)), pa.array(np.arange(at, at + n)), pa.array(ids), empty, vectors.lists(rows)], schema=WINDOWED)
+def _linked(least: float, dim: int):
+    """Edges that span the links between the two tiles of a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        ids, rows, first = np.zeros(0, np.int64), np.zeros((0, dim)), 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            own, own_ids = vectors.matrix(batch["embedding"], dim), batch["rep"].to_numpy()
-            if borders and first < window:
-                yield edge(task, window + first, own_ids[: window - first], own[: window - first])
-                first += min(len(own), window - first)
-            ids, rows = np.concatenate([ids, own_ids]), np.vstack([rows, own])
-            pairs = _close(rows, ids, window, least)
-            none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.list_(pa.float64()))], schema=WINDOWED)
-            ids, rows = ids[-window:], rows[-window:]
-        if borders and len(ids):
-            yield edge(task + 1, 0, ids, rows)
+        for (*_, t, u), (tile, ids), rows in _cells(batches, ("pass", "key", "t", "u"), ("tile", "rep"), dim):
+            one, two = np.flatnonzero(tile == t), np.flatnonzero(tile == u)
+            near = _near(rows[one], rows[two], least)
+            near &= ids[one][:, None] != ids[two][None, :]
+            edges = _spanning(near, ids[one], ids[two])
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=SPANNED)
 
     return run
 
@@ -91,43 +134,25 @@ def _tile_counts(least: float, dim: int):
     """Links between the two tiles of a cell, per vector, each weighted with its partner's copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def counted() -> pa.RecordBatch:
-            tile, ids, copies = (np.concatenate([h[k] for h in held]) for k in range(3))
-            rows = np.concatenate([h[3] for h in held])
-            one, two = np.flatnonzero(tile == now[1]), np.flatnonzero(tile == now[2])
-            near = rows[one] @ rows[two].T >= least
+        for (_, t, u), (tile, ids, copies), rows in _cells(batches, ("component", "t", "u"), ("tile", "rep", "copies"), dim):
+            one, two = np.flatnonzero(tile == t), np.flatnonzero(tile == u)
+            near = _near(rows[one], rows[two], least)
             near &= ids[one][:, None] != ids[two][None, :]
-            n = near @ copies[two]
-            out = [ids[one]], [n]
-            if now[1] != now[2]:
+            out = [ids[one]], [near @ copies[two]]
+            if t != u:
                 out[0].append(ids[two])
                 out[1].append(copies[one] @ near)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], schema=TILED)
-
-        for batch in batches:
-            cell = np.array([batch[c].to_numpy() for c in ("component", "t", "u")]).T
-            edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b == a:
-                    continue
-                if now != tuple(cell[a].tolist()):
-                    if held:
-                        yield counted()
-                    now, held = tuple(cell[a].tolist()), []
-                held.append((*(batch[c].slice(a, b - a).to_numpy() for c in ("tile", "rep", "copies")), vectors.unit(vectors.matrix(batch["embedding"].slice(a, b - a), dim))))
-        if held:
-            yield counted()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], schema=TILED)
 
     return run
 
 
-def near_duplicates(vecs: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vecs: DataFrame, least: float = 0.9, run: int = RUN, miss: float = MISS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Vectors are linked when a pass brings them within a window, or links to others bring
-    them into one component, and their cosine is ``least`` or more.  ``n_links`` counts the
+    Vectors are linked when their cosine is ``least`` or more; a link is missed with a
+    chance of at most ``miss`` unless others bring its ends into one component, and none is
+    where a run has all rows.  ``n_links`` counts the
     other rows linked directly, copies included; ``component_id`` is the smallest vec_id
     reachable, the row's own included, and ``kept`` tells whether it is the row's own.
     Vectors that are null, empty, zero or not finite, or of another length than most, are
@@ -140,12 +165,17 @@ def near_duplicates(vecs: DataFrame, least: float = 0.9, passes: int = PASSES, w
     lengths = taking.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     dim = lengths[0]["d"] if lengths else 0
     classes = runtime.stored(taking.where(F.size("embedding") == dim).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    hashed = classes.select("rep", "embedding").mapInArrow(_hashed(passes, dim), "pass int, key long, rep long, embedding array<double>")
-    placed = hashed.repartitionByRange(runtime.shards(spark), "pass", "key").sortWithinPartitions("pass", "key", "rep")
-    windowed = runtime.stored(placed.drop("pass", "key").mapInArrow(_window(window, least, dim, True), WINDOWED_DDL))
-    borders = windowed.where("border IS NOT NULL").select("border", "at", F.col("a").alias("rep"), "embedding")
-    met = borders.repartition(runtime.shards(spark), "border").sortWithinPartitions("border", "at").select("rep", "embedding").mapInArrow(_window(window, least, dim, False), WINDOWED_DDL)
-    pairs = runtime.stored(windowed.where("border IS NULL").unionByName(met).select("a", "b").distinct())
+    bits, passes = plan(classes.count(), least, run, miss)
+    kind = classes.schema["embedding"].dataType.simpleString()
+    keyed = runtime.stored(classes.select("rep", "embedding").mapInArrow(_keyed(bits, passes, dim), f"rep long, embedding {kind}, keys array<long>"))
+    placed = keyed.select("rep", "embedding", F.posexplode("keys").alias("pass", "key"))
+    runs = runtime.stored(placed.groupBy("pass", "key").agg(F.count("*").alias("n")).where("n > 1").select("pass", "key", F.ceil(F.col("n") / run).cast("int").alias("tiles")))
+    runs = F.broadcast(runs) if runs.count() <= FEW else runs
+    rows = placed.join(runs, ["pass", "key"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    cells = cells.select("pass", "key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "rep", "embedding")
+    met = cells.repartition(runtime.shards(spark), "pass", "key", "t", "u").sortWithinPartitions("pass", "key", "t", "u", "tile")
+    pairs = runtime.stored(met.mapInArrow(_linked(least, dim), "a long, b long").distinct())
     found = graphs.components(pairs)
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     grouped = runtime.stored(graphs.lookup(found, runtime.stored(sizes), "component").withColumnRenamed("node", "rep"))

@@ -85,3 +85,30 @@ def test_fewer_candidates_than_asked(spark):
     vecs = spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (1, [0.5, 0.0], 0, ""), (20, [0.5, 0.0], 0, "")], SCHEMA)
     got = sorted(tuple(r) for r in knn.search(vecs, vecs.where("vec_id % 20 = 0")).collect())
     assert got == [(0, 1, 1, 0.5), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.25)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"run": 150}])
+def test_dense_group_hides_no_links(spark, sizes):
+    rng = np.random.default_rng(5)
+    spread = lambda n: (x := rng.standard_normal((n, 64))) / np.linalg.norm(x, axis=1, keepdims=True)
+    cone = np.sqrt(0.8) * spread(1) + np.sqrt(0.2) * spread(3000)
+    bases = np.vstack([cone[:300], spread(300)])
+    bases /= np.linalg.norm(bases, axis=1, keepdims=True)
+    aside = spread(600)
+    aside -= (aside * bases).sum(axis=1, keepdims=True) * bases
+    others = 0.901 * bases + 0.433 * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    rows = np.vstack([cone, bases[300:], others]).astype(np.float32)
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, r.tolist(), 0, "") for i, r in enumerate(rows)], SCHEMA), **sizes).collect()
+    assert links.sum() > 400 and all(r.n_links <= links[r.vec_id] for r in got)
+    assert sum(r.n_links for r in got) >= 0.99 * links.sum()
+
+
+def test_passes_follow_the_rows():
+    assert embedding_dedup.plan(2048, 0.9, 2048, 1e-4) == (0, 1)
+    before = 0
+    for n in (5_000, 50_000, 500_000, 2_000_000):
+        bits, passes = embedding_dedup.plan(n, 0.9, 2048, 1e-4)
+        assert n / 2**bits <= 2048 and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes <= 1e-4 and passes > before
+        before = passes

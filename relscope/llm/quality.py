@@ -5,12 +5,15 @@ The model counts the character n-grams of *all* trusted documents (labelled with
 three discounts from its counts of counts, and orders are interpolated.  Each distinct gram
 of the corpus gets its log probability by joins on gram, context and suffix; documents get
 theirs by the join of their sparse gram counts to it, sharded by gram (:mod:`.blocks`).
-A document is rejected when its perplexity exceeds a high quantile of the trusted
-documents' in its language.
+A word or line that repeats the one before it is a single symbol of its own, so that runs
+of one word are rare events instead of common characters.  A document is rejected when its
+perplexity exceeds a high quantile of the trusted documents' in its language, short texts
+and others apart, as perplexities of short texts scatter more.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,11 @@ from pyspark.sql import functions as F
 from . import blocks, pretoken, runtime
 
 ORDER, SYMBOL_BITS = 3, 16
+#: Stands for a word or line that is equal to the one before it; no character.
+AGAIN = "\uffff"
+_LINES, _WORDS = re.compile(r"^(.++)(?:\n\1$)+", re.MULTILINE), re.compile(r"(?<!\S)(\S++)(?:\s++\1(?!\S))+")
+#: Texts of fewer characters, repetitions included, have thresholds of their own.
+SHORT = 100
 #: Share of the trusted documents of a language that its threshold keeps.
 QUANTILE = 0.997
 #: Logarithms of perplexities are compared in steps, which bounds their histogram.
@@ -32,8 +40,15 @@ _MASK = (1 << SYMBOL_BITS) - 1
 _EDGE = 10
 
 
+def marked(text: str) -> str:
+    """The text with ``AGAIN`` for each repetition of a line or word, and of the space before it."""
+    text = _LINES.sub(lambda m: m[1] + AGAIN * ((len(m[0]) + 1) // (len(m[1]) + 1) - 1), text)
+    return _WORDS.sub(lambda m: m[1] + AGAIN * (len(m[0].split()) - 1), text)
+
+
 def grams(text: str) -> np.ndarray:
-    """The n-grams of a text between line ends as integers of 16 bits per character; those beyond U+FFFF fold onto others."""
+    """The n-grams of a marked text between line ends as integers of 16 bits per character; those beyond U+FFFF fold onto others."""
+    text = marked(text)
     points = pretoken.code_points("\n" * (ORDER - 1) + text + "\n").astype(np.int64) & _MASK
     out = np.zeros(len(points) - ORDER + 1, np.int64)
     for k in range(ORDER):
@@ -44,27 +59,28 @@ def grams(text: str) -> np.ndarray:
 def _extract(rows: Iterator[tuple]) -> Iterator[blocks.Counts]:
     """Blocks of documents' gram counts; a row is (doc_id, lang, text)."""
 
-    def block(ids: list, owners: list[int], found: list[np.ndarray]) -> blocks.Counts:
+    def block(ids: list, sizes: list[int], owners: list[int], found: list[np.ndarray]) -> blocks.Counts:
         own = np.repeat(np.array(owners, np.int64), [len(f) for f in found])
         keys, code = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         if len(ids) * len(keys) <= 1 << 25:
             table = np.bincount(own * len(keys) + code, minlength=len(ids) * len(keys))
             at = np.flatnonzero(table)
-            return blocks.Counts(ids, [None] * len(ids), (at // max(1, len(keys))).astype(np.uint32), (at % max(1, len(keys))).astype(np.uint32), table[at], keys)
-        return blocks.Counts(ids, [None] * len(ids), *blocks.sparse(own, code, len(keys)), keys)
+            return blocks.Counts(ids, sizes, (at // max(1, len(keys))).astype(np.uint32), (at % max(1, len(keys))).astype(np.uint32), table[at], keys)
+        return blocks.Counts(ids, sizes, *blocks.sparse(own, code, len(keys)), keys)
 
-    ids, owners, found, size = [], [], [], 0
+    ids, sizes, owners, found, size = [], [], [], [], 0
     for doc_id, lang, text in rows:
         if text:
             owners.append(len(ids))
             found.append(grams(text))
         ids.append((doc_id, lang))
+        sizes.append(len(text))
         size += len(text) + 1
         if size >= BLOCK_CHARS:
-            yield block(ids, owners, found)
-            ids, owners, found, size = [], [], [], 0
+            yield block(ids, sizes, owners, found)
+            ids, sizes, owners, found, size = [], [], [], [], 0
     if ids:
-        yield block(ids, owners, found)
+        yield block(ids, sizes, owners, found)
 
 
 GRAM_COUNTS = pa.schema([("gram", pa.int64()), ("c", pa.int64())])
@@ -154,8 +170,8 @@ def _dictionary(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield from ((k,) for k in blocks.keys_of(runtime.unpack(data)[0]).tolist())
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_grams", pa.int64()), ("log_perplexity", pa.float64())])
-SCORED_DDL = "doc_id long, lang string, n_grams long, log_perplexity double"
+SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("chars", pa.int64()), ("n_grams", pa.int64()), ("log_perplexity", pa.float64())])
+SCORED_DDL = "doc_id long, lang string, chars long, n_grams long, log_perplexity double"
 
 
 def some(ids: DataFrame) -> DataFrame:
@@ -164,7 +180,7 @@ def some(ids: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_grams, log_perplexity) of every row, by a model of the texts whose doc_id is in ``trusted``."""
+    """(doc_id, lang, chars, n_grams, log_perplexity) of every row, by a model of the texts whose doc_id is in ``trusted``."""
     spark = runtime.tune(docs.sparkSession)
     shards = runtime.shards(spark)
     texts = runtime.with_text(docs, F.col("lang").cast("string").alias("lang"))
@@ -174,7 +190,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     wanted = packed.where(F.col("shard") != blocks.COUNTS).mapInArrow(runtime.by_rows(_dictionary, KEYS, 50_000), "gram long").distinct()
     model = kneser_ney(counts, runtime.stored(wanted))
     answers = blocks.answered(packed, _as_shards(model, shards), _answer, shards)
-    finish = lambda ids, extra, total, n: (*ids, round(n), -total / n if n else None)
+    finish = lambda ids, chars, total, n: (*ids, chars, round(n), -total / n if n else None)
     return blocks.summed(packed, answers, shards, finish, SCORED, SCORED_DDL)
 
 
@@ -182,8 +198,9 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     """(doc_id, lang, n_grams, perplexity, threshold, rejected) of every row.
 
     ``labels`` has (doc_id, quality); documents with quality 1 are trusted.  ``threshold``
-    is the ``quantile`` of the trusted documents' perplexity in the row's language, or in
-    all languages where it has none or is null.  A null or empty text has no perplexity and
+    is the ``quantile`` of the trusted documents' perplexity in the row's language, among
+    those short or not as the row is; where there are none, of all in the language, then of
+    all short or not, then of all.  ``n_grams`` counts repetitions as one each.  A null or empty text has no perplexity and
     is not rejected; without trusted documents nothing is.  A null doc_id stays null and
     is judged like others; repeated rows give repeated results; an empty table gives none.
     Columns besides doc_id, text, lang and quality are not read.
@@ -191,13 +208,18 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     trusted = runtime.stored(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct())
     scored = runtime.stored(perplexities(docs, trusted))
     step = F.ceil(F.col("log_perplexity") / STEP)
-    sample = scored.where("n_grams > 0").join(some(trusted), "doc_id", "left_semi").groupBy("lang", step.alias("at")).agg(F.count("*").alias("n"))
-    # A row per language and step, so few per language.
+    scored = scored.withColumn("short", F.col("chars") < SHORT)
+    sample = scored.where("n_grams > 0").join(some(trusted), "doc_id", "left_semi").groupBy("lang", "short", step.alias("at")).agg(F.count("*").alias("n"))
+    # A row per language, size and step, so few per language.
     sample = runtime.stored(sample)
-    by_lang = _threshold(sample.where("lang IS NOT NULL"), ["lang"], quantile)
-    pooled = _threshold(sample.groupBy("at").agg(F.sum("n").alias("n")), [], quantile).first()
-    limit = F.coalesce(F.col("limit"), F.lit(pooled["limit"] if pooled else None).cast("long"))
-    judged = scored.join(some(runtime.stored(by_lang)), "lang", "left").withColumn("limit", limit)
+    known = sample.where("lang IS NOT NULL")
+    over = lambda *by: _threshold((known if "lang" in by else sample).groupBy(*by, "at").agg(F.sum("n").alias("n")), list(by), quantile)
+    by_size = {r["short"]: r["limit"] for r in over("short").collect()}
+    pooled = over().first()
+    rest = F.coalesce(*(F.when(F.col("short") == k, F.lit(v)) for k, v in by_size.items()), F.lit(pooled["limit"] if pooled else None).cast("long"))
+    judged = scored.join(some(runtime.stored(over("lang", "short"))), ["lang", "short"], "left")
+    judged = judged.join(some(runtime.stored(over("lang").withColumnRenamed("limit", "of_lang"))), "lang", "left")
+    judged = judged.withColumn("limit", F.coalesce("limit", "of_lang", rest))
     return judged.select("doc_id", "lang", "n_grams", F.exp("log_perplexity").alias("perplexity"), F.exp(F.col("limit") * STEP).alias("threshold"), F.coalesce(step > F.col("limit"), F.lit(False)).alias("rejected"))
 
 

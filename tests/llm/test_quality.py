@@ -1,6 +1,7 @@
 """Perplexities against a Kneser-Ney model in plain Python."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -84,3 +85,19 @@ def test_without_labels_nothing_goes(spark):
     assert not any(r.rejected for r in quality.classified(docs, labels).collect())
     assert quality.accepted(docs, labels).count() == len(ROWS)
     assert quality.classified(docs.limit(0), labels).collect() == []
+
+
+def test_runs_of_a_word_or_line_are_junk(spark):
+    rng = random.Random(6)
+    words = ["the", "cat", "dog", "house", "runs", "over", "green", "hill", "small", "river", "and", "tree"]
+    prose = lambda n: " ".join(rng.choices(words, k=n)) + "."
+    rows = [(i, prose(80), "en") for i in range(200)] + [(200, "Xq!", "en")]
+    junk = [(300, "the " * 200, "en"), (301, "the\n" * 200, "en"), (302, "cat runs\n" * 200, "en"), (303, prose(20) + " house" * 300, None)]
+    got = quality.classified(spark.createDataFrame(rows + junk + [(400, prose(70), "en")], "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(201)], "doc_id long, quality int"))
+    rejected = {r.doc_id for r in got.collect() if r.rejected}
+    assert {300, 301, 302, 303} <= rejected and 400 not in rejected and len(rejected) <= 6
+
+
+def test_marks():
+    assert quality.marked("a a  a\na b b. b.") == "a" + quality.AGAIN * 3 + " b b." + quality.AGAIN
+    assert quality.marked("a b\na b\na b c") == "a b" + quality.AGAIN + "\na b c"

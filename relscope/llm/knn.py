@@ -4,6 +4,7 @@ A vector is represented by its nearest pivots in order.  Vectors are posted in t
 files of those pivots, with the pivot's rank; a query reads the files of its own pivots and
 ranks what it meets by the footrule distance of the two orders, where a pivot that is
 missing counts as one rank past the last.  The nearest share of the rows is scored exactly.
+Pivots are chosen farthest first, so that a dense group doesn't use them up.
 
 For inner products, a component is added that gives all vectors the same norm, so that the
 nearest in angle are those of the largest product.  The index is kept in shards of bounded
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import runtime, vectors
 
 #: Pivots, the ranks that are posted, and the share of a shard that is scored exactly.
-PIVOTS, POSTED, SHARE, LEAST = 256, 64, 0.2, 400
+PIVOTS, POSTED, SHARE, LEAST = 256, 64, 0.35, 400
 #: Rows that pivots are chosen from; rows of a shard and of a block of queries.
 SAMPLE, SHARD, BLOCK = 4096, 16_384, 1024
 
@@ -36,6 +37,15 @@ def lifted(rows: np.ndarray, norm: float) -> np.ndarray:
     return np.hstack([rows, np.sqrt(np.maximum(0, 1 - (rows * rows).sum(axis=1, keepdims=True)))])
 
 
+def spread_out(rows: np.ndarray, count: int) -> np.ndarray:
+    """The first of the unit rows, then again and again the row least near to those chosen."""
+    chosen, near = [0], rows @ rows[0]
+    while len(chosen) < min(count, len(rows)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, rows @ rows[chosen[-1]])
+    return rows[chosen]
+
+
 def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
     """Numbers of the nearest pivots in order, one row each."""
     products = rows @ pivots.T
@@ -88,8 +98,8 @@ def search(vecs: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOT
     asked = vectors.taking_part(queries).distinct().where(F.size("embedding") == dim)
     sample = stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     norm = stored.select(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))).first()[0] * (1 + 1e-9)
-    chosen = np.array(list(dict.fromkeys(tuple(r["embedding"]) for r in sample))[:pivots])
-    pivot_rows = lifted(chosen, norm)
+    distinct = np.array(list(dict.fromkeys(tuple(r["embedding"]) for r in sample)))
+    pivot_rows = spread_out(lifted(distinct, norm), pivots)
     posted = min(posted, len(pivot_rows))
     shards = -(-total // SHARD)
     blocks = -(-asked.count() // BLOCK)

@@ -112,3 +112,19 @@ def test_passes_follow_the_rows():
         bits, passes = embedding_dedup.plan(n, 0.9, 2048, 1e-4)
         assert n / 2**bits <= 2048 and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes <= 1e-4 and passes > before
         before = passes
+
+
+def test_search_has_recall_beside_a_dense_group(spark):
+    rng = np.random.default_rng(1)
+    spread = lambda n: (x := rng.standard_normal((n, 64))) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = np.vstack([np.sqrt(0.97) * spread(1) + np.sqrt(0.03) * spread(666), spread(1334)]).astype(np.float32)
+    vecs = spark.createDataFrame([(i, r.tolist(), 0, "") for i, r in enumerate(rows)], SCHEMA)
+    found = {}
+    for r in knn.search(vecs, vecs.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = {}
+    for q, own in found.items():
+        score = rows.astype(float) @ rows[q].astype(float)
+        score[q] = -np.inf
+        hits.setdefault(q < 666, []).append(len(own & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert len(found) == 100 and np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.9

@@ -72,9 +72,13 @@ class Shard:
             who, rank = self.files[p]
             near[who] += (2 * width - r - ranks - np.abs(r - ranks))[rank].astype(np.int32)
         take = min(len(near), max(LEAST, k, int(np.ceil(SHARE * len(near)))))
-        some = np.argsort(-near, kind="stable")[:take] if take < len(near) else np.arange(len(near))
+        order = near.astype(np.int16) if width * (width + 1) < 1 << 15 else near  # sorted by radix
+        some = np.argsort(-order, kind="stable")[:take] if take < len(near) else np.arange(len(near))
         some = some[self.ids[some] != query_id]
         score = self.rows[some] @ query
+        if k < len(score):
+            top = score >= np.partition(score, len(score) - k)[len(score) - k]
+            some, score = some[top], score[top]
         best = np.lexsort((self.ids[some], -score))[:k]
         return self.ids[some[best]], score[best]
 

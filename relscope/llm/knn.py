@@ -1,18 +1,24 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order.  Vectors are posted in the inverted
-files of those pivots, with the pivot's rank; a query reads the files of its own pivots and
-ranks what it meets by the footrule distance of the two orders, where a pivot that is
-missing counts as one rank past the last.  The nearest share of the rows is scored exactly.
-Pivots are chosen farthest first, so that a dense group doesn't use them up.
+A vector is represented by its ``RANKS`` nearest pivots in order.  The index is a stored
+table of inverted files: for each pivot and each shard of vectors, the vectors that have
+the pivot among theirs, with its rank.  A query is posted under its own pivots; queries and
+inverted files meet by pivot, and each candidate's footrule distance to the query adds up
+from the ranks of the pivots they share (one that is missing counts as one rank past the
+last).  The ``FIRST * sqrt(n)`` candidates nearest by that distance are scored exactly.
+
+The number of pivots grows with the square root of the number of rows, so inverted files
+and what a query reads grow with the root too.  Half of the pivots are chosen farthest
+first, so that a dense group doesn't use them up, and half at random, so that a dense
+group has its share and its members have orders of their own.
 
 For inner products, a component is added that gives all vectors the same norm, so that the
-nearest in angle are those of the largest product.  The index is kept in shards of bounded
-size and queries run in blocks: a task holds one shard and one block.
+nearest in angle are those of the largest product.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +28,17 @@ from pyspark.sql import functions as F
 
 from . import runtime, vectors
 
-#: Pivots, the ranks that are posted, and the share of a shard that is scored exactly.
-PIVOTS, POSTED, SHARE, LEAST = 256, 64, 0.35, 400
-#: Rows that pivots are chosen from; rows of a shard and of a block of queries.
-SAMPLE, SHARD, BLOCK = 4096, 16_384, 1024
-
+#: Ranks that are posted; pivots, and candidates that are scored exactly, by the root of the number of rows.
+RANKS, PIVOTS, FIRST = 48, 18, 30
+#: Pivots at most: the driver chooses them among twice as many rows.  With more rows than this allows for, files grow longer.
+MOST = 16_384
+#: Rows of a shard of vectors, queries of a block that is scored in one task, and queries that share one copy of a pivot's files.
+SHARD, BLOCK, SHARING = 16_384, 1024, 256
+
+FILES = pa.schema([("pivot", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("rows", pa.binary())])
+FILES_DDL = "pivot int, shard int, counts binary, rows binary"
+NEAR = pa.schema([("shard", pa.int32()), ("query_id", pa.int64()), ("rows", pa.binary())])
+NEAR_DDL = "shard int, query_id long, rows binary"
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FOUND_DDL = "query_id long, vec_id long, score double"
 
@@ -34,107 +46,197 @@ FOUND_DDL = "query_id long, vec_id long, score double"
 def lifted(rows: np.ndarray, norm: float) -> np.ndarray:
     """Rows with a component that brings their norm to ``norm``, scaled to 1."""
     rows = rows.astype(np.float64) / norm
-    return np.hstack([rows, np.sqrt(np.maximum(0, 1 - (rows * rows).sum(axis=1, keepdims=True)))])
+    return np.hstack([rows, np.sqrt(np.maximum(0, 1 - (rows * rows).sum(axis=1, keepdims=True)))]).astype(np.float32)
 
 
-def spread_out(rows: np.ndarray, count: int) -> np.ndarray:
-    """The first of the unit rows, then again and again the row least near to those chosen."""
+def chosen_pivots(rows: np.ndarray, count: int) -> np.ndarray:
+    """Half of ``count`` farthest first: again and again the row least near to those chosen; the others as they come."""
     chosen, near = [0], rows @ rows[0]
-    while len(chosen) < min(count, len(rows)):
+    while len(chosen) < min(-(-count // 2), len(rows)):
         chosen.append(int(near.argmin()))
         near = np.maximum(near, rows @ rows[chosen[-1]])
-    return rows[chosen]
+    chosen = list(dict.fromkeys(chosen))
+    rest = np.setdiff1d(np.arange(len(rows)), chosen)
+    return rows[np.concatenate([chosen, rest[: max(0, count - len(chosen))]]).astype(int)]
 
 
-def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
+def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, ranks: int) -> np.ndarray:
     """Numbers of the nearest pivots in order, one row each."""
-    products = rows @ pivots.T
-    return np.argsort(-products, axis=1, kind="stable")[:, :posted]
-
-
-class Shard:
-    """Inverted files of the pivots over some vectors."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray, norm: float, posted: int):
-        self.ids, self.rows, self.pivots, self.norm, self.posted = ids, rows.astype(np.float64), pivots, norm, posted
-        order = nearest_pivots(lifted(rows, norm), pivots, posted)
-        flat = order.ravel()
-        by = np.argsort(flat, kind="stable")
-        edges = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
-        self.files = [((by[a:b] // order.shape[1]).astype(np.int32), (by[a:b] % order.shape[1]).astype(np.int32)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-    def search(self, query_id: int, query: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        # The footrule distance starts from no common pivot and falls with each common one.
-        width = len(order)
-        near = np.zeros(len(self.ids), np.int32)
-        ranks = np.arange(width)
-        for r, p in enumerate(order):
-            who, rank = self.files[p]
-            near[who] += (2 * width - r - ranks - np.abs(r - ranks))[rank].astype(np.int32)
-        take = min(len(near), max(LEAST, k, int(np.ceil(SHARE * len(near)))))
-        order = near.astype(np.int16) if width * (width + 1) < 1 << 15 else near  # sorted by radix
-        some = np.argsort(-order, kind="stable")[:take] if take < len(near) else np.arange(len(near))
-        some = some[self.ids[some] != query_id]
-        score = self.rows[some] @ query
-        if k < len(score):
-            top = score >= np.partition(score, len(score) - k)[len(score) - k]
-            some, score = some[top], score[top]
-        best = np.lexsort((self.ids[some], -score))[:k]
-        return self.ids[some[best]], score[best]
-
-
-def search(vecs: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, posted: int = POSTED) -> DataFrame:
+    out = []
+    for at in range(0, len(rows), 512):
+        products = rows[at : at + 512] @ pivots.T
+        some = np.argpartition(-products, ranks - 1, axis=1)[:, :ranks] if ranks < len(pivots) else np.broadcast_to(np.arange(ranks), (len(products), ranks))
+        order = np.argsort(-np.take_along_axis(products, some, axis=1), axis=1, kind="stable")
+        out.append(np.take_along_axis(some, order, axis=1))
+    return np.concatenate(out) if out else np.zeros((0, ranks), np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Rows of batches that are sorted by whole numbers, a value of these at a time."""
+    now, held = None, []
+    for batch in batches:
+        cell = np.array([batch[c].to_numpy() for c in by]).T
+        edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b == a:
+                continue
+            if now != tuple(cell[a].tolist()):
+                if held:
+                    yield now, held
+                now, held = tuple(cell[a].tolist()), []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, held
+
+
+def _inverted(pivots: np.ndarray, ranks: int, norm: float, dim: int):
+    """A shard's vectors, in order of vec_id, to its inverted files.
+
+    A file has its vectors' places in the shard, by rank, and the number of them per rank.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard,), own in _groups(batches, "shard"):
+            order = nearest_pivots(lifted(np.concatenate([vectors.matrix(b["embedding"], dim) for b in own]), norm), pivots, ranks)
+            place = np.dtype("<u2" if len(order) < 1 << 16 else "<u4")
+            flat = order.T.ravel()
+            by = np.argsort(flat, kind="stable")
+            edges = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
+            found = []
+            for pivot in np.flatnonzero(np.diff(edges)).tolist():
+                some = by[edges[pivot] : edges[pivot + 1]]
+                found.append((pivot, shard, np.bincount(some // len(order), minlength=ranks).astype(place).tobytes(), (some % len(order)).astype(place).tobytes()))
+            yield from runtime.emitted(FILES, iter(found))
+
+    return run
+
+
+def _asked(pivots: np.ndarray, ranks: int, dim: int):
+    """Queries to their pivots in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                rows = vectors.matrix(batch["embedding"], dim).astype(np.float32)
+                # A query has no share of the added component.
+                order = nearest_pivots(np.hstack([rows, np.zeros((len(rows), 1), np.float32)]), pivots, ranks)
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], vectors.lists(order.astype(np.int32))], names=["query_id", "pivots"])
+
+    return run
+
+
+def _ranked(ranks: int, most: int):
+    """The ``most`` vectors of a shard nearest to a query by footrule distance, from the files that they share."""
+    step = np.arange(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for (shard, query), own in _groups(batches, "shard", "query_id"):
+                rows, gains = [], []
+                for batch in own:
+                    for rank, counts, data in zip(batch["rank"].to_pylist(), batch["counts"].to_pylist(), batch["rows"].to_pylist(), strict=True):
+                        place = f"<u{len(counts) // ranks}"
+                        rows.append(np.frombuffer(data, place))
+                        # The distance starts from no common pivot and falls by twice this with each.
+                        gains.append(np.repeat(ranks - np.maximum(rank, step), np.frombuffer(counts, place)))
+                near = np.bincount(np.concatenate(rows), np.concatenate(gains))
+                touched = np.flatnonzero(near)
+                if len(touched) > most:
+                    touched = np.sort(touched[np.argpartition(-near[touched], most - 1)[:most]])
+                yield shard, query, touched.astype("<u4").tobytes()
+
+        yield from runtime.emitted(NEAR, found(), 256)
+
+    return run
+
+
+def _score(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, summed in the order of components: equal rows have equal scores wherever they stand."""
+    total = np.zeros(len(rows))
+    for k, x in enumerate(query.tolist()):
+        total += rows[:, k] * x
+    return total
+
+
+def _nearest(k: int, most: int, dim: int):
+    """Exact scores of candidates: a cell has a shard's vectors first, then queries with places of candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, rows = None, None, None
+        for (shard, block, role), own in _groups(batches, "shard", "block", "role"):
+            if not role:
+                now, ids = (shard, block), np.concatenate([b["vec_id"].to_numpy() for b in own])
+                rows = np.concatenate([vectors.matrix(b["embedding"], dim) for b in own]).astype(np.float64)
+                size = np.sqrt((rows * rows).sum(axis=1).max())
+                continue
+            assert now == (shard, block)
+            for batch in own:
+                out = []
+                for query_id, query, some in zip(batch["vec_id"].to_pylist(), vectors.matrix(batch["embedding"], dim).astype(np.float64), batch["rows"].to_pylist(), strict=True):
+                    some = np.frombuffer(some, "<u4")
+                    if len(some) < min(most, len(ids)):  # others share no pivot; any of them fill up
+                        some = np.concatenate([some, np.setdiff1d(np.arange(len(ids)), some)[: most - len(some)]])
+                    some = some[ids[some] != query_id]
+                    if k < len(some):
+                        rough = rows[some] @ query
+                        slack = 1e-9 * size * np.linalg.norm(query)
+                        some = some[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
+                    score = _score(rows[some], query)
+                    best = np.lexsort((ids[some], -score))[:k]
+                    out.append((np.full(len(best), query_id), ids[some[best]], score[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
+
+    return run
+
+
+def search(vecs: DataFrame, queries: DataFrame, k: int = 20, ranks: int = RANKS, pivots: int = PIVOTS, first: int = FIRST) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of ``vecs`` with the largest inner product found for each query.
 
     Both frames have (vec_id, embedding).  A query's own vec_id is no candidate; equal
     scores rank by vec_id; fewer rows are returned when there are fewer.  Vectors that are
     null, empty, zero or not finite take no part, nor do those of another length than most;
-    equal rows count once; no vector gives no rows.  Other columns are not read.
+    equal rows count once, and of several rows of one vec_id the best counts; no vector
+    gives no rows.  Other columns are not read.
     """
     spark = runtime.tune(vecs.sparkSession)
-    taking = vectors.taking_part(vecs).distinct()
-    stored = runtime.stored(taking)
+    stored = runtime.stored(vectors.taking_part(vecs).distinct())
     lengths = stored.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = lengths[0]["d"], lengths[0]["n"]
     stored = stored.where(F.size("embedding") == dim)
-    asked = vectors.taking_part(queries).distinct().where(F.size("embedding") == dim)
-    sample = stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+    asked = runtime.stored(vectors.taking_part(queries).distinct().where(F.size("embedding") == dim))
+    count = min(MOST, max(ranks, math.ceil(pivots * math.sqrt(total))))
+    sample = stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * count).select("embedding").collect()
     norm = stored.select(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))).first()[0] * (1 + 1e-9)
     distinct = np.array(list(dict.fromkeys(tuple(r["embedding"]) for r in sample)))
-    pivot_rows = spread_out(lifted(distinct, norm), pivots)
-    posted = min(posted, len(pivot_rows))
+    pivot_rows = chosen_pivots(lifted(distinct, norm), count)
+    ranks = min(ranks, len(pivot_rows))
     shards = -(-total // SHARD)
-    blocks = -(-asked.count() // BLOCK)
-    index = stored.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("block"), F.lit(0).alias("role"))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(blocks, 1))).cast("int")
-    asked = asked.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), F.lit(1).alias("role"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, rows, shard = None, [], [], None
-
-        for batch in batches:
-            cell = np.array([batch["shard"].to_numpy(), batch["block"].to_numpy(), batch["role"].to_numpy()]).T
-            edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part, own = batch.slice(a, b - a), vectors.matrix(batch["embedding"].slice(a, b - a), dim)
-                if tuple(cell[a, :2]) != now:
-                    now, ids, rows, shard = tuple(cell[a, :2]), [], [], None
-                if not cell[a, 2]:
-                    ids.append(part["vec_id"].to_numpy())
-                    rows.append(own)
-                    continue
-                if not ids:
-                    continue
-                shard = shard or Shard(np.concatenate(ids), np.concatenate(rows), pivot_rows, norm, posted)
-                # A query has no share of the added component.
-                order = nearest_pivots(np.hstack([own.astype(np.float64), np.zeros((len(own), 1))]), pivot_rows, posted)
-                found = [(np.full(len(i), q), i, s) for q, (i, s) in ((q, shard.search(q, v.astype(np.float64), o, k)) for q, v, o in zip(part["vec_id"].to_pylist(), own, order, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=FOUND)
-
-    placed = index.unionByName(asked).repartition(max(runtime.shards(spark), 1), "shard", "block").sortWithinPartitions("shard", "block", "role", "vec_id")
-    found = placed.mapInArrow(run, FOUND_DDL)
+    # Shards are random parts of the rows, so each has its share of the first.
+    most = math.ceil(first * math.sqrt(total) / shards * (1 + (shards > 1) * 0.1)) + k
+
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    index = stored.select("vec_id", "embedding", shard.alias("shard"))
+    placed = index.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "vec_id", "embedding")
+    files = runtime.stored(placed.mapInArrow(_inverted(pivot_rows, ranks, norm, dim), FILES_DDL))
+    posted = asked.mapInArrow(_asked(pivot_rows, ranks, dim), "query_id long, pivots array<int>")
+    posted = runtime.stored(posted.select("query_id", F.posexplode("pivots").alias("rank", "pivot")))
+    # At most a row per pivot.
+    salts = posted.groupBy("pivot").agg(F.ceil(F.count("*") / SHARING).cast("int").alias("salts"))
+    salts = F.broadcast(runtime.stored(salts))
+    own = posted.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("query_id"), "salts").alias("salt"), "query_id", "rank")
+    copies = files.join(salts, "pivot").select(*FILES.names, F.explode(F.expr("sequence(0L, salts - 1L)")).alias("salt"))
+    met = own.join(copies, ["pivot", "salt"]).select("shard", "query_id", "rank", "counts", "rows")
+    met = met.repartition(runtime.shards(spark), "shard", "query_id").sortWithinPartitions("shard", "query_id")
+    near = runtime.stored(met.mapInArrow(_ranked(ranks, most), NEAR_DDL))
+
+    blocks = max(1, -(-asked.count() // BLOCK))
+    ask = near.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id")
+    ask = ask.select("shard", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("role"), F.col("query_id").alias("vec_id"), "embedding", "rows")
+    every = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("role"), "vec_id", "embedding", F.lit(None).cast("binary").alias("rows"))
+    cells = ask.unionByName(every).repartitionById(shards * blocks, F.col("shard") * blocks + F.col("block")).sortWithinPartitions("shard", "block", "role", "vec_id", "embedding")
+    found = cells.mapInArrow(_nearest(k, most, dim), FOUND_DDL).repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -57,14 +57,14 @@ def test_windows_meet_across_partitions(spark):
 def test_search_has_recall(spark, monkeypatch, scale):
     monkeypatch.setattr(knn, "SHARD", 700)
     monkeypatch.setattr(knn, "BLOCK", 20)
-    monkeypatch.setattr(knn, "LEAST", 60)
+    monkeypatch.setattr(knn, "SHARING", 5)
     rng = np.random.default_rng(3)
     rows = rng.standard_normal((1500, 8)).astype(np.float32)
     if scale:
         rows *= rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
     rows[100:140] = rows[100]
     vecs = spark.createDataFrame([(i, r.tolist(), 0, "") for i, r in enumerate(rows)] + ODD, SCHEMA).repartition(3)
-    got = knn.search(vecs, vecs.where("vec_id % 20 = 0"), 20, 64, 32).collect()
+    got = knn.search(vecs, vecs.where("vec_id % 20 = 0"), 20, 32, 6, 12).collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -81,6 +81,19 @@ def test_search_has_recall(spark, monkeypatch, scale):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_equal_vectors_score_alike(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD", 300)
+    rows = np.random.default_rng(4).standard_normal((800, 384)).astype(np.float32)
+    rows[100:300] = rows[100]
+    vecs = spark.createDataFrame([(i, r.tolist(), 0, "") for i, r in enumerate(rows)] + [(7, rows[7].tolist(), 0, "")], SCHEMA).repartition(3)
+    found = {}
+    for r in knn.search(vecs, vecs.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(120, 300, 20):
+        own = sorted(found[q])
+        assert [i for _, i, _ in own] == [i for i in range(100, 121) if i != q][:20] and len({s for *_, s in own}) == 1
+
+
 def test_fewer_candidates_than_asked(spark):
     vecs = spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (1, [0.5, 0.0], 0, ""), (20, [0.5, 0.0], 0, "")], SCHEMA)
     got = sorted(tuple(r) for r in knn.search(vecs, vecs.where("vec_id % 20 = 0")).collect())

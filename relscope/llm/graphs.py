@@ -8,13 +8,33 @@ from pyspark.sql import functions as F
 from . import runtime
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join of stored tables on a key that may be hot in ``left``.
+#: Rows of one key that stay together; keys with more are split.
+PART = 1000
+#: Hot keys that are broadcast, at most; with more, adaptive execution splits their shuffle.
+FEW = 100_000
 
-    Both inputs of the join are exchanges of its own, so adaptive execution splits the
-    partition of a hot key over many tasks.
+
+def parts(left: DataFrame, key: str, by: str, rows: int = PART) -> tuple[DataFrame, DataFrame]:
+    """A stored table with ``part``, and (key, parts) of the keys that have several.
+
+    A key of more than ``rows`` rows has them dealt over parts of about that many, by a hash of column ``by``.
     """
-    return left.join(right, key)
+    counts = left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > rows)
+    hot = runtime.stored(counts.select(key, F.ceil(F.col("n") / rows).alias("parts")))
+    found = hot.count()
+    if not found:
+        return left.withColumn("part", F.lit(0).cast("long")), hot
+    known = left.join(F.broadcast(hot) if found <= FEW else hot, key, "left")
+    return known.withColumn("part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")), F.lit(0).cast("long"))).drop("parts"), hot
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """Inner join of stored tables.  With ``by``, keys that are hot in ``left`` are split by it, and their rows of ``right`` copied to each part."""
+    if by is None:
+        return left.join(right, key)
+    left, hot = parts(left, key, by)
+    copies = right.join(hot, key, "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1L)"))).drop("parts")
+    return left.join(copies, [key, "part"]).drop("part")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

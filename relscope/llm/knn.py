@@ -71,24 +71,6 @@ def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, ranks: int) -> np.ndarr
     return np.concatenate(out) if out else np.zeros((0, ranks), np.int64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """Rows of batches that are sorted by whole numbers, a value of these at a time."""
-    now, held = None, []
-    for batch in batches:
-        cell = np.array([batch[c].to_numpy() for c in by]).T
-        edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b == a:
-                continue
-            if now != tuple(cell[a].tolist()):
-                if held:
-                    yield now, held
-                now, held = tuple(cell[a].tolist()), []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield now, held
-
-
 def _inverted(pivots: np.ndarray, ranks: int, norm: float, dim: int):
     """A shard's vectors, in order of vec_id, to its inverted files.
 
@@ -96,7 +78,7 @@ def _inverted(pivots: np.ndarray, ranks: int, norm: float, dim: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard,), own in _groups(batches, "shard"):
+        for (shard,), own in runtime.groups(batches, "shard"):
             order = nearest_pivots(lifted(np.concatenate([vectors.matrix(b["embedding"], dim) for b in own]), norm), pivots, ranks)
             place = np.dtype("<u2" if len(order) < 1 << 16 else "<u4")
             flat = order.T.ravel()
@@ -131,7 +113,7 @@ def _ranked(ranks: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for (shard, query), own in _groups(batches, "shard", "query_id"):
+            for (shard, query), own in runtime.groups(batches, "shard", "query_id"):
                 rows, gains = [], []
                 for batch in own:
                     for rank, counts, data in zip(batch["rank"].to_pylist(), batch["counts"].to_pylist(), batch["rows"].to_pylist(), strict=True):
@@ -163,7 +145,7 @@ def _nearest(k: int, most: int, dim: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, rows = None, None, None
-        for (shard, block, role), own in _groups(batches, "shard", "block", "role"):
+        for (shard, block, role), own in runtime.groups(batches, "shard", "block", "role"):
             if not role:
                 now, ids = (shard, block), np.concatenate([b["vec_id"].to_numpy() for b in own])
                 rows = np.concatenate([vectors.matrix(b["embedding"], dim) for b in own]).astype(np.float64)

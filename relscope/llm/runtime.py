@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,24 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
+def groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Rows of batches that are sorted by whole numbers, a value of these at a time."""
+    now, held = None, []
+    for batch in batches:
+        cell = np.array([batch[c].to_numpy() for c in by]).T
+        edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b == a:
+                continue
+            if now != tuple(cell[a].tolist()):
+                if held:
+                    yield now, held
+                now, held = tuple(cell[a].tolist()), []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, held
+
+
 def emit(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -59,12 +59,34 @@ def test_components(spark, monkeypatch, seed, tile):
 def test_hot_keys_and_shuffled_texts_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FEW", 0)
     monkeypatch.setattr(minhash, "CELL", 2)
+    monkeypatch.setattr(graphs.parts, "__defaults__", (3,))
     rows = corpus(3)
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
     got = [tuple(r) for r in minhash.near_duplicates(docs, 5).collect()]
     assert sorted(got, key=str) == sorted(brute(rows, 5, 80), key=str)
 
 
+def test_other_similarities(spark):
+    rows = corpus(4)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    got = [tuple(r) for r in minhash.near_duplicates(docs, 3, 60).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, 3, 60), key=str)
+
+
+def test_least_shared_values():
+    assert minhash.least(32, 80)[32] == 14 and minhash.least(32, 60)[32] < 14 and minhash.least(32, 80)[1] == 1
+
+
+def test_documents_that_share_a_passage_are_no_family(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " end") for i in range(0, 300, 3)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    got = [tuple(r) for r in minhash.near_duplicates(docs, 4).collect()]
+    assert sorted(got) == sorted(brute(rows, 4, 80))
+
+
 def test_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

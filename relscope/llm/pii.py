@@ -2,9 +2,10 @@
 
 The CRF scores whole candidate segments (digits, grouping, check sums, separators, borders,
 words before), and its dynamic programme chooses boundaries and types jointly among
-segments of at most ``LONGEST`` tokens.  It looks at islands: stretches around digits, @
-and written-out (at), outside what the base patterns found.  It is trained on the driver,
-in about two seconds, on templates of its own (:func:`examples`), never on the documents.
+segments of at most ``LONGEST`` tokens, however many characters these have.  It looks at
+islands: digits, @ and written-out (at), outside what the base patterns found, with
+``LONGEST`` tokens on either side.  It is trained on the driver, in a few seconds, on
+templates of its own (:func:`examples`), never on the documents.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from . import runtime
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of a segment, and characters that an island takes beyond its triggers, at most.
-LONGEST, REACH = 20, 40
+#: Tokens of a segment at most, and those whose segments are scored at once.
+LONGEST, STEP = 20, 256
 #: Templates the CRF is trained on, passes over them, and the margin a span must win by.
 EXAMPLES, EPOCHS, MARGIN = 160, 12, 1.0
 
@@ -45,6 +47,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether the number is at most 255, however many zeros lead it."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -63,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         else:
             done = at + 1
         at = text.find("@", done)
-    out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".") if p)]
+    out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(_octet(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         if 14 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             out.append((*m.span(), "card"))
@@ -74,8 +82,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # The semi-Markov CRF.
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|AT)[)\]]")
-_AT = re.compile(r"[A-Za-z0-9._+-]+ ?(?:@|[(\[](?:at|AT)[)\]]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]+)+")
+_TRIGGER = re.compile(r"[0-9]+|@|[(\[](?:at|AT)[)\]]")
+_AT = re.compile(r"[A-Za-z0-9._+-]++ ?(?:@|[(\[](?:at|AT)[)\]]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]++)++")
 _OCTETS = re.compile(r"[0-9]{1,3}(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[0-9]{1,3}){3}")
 #: Words that announce a kind; fixed values of the features.
 CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "pay"), "phone": ("tel", "phone", "call", "fax")}
@@ -99,7 +107,7 @@ def features(text: str, start: int, end: int) -> np.ndarray:
         span[:1] == "+",
         span[:1] == "(",
         bool(_AT.fullmatch(span)),
-        bool(_OCTETS.fullmatch(span)) and all(int(r) <= 255 for r in runs),
+        bool(_OCTETS.fullmatch(span)) and all(_octet(r) for r in runs),
         inner <= set(" .-()+"),
         len(runs) == 1 and span.isdigit(),
         len(inner & set(" .-")) > 1,
@@ -123,71 +131,76 @@ _NUMERIC = re.compile(r"[0-9+(](?:[0-9 .()+\[\]-]|dot|DOT)*[0-9]")
 
 def _candidate(span: str) -> bool:
     """Whether the dynamic programme takes a segment for an entity at all: written like an address, or of 7 to 19 digits."""
-    if len(span) > 80:
-        return False
     if span[0].isalpha() or "@" in span:
         return bool(_AT.fullmatch(span))
     return bool(_NUMERIC.fullmatch(span)) and (7 <= len(_digits(span)) <= 19 or bool(_OCTETS.fullmatch(span)))
 
 
-class Lattice:
-    """Segments of one stretch: single tokens for no entity, up to ``LONGEST`` tokens for one."""
+def _segments(text: str, edges: list[int], low: int, high: int) -> list[tuple[int, int]]:
+    """Candidates as numbers of edges, by end, those that end after edge ``low`` and up to edge ``high``."""
+    begins = [text[e].isascii() and (text[e].isalnum() or text[e] in "+(._-") for e in edges[:-1]]
+    return [(i, j) for j in range(low + 1, high + 1) if text[edges[j] - 1].isascii() and (text[edges[j] - 1].isalnum() or text[edges[j] - 1] == "-") for i in range(max(0, j - LONGEST), j) if begins[i] and _candidate(text[edges[i] : edges[j]])]
 
-    def __init__(self, text: str, start: int, end: int):
-        self.edges = [m.start() for m in _TOKEN.finditer(text, start, end)] + [end]
-        n = len(self.edges) - 1
-        self.spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1) if _candidate(text[self.edges[i] : self.edges[j]])]
-        self.phi = np.array([features(text, self.edges[i], self.edges[j]) for i, j in self.spans]).reshape(-1, N_FEATURES)
-        self.n = n
 
-    def forward(self, weights: np.ndarray, total) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of spans by kind, and of prefixes; ``total`` is a sum or a maximum of logarithms."""
-        score = self.phi @ weights
-        prefix = np.zeros(self.n + 1)
-        ends: dict[int, list[int]] = {}
-        for s, (_, j) in enumerate(self.spans):
-            ends.setdefault(j, []).append(s)
-        for j in range(1, self.n + 1):
-            ways = [prefix[j - 1]]
-            for s in ends.get(j, ()):
-                ways += (prefix[self.spans[s][0]] + score[s]).tolist()
-            prefix[j] = total(ways)
-        return score, prefix
+def _scored(text: str, edges: list[int], spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.array([features(text, edges[i], edges[j]) for i, j in spans]).reshape(-1, N_FEATURES)
+
+
+class Lattice:
+    """Segments of a short text, for training: single tokens for no entity, up to ``LONGEST`` tokens for one."""
+
+    def __init__(self, text: str):
+        self.edges = [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
+        self.n = len(self.edges) - 1
+        self.spans = _segments(text, self.edges, 0, self.n)
+        self.phi = _scored(text, self.edges, self.spans)
 
     def marginals(self, weights: np.ndarray) -> np.ndarray:
         """Probability of each span and kind."""
-        score, prefix = self.forward(weights, _log_sum)
-        suffix = np.zeros(self.n + 1)
-        begins: dict[int, list[int]] = {}
-        for s, (i, _) in enumerate(self.spans):
+        score = self.phi @ weights
+        prefix, suffix = np.zeros(self.n + 1), np.zeros(self.n + 1)
+        ends, begins = {}, {}
+        for s, (i, j) in enumerate(self.spans):
+            ends.setdefault(j, []).append(s)
             begins.setdefault(i, []).append(s)
+        for j in range(1, self.n + 1):
+            prefix[j] = _log_sum([prefix[j - 1], *(x for s in ends.get(j, ()) for x in (prefix[self.spans[s][0]] + score[s]).tolist())])
         for i in range(self.n - 1, -1, -1):
-            ways = [suffix[i + 1]]
-            for s in begins.get(i, ()):
-                ways += (suffix[self.spans[s][1]] + score[s]).tolist()
-            suffix[i] = _log_sum(ways)
+            suffix[i] = _log_sum([suffix[i + 1], *(x for s in begins.get(i, ()) for x in (suffix[self.spans[s][1]] + score[s]).tolist())])
         i, j = np.array(self.spans).reshape(-1, 2).T
         return np.exp(score + (prefix[i] + suffix[j] - prefix[-1])[:, None])
 
-    def best(self, weights: np.ndarray, margin: float) -> list[tuple[int, int, str]]:
-        """The best segmentation's entities, each of which wins by ``margin``."""
-        if not self.spans:
-            return []
-        score, prefix = self.forward(weights, max)
-        ends: dict[int, list[int]] = {}
-        for s, (_, j) in enumerate(self.spans):
-            ends.setdefault(j, []).append(s)
-        out, j = [], self.n
-        while j:
-            s = max(ends.get(j, ()), key=lambda s: prefix[self.spans[s][0]] + score[s].max(), default=None)
-            if s is None or prefix[self.spans[s][0]] + score[s].max() <= prefix[j - 1]:
-                j -= 1
-                continue
-            i = self.spans[s][0]
-            if score[s].max() >= margin:
-                out.append((self.edges[i], self.edges[j], KINDS[int(score[s].argmax())]))
-            j = i
-        return out[::-1]
+
+def best(text: str, start: int, end: int, weights: np.ndarray, margin: float = MARGIN) -> list[tuple[int, int, str]]:
+    """The best segmentation's entities in a stretch; each costs ``margin``, so weak ones don't displace a strong one.
+
+    A few numbers are kept per token; candidates are scored ``STEP`` tokens at a time.
+    """
+    edges = [m.start() for m in _TOKEN.finditer(text, start, end)] + [end]
+    n = len(edges) - 1
+    prefix, back, kind = np.zeros(n + 1), np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int8)
+    for low in range(0, n, STEP):
+        high = min(n, low + STEP)
+        spans = _segments(text, edges[max(0, low - LONGEST) : high + 1], min(low, LONGEST), high - max(0, low - LONGEST))
+        spans = [(i + max(0, low - LONGEST), j + max(0, low - LONGEST)) for i, j in spans]
+        score = _scored(text, edges, spans) @ weights
+        top, which = (score.max(axis=1) - margin).tolist(), score.argmax(axis=1).tolist()
+        at = 0
+        for j in range(low + 1, high + 1):
+            prefix[j] = prefix[j - 1]
+            while at < len(spans) and spans[at][1] == j:
+                i = spans[at][0]
+                if prefix[i] + top[at] > prefix[j]:
+                    prefix[j], back[j], kind[j] = prefix[i] + top[at], i, which[at]
+                at += 1
+    out, j = [], n
+    while j:
+        if back[j] < 0:
+            j -= 1
+            continue
+        out.append((edges[back[j]], edges[j], KINDS[kind[j]]))
+        j = int(back[j])
+    return out[::-1]
 
 
 def _log_sum(ways: list[float]) -> float:
@@ -245,7 +258,7 @@ def trained(count: int = EXAMPLES, epochs: int = EPOCHS) -> np.ndarray:
     """Weights by feature and kind: conditional likelihood, AdaGrad, a small penalty."""
     data = []
     for text, spans in examples(count):
-        lattice = Lattice(text, 0, len(text))
+        lattice = Lattice(text)
         gold = np.zeros((len(lattice.spans), len(KINDS)))
         place = {(lattice.edges[i], lattice.edges[j]): s for s, (i, j) in enumerate(lattice.spans)}
         for start, end, kind in spans:
@@ -262,35 +275,35 @@ def trained(count: int = EXAMPLES, epochs: int = EPOCHS) -> np.ndarray:
 
 
 def islands(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Stretches for the CRF: triggers with what is near them, outside the taken spans."""
-    at, end = 0, len(text)
+    """Stretches for the CRF: triggers with ``LONGEST`` tokens on either side, outside the taken spans."""
+    at, end, mirror = 0, len(text), None
     for start, stop in [*((s, e) for s, e, _ in sorted(taken)), (end, end)]:
         if at < start:
             lo = hi = None
             for m in _TRIGGER.finditer(text, at, start):
-                if hi is not None and m.start() - hi > REACH // 4:
-                    yield lo, min(start, hi + REACH)
-                    lo = None
-                if lo is None:
-                    lo = max(at, m.start() - REACH)
-                    if lo > at and text[lo].isalnum():
-                        while lo < m.start() and text[lo].isalnum() and text[lo - 1].isalnum():
-                            lo += 1
-                hi = m.end()
+                if hi is None or m.start() > hi:
+                    mirror = text[::-1] if mirror is None else mirror
+                    begin = end - max((t.end() for t in islice(_TOKEN.finditer(mirror, end - m.start(), end - at), LONGEST)), default=end - m.start())
+                    if hi is not None and begin > hi:
+                        yield lo, hi
+                        lo = None
+                    lo = begin if lo is None else lo
+                hi = max((t.end() for t in islice(_TOKEN.finditer(text, m.end(), start), LONGEST)), default=m.end())
             if lo is not None:
-                yield lo, min(start, hi + REACH)
+                yield lo, hi
         at = max(at, stop)
 
 
+_SIGN = re.compile(r"@|[(\[](?:at|AT)[)\]]")
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], weights: np.ndarray) -> list[tuple[int, int, str]]:
-    out, done = [], 0
+    out = []
     for start, end in islands(text, base):
-        start = max(start, done)
         stretch = text[start:end]
-        if sum(map(stretch.count, "0123456789")) >= 7 or "@" in stretch or "(at)" in stretch.lower() or "[at]" in stretch.lower():
-            found = Lattice(text, start, end).best(weights, MARGIN)
-            out += found
-            done = max([done, *(e for _, e, _ in found)])
+        # Fewer digits or runs of them can make no candidate.
+        if sum(map(stretch.count, "0123456789")) >= 7 or _SIGN.search(stretch) or len(re.findall("[0-9]+", stretch)) >= 4:
+            out += best(text, start, end, weights)
     return out
 
 

@@ -126,7 +126,7 @@ def answered(blocks: DataFrame, extra: DataFrame | None, answer: Callable[[Itera
     """
     asked = blocks.where(F.col("shard") != COUNTS)
     asked = asked if extra is None else asked.unionByName(extra)
-    placed = asked.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    placed = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block")
     return placed.mapInArrow(runtime.by_rows(answer, BLOCKS, 16), "block string, shard int, data binary")
 
 

@@ -38,7 +38,7 @@ def _encoded(path: str):
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         ids_of = vocab.PieceIds(vocab.rank_encoding(path))
         for heads, texts in pretoken.batches(((tuple(head), text) for *head, text in rows), 1_000_000):
-            pieces, counts = pretoken.split_batch(texts)
+            pieces, counts = pretoken.split_batch(texts, "tiktoken")
             at = 0
             for head, n in zip(heads, counts.tolist(), strict=True):
                 yield *head, b"".join(map(ids_of.__getitem__, pieces[at : at + n]))
@@ -71,9 +71,9 @@ def _scan(chunk: int, overlap: int):
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, doc_id, copies, n, text, last in rows:
-            at = pretoken.boundaries(text)
+            at = pretoken.boundaries(text, "tiktoken")
             at = at[at > 0]
-            solid = pretoken.class_table()[pretoken.code_points(text)[at - 1]] != pretoken.WHITE
+            solid = pretoken.class_table("tiktoken")[pretoken.code_points(text)[at - 1]] != pretoken.WHITE
             at = at[solid & (last | (at <= len(text) - BLIND))]
             place = at + n * chunk
             yield key, doc_id, copies, n, text, last, place[at < overlap].tolist() if n else [], place[at >= chunk].tolist() if not last else []
@@ -85,7 +85,7 @@ def _long_segments(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """(key, doc_id, copies, segment, text) of texts longer than a chunk."""
     # Equal rows are encoded once; the key is theirs alone.
     rows = docs.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    rows = rows.select(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256).alias("key"), "doc_id", "copies", "text")
+    rows = runtime.stored(rows.select(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256).alias("key"), "doc_id", "copies", "text"))
     chunks = rows.mapInArrow(runtime.by_rows(_chunks(chunk, overlap), CHUNKS, 16), CHUNKS_DDL)
     spread = chunks.repartition(runtime.shards(docs.sparkSession), "key", "n")
     scanned = runtime.stored(spread.mapInArrow(runtime.by_rows(_scan(chunk, overlap), SCANNED, 16), SCANNED_DDL))
@@ -106,6 +106,17 @@ def _long_segments(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return whole.unionByName(rest)
 
 
+def encode_apart(docs: DataFrame, path: str | None = None, chunk: int | None = None, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """What :func:`encode` returns, texts in one segment and longer ones apart."""
+    runtime.tune(docs.sparkSession)
+    path, chunk = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), chunk or CHUNK
+    texts = runtime.with_text(docs)
+    short = texts.where(F.length("text") <= chunk).select(F.lit(None).cast("string").alias("key"), "doc_id", F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("segment"), "text")
+    long = _long_segments(texts.where(F.length("text") > chunk), chunk, overlap).repartition(runtime.shards(docs.sparkSession), "key", "segment")
+    run = runtime.by_rows(_encoded(path), SEGMENTS, 256)
+    return short.mapInArrow(run, SEGMENTS_DDL), long.mapInArrow(run, SEGMENTS_DDL)
+
+
 def encode(docs: DataFrame, path: str | None = None, chunk: int | None = None, overlap: int = OVERLAP) -> DataFrame:
     """Ids of every text, as tiktoken's ``encode_ordinary`` gives them, in segments.
 
@@ -115,13 +126,8 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int | None = None, o
     A null text counts as empty; a null doc_id stays null; an empty table gives no rows.
     Columns besides doc_id and text are not read.
     """
-    runtime.tune(docs.sparkSession)
-    path, chunk = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), chunk or CHUNK
-    texts = runtime.with_text(docs)
-    short = texts.where(F.length("text") <= chunk).select(F.lit(None).cast("string").alias("key"), "doc_id", F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("segment"), "text")
-    long = _long_segments(texts.where(F.length("text") > chunk), chunk, overlap).repartition(runtime.shards(docs.sparkSession), "key", "segment")
-    run = runtime.by_rows(_encoded(path), SEGMENTS, 256)
-    return short.mapInArrow(run, SEGMENTS_DDL).unionByName(long.mapInArrow(run, SEGMENTS_DDL))
+    short, long = encode_apart(docs, path, chunk, overlap)
+    return short.unionByName(long)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -157,8 +163,9 @@ def _digest(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode(encode(runtime.read(spark, sf_dir, "documents")))
-    single = decoded.where("key IS NULL").select("doc_id", "copies", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
-    placed = decoded.where("key IS NOT NULL").repartition(runtime.shards(spark), "key").sortWithinPartitions("key", "segment")
+    # A filter wouldn't pass the Python steps: each branch encodes its own texts only.
+    short, long = encode_apart(runtime.read(spark, sf_dir, "documents"))
+    single = decode(short).select("doc_id", "copies", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    placed = decode(long).repartition(runtime.shards(spark), "key").sortWithinPartitions("key", "segment")
     both = single.unionByName(placed.mapInArrow(runtime.by_rows(_digest, DIGESTS), DIGESTS_DDL))
     return both.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")

@@ -157,7 +157,7 @@ def _tokenised(path: str, end: bytes, capacity: int, keep: bool):
 
         ids: list[bytes] = []
         for held in gathered():
-            pieces, counts = pretoken.split_batch([x[1] for x in held])
+            pieces, counts = pretoken.split_batch([x[1] for x in held], "tokenizers")
             edges = np.concatenate([[0], np.cumsum(counts)]).tolist()
             for k, (doc_id, _, also) in enumerate(held):
                 ids += map(ids_of.__getitem__, pieces[edges[k] : edges[k + 1]])

@@ -29,7 +29,7 @@ def _extract(path: str):
         def block(ids: list, extra: list, owners: list, parts: list) -> blocks.Counts:
             owner, found = [], []
             for at in range(0, len(parts), 4096):
-                pieces, counts = pretoken.split_batch(parts[at : at + 4096])
+                pieces, counts = pretoken.split_batch(parts[at : at + 4096], "tokenizers")
                 owner.append(np.repeat(np.array(owners[at : at + 4096], np.int64), counts))
                 found += pieces
             code, keys = pd.factorize(np.array(found, object)) if found else (np.zeros(0, np.int64), np.zeros(0, object))

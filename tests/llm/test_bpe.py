@@ -18,6 +18,7 @@ def texts():
     yield from [None, "", "a", "<|endoftext|> 's  \n\n x", " " * 500, "\n" * 300 + "x", "x" * 700, "don't " * 90]
     for _ in range(40):
         yield "".join(rng.choices("ab's re \n\t1é漢.", k=rng.randint(1, 400)))
+    yield "!!\U00011de0!! x\U00011de0's \u0558a\u0558 \U00012550 9\U00016ff4 \u0cdc"
     yield "word " * 60 + "y" * 150 + " word" * 60
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import regex
 
 from relscope.llm import pretoken
@@ -22,6 +23,14 @@ def test_random_texts_match_the_regex():
             assert list(pretoken.boundaries(t)) == list(np.cumsum([0] + [len(p) for p in w])[: len(w)])
 
 
+@pytest.mark.parametrize("library", ["tiktoken", "tokenizers"])
+def test_every_code_point_has_the_class_that_the_library_gives_it(library):
+    points = np.concatenate([np.arange(33, 0xD800), np.arange(0xE000, 0x110000)])
+    found, table = pretoken.asked_classes(points, library), pretoken.class_table(library)
+    assert points[found != table[points]].tolist() == []
+    assert table[ord("a")] == pretoken.LETTER and table[ord("7")] == pretoken.NUMBER and table[0x2003] == pretoken.WHITE and table[ord("!")] == pretoken.OTHER
+
+
 def test_cuts_keep_pretokens_and_text():
     rng = random.Random(4)
     for _ in range(200):

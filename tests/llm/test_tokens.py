@@ -19,6 +19,7 @@ TEXTS = [
     "the cat " * 6000,
     "same",
     "same",
+    "!!\U00011de0!! x\U00011de0's \u0558\U00012550 9\U00016ff4",
 ]
 ROWS = [(i if i != 6 else 7, t, "ignored") for i, t in enumerate(TEXTS)] + [(None, "no id", "x")]
 SCHEMA = "doc_id long, text string, n_tokens string"
@@ -119,5 +120,22 @@ def test_large_items_pair_as_well_as_any_pairing():
         assert len({s for _, s, _ in expanded(placements)}) == fewest(items)
 
 
+def test_sequences_are_as_few_as_best_fit_decreasing_makes():
+    rng = random.Random(12)
+    for _ in range(150):
+        capacity = rng.choice([12, 30, 97])
+        items = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 80))), reverse=True)
+        gaps: list[int] = []
+        for x in items:
+            fitting = [g for g in gaps if g >= x]
+            if fitting:
+                gaps.remove(min(fitting))
+                gaps.append(min(fitting) - x)
+            else:
+                gaps.append(capacity - x)
+        placements = packing.plan({x: items.count(x) for x in set(items)}, capacity)
+        assert len({s for _, s, _ in expanded(placements)}) <= len(gaps) + (1 if len(gaps) > 9 else 0)
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -72,3 +72,44 @@ def test_url_filters_match_their_sql(spark, tmp_path):
     assert by[2] == ("www.example.com", "/en/", "www.example.com/en/", "allow")
     assert by[3] == ("", "", None, "allow") == by[4]
     assert by[6][3] == "block" and by[7][2] == "net/fr/" and by[9][:3] == ("bad.org", "", None)
+
+
+def test_a_farm_of_links_to_blocked_hosts_is_blocked(spark):
+    rows = [(k, f"http://s{k % 10}.net/es/{k}", "", "x") for k in range(30)]
+    rows += [(100 + k, f"http://farm.org/{k}", "<a href='http://s1.net/'> <a href='http://s2.net/'>", "x") for k in range(400)]
+    rows += [(600 + k, f"http://good.com/{k}", "<a href='http://fine.org/'>", "x") for k in range(5)]
+    rows += [(700, "http://fine.org/a", None, "x"), (701, "http://alone.org/b", "", "x"), (702, None, None, "x"), (100, "http://farm.org/0", "", "x")]
+    got = {}
+    for r in url_filters.judged(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.page_id, []).append((r.rule, r.verdict))
+    assert len(got[100]) == 2 and all(v == (None, "block") for k in range(100, 500) for v in got[k])
+    assert got[0] == [("net/es/", "block")] and got[600] == [("com/", "allow")]
+    assert got[700] == got[701] == got[702] == [(None, "allow")]
+
+
+def test_ranks_are_those_of_plain_iteration(spark, monkeypatch):
+    import numpy as np
+
+    from relscope.llm import graphs
+
+    monkeypatch.setattr(graphs.parts, "__defaults__", (2,))
+    rng = np.random.default_rng(3)
+    hosts = [f"h{k}" for k in range(12)]
+    pairs = {(hosts[a], hosts[b]): int(rng.integers(1, 5)) for a, b in rng.integers(0, 12, (30, 2)) if a != b}
+    out = {h: sum(n for (s, _), n in pairs.items() if s == h) for h in hosts}
+    seeds = [(h, int(rng.integers(0, 3)), int(rng.integers(0, 3))) for h in hosts[:9]]
+    edges = spark.createDataFrame([(s, d, n / out[s], n) for (s, d), n in pairs.items()], "src string, dst string, share double, n long")
+    got = {r.host: (r.trust, r.distrust) for r in url_filters.propagated(spark.createDataFrame(seeds, "host string, good long, bad long"), edges).collect()}
+    names = sorted(got)
+    forth = np.zeros((len(names), len(names)))
+    for (s, d), n in pairs.items():
+        forth[names.index(d), names.index(s)] = n
+    back = forth.T.copy()
+    for m in (forth, back):
+        for k in range(len(names)):
+            m[:, k] = m[:, k] / m[:, k].sum() if m[:, k].any() else np.eye(len(names))[k]
+    for at, m in ((0, forth), (1, back)):
+        seed = np.array([dict((h, v) for h, *v in seeds).get(h, (0, 0))[at] for h in names], float)
+        seed /= seed.sum()
+        limit = np.linalg.solve(np.eye(len(names)) - 0.85 * m, 0.15 * seed)
+        assert np.abs(np.array([got[h][at] for h in names]) - limit).sum() <= url_filters.TOLERANCE

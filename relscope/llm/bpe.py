@@ -34,8 +34,10 @@ SEGMENTS_DDL = "key string, doc_id long, copies long, segment long, ids binary"
 
 def _encoded(path: str):
     """(key, doc_id, copies, segment, text) to the same with ids for the text."""
+    table = pretoken.table_data("tiktoken")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        pretoken.use("tiktoken", table)
         ids_of = vocab.PieceIds(vocab.rank_encoding(path))
         for heads, texts in pretoken.batches(((tuple(head), text) for *head, text in rows), 1_000_000):
             pieces, counts = pretoken.split_batch(texts, "tiktoken")
@@ -68,8 +70,10 @@ SCANNED_DDL = CHUNKS_DDL + ", head array<long>, tail array<long>"
 
 def _scan(chunk: int, overlap: int):
     """Adds the boundaries in the overlap with the chunk before and with the one after, as places in the text."""
+    table = pretoken.table_data("tiktoken")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        pretoken.use("tiktoken", table)
         for key, doc_id, copies, n, text, last in rows:
             at = pretoken.boundaries(text, "tiktoken")
             at = at[at > 0]

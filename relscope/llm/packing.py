@@ -7,7 +7,9 @@ largest that still fits, which leaves as few sequences as any pairing; smaller o
 by decreasing length into the tightest gap that takes them.  The plan is a list of
 placements of equal pieces on runs of equal sequences; its size depends on the capacity and
 not on the number of pieces.  Pieces find their placement by their rank among those of the
-same length, counted in salted parts, so a common length is no hot key.
+same length.  The task that cuts them numbers them per length, and the ranks follow from
+the tasks' totals, so pieces and their ids are never shuffled and a common length is no hot
+key.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from typing import NamedTuple
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretoken, runtime, vocab
 
 CAPACITY = 2048
-#: Parts in which the pieces of one length are ranked.
-SALTS = 64
+#: Totals by task and length that are broadcast, at most; beyond, pieces are shuffled to them.
+FEW = 1_000_000
 PART_CHARS = 500_000
 
 
@@ -124,12 +127,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Placement]
     return sorted(p.out)
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
-PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("_task", pa.int64()), ("_at", pa.int64())])
+PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, _task long, _at long"
 
 
 def _tokenised(path: str, end: bytes, capacity: int, keep: bool):
+    table = pretoken.table_data("tokenizers")
+
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        pretoken.use("tokenizers", table)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         special = vocab.special_pattern(path)
         special_ids = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special_tokens(path).items()}
         ids_of = vocab.PieceIds(vocab.json_as_ranks(path))
@@ -171,30 +178,33 @@ def _tokenised(path: str, end: bytes, capacity: int, keep: bool):
                 for piece, to in enumerate(range(first, n + 1, capacity)):
                     start = max(0, to - capacity) if piece else 0
                     own = whole[4 * start : 4 * to]
-                    yield doc_id, piece, start, to - start, zlib.crc32(own), own if keep else None
+                    yield doc_id, piece, start, to - start, zlib.crc32(own), own if keep else None, task, int(seen[to - start])
+                    seen[to - start] += 1
             ids_of.trim()
 
     return run
 
 
 def cut_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
-    """Every document's ids and ``end_id``; those longer than the capacity in pieces, the first of which may be shorter."""
+    """Every document's ids and ``end_id``; those longer than the capacity in pieces, the first of which may be shorter.
+
+    ``_task`` and ``_at`` number the pieces of a length for :func:`packed`; they hold once the table is stored.
+    """
     runtime.tune(docs.sparkSession)
     run = _tokenised(path, np.array([end_id], "<u4").tobytes(), capacity, keep_ids)
     return runtime.with_text(docs).mapInArrow(runtime.by_rows(run, PIECES), PIECES_DDL)
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces with ``sequence_id`` (from 0) and ``offset``; ``pieces`` should be a stored table, as it is read twice.
+    """Pieces with ``sequence_id`` (from 0) and ``offset``, for a stored table of :func:`cut_documents`.
 
     Pieces of equal length are interchangeable; equal rows differ in their place only.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    # At most capacity * SALTS rows.
-    base = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
+    totals = runtime.stored(pieces.groupBy("_task", "length").agg(F.count("*").alias("_n")))
+    # A length's totals are a row per task, of three numbers each.
+    base = totals.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_task")) - F.col("_n")).drop("_n")
     # At most as many rows as the capacity.
-    placements = plan({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity)
+    placements = plan({r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, capacity)
     columns = np.array(placements, np.int64).reshape(-1, 5)
     span = np.int64(1) << 50
     key = columns[:, 0] * span + columns[:, 1]
@@ -208,10 +218,10 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             table = table.append_column("sequence_id", pa.array(columns[at, 3] + rank - columns[at, 1]))
             yield from table.append_column("offset", pa.array(columns[at, 4])).to_batches()
 
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_at", F.row_number().over(within)).join(F.broadcast(base), ["length", "_salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("_base") + F.col("_at") - 1).alias("_rank"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    ranked = pieces.join(F.broadcast(base) if totals.count() <= FEW else base, ["length", "_task"])
+    names = [c for c in pieces.columns if c not in ("_task", "_at")]
+    ranked = ranked.select(*names, (F.col("_base") + F.col("_at")).alias("_rank"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*names).schema.fields)
     return ranked.mapInArrow(place, f"{ddl}, sequence_id long, offset long")
 
 

@@ -11,6 +11,7 @@ Libraries know different versions of Unicode, so each has a table of its own.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -54,8 +55,26 @@ def asked_classes(points: np.ndarray, library: str) -> np.ndarray:
     return np.select(kinds, [LETTER, NUMBER, OTHER], WHITE).astype(np.uint8)
 
 
-@lru_cache(maxsize=3)
+#: Tables that the driver made, by library.
+_MADE: dict[str, np.ndarray] = {}
+
+
+def table_data(library: str) -> bytes:
+    """The table for tasks, which would take seconds to ask the library each."""
+    return zlib.compress(class_table(library).tobytes(), 1)
+
+
+def use(library: str, data: bytes) -> None:
+    if library not in _MADE:
+        _MADE[library] = np.frombuffer(zlib.decompress(data), np.uint8)
+
+
 def class_table(library: str = "regex") -> np.ndarray:
+    return _MADE[library] if library in _MADE else _class_table(library)
+
+
+@lru_cache(maxsize=3)
+def _class_table(library: str) -> np.ndarray:
     """Class of every code point, as ``regex``, ``tiktoken`` or ``tokenizers`` have it.
 
     Points on which two versions of Unicode, those of ``regex`` and of Python, disagree are asked of the library itself.

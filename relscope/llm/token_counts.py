@@ -23,7 +23,10 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens"
 
 
 def _extract(path: str):
+    table = pretoken.table_data("tokenizers")
+
     def run(rows: Iterator[tuple]) -> Iterator[blocks.Counts]:
+        pretoken.use("tokenizers", table)
         special = vocab.special_pattern(path)
 
         def block(ids: list, extra: list, owners: list, parts: list) -> blocks.Counts:

@@ -52,8 +52,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = both.join(labels, "node").select(F.col("other").alias("node"), "component")
         low = runtime.stored(labels.union(seen).groupBy("node").agg(F.min("component").alias("component")))
         jump = low.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-        labels = runtime.stored(low.join(jump, "component").select("node", F.col("_to").alias("component")))
+        # The smaller label of a large component is a hot key.
+        new = runtime.stored(lookup(low, jump, "component", "node").select("node", F.col("_to").alias("component")))
+        runtime.released(labels, low)
+        labels = new
         # Labels only fall, so an equal sum means that none has changed.
         before, total = total, labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if total == before:
+            runtime.released(both)
             return labels

@@ -315,13 +315,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group: the first of its smallest doc_id; rows with a null doc_id stay."""
+    """One row of each group: of the rows with its smallest doc_id, that with the smallest text, then by its other columns' hash; rows with a null doc_id stay."""
     gone = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = runtime.stored(gone)
     left = docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, docs.doc_id == gone["_gone"], "left_anti")
     named = left.where("doc_id IS NOT NULL")
     if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        left = left.where("doc_id IS NULL").unionByName(named.dropDuplicates(["doc_id"]))
+        first = F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns)))
+        left = left.where("doc_id IS NULL").unionByName(named.groupBy("doc_id").agg(first.alias("_row")).select("_row.*"))
     return left
 
 

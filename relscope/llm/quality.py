@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blocks, pretoken, runtime
@@ -57,7 +57,7 @@ def grams(text: str) -> np.ndarray:
 
 
 def _extract(rows: Iterator[tuple]) -> Iterator[blocks.Counts]:
-    """Blocks of documents' gram counts; a row is (doc_id, lang, text)."""
+    """Blocks of documents' gram counts; a row is (doc_id, lang, row, text)."""
 
     def block(ids: list, sizes: list[int], owners: list[int], found: list[np.ndarray]) -> blocks.Counts:
         own = np.repeat(np.array(owners, np.int64), [len(f) for f in found])
@@ -69,11 +69,11 @@ def _extract(rows: Iterator[tuple]) -> Iterator[blocks.Counts]:
         return blocks.Counts(ids, sizes, *blocks.sparse(own, code, len(keys)), keys)
 
     ids, sizes, owners, found, size = [], [], [], [], 0
-    for doc_id, lang, text in rows:
+    for *own, text in rows:
         if text:
             owners.append(len(ids))
             found.append(grams(text))
-        ids.append((doc_id, lang))
+        ids.append(tuple(own))
         sizes.append(len(text))
         size += len(text) + 1
         if size >= BLOCK_CHARS:
@@ -125,10 +125,16 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame) -> DataFrame:
         d = _discounts(levels[n])
         seen = levels[n].withColumn("d", F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]))
         context = F.shiftright("gram", SYMBOL_BITS)
-        contexts = seen.groupBy(context.alias("h")).agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
+        sums = F.sum("c").alias("total"), F.sum("d").alias("mass")
         own = F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * n)) - 1))
         out = out.withColumn("g", own).withColumn("h", F.shiftright(own, SYMBOL_BITS))
-        out = out.join(seen.select(F.col("gram").alias("g"), "c", "d"), "g", "left").join(contexts, "h", "left")
+        own = seen.select(F.col("gram").alias("g"), "c", "d")
+        if n == 1:  # the empty context alone, and at most a row per symbol
+            whole = seen.agg(*sums).first()
+            out = out.join(F.broadcast(own), "g", "left").withColumns({k: F.lit(whole[k]).cast("double") for k in ("total", "mass")})
+        else:
+            contexts = seen.groupBy(context.alias("h")).agg(*sums)
+            out = out.join(own, "g", "left").join(F.broadcast(contexts) if n == 2 else contexts, "h", "left")
         over = F.coalesce((F.col("c") - F.col("d")) / F.col("total"), F.lit(0.0))
         out = out.select("gram", F.coalesce(over + F.col("mass") / F.col("total") * F.col("p"), F.col("p")).alias("p"))
     return out.select("gram", F.log("p").alias("logp"))
@@ -170,8 +176,13 @@ def _dictionary(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield from ((k,) for k in blocks.keys_of(runtime.unpack(data)[0]).tolist())
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("chars", pa.int64()), ("n_grams", pa.int64()), ("log_perplexity", pa.float64())])
-SCORED_DDL = "doc_id long, lang string, chars long, n_grams long, log_perplexity double"
+SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("row", pa.int64()), ("chars", pa.int64()), ("n_grams", pa.int64()), ("log_perplexity", pa.float64())])
+SCORED_DDL = "doc_id long, lang string, row long, chars long, n_grams long, log_perplexity double"
+
+
+def row_key() -> Column:
+    """Tells a row from others of its doc_id, or without one, by its language and text."""
+    return F.xxhash64(F.col("lang").cast("string"), F.coalesce(F.col("text"), F.lit("")))
 
 
 def some(ids: DataFrame) -> DataFrame:
@@ -180,10 +191,10 @@ def some(ids: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, chars, n_grams, log_perplexity) of every row, by a model of the texts whose doc_id is in ``trusted``."""
+    """(doc_id, lang, row, chars, n_grams, log_perplexity) of every row, by a model of the texts whose doc_id is in ``trusted``."""
     spark = runtime.tune(docs.sparkSession)
     shards = runtime.shards(spark)
-    texts = runtime.with_text(docs, F.col("lang").cast("string").alias("lang"))
+    texts = runtime.with_text(docs, F.col("lang").cast("string").alias("lang"), row_key().alias("row"))
     learnt = texts.join(some(trusted), "doc_id", "left_semi").select("text").mapInArrow(_counted, "gram long, c long")
     counts = runtime.stored(learnt.groupBy("gram").agg(F.sum("c").alias("c")))
     packed = runtime.stored(blocks.packed(texts, _extract, shards))
@@ -194,8 +205,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return blocks.summed(packed, answers, shards, finish, SCORED, SCORED_DDL)
 
 
-def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(doc_id, lang, n_grams, perplexity, threshold, rejected) of every row.
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(doc_id, lang, row, n_grams, perplexity, threshold, rejected) of every row; ``row`` is its :func:`row_key`.
 
     ``labels`` has (doc_id, quality); documents with quality 1 are trusted.  ``threshold``
     is the ``quantile`` of the trusted documents' perplexity in the row's language, among
@@ -217,10 +228,15 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     by_size = {r["short"]: r["limit"] for r in over("short").collect()}
     pooled = over().first()
     rest = F.coalesce(*(F.when(F.col("short") == k, F.lit(v)) for k, v in by_size.items()), F.lit(pooled["limit"] if pooled else None).cast("long"))
-    judged = scored.join(some(runtime.stored(over("lang", "short"))), ["lang", "short"], "left")
-    judged = judged.join(some(runtime.stored(over("lang").withColumnRenamed("limit", "of_lang"))), "lang", "left")
-    judged = judged.withColumn("limit", F.coalesce("limit", "of_lang", rest))
-    return judged.select("doc_id", "lang", "n_grams", F.exp("log_perplexity").alias("perplexity"), F.exp(F.col("limit") * STEP).alias("threshold"), F.coalesce(step > F.col("limit"), F.lit(False)).alias("rejected"))
+    found = scored.join(some(runtime.stored(over("lang", "short"))), ["lang", "short"], "left")
+    found = found.join(some(runtime.stored(over("lang").withColumnRenamed("limit", "of_lang"))), "lang", "left")
+    found = found.withColumn("limit", F.coalesce("limit", "of_lang", rest))
+    return found.select("doc_id", "lang", "row", "n_grams", F.exp("log_perplexity").alias("perplexity"), F.exp(F.col("limit") * STEP).alias("threshold"), F.coalesce(step > F.col("limit"), F.lit(False)).alias("rejected"))
+
+
+def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(doc_id, lang, n_grams, perplexity, threshold, rejected) of every row, as :func:`judged` gives them."""
+    return judged(docs, labels, quantile).drop("row")
 
 
 def _threshold(sample: DataFrame, by: list[str], quantile: float) -> DataFrame:
@@ -231,10 +247,10 @@ def _threshold(sample: DataFrame, by: list[str], quantile: float) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of documents that aren't rejected; a document goes when all rows of its doc_id are."""
-    judged = classified(docs, labels, quantile)
-    gone = runtime.stored(judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("rejected").alias("gone")).where("gone").select(F.col("doc_id").alias("_gone")))
-    return docs.join(some(gone), docs.doc_id == gone["_gone"], "left_anti")
+    """The rows that aren't rejected; each row's own verdict decides, also without a doc_id."""
+    gone = judged(docs, labels, quantile).where("rejected").select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
+    gone = runtime.stored(gone)
+    return docs.join(some(gone), docs.doc_id.eqNullSafe(gone["_gone"]) & (row_key() == gone["_row"]), "left_anti")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own where it is unset and Spark runs on this machine alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = own.get() if own.isDefined() else None
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="relscope-")
         spark.sparkContext.setCheckpointDir(where)
@@ -42,7 +44,8 @@ def stored(df: DataFrame, *partitioned_by: str) -> DataFrame:
     """The frame written as a table in the shared folder and read again: cuts its lineage.
 
     A lost executor costs no more than the tasks that read the table.  The table stays
-    until the folder is emptied, as frames that read it may still be waiting.
+    until it is :func:`released` or the folder is emptied, as frames that read it may still
+    be waiting.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/relscope-{uuid.uuid4().hex}"
@@ -50,7 +53,17 @@ def stored(df: DataFrame, *partitioned_by: str) -> DataFrame:
     if partitioned_by:
         writer = writer.partitionBy(*partitioned_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shards(spark: SparkSession) -> int:

@@ -25,6 +25,11 @@ LANCZOS = (
 )
 TINY = 1e-300
 STEPS = 300
+#: From this parameter on the incomplete gamma function has its uniform expansion; below, ``STEPS`` terms are enough.
+LARGE = 1000.0
+#: The expansion's first two coefficients as series.
+UNIFORM_0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600, 1 / 25515)
+UNIFORM_1 = (-1 / 540, -1 / 288, 1 / 378, -77 / 77760)
 
 
 def _fold(start: Column, steps: int, f, finish) -> Column:
@@ -55,8 +60,32 @@ def lgamma(x: Column) -> Column:
 
 
 def gamma_sf(a: Column, x: Column) -> Column:
-    """Upper regularised incomplete gamma function: a series below a + 1, a continued fraction above."""
-    return bound(_gamma_sf, a=a, x=x)
+    """Upper regularised incomplete gamma function.
+
+    A series below a + 1, a continued fraction above; for large ``a``, where these need too many steps, the expansion
+    that is uniform in x: half a complementary error function, which is the case a = 1/2, and a correction.
+    """
+    return bound(_gamma_sf_any, a=a, x=x)
+
+
+def _gamma_sf_any(a: Column, x: Column) -> Column:
+    large = (a > LARGE) & (x > 0)
+    ratio = F.when(large, x / a).otherwise(1.0)
+    # log1p keeps the difference exact near 1.
+    half = F.greatest(F.lit(0.0), (ratio - 1) - F.log1p(ratio - 1))
+    eta = F.signum(ratio - 1) * F.sqrt(2 * half)
+    near = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), eta))  # farther out the correction is nothing
+
+    def series(coefficients: tuple[float, ...]) -> Column:
+        out = F.lit(coefficients[-1])
+        for c in coefficients[-2::-1]:
+            out = out * near + c
+        return out
+
+    correction = F.exp(-a * half) / F.sqrt(2 * math.pi * a) * (series(UNIFORM_0) + series(UNIFORM_1) / a)
+    tail = bound(_gamma_sf, a=F.when(large, 0.5).otherwise(a), x=F.when(large, a * half).otherwise(x))
+    uniform = F.when(eta >= 0, tail / 2).otherwise(1 - tail / 2) + correction
+    return F.when(large, F.greatest(F.lit(0.0), F.least(F.lit(1.0), uniform))).otherwise(tail)
 
 
 def _gamma_sf(a: Column, x: Column) -> Column:

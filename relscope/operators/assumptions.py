@@ -40,14 +40,14 @@ class KruskalRules:
 
 def levene(rows: DataFrame, by: list[str] = PAIR) -> DataFrame:
     """(by, p_value) of the median-centred test: ANOVA on distances from the group's median."""
-    centre = rows.groupBy(*by, "level").agg(F.percentile("y", F.lit(0.5)).alias("med"))
+    centre = anova.quantiles(rows, [*by, "level"], (0.5,)).select(*by, "level", F.col("q")[0].alias("med"))
     away = rows.join(centre, [*by, "level"]).withColumn("y", F.abs(F.col("y") - F.col("med")))
     return anova.one_way_of(away, by).select(*by, F.col("f_stat").alias("levene"), "p_value")
 
 
 def without_outliers(rows: DataFrame, by: list[str] = PAIR, multiplier: float = 1.5) -> DataFrame:
     """Rows within the quartiles of their group, widened by a multiple of the quartile range."""
-    q = rows.groupBy(*by, "level").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = anova.quantiles(rows, [*by, "level"], (0.25, 0.75))
     w = F.lit(multiplier) * (F.col("q")[1] - F.col("q")[0])
     return rows.join(q, [*by, "level"]).where((F.col("y") >= F.col("q")[0] - w) & (F.col("y") <= F.col("q")[1] + w)).drop("q")
 
@@ -120,8 +120,7 @@ def ks_pairs(rows: DataFrame, by: list[str] = PAIR, exact_cells: int = 400_000)
     sides = pairs.select(*key, "n_1", "n_2", F.explode(F.array(F.struct(F.col("x_1").alias("level"), F.lit(1).alias("side")), F.struct(F.col("x_2").alias("level"), F.lit(2).alias("side")))).alias("s")).select(*key, "n_1", "n_2", "s.*")
     share = F.when(F.col("side") == 1, F.col("c") / F.col("n_1")).otherwise(-F.col("c") / F.col("n_2"))
     steps = sides.join(cells, [*by, "level"]).withColumn("step", share).groupBy(*key, "n_1", "n_2", "y").agg(F.sum("step").alias("step"))
-    gap = F.sum("step").over(Window.partitionBy(*key).orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
-    d = steps.withColumn("gap", F.abs(gap)).groupBy(*key, "n_1", "n_2").agg(F.max("gap").alias("ks_stat"))
+    d = anova.running(steps, key, "y", "step", "gap", True).withColumn("gap", F.abs("gap")).groupBy(*key, "n_1", "n_2").agg(F.max("gap").alias("ks_stat"))
     small = F.col("n_1") * F.col("n_2") <= exact_cells
     both = (F.col("n_1") * F.col("n_2") / (F.col("n_1") + F.col("n_2"))).cast("double")
     large = d.where(~small).withColumn("p_value", special.kolmogorov_sf(F.sqrt(both) * F.col("ks_stat")))

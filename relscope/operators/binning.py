@@ -1,13 +1,16 @@
 """Equal-width bins, and the fewest bins that keep a relationship.
 
-All searches advance together: a round bins every pending (y, x) pair with its own number
-of bins and tests them in one job, so a search over many pairs takes about log2(rows) jobs.
+All searches advance together on the distinct (y, x) points with their counts, which are
+gathered once: a round bins every pending pair with the next few numbers of bins that its
+bisection may ask for and tests them in one job, so a search over many pairs takes about
+log2(rows) / ``AHEAD`` jobs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from .. import roles
 from . import anova, numeric
 
 PAD = 1e-10
+#: Answers of a bisection that one job prepares for: it tests 2 ** AHEAD - 1 numbers of bins.
+AHEAD = 2
 
 
 def bin_number(v: Column, low: Column, high: Column, bins: Column) -> Column:
@@ -69,6 +74,15 @@ class Search:
     def probe(self) -> int:
         return (self.low + self.high) // 2
 
+    def probes(self, ahead: int) -> list[int]:
+        """Numbers of bins that the next answers may ask for."""
+        out, spans = [], [(self.low, self.high)]
+        for _ in range(ahead):
+            spans = [(a, b) for a, b in spans if a <= b]
+            out += [(a + b) // 2 for a, b in spans]
+            spans = [x for a, b in spans for x in ((a, (a + b) // 2 - 1), ((a + b) // 2 + 1, b))]
+        return out
+
     def answer(self, stat: float | None, good: bool) -> None:
         if stat is None:
             self.failed, self.found = True, None
@@ -89,36 +103,54 @@ class Minimum:
 NUMERIC_TESTS = ("welch", "student", "pearson", "spearman", "kendall")
 
 
-def _stats(df: DataFrame, searches: list[Search], method: str) -> dict[tuple[str, str], float | None]:
-    """The test of each pair with y in its probe's number of bins, in one job."""
-    names = list(dict.fromkeys(s.y for s in searches))
+def _points(df: DataFrame, pairs: list[tuple[str, str]], method: str) -> DataFrame:
+    """(a, b, level, x, y, w, lo, hi): the distinct points of each pair with their counts and the limits of y."""
+    names = list(dict.fromkeys(y for y, _ in pairs))
     limits = df.agg(*(f(roles.number(df, y)).alias(f"{k}{i}") for i, y in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max)))).first()
     each = []
-    for s in searches:
-        i = names.index(s.y)
-        if limits[f"lo{i}"] is None:
-            continue
-        lo, hi, bins = F.lit(limits[f"lo{i}"]), F.lit(limits[f"hi{i}"]), F.lit(s.probe)
-        y = rescaled(bin_number(roles.number(df, s.y), lo, hi, bins), lo, hi, bins)
-        x = roles.number(df, s.x) if method in NUMERIC_TESTS else F.lit(None).cast("double")
-        level = roles.level(s.x) if method not in NUMERIC_TESTS else F.lit("")
-        each.append(F.struct(F.lit(s.y).alias("a"), F.lit(s.x).alias("b"), level.alias("level"), x.alias("x"), y.alias("y")))
-    if not each:
-        return {}
-    rows = df.select(F.explode(F.array(*each)).alias("p")).select("p.*")
+    for y, x in pairs:
+        i = names.index(y)
+        lo, hi = (F.lit(limits[f"{k}{i}"]).cast("double") for k in ("lo", "hi"))
+        number = roles.number(df, x) if method in NUMERIC_TESTS else F.lit(None).cast("double")
+        level = roles.level(x) if method not in NUMERIC_TESTS else F.lit("")
+        each.append(F.struct(F.lit(y).alias("a"), F.lit(x).alias("b"), level.alias("level"), number.alias("x"), roles.number(df, y).alias("y"), lo.alias("lo"), hi.alias("hi")))
+    rows = df.select(F.explode(F.array(*each)).alias("p")).select("p.*").where("lo IS NOT NULL AND level IS NOT NULL")
+    if method not in ("welch", "student"):
+        rows = rows.where("y IS NOT NULL" + (" AND x IS NOT NULL" if method in NUMERIC_TESTS else ""))
+    return rows.groupBy("a", "b", "level", "x", "y", "lo", "hi").agg(F.count("*").alias("w"))
+
+
+def _moments(rows: DataFrame, by: list[str], columns: str) -> DataFrame:
+    """Counts, means and sample variances of weighted columns: two aggregations, so nothing cancels."""
+    total = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w")))
+    means = rows.groupBy(*by).agg(*(e for c in columns for e in (total(c).alias(f"n{c}"), (F.sum(F.col(c) * F.col("w")) / total(c)).alias(f"m{c}"))))
+    away = anova.matched(rows, means, by)
+    squares = away.groupBy(*by).agg(*(F.sum((F.col(c) - F.col(f"m{c}")) ** 2 * F.col("w")).alias(f"s{c}") for c in columns))
+    both = anova.matched(means, squares, by)
+    return both.withColumns({f"v{c}": F.when(F.col(f"n{c}") > 1, F.col(f"s{c}") / F.nullif(F.col(f"n{c}") - 1, F.lit(0))) for c in columns})
+
+
+def _stats(points: DataFrame, searches: list[Search], method: str) -> dict[tuple[str, str, int], float | None]:
+    """The test of each pair with y in each of its probes' numbers of bins, in one job."""
+    asked = points.sparkSession.createDataFrame([(s.y, s.x, k) for s in searches for k in s.probes(AHEAD)], "a string, b string, bins int")
+    by = ["a", "b", "bins"]
+    rows = points.join(F.broadcast(asked), ["a", "b"])
+    number = bin_number(F.col("y"), F.col("lo"), F.col("hi"), F.col("bins"))
+    rows = rows.select(*by, "level", "x", rescaled(number, F.col("lo"), F.col("hi"), F.col("bins")).alias("y"), "w")
     if method in ("welch", "student"):
-        m = rows.groupBy("a", "b").agg(*(f(c).alias(f"{k}{c}") for c in "xy" for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
         test = anova.welch if method == "welch" else anova.student
-        out = test(m, "ny", "my", "vy", "nx", "mx", "vx").select("a", "b", F.col("p_value").alias("stat"))
+        out = test(_moments(rows, by, "xy"), "ny", "my", "vy", "nx", "mx", "vx").select(*by, F.col("p_value").alias("stat"))
     elif method in NUMERIC_TESTS:
-        rows = rows.where("x IS NOT NULL AND y IS NOT NULL")
-        kind = {"pearson": numeric._pearson, "spearman": numeric._spearman, "kendall": numeric._kendall}[method]
-        out = kind(rows).select("a", "b", F.abs("correlation").alias("stat"))
+        named = rows.select(F.concat_ws("\0", "a", "bins").alias("a"), "b", "x", "y", "w")
+        kind = {"pearson": lambda r: numeric._pearson(r, n="w"), "spearman": lambda r: numeric._spearman(r, "w"), "kendall": lambda r: numeric._kendall(r, "w")}[method]
+        found = kind(named).withColumn("_parts", F.split("a", "\0"))
+        out = found.select(F.col("_parts")[0].alias("a"), "b", F.col("_parts")[1].cast("int").alias("bins"), F.abs("correlation").alias("stat"))
+    elif method == "kruskal":
+        out = anova.kruskal_of(rows, by, "w").select(*by, F.col("p_value").alias("stat"))
     else:
-        rows = rows.where("level IS NOT NULL AND y IS NOT NULL")
-        test = anova.kruskal_of if method == "kruskal" else anova.one_way_of
-        out = test(rows, ["a", "b"]).select("a", "b", F.col("p_value").alias("stat"))
-    return {(r["a"], r["b"]): r["stat"] for r in out.collect()}
+        groups = _moments(rows, [*by, "level"], "y")
+        out = anova.one_way_of_groups(groups.select(*by, F.col("ny").alias("gn"), F.col("my").alias("mean"), (F.col("sy") / F.col("ny")).alias("var")), by).select(*by, F.col("p_value").alias("stat"))
+    return {(r["a"], r["b"], r["bins"]): r["stat"] for r in out.collect()}
 
 
 def find_minimums(df: DataFrame, pairs: list[tuple[str, str]], method: str, threshold: float, keep_above: bool) -> dict[str, Minimum]:
@@ -130,11 +162,17 @@ def find_minimums(df: DataFrame, pairs: list[tuple[str, str]], method: str, thre
     rows = df.count()
     least = 2 if method in ("pearson", "spearman", "kendall") else 1
     searches = [Search(y, x, least, max(rows, least)) for y, x in pairs]
-    while pending := [s for s in searches if s.open]:
-        stats = _stats(df, pending, method)
-        for s in pending:
-            stat = stats.get((s.y, s.x))
-            s.answer(stat, stat is not None and (stat >= threshold if keep_above else stat < threshold))
+    points = _points(df, pairs, method).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        while pending := [s for s in searches if s.open]:
+            stats = _stats(points, pending, method)
+            for s in pending:
+                for _ in range(AHEAD):
+                    if s.open:
+                        stat = stats.get((s.y, s.x, s.probe))
+                        s.answer(stat, stat is not None and (stat >= threshold if keep_above else stat < threshold))
+    finally:
+        points.unpersist()
     out: dict[str, Minimum] = {}
     for s in searches:
         m = out.setdefault(s.y, Minimum())

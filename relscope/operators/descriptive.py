@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import roles
-from . import batch
+from . import anova, batch
 
 
 def column_makeup(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -48,10 +48,11 @@ def wide(df: DataFrame, a: str, b: str) -> DataFrame:
 def group_summary(df: DataFrame, group: str, y: str) -> DataFrame:
     """(level, n, median, mean, std, iqr, skew): the skewness is corrected for bias."""
     rows = batch.mixed(df, [(group, y)])
-    q = lambda p: F.percentile("y", F.lit(p))
     n = F.count("*")
     skew = F.when((n > 2) & (F.var_pop("y") > 0), F.skewness("y") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))
-    return rows.groupBy("level").agg(n.alias("n"), q(0.5).alias("median"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), (q(0.75) - q(0.25)).alias("iqr"), skew.alias("skew"))
+    s = rows.groupBy("level").agg(n.alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), skew.alias("skew"))
+    q = F.col("q")
+    return s.join(anova.quantiles(rows, ["level"], (0.25, 0.5, 0.75)), "level").select("level", "n", q[1].alias("median"), "mean", "std", (q[2] - q[0]).alias("iqr"), "skew")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -72,7 +73,8 @@ def max_tie_ratio(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def grouped_describe(df: DataFrame, y: str, by: list[str]) -> DataFrame:
     v = roles.number(df, y)
-    return df.groupBy(*by).agg(F.min(v).alias("min"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.max(v).alias("max"), F.stddev_samp(v).alias("std"), F.count("*").alias("size"))
+    s = df.groupBy(*by).agg(F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_samp(v).alias("std"), F.count("*").alias("size"))
+    return anova.with_median(df, s, y, by).select(*by, "min", "mean", "median", "max", "std", "size")
 
 
 def histogram(df: DataFrame, y: str, bins: int | None = None) -> DataFrame:
@@ -81,12 +83,13 @@ def histogram(df: DataFrame, y: str, bins: int | None = None) -> DataFrame:
     Bins are closed below; the last one also above.
     """
     v = roles.number(df, y)
-    s = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
+    s = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     if not s["n"]:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
     span = s["hi"] - s["lo"]
     if bins is None:
-        widths = [span / (1 + math.log2(s["n"])), 2 * (s["q"][1] - s["q"][0]) / s["n"] ** (1 / 3)]
+        q = anova.quantiles(df.select(v.alias("y")), [], (0.25, 0.75)).first()["q"]
+        widths = [span / (1 + math.log2(s["n"])), 2 * (q[1] - q[0]) / s["n"] ** (1 / 3)]
         width = min(w for w in widths if w > 0) if span and any(w > 0 for w in widths) else 0
         bins = max(1, -int(-span // width)) if width else 1
     width = span / bins or 1.0
@@ -99,7 +102,21 @@ def histogram(df: DataFrame, y: str, bins: int | None = None) -> DataFrame:
 
 def distribution_per_category(df: DataFrame, group: str, y: str, shares: tuple[float, ...] = (0.0, 0.125, 0.25, 0.5, 0.75, 0.875, 1.0)) -> DataFrame:
     """(level, n, quantiles): what box, letter-value and violin plots draw."""
-    return batch.mixed(df, [(group, y)]).groupBy("level").agg(F.count("*").alias("n"), F.percentile("y", F.array(*map(F.lit, shares))).alias("quantiles"))
+    rows = batch.mixed(df, [(group, y)])
+    return rows.groupBy("level").agg(F.count("*").alias("n")).join(anova.quantiles(rows, ["level"], shares), "level").select("level", "n", F.col("q").alias("quantiles"))
+
+
+def joint(df: DataFrame, x: str, y: str, bins: int = 30) -> dict[str, DataFrame]:
+    """What a joint plot draws: ``points`` (bin_x, bin_y, n), the margins ``x`` and ``y`` (bin, low, high, n) and the ``line``.
+
+    Points are counted in a grid of ``bins`` by ``bins`` cells, so their number doesn't follow the rows'.
+    """
+    a, b = roles.number(df, x), roles.number(df, y)
+    both = df.select(a.alias("x"), b.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    limits = both.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    cell = lambda v: F.when(F.col(f"{v}1") > F.col(f"{v}0"), F.least(F.lit(bins - 1), F.floor((F.col(v) - F.col(f"{v}0")) * bins / (F.col(f"{v}1") - F.col(f"{v}0"))))).otherwise(0).cast("int")
+    points = both.crossJoin(F.broadcast(limits)).groupBy(cell("x").alias("bin_x"), cell("y").alias("bin_y")).agg(F.count("*").alias("n"))
+    return {"points": points, "x": histogram(both, "x", bins), "y": histogram(both, "y", bins), "line": regression_line(both, "x", "y")}
 
 
 def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -58,16 +58,32 @@ def _pearson(rows: DataFrame, x: str = "x", y: str = "y", n: str | None = None)
     if n is None:
         s = rows.groupBy("a", "b").agg(F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
     else:
-        part = Window.partitionBy("a", "b")
-        mean = lambda v: F.sum(F.col(n) * F.col(v)).over(part) / F.sum(n).over(part)
-        w = rows.withColumn("dx", F.col(x) - mean(x)).withColumn("dy", F.col(y) - mean(y))
+        mean = lambda v: F.sum(F.col(n) * F.col(v)) / F.sum(n)
+        means = rows.groupBy("a", "b").agg(mean(x).alias("mx"), mean(y).alias("my"))
+        w = rows.join(F.broadcast(means), ["a", "b"]).withColumn("dx", F.col(x) - F.col("mx")).withColumn("dy", F.col(y) - F.col("my"))
         s = w.groupBy("a", "b").agg(*(F.sum(F.col(n) * F.col(p) * F.col(q)).alias(k) for k, p, q in (("c", "dx", "dy"), ("vx", "dx", "dx"), ("vy", "dy", "dy"))))
     return s.select("a", "b", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.nullif(F.sqrt("vx") * F.sqrt("vy"), F.lit(0.0))).alias("correlation"))
 
 
-def _spearman(rows: DataFrame) -> DataFrame:
-    """Pearson's of mid-ranks, which run over distinct values."""
-    points = rows.groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+def _spearman_of_complete(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson's of mid-ranks for columns without nulls: each column is ranked once, whatever the number of pairs."""
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    rows = df.select(*(roles.number(df, c).alias(f"v{i}") for i, c in enumerate(names)))
+    values = batch.numbers(rows, rows.columns).groupBy("numeric", "y").agg(F.count("*").alias("n"))
+    ranks = anova.ranked(values, ["numeric"]).select("numeric", "y", "rank")
+    for i in range(len(names)):
+        own = ranks.where(F.col("numeric") == f"v{i}").select(F.col("y").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        rows = rows.join(own, f"v{i}")
+    at = {c: f"r{i}" for i, c in enumerate(names)}
+    one = rows.agg(*(f(*(at[c] for c in p)).alias(f"{k}{i}") for i, p in enumerate(pairs) for k, f in (("c", F.covar_pop), ("x", lambda a, b: F.var_pop(a)), ("y", lambda a, b: F.var_pop(b)))))
+    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("c"), F.col(f"x{i}").alias("vx"), F.col(f"y{i}").alias("vy")) for i, (a, b) in enumerate(pairs)))
+    s = one.select(F.explode(each).alias("p")).select("p.*")
+    return s.select("a", "b", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.nullif(F.sqrt("vx") * F.sqrt("vy"), F.lit(0.0))).alias("correlation"))
+
+
+def _spearman(rows: DataFrame, w: str | None = None) -> DataFrame:
+    """Pearson's of mid-ranks, which run over distinct values; ``w`` counts a row's copies."""
+    points = rows.groupBy("a", "b", "x", "y").agg((F.sum(w) if w else F.count("*")).alias("n"))
     for v in ("x", "y"):
         values = points.groupBy("a", "b", v).agg(F.sum("n").alias("n"))
         ranks = anova.ranked(values, ["a", "b"], v).select("a", "b", v, F.col("rank").alias(f"r{v}"))
@@ -114,9 +130,9 @@ def kendall_tau(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float | None:
     return score / down if down else None
 
 
-def _kendall(rows: DataFrame) -> DataFrame:
-    """Compressed to distinct points, then counted per pair of columns."""
-    points = rows.groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+def _kendall(rows: DataFrame, w: str | None = None) -> DataFrame:
+    """Compressed to distinct points, then counted per pair of columns; ``w`` counts a row's copies."""
+    points = rows.groupBy("a", "b", "x", "y").agg((F.sum(w) if w else F.count("*")).alias("n"))
 
     def tau(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"a": [p.a.iloc[0]], "b": [p.b.iloc[0]], "correlation": [kendall_tau(p.x.to_numpy(), p.y.to_numpy(), p.n.to_numpy())]})
@@ -131,7 +147,11 @@ def correlations(df: DataFrame, method: str = "spearman", columns: roles.Names =
     pairs = _pairs(df, columns, target)
     if not pairs:
         return df.sparkSession.createDataFrame([], "numeric_a string, numeric_b string, correlation double")
-    found = {"pearson": _pearson, "spearman": _spearman, "kendall": _kendall}[method](_complete(df, pairs))
+    used = list(dict.fromkeys(c for p in pairs for c in p))
+    if method == "spearman" and not any(df.agg(*(F.count_if(roles.number(df, c).isNull()) for c in used)).first()):
+        found = _spearman_of_complete(df, pairs)
+    else:
+        found = {"pearson": _pearson, "spearman": _spearman, "kendall": _kendall}[method](_complete(df, pairs))
     named = df.sparkSession.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "a string, b string, at int")
     out = F.broadcast(named).join(found, ["a", "b"], "left").orderBy("at")
     return out.select(F.col("a").alias("numeric_a"), F.col("b").alias("numeric_b"), "correlation")

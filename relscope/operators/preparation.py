@@ -75,7 +75,7 @@ def propose(dtype: str, rows: int, n_unique: int, n_null: int, dates: int, numbe
         return "category"
     if n_unique <= LEVELS * present:
         return "category"
-    return "double" if dtype in ("float", "double") or dtype.startswith("decimal") else "long"
+    return "long" if wholes == numbers else "double"
 
 
 def decide(p: Profile) -> tuple[bool, bool]:
@@ -88,7 +88,7 @@ def decide(p: Profile) -> tuple[bool, bool]:
     if p.n_unique < 2 and not category_now and p.proposed != "category":
         return True, False
     if p.n_unique < 2 and p.proposed == "category" and p.share_null > NULLS:
-        return False, False
+        return False, True
     if p.share_unique > DISTINCT and both:
         return True, False
     if p.share_null > NULLS and number_now and p.proposed == "category" and p.n_unique <= MOST_LEVELS:

@@ -157,7 +157,11 @@ def test_analyzer(spark):
     assert a.profiles["amount"].features["significant"] == {"left": "anova-kruskal", "right": "anova-kruskal"}
     assert a.super_sub == [("left", "right")] and a.uniform_fit == {"left": False, "right": False}
     assert {tuple(r.features) for r in a.relationships(d, "amount").collect()} == {("left",), ("right",)}
-    assert a.fit_binning_thresholds(d).profiles["amount"].min_bins == 2
+    # One bin leaves no spread: an undefined statistic ends the search.
+    assert a.binning_metrics(d, "amount") == (None, {"left": None, "right": None}) and a.fit_binning_thresholds(d).profiles["amount"].min_bins is None
+    line = frame(spark, [(k, 2 * k) for k in range(30)], "target int, feature int")
+    b = Analyzer(numnum=("pearson", 0.6, True), numcat=False, catcat=False).fit_column_relationships(line).fit_binning_thresholds(line)
+    assert b.profiles["target"].min_bins == 2 and b.profiles["target"].min_bins_by_feature == {"feature": 2}
     assert set(a.target_plots(d, ["amount"])["numcat"]) == {("amount", "left"), ("amount", "right")}
     with pytest.raises(RuntimeError):
         Analyzer().target_plots(d, "amount", auto_fit=False)
@@ -223,3 +227,87 @@ def test_statistics_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.level, r.n, r["mean"]) for r in spark.sql("SELECT * FROM moments").collect()} == {("a", 2, 2.0), ("b", 1, 5.0)}
+
+
+def test_chi2_tail_at_many_degrees(spark):
+    # For even degrees the tail is a Poisson sum.
+    for dof, at in ((1998, 1.0), (2002, 1.0), (2002, 1.05), (20_000, 0.99), (100_000, 1.0), (1_000_000, 1.002), (10_000_000, 1.0), (10_000_000, 0.9995)):
+        x, a = dof * at / 2, dof // 2
+        k = np.arange(max(0, a - 200_000), a, dtype=float)
+        logs = k * math.log(x) - x - np.array([math.lgamma(i + 1) for i in k.tolist()])
+        want = math.fsum(np.exp(logs).tolist())
+        assert value(spark, special.chi2_sf(F.lit(float(dof * at)), F.lit(float(dof)))) == pytest.approx(want, abs=1e-6), (dof, at)
+
+
+def test_quantiles_and_ranks_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    y = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-3, 6, 300), [0.0, 0.0, -0.5, 1e-300, -1e300]]).tolist()
+    rows = [("a" if k % 3 else None, v) for k, v in enumerate(y)]
+    d = frame(spark, rows + [("a", None)], "g string, y double")
+    for r in anova.quantiles(d, ["g"], (0.0, 0.1, 0.5, 0.9, 1.0)).collect():
+        own = [v for g, v in rows if g == r.g]
+        assert r.q == pytest.approx(np.quantile(own, [0, 0.1, 0.5, 0.9, 1]).tolist(), rel=1e-9)
+    assert anova.quantiles(d, [], (0.5,)).first().q[0] == pytest.approx(np.median(y))
+    counts = d.where("y IS NOT NULL").groupBy("y").agg(F.count("*").alias("n"))
+    got = {r.y: r["rank"] for r in anova.ranked(counts, []).collect()}
+    ordered = sorted(y)
+    assert all(got[v] == ordered.index(v) + (ordered.count(v) + 1) / 2 for v in y)
+    s = {r.g: r for r in descriptive.grouped_describe(d, "y", ["g"]).collect()}
+    assert s[None].median == pytest.approx(np.median([v for g, v in rows if g is None])) and s["a"]["size"] == sum(g == "a" for g, _ in rows) + 1
+
+
+def test_spearman_with_and_without_nulls(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), float(c)) for a, b, c in rng.integers(0, 9, (200, 3))]
+    d = frame(spark, rows, "a double, b double, c double")
+    own = {(r.numeric_a, r.numeric_b): r.correlation for r in numeric.correlations(d, "spearman").collect()}
+    other = numeric._spearman(numeric._complete(d, list(own)))
+    assert {(r.a, r.b): pytest.approx(r.correlation) for r in other.collect()} == own
+    gaps = frame(spark, [(None, *r[1:]) if k % 5 == 0 else r for k, r in enumerate(rows)], "a double, b double, c double")
+    part = frame(spark, [r for k, r in enumerate(rows) if k % 5], "a double, b double, c double")
+    one, two = ({(r.numeric_a, r.numeric_b): r.correlation for r in numeric.correlations(x, "spearman").collect()} for x in (gaps, part))
+    assert one["a", "b"] == pytest.approx(two["a", "b"]) and one["b", "c"] == pytest.approx(own["b", "c"])
+
+
+@pytest.mark.parametrize("method,x", [("pearson", "n"), ("spearman", "n"), ("kendall", "n"), ("welch", "n"), ("kruskal", "g"), ("anova", "g")])
+def test_minimum_bins_by_plain_bisection(spark, method, x):
+    rng = np.random.default_rng(9)
+    rows = [(float(v), float(round(v + rng.normal() * 3, 1)), "hi" if v + rng.normal() > 20 else "lo") for v in rng.integers(0, 40, 60)]
+    d = frame(spark, rows, "y double, n double, g string")
+    keep_above, threshold = (True, 0.6) if method in ("pearson", "spearman", "kendall") else (False, 0.05)
+    found = binning.find_minimums(d, [("y", x)], method, threshold, keep_above)["y"].by_feature[x]
+    low, high, best = 2 if keep_above else 1, len(rows), None
+    while low <= high:
+        k = (low + high) // 2
+        b = binning.binned(d, "y", k, True, "b").select("n", "g", F.col("b").alias("y")) if k > 1 else d.select("n", "g", F.lit(1.0).alias("y"))
+        if keep_above:
+            stat = numeric.correlations(b.select("y", "n"), method).first().correlation
+        elif method == "welch":
+            stat = next(r.p_value for r in numeric.t_tests(b, ["y", "n"]).collect() if r.numeric_a == "y")
+        else:
+            stat = anova.TESTS[method](b, [("g", "y")]).first().p_value
+        if stat is None:
+            best = None
+            break
+        if (abs(stat) >= threshold) if keep_above else stat < threshold:
+            best, high = k, k - 1
+        else:
+            low = k + 1
+    assert found.found == best
+
+
+def test_rules_of_types_and_drops():
+    P = preparation.Profile
+    assert preparation.propose("double", 40, 40, 0, 0, 40, 40) == "long" and preparation.propose("double", 40, 40, 0, 0, 40, 39) == "double"
+    made = lambda dtype, unique, null, proposed: preparation.decide(P("c", dtype, 100, unique, null, proposed))
+    assert made("string", 1, 50, "category") == (False, True)
+    assert made("bigint", 1, 0, "long") == (True, False)
+    assert made("string", 100, 0, "category") == (True, False)
+    assert made("string", 100, 0, "datetime") == (False, True)
+
+
+def test_joint_plot(spark):
+    d = frame(spark, [(float(k), float(2 * k + 1)) for k in range(50)] + [(None, 1.0)], "x double, y double")
+    j = descriptive.joint(d, "x", "y", 10)
+    assert sum(r.n for r in j["points"].collect()) == 50 and {r.bin_x - r.bin_y for r in j["points"].collect()} == {0}
+    assert [r.n for r in j["x"].orderBy("bin").collect()] == [5] * 10 and j["line"].first().slope == pytest.approx(2)

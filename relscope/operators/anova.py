@@ -118,16 +118,21 @@ def with_median(df: DataFrame, stats: DataFrame, y: str, by: list[str]) -> DataF
 
 
 def kruskal_of(rows: DataFrame, by: list[str], n: str | None = None) -> DataFrame:
-    """(by, n, k, h_stat, p_value).  Ranks run over distinct values with counts, not over rows; ``n`` counts a row's copies."""
-    cells = rows.groupBy(*by, "level", "y").agg((F.sum(n) if n else F.count("*")).alias("c"))
-    values = ranked(cells.groupBy(*by, "y").agg(F.sum("c").alias("n")), by)
-    ties = values.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"), F.count("*").alias("distinct"))
-    groups = cells.join(values.select(*by, "y", "rank"), [*by, "y"]).groupBy(*by, "level").agg(F.sum("c").alias("gn"), F.sum(F.col("c") * F.col("rank")).alias("r"))
-    s = groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum(F.col("r") ** 2 / F.col("gn")).alias("rr")).join(ties, by)
+    """(by, n, k, h_stat, p_value).  Ranks run over distinct values with counts, within ranges of them; ``n`` counts a row's copies."""
+    cells = rows.groupBy(*by, "level", "y").agg((F.sum(n) if n else F.count("*")).alias("c")).withColumn("_range", range_of("y"))
+    part = Window.partitionBy(*by, "_range")
+    ranks = cells.withColumn("upto", F.sum("c").over(part.orderBy("y").rangeBetween(Window.unboundedPreceding, 0))).withColumn("tied", F.sum("c").over(Window.partitionBy(*by, "_range", "y")))
+    within = F.col("upto") - F.col("tied") + (F.col("tied") + 1) / 2
+    # A level's rank sum in a range grows by all that stands in lower ranges, once for each of its rows there.
+    parts = ranks.groupBy(*by, "_range", "level").agg(F.sum("c").alias("gn"), F.sum(F.col("c") * within).alias("r"), F.sum(F.col("c") * (F.col("tied").cast("double") ** 2 - 1)).alias("ties"), F.max("tied").alias("tied"))
+    below = F.sum("gn").over(Window.partitionBy(*by).orderBy("_range").rangeBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("r", F.col("r") + F.coalesce(below, F.lit(0)) * F.col("gn"))
+    groups = parts.groupBy(*by, "level").agg(F.sum("gn").alias("gn"), F.sum("r").alias("r"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
+    s = groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum(F.col("r") ** 2 / F.col("gn")).alias("rr"), F.sum("gn").alias("n"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
     n = F.col("n").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("rr") - 3 * (n + 1)
     fix = 1 - F.col("ties") / F.nullif(n**3 - n, F.lit(0.0))
-    s = s.withColumn("h_stat", F.when((F.col("k") > 1) & (F.col("distinct") > 1), raw / F.nullif(fix, F.lit(0.0))))
+    s = s.withColumn("h_stat", F.when((F.col("k") > 1) & (F.col("tied") < F.col("n")), raw / F.nullif(fix, F.lit(0.0))))
     return s.select(*by, "n", "k", "h_stat", special.chi2_sf(F.col("h_stat"), (F.col("k") - 1).cast("double")).alias("p_value"))
 
 

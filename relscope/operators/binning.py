@@ -104,20 +104,30 @@ NUMERIC_TESTS = ("welch", "student", "pearson", "spearman", "kendall")
 
 
 def _points(df: DataFrame, pairs: list[tuple[str, str]], method: str) -> DataFrame:
-    """(a, b, level, x, y, w, lo, hi): the distinct points of each pair with their counts and the limits of y."""
-    names = list(dict.fromkeys(y for y, _ in pairs))
-    limits = df.agg(*(f(roles.number(df, y)).alias(f"{k}{i}") for i, y in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    """(pair, level, x, y, w): the distinct points of each pair, by its number, with their counts."""
     each = []
-    for y, x in pairs:
-        i = names.index(y)
-        lo, hi = (F.lit(limits[f"{k}{i}"]).cast("double") for k in ("lo", "hi"))
+    for i, (y, x) in enumerate(pairs):
         number = roles.number(df, x) if method in NUMERIC_TESTS else F.lit(None).cast("double")
         level = roles.level(x) if method not in NUMERIC_TESTS else F.lit("")
-        each.append(F.struct(F.lit(y).alias("a"), F.lit(x).alias("b"), level.alias("level"), number.alias("x"), roles.number(df, y).alias("y"), lo.alias("lo"), hi.alias("hi")))
-    rows = df.select(F.explode(F.array(*each)).alias("p")).select("p.*").where("lo IS NOT NULL AND level IS NOT NULL")
+        each.append(F.struct(F.lit(i).alias("pair"), level.alias("level"), number.alias("x"), roles.number(df, y).alias("y")))
+    rows = df.select(F.explode(F.array(*each)).alias("p")).select("p.*").where("level IS NOT NULL")
     if method not in ("welch", "student"):
         rows = rows.where("y IS NOT NULL" + (" AND x IS NOT NULL" if method in NUMERIC_TESTS else ""))
-    return rows.groupBy("a", "b", "level", "x", "y", "lo", "hi").agg(F.count("*").alias("w"))
+    return rows.groupBy("pair", "level", "x", "y").agg(F.count("*").alias("w"))
+
+
+def _limits(df: DataFrame, points: DataFrame, pairs: list[tuple[str, str]]) -> dict[int, dict]:
+    """Per pair: the limits of y over all rows; the mean of x over the pair's points, and whether x varies."""
+    names = list(dict.fromkeys(y for y, _ in pairs))
+    one = df.agg(*(f(roles.number(df, y)).alias(f"{k}{i}") for i, y in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    own = points.groupBy("pair").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"), (F.min("x") < F.max("x")).alias("varies")).collect()
+    found = {r["pair"]: r for r in own}
+    out = {}
+    for i, (y, _) in enumerate(pairs):
+        at = names.index(y)
+        if i in found and one[f"lo{at}"] is not None:
+            out[i] = {"lo": float(one[f"lo{at}"]), "hi": float(one[f"hi{at}"]), "mean": found[i]["mean"], "varies": found[i]["varies"]}
+    return out
 
 
 def _moments(rows: DataFrame, by: list[str], columns: str) -> DataFrame:
@@ -130,27 +140,40 @@ def _moments(rows: DataFrame, by: list[str], columns: str) -> DataFrame:
     return both.withColumns({f"v{c}": F.when(F.col(f"n{c}") > 1, F.col(f"s{c}") / F.nullif(F.col(f"n{c}") - 1, F.lit(0))) for c in columns})
 
 
-def _stats(points: DataFrame, searches: list[Search], method: str) -> dict[tuple[str, str, int], float | None]:
+def _pearson(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, stat) in one aggregation, of x less its mean and y less the middle of its limits."""
+    dx, dy, w = F.col("x") - F.col("mean"), F.col("y") - (F.col("lo") + F.col("hi")) / 2, F.col("w")
+    s = rows.groupBy(*by).agg(*(F.sum(w * e).alias(k) for k, e in (("n", F.lit(1)), ("x", dx), ("y", dy), ("xx", dx * dx), ("yy", dy * dy), ("xy", dx * dy))), F.bool_or("varies").alias("varies"))
+    n = F.col("n")
+    vx, vy = F.col("xx") / n - (F.col("x") / n) ** 2, F.col("yy") / n - (F.col("y") / n) ** 2
+    c = F.col("xy") / n - F.col("x") / n * F.col("y") / n
+    return s.select(*by, F.when(F.col("varies") & (vx > 0) & (vy > 0), c / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0))).alias("stat"))
+
+
+def _stats(points: DataFrame, limits: dict[int, dict], searches: list[tuple[int, Search]], method: str) -> dict[tuple[int, int], float | None]:
     """The test of each pair with y in each of its probes' numbers of bins, in one job."""
-    asked = points.sparkSession.createDataFrame([(s.y, s.x, k) for s in searches for k in s.probes(AHEAD)], "a string, b string, bins int")
-    by = ["a", "b", "bins"]
-    rows = points.join(F.broadcast(asked), ["a", "b"])
+    asked = [(i, k, *(limits[i][c] for c in ("lo", "hi", "mean", "varies"))) for i, s in searches if i in limits for k in s.probes(AHEAD)]
+    asked = points.sparkSession.createDataFrame(asked, "pair int, bins int, lo double, hi double, mean double, varies boolean")
+    by = ["pair", "bins"]
+    rows = points.join(F.broadcast(asked), "pair")
     number = bin_number(F.col("y"), F.col("lo"), F.col("hi"), F.col("bins"))
-    rows = rows.select(*by, "level", "x", rescaled(number, F.col("lo"), F.col("hi"), F.col("bins")).alias("y"), "w")
+    rows = rows.withColumn("y", rescaled(number, F.col("lo"), F.col("hi"), F.col("bins")))
     if method in ("welch", "student"):
         test = anova.welch if method == "welch" else anova.student
         out = test(_moments(rows, by, "xy"), "ny", "my", "vy", "nx", "mx", "vx").select(*by, F.col("p_value").alias("stat"))
+    elif method == "pearson":
+        out = _pearson(rows, by)
     elif method in NUMERIC_TESTS:
-        named = rows.select(F.concat_ws("\0", "a", "bins").alias("a"), "b", "x", "y", "w")
-        kind = {"pearson": lambda r: numeric._pearson(r, n="w"), "spearman": lambda r: numeric._spearman(r, "w"), "kendall": lambda r: numeric._kendall(r, "w")}[method]
-        found = kind(named).withColumn("_parts", F.split("a", "\0"))
-        out = found.select(F.col("_parts")[0].alias("a"), "b", F.col("_parts")[1].cast("int").alias("bins"), F.abs("correlation").alias("stat"))
+        named = rows.select(F.col("pair").cast("string").alias("a"), F.col("bins").cast("string").alias("b"), "x", "y", "w")
+        kind = {"spearman": numeric._spearman, "kendall": numeric._kendall}[method]
+        out = kind(named, "w").select(F.col("a").cast("int").alias("pair"), F.col("b").cast("int").alias("bins"), F.col("correlation").alias("stat"))
     elif method == "kruskal":
         out = anova.kruskal_of(rows, by, "w").select(*by, F.col("p_value").alias("stat"))
     else:
         groups = _moments(rows, [*by, "level"], "y")
         out = anova.one_way_of_groups(groups.select(*by, F.col("ny").alias("gn"), F.col("my").alias("mean"), (F.col("sy") / F.col("ny")).alias("var")), by).select(*by, F.col("p_value").alias("stat"))
-    return {(r["a"], r["b"], r["bins"]): r["stat"] for r in out.collect()}
+    sign = abs if method in ("pearson", "spearman", "kendall") else float
+    return {(r["pair"], r["bins"]): None if r["stat"] is None else sign(r["stat"]) for r in out.collect()}
 
 
 def find_minimums(df: DataFrame, pairs: list[tuple[str, str]], method: str, threshold: float, keep_above: bool) -> dict[str, Minimum]:
@@ -164,12 +187,13 @@ def find_minimums(df: DataFrame, pairs: list[tuple[str, str]], method: str, thre
     searches = [Search(y, x, least, max(rows, least)) for y, x in pairs]
     points = _points(df, pairs, method).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        while pending := [s for s in searches if s.open]:
-            stats = _stats(points, pending, method)
-            for s in pending:
+        limits = _limits(df, points, pairs)
+        while pending := [(i, s) for i, s in enumerate(searches) if s.open]:
+            stats = _stats(points, limits, pending, method)
+            for i, s in pending:
                 for _ in range(AHEAD):
                     if s.open:
-                        stat = stats.get((s.y, s.x, s.probe))
+                        stat = stats.get((i, s.probe))
                         s.answer(stat, stat is not None and (stat >= threshold if keep_above else stat < threshold))
     finally:
         points.unpersist()

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that density clusters are fitted on; others take their nearest member's label.
+#: Distinct rows that density clusters are fitted on, weighted with their counts; others take their nearest member's label.
 SAMPLE = 1500
 
 
@@ -28,11 +28,17 @@ class Density:
     min_samples: int
 
 
-def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int) -> Density:
-    """A minimum spanning tree of mutual reachability, cut at its widest gap, without clusters under the least size."""
+def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int, weight: np.ndarray | None = None) -> Density:
+    """A minimum spanning tree of mutual reachability, cut at its widest gap, without clusters under the least size.
+
+    ``weight`` tells how many equal rows each stands for: they count as neighbours and towards sizes.
+    """
     n = len(x)
+    weight = np.ones(n, np.int64) if weight is None else weight
     d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T))
-    core = np.sort(d, axis=1)[:, min(min_samples, n - 1)]
+    order = np.argsort(d, axis=1, kind="stable")
+    enough = np.minimum((np.cumsum(weight[order], axis=1) <= min_samples).sum(axis=1), n - 1)
+    core = np.take_along_axis(d, np.take_along_axis(order, enough[:, None], axis=1), axis=1)[:, 0]
     reach = np.maximum(np.maximum(core[:, None], core[None]), d)
     best, parent, left = reach[0].copy(), np.zeros(n, int), np.ones(n, bool)
     left[0] = False
@@ -58,7 +64,8 @@ def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int) ->
         if w <= cut:
             own[root(b)] = root(a)
     roots = np.array([root(i) for i in range(n)])
-    names, sizes = np.unique(roots, return_counts=True)
+    names, place = np.unique(roots, return_inverse=True)
+    sizes = np.bincount(place, weight)
     number = {r: k for k, r in enumerate(names[sizes >= min_cluster_size])}
     return Density(x, np.array([number.get(r, -1) for r in roots]), float(cut), min_cluster_size, min_samples)
 
@@ -106,10 +113,13 @@ class ClusterFeatures:
         return found[0][-1]
 
     def choose_density(self, x: DataFrame, sizes=(20, 40, 60), samples=(5, 10, 15)) -> Density | None:
-        rows = np.array([r[0] for r in x.select(vector_to_array("features")).orderBy(F.xxhash64(vector_to_array("features"))).limit(SAMPLE).collect()])
+        # Equal rows are one, with their count, so that none of them fills the sample.
+        counts = x.groupBy(vector_to_array("features").alias("v")).agg(F.count("*").alias("n"))
+        picked = counts.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
+        rows, weight = np.array([r["v"] for r in picked]), np.array([r["n"] for r in picked])
         if len(rows) < 3:
             return None
-        found = [density_clusters(rows, a, b) for a in sizes for b in samples]
+        found = [density_clusters(rows, a, b, weight) for a in sizes for b in samples]
         found.sort(key=lambda m: (m.labels.max() < 1, (m.labels < 0).mean(), m.min_cluster_size, m.min_samples))
         return found[0]
 

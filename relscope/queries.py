@@ -590,7 +590,7 @@ def null_categories(spark, sf):
 @query()
 def cluster_features(spark, sf):
     d = read(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
-    fitted = clustering.ClusterFeatures().fit(d, ["p_size", "p_retailprice"], range(2, 4), range(2, 3))
+    fitted = clustering.ClusterFeatures().fit(d, ["p_size", "p_retailprice"])
     return fitted.predict(d).groupBy(*fitted.feature_names()).agg(F.count("*").alias("n"))
 
 

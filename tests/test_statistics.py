@@ -311,3 +311,24 @@ def test_joint_plot(spark):
     j = descriptive.joint(d, "x", "y", 10)
     assert sum(r.n for r in j["points"].collect()) == 50 and {r.bin_x - r.bin_y for r in j["points"].collect()} == {0}
     assert [r.n for r in j["x"].orderBy("bin").collect()] == [5] * 10 and j["line"].first().slope == pytest.approx(2)
+
+
+def test_density_clusters_weigh_equal_rows(spark, tmp_path):
+    from relscope.operators import clustering
+
+    rng = np.random.default_rng(4)
+    own = np.vstack([rng.normal(0, 0.1, (40, 2)), rng.normal(9, 0.1, (40, 2))])
+    weight = rng.integers(1, 4, 80)
+    one = clustering.density_clusters(own, 20, 5, weight)
+    many = clustering.density_clusters(np.repeat(own, weight, axis=0), 20, 5)
+    assert one.labels.tolist() == many.labels[np.cumsum(weight) - 1].tolist() and one.labels.max() == 1
+    # A vector that makes up most of the rows doesn't fill the sample.
+    rows = [tuple(map(float, r)) for r in own] + [(0.0, 0.0)] * 3000
+    d = frame(spark, rows, "x double, y double")
+    fitted = clustering.ClusterFeatures().fit(d, ["x", "y"], range(2, 3), range(2, 3))
+    assert len(fitted.density.members) == 81
+    labels = {r.density_cluster for r in fitted.predict(d).where("x > 5").collect()}
+    assert len(labels) == 1 and labels != {r.density_cluster for r in fitted.predict(d).where("x = 0").collect()}
+    fitted.save(spark, f"{tmp_path}/model")
+    again = clustering.ClusterFeatures.load(spark, f"{tmp_path}/model")
+    assert [tuple(r) for r in again.predict(d).limit(90).collect()] == [tuple(r) for r in fitted.predict(d).limit(90).collect()]

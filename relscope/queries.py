@@ -128,6 +128,16 @@ def subcategories_per_supercategory(spark, sf):
     return descriptive.subcategories(read(spark, sf, "nation"), "n_regionkey", "n_name")
 
 
+@query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS \"F\", count(*) FILTER (l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1")
+def contingency_pivot(spark, sf):
+    return descriptive.wide(read(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("WITH l AS (SELECT min(l_quantity)::DOUBLE AS x0, max(l_quantity)::DOUBLE AS x1, min(l_extendedprice)::DOUBLE AS y0, max(l_extendedprice)::DOUBLE AS y1 FROM lineitem) SELECT least(6, floor((l_quantity::DOUBLE - x0) * 7 / (x1 - x0)))::INT AS bin_x, least(6, floor((l_extendedprice::DOUBLE - y0) * 7 / (y1 - y0)))::INT AS bin_y, count(*) AS n FROM lineitem, l GROUP BY 1, 2")
+def joint_points(spark, sf):
+    return descriptive.joint(read(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 7)["points"]
+
+
 # Chi-squared.
 
 
@@ -159,6 +169,16 @@ def goodness_of_fit(spark, sf):
     return rounded(chi2.goodness_of_fit(read(spark, sf, "orders")), "chi2", "p_value")
 
 
+@query(f"SELECT * FROM ({' UNION ALL '.join(sql_chi2('part', a, b) for a, b in (('p_name', 'p_brand'), ('p_name', 'p_type'), ('p_brand', 'p_type')))}) WHERE p_value >= 0.01")
+def chi2_comparison(spark, sf):
+    return rounded(chi2.comparison(read(spark, sf, "part"), 0.01, True), "chi2", "p_value")
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['goodness_of_fit']}) WHERE p_value >= 0.05")
+def goodness_of_fit_comparison(spark, sf):
+    return rounded(chi2.goodness_of_fit_comparison(read(spark, sf, "orders"), 0.05, True), "chi2", "p_value")
+
+
 SQL_TWO = "sum((n1 - e1) ** 2 / e1 + (n2 - e2) ** 2 / e2) AS x, count(*) - 1 AS dof, avg(((e1 < 5)::INT + (e2 < 5)::INT) / 2.0) AS low"
 
 
@@ -298,6 +318,11 @@ def student_all_pairs(spark, sf):
     return rounded(numeric.t_tests(read(spark, sf, "customer"), ["c_acctbal", "c_custkey"], method="student"), "t_stat", "p_value")
 
 
+@query(f"SELECT * FROM ({sql_t_tests(['l_discount', 'l_tax'], 'lineitem', SQL_WELCH)}) WHERE p_value < 0.05")
+def t_test_comparison(spark, sf):
+    return rounded(numeric.t_test_comparison(read(spark, sf, "lineitem"), 0.05, False, columns=["l_discount", "l_tax"]), "t_stat", "p_value")
+
+
 def sql_pairs(table: str, columns: list[str], value: str) -> str:
     return " UNION ALL ".join(f"SELECT '{a}' AS numeric_a, '{b}' AS numeric_b, round({value.format(a=a, b=b)}, 6) AS correlation FROM {table}" for i, a in enumerate(columns) for b in columns[i + 1 :])
 
@@ -307,6 +332,11 @@ def pearson_all_pairs(spark, sf):
     return rounded(numeric.correlations(read(spark, sf, "lineitem"), "pearson", ["l_quantity", "l_extendedprice", "l_discount"]), "correlation")
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS numeric_a, 'l_quantity' AS numeric_b, round(corr({c}, l_quantity), 6) AS correlation FROM lineitem" for c in ("l_extendedprice", "l_discount")))
+def target_correlations(spark, sf):
+    return rounded(numeric.correlations(read(spark, sf, "lineitem"), "pearson", ["l_extendedprice", "l_discount"], "l_quantity"), "correlation")
+
+
 RANKED = "(SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("l_quantity", "l_extendedprice", "l_tax")) + " FROM lineitem)"
 
 
@@ -325,13 +355,18 @@ def correlation_comparison(spark, sf):
     return rounded(numeric.correlation_comparison(read(spark, sf, "lineitem"), 0.003, True, method="pearson", columns=["l_quantity", "l_extendedprice", "l_discount"]), "correlation")
 
 
-def sql_k2(table: str, y: str) -> str:
-    return f"""SELECT '{y}' AS numeric, n::BIGINT AS n, round(exp(-(zs * zs + zk * zk) / 2), 6) AS p_value FROM (SELECT n, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS zs,
+def sql_k2_of(rows: str) -> str:
+    """(g, n, p_value) of rows (g, v)."""
+    return f"""SELECT g, n::BIGINT AS n, round(exp(-(zs * zs + zk * zk) / 2), 6) AS p_value FROM (SELECT g, n, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS zs,
   (1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * (abs((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))) ** (1 / 3.0))) / sqrt(2 / (9 * a)) AS zk FROM (
   SELECT *, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2, sk * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
     (ku - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 + 8 / b1 * (2 / b1 + sqrt(1 + 4 / (b1 * b1))) AS a FROM (
     SELECT *, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b1 FROM (
-      SELECT count(*)::DOUBLE AS n, avg((v - m) ** 3) / avg((v - m) ** 2) ** 1.5 AS sk, avg((v - m) ** 4) / avg((v - m) ** 2) ** 2 AS ku FROM (SELECT {y}::DOUBLE AS v, (SELECT avg({y}) FROM {table}) AS m FROM {table})))))"""
+      SELECT g, count(*)::DOUBLE AS n, avg((v - m) ** 3) / avg((v - m) ** 2) ** 1.5 AS sk, avg((v - m) ** 4) / avg((v - m) ** 2) ** 2 AS ku FROM (SELECT g, v, avg(v) OVER (PARTITION BY g) AS m FROM ({rows})) GROUP BY g))))"""
+
+
+def sql_k2(table: str, y: str) -> str:
+    return f"SELECT '{y}' AS numeric, n, p_value FROM ({sql_k2_of(f'SELECT 0 AS g, {y}::DOUBLE AS v FROM {table}')})"
 
 
 @query(" UNION ALL ".join(sql_k2("customer", y) for y in ("c_acctbal", "c_nationkey")))
@@ -344,6 +379,11 @@ def normality_of_few(spark, sf):
     return rounded(numeric.normality(read(spark, sf, "supplier").where("s_suppkey < 80"), ["s_acctbal"]), "p_value")
 
 
+@query(f"SELECT * FROM ({' UNION ALL '.join(sql_k2('lineitem', y) for y in ('l_quantity', 'l_discount'))}) WHERE p_value < 0.05")
+def normality_comparison(spark, sf):
+    return rounded(numeric.normality_comparison(read(spark, sf, "lineitem"), 0.05, False, columns=["l_quantity", "l_discount"]), "p_value")
+
+
 # Assumptions.
 
 
@@ -395,6 +435,66 @@ def kruskal_assumptions(spark, sf):
     return assumptions.kruskal_met(read(spark, sf, "customer"), [("c_mktsegment", "c_acctbal")], assumptions.KruskalRules(return_lenient=True, tolerant=True))
 
 
+def sql_ks(table: str, c: str, y: str) -> str:
+    """(x_1, x_2, n_1, n_2, ks_stat, p_value), by the limit of many rows."""
+    return f"""WITH r AS (SELECT {c}::VARCHAR AS g, {y}::DOUBLE AS v FROM {table} WHERE {c} IS NOT NULL AND {y} IS NOT NULL), n AS (SELECT g, count(*)::DOUBLE AS n FROM r GROUP BY 1),
+p AS (SELECT a.g AS x, b.g AS y, a.n AS n1, b.n AS n2 FROM n a JOIN n b ON a.g < b.g),
+s AS (SELECT x, y, n1, n2, v, sum(CASE WHEN g = x THEN 1 / n1 ELSE -1 / n2 END) AS step FROM p JOIN r ON g IN (x, y) GROUP BY ALL),
+d AS (SELECT x, y, n1, n2, max(abs(gap)) AS d FROM (SELECT *, sum(step) OVER (PARTITION BY x, y ORDER BY v) AS gap FROM s) GROUP BY ALL), z AS (SELECT *, n1 * n2 / (n1 + n2) * d * d AS z FROM d)
+SELECT x AS x_1, y AS x_2, n1::BIGINT AS n_1, n2::BIGINT AS n_2, round(d, 6) AS ks_stat, round(CASE WHEN sqrt(z) < 0.05 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * z))))) END, 6) AS p_value FROM z"""
+
+
+def sql_levene(c: str, y: str, rows: str) -> str:
+    return sql_anova("", c, y, f"SELECT g, abs(y - med) AS y FROM {rows} JOIN (SELECT g, quantile_cont(y, 0.5) AS med FROM {rows} GROUP BY g) USING (g)")
+
+
+def sql_anova_met(table: str, c: str, y: str, rules: assumptions.AnovaRules = assumptions.AnovaRules()) -> str:
+    """(category, numeric, assumptions_met), for groups of 300 rows and more."""
+    w = f"{rules.iqr_multiplier} * (b - a)"
+    return f"""SELECT * FROM (WITH r AS MATERIALIZED (SELECT {c} AS g, {y}::DOUBLE AS y FROM {table} WHERE {c} IS NOT NULL AND {y} IS NOT NULL),
+kept AS MATERIALIZED (SELECT g, y FROM r JOIN (SELECT g, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM r GROUP BY g) USING (g) WHERE y BETWEEN a - {w} AND b + {w})
+SELECT '{c}' AS category, '{y}' AS numeric, (SELECT min(n) >= {rules.min_n} FROM (SELECT count(*) AS n FROM kept GROUP BY g)) AND coalesce((SELECT p_value > {rules.homogeneity_alpha} FROM ({sql_levene(c, y, "kept")})), false)
+  AND (SELECT bool_and(coalesce(p_value > {rules.normality_alpha}, false)) FROM ({sql_k2_of("SELECT g, y AS v FROM kept")})) AS assumptions_met)"""
+
+
+def sql_kruskal_met(table: str, c: str, y: str, rules: assumptions.KruskalRules) -> str:
+    """(category, numeric, assumptions_met) by the tolerant and lenient rules."""
+    return f"""SELECT * FROM (WITH r AS MATERIALIZED (SELECT {c} AS g, {y}::DOUBLE AS y FROM {table} WHERE {c} IS NOT NULL AND {y} IS NOT NULL),
+out AS (SELECT x, avg((p_value < {rules.ks_alpha})::INT) AS share FROM (SELECT p_value, unnest([x_1, x_2]) AS x FROM ({sql_ks(table, c, y)})) GROUP BY x),
+met AS (SELECT NOT bool_or(share > 0.2 OR (spread > 0 AND (share - centre) / spread > 3)) AND max(centre) <= 0.2 AS met FROM (SELECT share, avg(share) OVER () AS centre, stddev_pop(share) OVER () AS spread FROM out))
+SELECT '{c}' AS category, '{y}' AS numeric, CASE WHEN k < 2 THEN 'False' WHEN least_ >= 3 AND NOT coalesce(p < {rules.levene_alpha}, false) AND coalesce(met, true) THEN 'True' WHEN tied < {rules.max_tie_ratio} THEN '{assumptions.LENIENT}' ELSE 'False' END AS assumptions_met
+FROM (SELECT count(*) AS k, min(n) AS least_ FROM (SELECT count(*) AS n FROM r GROUP BY g)), (SELECT p_value AS p FROM ({sql_levene(c, y, "r")})), met, (SELECT max(n) / sum(n) AS tied FROM (SELECT count(*) AS n FROM {table} WHERE {y} IS NOT NULL GROUP BY {y})))"""
+
+
+@query(sql_ks("lineitem", "l_returnflag", "l_quantity"))
+def ks_limit_p_values(spark, sf):
+    pairs = assumptions.ks_pairs(batch.mixed(read(spark, sf, "lineitem"), [("l_returnflag", "l_quantity")]))
+    return rounded(pairs.select("x_1", "x_2", "n_1", "n_2", "ks_stat", "p_value"), "ks_stat", "p_value")
+
+
+@query(f"SELECT 'l_returnflag' AS category, 'l_quantity' AS numeric, bool_and(p_value > 0.05) AS met FROM ({sql_k2_of('SELECT l_returnflag AS g, l_quantity::DOUBLE AS v FROM lineitem')})")
+def group_normality(spark, sf):
+    return assumptions.group_normality(batch.mixed(read(spark, sf, "lineitem"), [("l_returnflag", "l_quantity")]))
+
+
+#: A number that is close to normal within groups: a sum of remainders.
+BELL = " + ".join(f"(l_orderkey * {k} + l_linenumber * {k * k}) % 101" for k in (7, 11, 13, 17, 19, 23, 29, 31))
+
+
+@query(f"WITH bell AS (SELECT *, {BELL} AS bell FROM lineitem) {sql_anova_met('bell', 'l_returnflag', 'bell')} UNION ALL {sql_anova_met('bell', 'l_returnflag', 'l_quantity')}")
+def anova_assumptions_of_many(spark, sf):
+    return assumptions.anova_met(read(spark, sf, "lineitem").withColumn("bell", F.expr(BELL)), [("l_returnflag", "bell"), ("l_returnflag", "l_quantity")])
+
+
+TOLERANT = assumptions.KruskalRules(return_lenient=True, tolerant=True)
+
+
+@query(f"WITH l AS (SELECT *, l_quantity * (l_returnflag = 'A')::INT AS apart FROM lineitem) {sql_kruskal_met('l', 'l_returnflag', 'l_quantity', TOLERANT)} UNION ALL {sql_kruskal_met('l', 'l_returnflag', 'apart', TOLERANT)}")
+def kruskal_assumptions_of_many(spark, sf):
+    d = read(spark, sf, "lineitem").withColumn("apart", F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0))
+    return assumptions.kruskal_met(d, [("l_returnflag", "l_quantity"), ("l_returnflag", "apart")], TOLERANT)
+
+
 # Comparisons and the analyzer.
 
 
@@ -415,18 +515,84 @@ def multi_test_comparison(spark, sf):
     return rounded(compare.multi_test_comparison(d, [("pearson", 0, None)], [("kruskal", 0, None), ("anova", 0, None)], True, check_assumptions=True), "p_value", "correlation")
 
 
-@query()
+@query(
+    f"""SELECT numeric AS column_a, category AS column_b, 'kruskal' AS test, p_value, NULL::DOUBLE AS correlation, assumptions_met FROM ({sql_kruskal("lineitem", "l_returnflag", "l_quantity")}) JOIN ({sql_kruskal_met("lineitem", "l_returnflag", "l_quantity", TOLERANT)}) USING (category, numeric)
+UNION ALL SELECT numeric, category, 'anova', p_value, NULL, assumptions_met::VARCHAR FROM ({sql_anova("lineitem", "l_returnflag", "l_quantity")}) JOIN ({sql_anova_met("lineitem", "l_returnflag", "l_quantity")}) USING (category, numeric)
+UNION ALL SELECT category_a, category_b, 'chi2', p_value, NULL, assumptions_met::VARCHAR FROM ({sql_chi2("lineitem", "l_returnflag", "l_linestatus")}) WHERE category_b = 'l_linestatus'
+UNION ALL SELECT numeric, category, 'kruskal', p_value, NULL, assumptions_met FROM ({sql_kruskal("lineitem", "l_linestatus", "l_quantity")}) JOIN ({sql_kruskal_met("lineitem", "l_linestatus", "l_quantity", TOLERANT)}) USING (category, numeric)
+UNION ALL SELECT numeric, category, 'anova', p_value, NULL, assumptions_met::VARCHAR FROM ({sql_anova("lineitem", "l_linestatus", "l_quantity")}) JOIN ({sql_anova_met("lineitem", "l_linestatus", "l_quantity")}) USING (category, numeric)"""
+)
+def multi_test_of_many(spark, sf):
+    d = read(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus")
+    return rounded(compare.multi_test_comparison(d, False, [("kruskal", 0, None), ("anova", 0, None)], ("chi2", 0, None), check_assumptions=True, kruskal_rules=TOLERANT), "p_value", "correlation")
+
+
+@query(f"SELECT 'p_size' AS column_a, column_b, test FROM (SELECT CASE WHEN column_a = 'p_size' THEN column_b ELSE column_a END AS column_b, test FROM ({ORACLE_SQL['column_comparison']}) WHERE 'p_size' IN (column_a, column_b))")
+def relationships_of_a_column(spark, sf):
+    d = read(spark, sf, "part")
+    found = compare.column_comparison(d, ("pearson", 0.0, None), ("kruskal", 0.05, None), ("chi2", 0.05, None), numeric_columns=["p_size", "p_retailprice"], categoric_columns=["p_brand", "p_type"])
+    return preparation.oriented(found, "p_size").select("column_a", "column_b", "test")
+
+
+def sql_kendall(table: str, few: str, many: str) -> str:
+    """Kendall's tau of a column of few values with another: each row against the counts of each lesser value."""
+    return f"""SELECT '{few}' AS numeric_a, '{many}' AS numeric_b, round(score / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS correlation FROM (
+  WITH p AS MATERIALIZED (SELECT {few} AS f, {many} AS m, count(*)::DOUBLE AS n FROM {table} GROUP BY 1, 2), grid AS (SELECT v, o AS m, coalesce(p.n, 0) AS c FROM (SELECT DISTINCT f AS v FROM p) CROSS JOIN (SELECT DISTINCT m AS o FROM p) LEFT JOIN p ON p.f = v AND p.m = o),
+  w AS (SELECT *, sum(c) OVER (PARTITION BY v ORDER BY m) AS upto, sum(c) OVER (PARTITION BY v) AS whole FROM grid)
+  SELECT (SELECT sum(p.n * (2 * upto - c - whole)) FROM p JOIN w ON w.m = p.m AND w.v < p.f) AS score, (SELECT sum(n) FROM p) AS n, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM p GROUP BY f)) AS tx, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM p GROUP BY m)) AS ty)"""
+
+
+@query(sql_kendall("lineitem", "l_quantity", "l_tax"))
+def kendall_of_few_values(spark, sf):
+    return rounded(numeric.correlations(read(spark, sf, "lineitem"), "kendall", ["l_quantity", "l_tax"]), "correlation")
+
+
+def sql_shape(table: str, numbers: list[str], categories: list[str]) -> str:
+    """(target, type, distribution) of columns, by the analyzer's defaults."""
+    even = [f"SELECT '{c}' AS target, 'categoric' AS type, CASE WHEN {sql_chi2_sf('x', '(k - 1)')} < 0.05 THEN 'not_uniform' ELSE 'uniform' END AS distribution FROM (SELECT sum(n * n) / (sum(n) / count(*)) - sum(n) AS x, count(*) AS k FROM (SELECT count(*)::DOUBLE AS n FROM {table} GROUP BY {c}))" for c in categories]
+    return " UNION ALL ".join([f"SELECT numeric AS target, 'numeric' AS type, CASE WHEN p_value < 0.05 THEN 'not_normal' ELSE 'normal' END AS distribution FROM ({sql_k2(table, y)})" for y in numbers] + even)
+
+
+def sql_over_groups(table: str, pairs: list[tuple[str, str]]) -> str:
+    """(a, b, test, passes) of numbers over categories, by the analyzer's defaults."""
+    return " UNION ALL ".join(f"SELECT numeric AS a, category AS b, '{test}' AS test, p_value < 0.05 AS passes FROM ({sql(table, c, y)})" for c, y in pairs for test, sql in (("kruskal", sql_kruskal), ("anova", sql_anova)))
+
+
+RANKED_TWO = "(SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("l_quantity", "mixed")) + " FROM l)"
+
+
+@query(
+    f"""WITH l AS (SELECT l_quantity, l_quantity + l_discount * 100 AS mixed, l_returnflag, CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS band FROM lineitem),
+t AS ({sql_over_groups("l", [(c, y) for c in ("l_returnflag", "band") for y in ("l_quantity", "mixed")])} UNION ALL SELECT category_a, category_b, 'chi2', p_value < 0.05 FROM ({sql_chi2("l", "l_returnflag", "band")})
+  UNION ALL SELECT numeric_a, numeric_b, 'pearson', abs(correlation) >= 0.6 FROM ({sql_pairs("l", ["l_quantity", "mixed"], "corr({a}, {b})")}) UNION ALL SELECT numeric_a, numeric_b, 'spearman', abs(correlation) >= 0.6 FROM ({sql_pairs(RANKED_TWO, ["l_quantity", "mixed"], "corr({a}, {b})")})
+  UNION ALL SELECT numeric_a, numeric_b, 'kendall', abs(correlation) >= 0.6 FROM ({sql_kendall("l", "l_quantity", "mixed")})),
+g AS (SELECT a, b, string_agg(test, '-' ORDER BY test) AS tests FROM t WHERE passes GROUP BY a, b)
+SELECT target, type, distribution, 1 AS longest_combination, feature AS features, tests FROM (SELECT a AS target, b AS feature, tests FROM g UNION ALL SELECT b, a, tests FROM g) JOIN ({sql_shape("l", ["l_quantity", "mixed"], ["l_returnflag", "band"])}) USING (target)"""
+)
 def full_dataset_analysis(spark, sf):
-    band = F.when(F.col("l_quantity") > 25, "high").otherwise("low")
-    d = read(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag", band.alias("band"))
-    return analyzer.Analyzer().fit_full_dataset_analysis(d, super_sub=True).relationships(d)
+    q = F.col("l_quantity").cast("double")
+    d = read(spark, sf, "lineitem").select(q.alias("l_quantity"), (q + F.col("l_discount").cast("double") * 100).alias("mixed"), "l_returnflag", F.when(q > 25, "high").otherwise("low").alias("band"))
+    return analyzer.Analyzer().fit_full_dataset_analysis(d, super_sub=True).relationships(d).withColumn("features", F.array_join("features", " & "))
 
 
-@query()
+SINGLE = ["one", "p_type", "two"]
+PAIRED = [(a, b) for i, a in enumerate(SINGLE) for b in SINGLE[i + 1 :]]
+
+
+@query(
+    f"""WITH d AS (SELECT (p_size + 20 * ((p_partkey % 2 + p_partkey // 2 % 2) % 2))::DOUBLE AS shifted, (p_partkey % 2)::VARCHAR AS one, (p_partkey // 2 % 2)::VARCHAR AS two, p_type FROM part),
+e AS (SELECT *, {", ".join(f"{a} || '/' || {b} AS {a}_{b}" for a, b in PAIRED)}, one || '/' || p_type || '/' || two AS triple FROM d),
+t AS ({sql_over_groups("e", [(c, "shifted") for c in (*SINGLE, *(f"{a}_{b}" for a, b in PAIRED), "triple")])}),
+g AS (SELECT b AS name, string_agg(test, '-' ORDER BY test) AS tests FROM t WHERE passes GROUP BY b),
+s AS (SELECT name, tests FROM g WHERE name IN ({", ".join(f"'{c}'" for c in SINGLE)})),
+p AS (SELECT a || ' & ' || b AS features, tests FROM g JOIN (VALUES {", ".join(f"('{a}_{b}', '{a}', '{b}')" for a, b in PAIRED)}) v(name, a, b) USING (name) WHERE a NOT IN (SELECT name FROM s) AND b NOT IN (SELECT name FROM s)),
+c AS (SELECT 3 - (SELECT count(*) FROM s) AS pool, (SELECT count(*) FROM p) AS found)
+SELECT target, type, distribution, CASE WHEN pool = 3 AND found = 0 THEN 3 WHEN pool >= 2 THEN 2 ELSE 1 END AS longest_combination, features, tests FROM c, ({sql_shape("d", ["shifted"], [])}), (SELECT name AS features, tests FROM s UNION ALL SELECT * FROM p UNION ALL SELECT 'one & p_type & two', tests FROM g, c WHERE name = 'triple' AND pool = 3 AND found = 0)"""
+)
 def multivariate_relationships(spark, sf):
     one, two = F.col("p_partkey") % 2, F.floor(F.col("p_partkey") / 2) % 2
     d = read(spark, sf, "part").select((F.col("p_size") + 20 * ((one + two) % 2)).cast("double").alias("shifted"), one.cast("string").alias("one"), two.cast("string").alias("two"), "p_type")
-    return analyzer.Analyzer(numnum=False).fit_full_dataset_analysis(d, numeric_target="shifted", multivariates=True).relationships(d)
+    return analyzer.Analyzer(numnum=False).fit_full_dataset_analysis(d, numeric_target="shifted", multivariates=True).relationships(d).withColumn("features", F.array_join("features", " & "))
 
 
 @query("SELECT p_brand || '_|&|_' || p_type AS both, count(*) AS n FROM part GROUP BY 1")
@@ -464,6 +630,11 @@ def mean_intervals(spark, sf):
     return rounded(estimate.mean_estimates(read(spark, sf, "orders"), "o_totalprice", 0.95, "o_orderpriority"), "mean", "median", "std", "moe", "lower", "upper", digits=4)
 
 
+@query(f"SELECT o_orderpriority AS label, round(avg(o_totalprice) - {Z95} * stddev_samp(o_totalprice) / sqrt(count(*)), 4) AS \"left\", round(2 * {Z95} * stddev_samp(o_totalprice) / sqrt(count(*)), 4) AS width, round(avg(o_totalprice), 4) AS middle FROM orders GROUP BY 1")
+def interval_bars(spark, sf):
+    return rounded(estimate.interval_bars(estimate.mean_estimates(read(spark, sf, "orders"), "o_totalprice", 0.95, "o_orderpriority"), "mean", ["o_orderpriority"]), "left", "width", "middle", digits=4)
+
+
 @query(f"SELECT *, round({Z95} * sqrt(p * (1 - p) / size), 6) AS moe, round(p - {Z95} * sqrt(p * (1 - p) / size), 6) AS lower, round(p + {Z95} * sqrt(p * (1 - p) / size), 6) AS upper FROM (SELECT *, count / size AS p FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS count, (sum(count(*)) OVER (PARTITION BY o_orderstatus))::BIGINT AS size FROM orders GROUP BY 1, 2))".replace("SELECT *, round", "SELECT o_orderstatus, o_orderpriority, count, size, round(p, 6) AS proportion, round", 1))
 def proportion_intervals(spark, sf):
     return rounded(estimate.proportion_estimates(read(spark, sf, "orders"), "o_orderpriority", 0.95, "o_orderstatus"), "proportion", "moe", "lower", "upper")

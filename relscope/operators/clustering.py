@@ -19,55 +19,143 @@ SAMPLE = 1500
 
 @dataclass
 class Density:
-    """Members of density clusters and the distance within which a row joins them."""
+    """Members of density clusters with their labels and core distances, and how near a row must come to join a cluster."""
 
     members: np.ndarray
     labels: np.ndarray
-    reach: float
+    core: np.ndarray
+    #: The distance at which each cluster came into being.
+    reach: np.ndarray
     min_cluster_size: int
     min_samples: int
+    silhouette: float = -1.0
 
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """The label of the nearest member by mutual reachability, -1 where that is wider than its cluster; a row has its nearest member's core distance."""
+        gap = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (self.members**2).sum(1)[None] - 2 * x @ self.members.T))
+        near = gap.argmin(1)
+        apart = np.maximum(gap[np.arange(len(x)), near], self.core[near])
+        own = self.labels[near]
+        return np.where((own >= 0) & (apart <= np.append(self.reach, -1.0)[own]), own, -1)
 
-def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int, weight: np.ndarray | None = None) -> Density:
-    """A minimum spanning tree of mutual reachability, cut at its widest gap, without clusters under the least size.
 
-    ``weight`` tells how many equal rows each stands for: they count as neighbours and towards sizes.
-    """
-    n = len(x)
-    weight = np.ones(n, np.int64) if weight is None else weight
-    d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T))
-    order = np.argsort(d, axis=1, kind="stable")
-    enough = np.minimum((np.cumsum(weight[order], axis=1) <= min_samples).sum(axis=1), n - 1)
-    core = np.take_along_axis(d, np.take_along_axis(order, enough[:, None], axis=1), axis=1)[:, 0]
-    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+def _distances(x: np.ndarray) -> np.ndarray:
+    out = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T))
+    np.fill_diagonal(out, 0.0)
+    return out
+
+
+def _spanning_tree(reach: np.ndarray) -> list[tuple[float, int, int]]:
+    """Edges (distance, a, b) of a minimum spanning tree, nearest first."""
+    n = len(reach)
     best, parent, left = reach[0].copy(), np.zeros(n, int), np.ones(n, bool)
     left[0] = False
     links = []
     for _ in range(n - 1):
-        j = int(np.where(left, best, np.inf).argmin())
-        links.append((best[j], parent[j], j))
-        left[j] = False
-        closer = left & (reach[j] < best)
-        best[closer], parent[closer] = reach[j][closer], j
-    weights = np.sort([w for w, *_ in links])
-    tail = weights[len(weights) // 2 :]
-    cut = tail[:-1][np.diff(tail).argmax()] if len(tail) > 1 else (weights[-1] if len(weights) else 0.0)
-    own = np.arange(n)
+        b = int(np.where(left, best, np.inf).argmin())
+        links.append((float(best[b]), int(parent[b]), b))
+        left[b] = False
+        closer = left & (reach[b] < best)
+        best[closer], parent[closer] = reach[b][closer], b
+    return sorted(links)
+
+
+def _hierarchy(links: list[tuple[float, int, int]], weight: np.ndarray) -> tuple[dict[int, tuple[float, int, int]], list[int]]:
+    """Merges (distance, left, right) by node, those of rows being 0 to n - 1, and the weight under each node; the last node is the root."""
+    top, size, merges = {i: i for i in range(len(weight))}, weight.tolist(), {}
+    up = list(range(len(weight)))
 
     def root(i: int) -> int:
-        while own[i] != i:
-            own[i] = own[own[i]]
-            i = own[i]
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
         return i
 
     for w, a, b in links:
-        if w <= cut:
-            own[root(b)] = root(a)
-    roots = np.array([root(i) for i in range(n)])
-    names, place = np.unique(roots, return_inverse=True)
-    sizes = np.bincount(place, weight)
-    number = {r: k for k, r in enumerate(names[sizes >= min_cluster_size])}
-    return Density(x, np.array([number.get(r, -1) for r in roots]), float(cut), min_cluster_size, min_samples)
+        a, b = root(a), root(b)
+        merges[len(size)] = (w, top[a], top[b])
+        up[b] = a
+        size.append(size[top[a]] + size[top[b]])
+        top[a] = len(size) - 1
+    return merges, size
+
+
+def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int, weight: np.ndarray | None = None, d: np.ndarray | None = None) -> Density:
+    """Clusters of most stability in the hierarchy of mutual reachability.
+
+    The hierarchy is condensed: a split counts where both sides have ``min_cluster_size``
+    rows, otherwise the smaller side leaves its cluster.  A cluster's stability adds up, over
+    its rows, how much density (one over the distance) they stay for; a cluster is chosen over
+    those it splits into unless theirs add up to more.  All rows together are no cluster.
+    ``weight`` tells how many equal rows each stands for: they count as neighbours and
+    towards sizes.  Equal rows have the highest density found at a distance above 0.
+    """
+    n = len(x)
+    weight = np.ones(n, np.int64) if weight is None else weight
+    d = _distances(x) if d is None else d
+    order = np.argsort(d, axis=1, kind="stable")
+    enough = np.minimum((np.cumsum(weight[order], axis=1) <= min_samples).sum(axis=1), n - 1)
+    core = np.take_along_axis(d, np.take_along_axis(order, enough[:, None], axis=1), axis=1)[:, 0]
+    links = _spanning_tree(np.maximum(np.maximum(core[:, None], core[None]), d))
+    merges, size = _hierarchy(links, weight)
+    least = min((w for w, *_ in links if w > 0), default=1.0)
+    dense = lambda w: 1 / max(w, least)
+    born, above, stable, place = [0.0], [-1], [0.0], np.zeros(n, int)
+    ahead = [(len(size) - 1, 0)]
+    while ahead:
+        node, own = ahead.pop()
+        if node < n:
+            stable[own] += size[node] * (1 / least - born[own])
+            place[node] = own
+            continue
+        w, *sides = merges[node]
+        large = [s for s in sides if size[s] >= min_cluster_size]
+        gone = sides if len(large) == 2 else [s for s in sides if s not in large]
+        stable[own] += sum(size[s] for s in gone) * (dense(w) - born[own])
+        if len(large) == 2:
+            for s in sides:
+                born.append(dense(w))
+                above.append(own)
+                stable.append(0.0)
+                ahead.append((s, len(born) - 1))
+            continue
+        ahead += [(s, own) for s in large]
+        while gone:
+            s = gone.pop()
+            if s < n:
+                place[s] = own
+            else:
+                gone += merges[s][1:]
+    below = [0.0] * len(born)
+    chosen = [False] * len(born)
+    for c in range(len(born) - 1, 0, -1):
+        chosen[c] = stable[c] >= below[c]
+        below[above[c]] += max(stable[c], below[c])
+    # Parents come before their children, so the outermost choice wins.
+    label, names = [-1] * len(born), []
+    for c in range(1, len(born)):
+        label[c] = label[above[c]]
+        if label[c] < 0 and chosen[c]:
+            label[c] = len(names)
+            names.append(c)
+    return Density(x, np.array(label)[place], core, np.array([1 / born[c] for c in names]), min_cluster_size, min_samples)
+
+
+def silhouette(d: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+    """Of the rows in clusters, by distances ``d``; -1 for fewer than two clusters or three rows."""
+    own = labels >= 0
+    if labels.max(initial=-1) < 1 or weight[own].sum() < 3:
+        return -1.0
+    d, labels, weight = d[np.ix_(own, own)], labels[own], weight[own]
+    member = (labels[:, None] == np.arange(labels.max() + 1)) * weight[:, None]
+    total, far = member.sum(axis=0), d @ member
+    at = np.arange(len(d)), labels
+    inner = far[at] / np.maximum(1, total[labels] - 1)
+    far = far / total
+    far[at] = np.inf
+    outer = far.min(axis=1)
+    s = np.where(total[labels] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+    return float((s * weight).sum() / weight.sum())
 
 
 @dataclass
@@ -113,15 +201,23 @@ class ClusterFeatures:
         return found[0][-1]
 
     def choose_density(self, x: DataFrame, sizes=(20, 40, 60), samples=(5, 10, 15)) -> Density | None:
+        """The highest silhouette of rows in clusters, then the least noise, then the most clusters."""
         # Equal rows are one, with their count, so that none of them fills the sample.
         counts = x.groupBy(vector_to_array("features").alias("v")).agg(F.count("*").alias("n"))
         picked = counts.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
         rows, weight = np.array([r["v"] for r in picked]), np.array([r["n"] for r in picked])
         if len(rows) < 3:
             return None
-        found = [density_clusters(rows, a, b, weight) for a in sizes for b in samples]
-        found.sort(key=lambda m: (m.labels.max() < 1, (m.labels < 0).mean(), m.min_cluster_size, m.min_samples))
-        return found[0]
+        d, found = _distances(rows), []
+        for a in sizes:
+            for b in samples:
+                model = density_clusters(rows, a, b, weight, d)
+                model.silhouette = silhouette(d, model.labels, weight)
+                noise = float(weight[model.labels < 0].sum() / weight.sum())
+                found.append((-model.silhouette, noise, -len(model.reach), a, b, model))
+        found.sort(key=lambda f: f[:3])
+        self.scores["density"] = [{"min_cluster_size": a, "min_samples": b, "silhouette": -s, "noise": o, "clusters": -k} for s, o, k, a, b, _ in found]
+        return found[0][-1]
 
     def fit(self, df: DataFrame, columns: list[str], kmeans_ks=range(2, 13), mixture_ks=range(2, 13), density: bool = True) -> ClusterFeatures:
         self.columns = list(columns)
@@ -135,7 +231,7 @@ class ClusterFeatures:
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds kmeans_cluster, gmm_cluster and density_cluster; rows in no density cluster share one number past the last."""
+        """Adds kmeans_cluster, gmm_cluster and density_cluster; rows in no density cluster share one number past the last, 1 where there is none."""
         if self.kmeans is None:
             raise RuntimeError("fit first")
         out = self.vectors(df)
@@ -148,11 +244,8 @@ class ClusterFeatures:
             def label(v):
                 import pandas as pd
 
-                x = np.stack(v.to_numpy())
-                gap = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (d.members**2).sum(1)[None] - 2 * x @ d.members.T))
-                near = gap.argmin(1)
-                own = np.where(gap[np.arange(len(x)), near] <= d.reach, d.labels[near], -1)
-                return pd.Series(np.where(own < 0, d.labels.max() + 1, own).astype("int32"))
+                own = d.predict(np.stack(v.to_numpy()))
+                return pd.Series(np.where(own < 0, max(d.labels.max(), 0) + 1, own).astype("int32"))
 
             out = out.withColumn("density_cluster", label(vector_to_array("features")))
         return out.drop("features")
@@ -165,12 +258,12 @@ class ClusterFeatures:
         self.kmeans.write().overwrite().save(f"{path}/kmeans")
         self.mixture.write().overwrite().save(f"{path}/mixture")
         d = self.density
-        about = {"seed": self.seed, "columns": self.columns, "density": d and {"members": d.members.tolist(), "labels": d.labels.tolist(), "reach": d.reach, "min_cluster_size": d.min_cluster_size, "min_samples": d.min_samples}}
+        about = {"seed": self.seed, "columns": self.columns, "density": d and {"members": d.members.tolist(), "labels": d.labels.tolist(), "core": d.core.tolist(), "reach": d.reach.tolist(), "min_cluster_size": d.min_cluster_size, "min_samples": d.min_samples, "silhouette": d.silhouette}}
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ClusterFeatures:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
         d = about["density"]
-        density = d and Density(np.array(d["members"]), np.array(d["labels"]), d["reach"], d["min_cluster_size"], d["min_samples"])
+        density = d and Density(np.array(d["members"]), np.array(d["labels"], int), np.array(d["core"]), np.array(d["reach"]), d["min_cluster_size"], d["min_samples"], d["silhouette"])
         return cls(about["seed"], about["columns"], KMeansModel.load(f"{path}/kmeans"), GaussianMixtureModel.load(f"{path}/mixture"), density)

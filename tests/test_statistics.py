@@ -332,3 +332,48 @@ def test_density_clusters_weigh_equal_rows(spark, tmp_path):
     fitted.save(spark, f"{tmp_path}/model")
     again = clustering.ClusterFeatures.load(spark, f"{tmp_path}/model")
     assert [tuple(r) for r in again.predict(d).limit(90).collect()] == [tuple(r) for r in fitted.predict(d).limit(90).collect()]
+
+
+def test_density_clusters_of_different_density():
+    from relscope.operators import clustering
+
+    rng = np.random.default_rng(8)
+    # No single cut separates the two tight groups and keeps the wide one whole.
+    parts = [rng.normal((0, 0), 0.05, (60, 2)), rng.normal((0.6, 0), 0.05, (60, 2)), rng.normal((20, 0), 1.5, (60, 2)), [(60, 60), (-50, 40)]]
+    x = np.vstack(parts)
+    found = clustering.density_clusters(x, 20, 5)
+    names = [set(found.labels[a : a + 60].tolist()) - {-1} for a in (0, 60, 120)]
+    assert all(len(s) == 1 for s in names) and len(set.union(*names)) == 3
+    assert found.labels[180:].tolist() == [-1, -1] and (found.labels < 0).mean() < 0.2
+    own = found.predict(np.array([(0.0, 0.0), (0.6, 0.0), (20.0, 0.0), (100.0, 100.0)])).tolist()
+    assert [*own[:3]] == [s.pop() for s in names] and own[3] == -1
+    d = clustering._distances(x)
+    weight = np.ones(len(x), int)
+    each = []
+    for i in np.flatnonzero(found.labels >= 0):
+        means = {c: d[i][(found.labels == c) & (np.arange(len(x)) != i)].mean() for c in range(3)}
+        a, b = means[found.labels[i]], min(m for c, m in means.items() if c != found.labels[i])
+        each.append((b - a) / max(a, b))
+    assert clustering.silhouette(d, found.labels, weight) == pytest.approx(np.mean(each))
+    # All rows equal, or one blob: no cluster of its own.
+    assert set(clustering.density_clusters(np.zeros((50, 2)), 20, 5).labels) <= {-1, 0, 1}
+    assert clustering.silhouette(d[:3, :3], np.array([-1, -1, -1]), weight[:3]) == -1.0
+
+
+def test_files(spark, tmp_path):
+    from relscope.sources import tables
+
+    (tmp_path / "habits.csv").write_text("Customer ID,Gender,Age,Frequency of Purchases,Previous Purchases,Discount Applied\n" + "".join(f"{k}, {('Male', 'Female')[k % 2]} ,{20 + k},Weekly,{k},{('Yes', 'No')[k % 3 == 0]}\n" for k in range(36)))
+    d = tables.csv(spark, f"{tmp_path}/habits.csv")
+    assert dict(d.dtypes)["Age"] == "int" and {r.Gender for r in d.collect()} == {"Male", "Female"}
+    h = tables.load_habits(spark, f"{tmp_path}/habits.csv")
+    assert "Customer ID" not in h.columns and "Gender" not in h.columns
+    rows = h.collect()
+    assert sum(r.Male == "1" for r in rows) == 18 and sum(r["Discount Applied"] == "1" for r in rows) == 24
+    assert max(r["Total Days of Patronage"] for r in rows) == 35 * 7 and {r["Age_Ordinalized"] for r in rows} == {str(k) for k in range(1, 7)}
+    assert preparation.preview(d, 3, 1).count() == 3
+
+
+def test_draws_by_weights(spark):
+    n = {r.v: r.n for r in probability.sampled(spark.range(20_000), "v", ["a", "b", "c"], [1, 2, 5], 3).groupBy("v").agg(F.count("*").alias("n")).collect()}
+    assert n["a"] == pytest.approx(2500, abs=250) and n["b"] == pytest.approx(5000, abs=300) and sum(n.values()) == 20_000

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Models fitted at a time: each is a run of short jobs, which leave cores idle alone.
+AT_ONCE = 4
 #: Distinct rows that density clusters are fitted on, weighted with their counts; others take their nearest member's label.
 SAMPLE = 1500
 
@@ -158,6 +162,11 @@ def silhouette(d: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
     return float((s * weight).sum() / weight.sum())
 
 
+def at_once(fit: Callable[[int], tuple], ks) -> list[tuple]:
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(fit, ks))
+
+
 @dataclass
 class ClusterFeatures:
     """Fits up to three clusterings on named columns and adds their labels."""
@@ -178,25 +187,28 @@ class ClusterFeatures:
 
     def choose_kmeans(self, x: DataFrame, ks=range(2, 13)) -> KMeansModel:
         """The highest silhouette, then the lowest cost."""
-        found = []
-        for k in ks:
+
+        def fitted(k: int) -> tuple:
             model = KMeans(k=k, seed=self.seed).fit(x)
             labelled = model.transform(x)
             score = ClusteringEvaluator().evaluate(labelled) if len(model.clusterCenters()) > 1 else -1.0
-            found.append((-score, model.summary.trainingCost, k, model))
-        found.sort(key=lambda f: f[:3])
+            return -score, model.summary.trainingCost, k, model
+
+        found = sorted(at_once(fitted, ks), key=lambda f: f[:3])
         self.scores["kmeans"] = [{"k": k, "silhouette": -s, "cost": c} for s, c, k, _ in found]
         return found[0][-1]
 
     def choose_mixture(self, x: DataFrame, ks=range(2, 13)) -> GaussianMixtureModel:
         """The lowest BIC, then AIC; full covariances, which are what MLlib fits."""
-        n, d, found = x.count(), len(self.columns), []
-        for k in ks:
+        n, d = x.count(), len(self.columns)
+
+        def fitted(k: int) -> tuple:
             model = GaussianMixture(k=k, seed=self.seed).fit(x)
             free = k * (d + d * (d + 1) / 2) + k - 1
             ll = model.summary.logLikelihood
-            found.append((free * np.log(n) - 2 * ll, 2 * free - 2 * ll, k, model))
-        found.sort(key=lambda f: f[:3])
+            return free * np.log(n) - 2 * ll, 2 * free - 2 * ll, k, model
+
+        found = sorted(at_once(fitted, ks), key=lambda f: f[:3])
         self.scores["mixture"] = [{"k": k, "bic": float(b), "aic": float(a)} for b, a, k, _ in found]
         return found[0][-1]
 

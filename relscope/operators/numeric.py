@@ -91,53 +91,44 @@ def _spearman(rows: DataFrame, w: str | None = None) -> DataFrame:
     return _pearson(points, "rx", "ry", "n")
 
 
-def kendall_tau(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float | None:
-    """Tau-b of weighted points, in n log n by a Fenwick tree over the ranks of y."""
-    order = np.lexsort((y, x))
-    x, y, n = x[order], y[order], n[order].astype(float)
-    ranks = np.unique(y, return_inverse=True)[1] + 1
-    tree, size = np.zeros(ranks.max() + 1), int(ranks.max())
-
-    def add(i: int, w: float) -> None:
-        while i <= size:
-            tree[i] += w
-            i += i & -i
-
-    def upto(i: int) -> float:
-        s = 0.0
-        while i:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    score, seen, at = 0.0, 0.0, 0
-    while at < len(x):
-        end = at
-        while end < len(x) and x[end] == x[at]:
-            end += 1
-        for k in range(at, end):
-            below = upto(int(ranks[k]) - 1)
-            score += n[k] * (below - (seen - upto(int(ranks[k]))))
-        for k in range(at, end):
-            add(int(ranks[k]), n[k])
-            seen += n[k]
-        at = end
-    pairs = lambda c: float((c * (c - 1)).sum() / 2)
-    total = seen * (seen - 1) / 2
-    tx = pairs(np.bincount(np.unique(x, return_inverse=True)[1], n))
-    ty = pairs(np.bincount(ranks, n))
-    down = math.sqrt(total - tx) * math.sqrt(total - ty) if total > tx and total > ty else 0.0
-    return score / down if down else None
-
-
 def _kendall(rows: DataFrame, w: str | None = None) -> DataFrame:
-    """Compressed to distinct points, then counted per pair of columns; ``w`` counts a row's copies."""
-    points = rows.groupBy("a", "b", "x", "y").agg((F.sum(w) if w else F.count("*")).alias("n"))
-
-    def tau(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"a": [p.a.iloc[0]], "b": [p.b.iloc[0]], "correlation": [kendall_tau(p.x.to_numpy(), p.y.to_numpy(), p.n.to_numpy())]})
-
-    return points.groupBy("a", "b").applyInPandas(tau, "a string, b string, correlation double")
+    """Tau-b of distinct points with counts; ``w`` counts a row's copies.
+
+    Two ranks differ first in one bit, which is 0 in the smaller.  So a point goes, once per
+    bit of its rank in the column of fewer values, to the group of ranks that agree in all
+    higher bits; there each 1 counts the 0s of smaller values in the other column by a
+    running sum.  No task holds all points of a pair of columns.
+    """
+    by, group = ["a", "b"], ["a", "b", "bit", "prefix"]
+    points = rows.groupBy(*by, "x", "y").agg((F.sum(w) if w else F.count("*")).cast("double").alias("n"))
+    sides = F.explode(F.array(*(F.struct(F.lit(v).alias("side"), F.col(v).alias("v")) for v in "xy")))
+    values = points.select(*by, sides.alias("s"), "n").select(*by, "s.*", "n").groupBy(*by, "side", "v").agg(F.sum("n").alias("n"))
+    # Reads n, so that all that reads the values shares their shuffle.
+    values = values.withColumn("one", F.when(F.col("n") > 0, 1).otherwise(0))
+    own = lambda side, v: F.when(F.col("side") == side, v)
+    tied = F.col("n") * (F.col("n") - 1) / 2
+    totals = values.groupBy(*by).agg(F.sum(own("x", F.col("n"))).alias("all"), *(e for v in "xy" for e in (F.count(own(v, F.lit(1))).alias(f"m{v}"), F.sum(own(v, tied)).alias(f"t{v}"))))
+    fewer = F.when(F.col("mx") < F.col("my"), "x").otherwise("y")
+    spans = totals.select(*by, fewer.alias("side"), F.length(F.bin(F.least("mx", "my") - 1)).alias("bits"))
+    placed = points.join(F.broadcast(spans), by)
+    placed = placed.select(*by, "side", "bits", "n", *(F.when(F.col("side") == s, F.col("x")).otherwise(F.col("y")).alias(c) for s, c in (("x", "v"), ("y", "other"))))
+    placed = placed.join(anova.running(values, [*by, "side"], "v", "one", "rank", False).select(*by, "side", "v", "rank"), [*by, "side", "v"])
+    each = placed.withColumn("bit", F.explode(F.expr("sequence(0, bits - 1)"))).withColumn("prefix", F.expr("shiftright(rank, bit + 1)"))
+    upper = F.expr("shiftright(rank, bit) % 2 = 1")
+    cells = each.groupBy(*group, "other").agg(F.sum(F.when(upper, 0.0).otherwise(F.col("n"))).alias("zeros"), F.sum(F.when(upper, F.col("n")).otherwise(0.0)).alias("ones"))
+    ranges = Window.partitionBy(*group, "_range").orderBy("other").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_range", anova.range_of("other"))
+    cells = cells.withColumn("below", F.sum("zeros").over(ranges) - F.col("zeros"))
+    in_order, equal = F.sum(F.col("ones") * F.col("below")), F.sum(F.col("ones") * F.col("zeros"))
+    parts = cells.groupBy(*group, "_range").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), (2 * in_order + equal).alias("own"))
+    whole = Window.partitionBy(*group)
+    upto = F.sum("zeros").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("zeros")
+    # Twice the pairs in order, and those of equal values, less all pairs.
+    parts = parts.withColumn("score", F.col("own") + F.col("ones") * (2 * upto - F.sum("zeros").over(whole)))
+    scores = parts.groupBy(*by).agg(F.sum("score").alias("score"))
+    pairs = F.col("all") * (F.col("all") - 1) / 2
+    down = F.sqrt(F.greatest(pairs - F.col("tx"), F.lit(0.0))) * F.sqrt(F.greatest(pairs - F.col("ty"), F.lit(0.0)))
+    return totals.join(scores, by).select(*by, (F.col("score") / F.nullif(down, F.lit(0.0))).alias("correlation"))
 
 
 def correlations(df: DataFrame, method: str = "spearman", columns: roles.Names = None, target: str | None = None) -> DataFrame:

@@ -93,10 +93,13 @@ def test_correlations(spark):
     with pytest.raises(ValueError, match="method"):
         numeric.correlations(d, "tau")
     rng = np.random.default_rng(1)
-    x, y = rng.integers(0, 6, 40), rng.integers(0, 6, 40)
-    s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(40) for j in range(i))
-    tx, ty = (sum(v[i] != v[j] for i in range(40) for j in range(i)) for v in (x, y))
-    assert numeric.kendall_tau(x, y, np.ones(40)) == pytest.approx(s / math.sqrt(tx * ty))
+    for n, few, many in ((40, 6, 6), (120, 3, 90), (120, 90, 2), (90, 500, 500)):
+        x, y = rng.integers(-few, few, n) / 8, rng.integers(-many, many, n)
+        s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
+        tx, ty = (sum(v[i] != v[j] for i in range(n) for j in range(i)) for v in (x, y))
+        d = frame(spark, [*zip(x.tolist(), y.tolist(), strict=True), (None, 1), (1.0, None)], "x double, y int")
+        assert numeric.correlations(d, "kendall").first().correlation == pytest.approx(s / math.sqrt(tx * ty))
+    assert numeric.correlations(frame(spark, [(1.0, 2)], "x double, y int"), "kendall").first().correlation is None
 
 
 def test_normality(spark):

@@ -1,7 +1,8 @@
 """WARC archives: a writer in DataFrame operations and a Python data source that reads them.
 
-The writer makes one record per row as text whose line ends are those of WARC, so that
-Spark's own committer places the files: a lost executor leaves no half-written archive.
+The writer makes one record per row, a gzip member of its own, so that archives can be read
+from any record's offset; Spark's own committer places the files, so a lost executor leaves
+no half-written archive.
 The reader plans one partition per file, takes record-type and header predicates pushed
 down by Spark, parses a record's headers first and passes over the blocks it doesn't need.
 """
@@ -9,11 +10,13 @@ down by Spark, parses a record's headers first and passes over the blocks it doe
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
@@ -28,6 +31,10 @@ DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Groups of equal payloads that are broadcast, at most; beyond, pages are shuffled.
 FEW = 500_000
+#: Records of an archive, at most, so that its size doesn't follow that of a partition.
+MOST = 100_000
+#: An empty gzip member, which goes between those of records; its bytes as ISO-8859-1.
+GAP = gzip.compress(b"", mtime=0).decode("latin-1")
 
 COLUMNS = {
     "record_id": "string",
@@ -97,10 +104,20 @@ def record(page_id: str = "page_id") -> Column:
     return F.concat(head, F.lit(CRLF + CRLF), block)
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes gzipped archives, one per task, of (page_id, url, html) rows."""
-    records = with_digests(pages, least).select(record().alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+def _members(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Records as gzip members; those of equal records are equal, so a task that runs again writes the same."""
+    for (data,) in rows:
+        yield (gzip.compress(data + b"\r\n\r\n", 6, mtime=0),)
+
+
+def write(pages: DataFrame, path: str, least: int = 0, most: int = MOST) -> None:
+    """Writes archives of at most ``most`` gzipped records, one or more per task, of (page_id, url, html) rows."""
+    runtime.tune(pages.sparkSession)
+    records = with_digests(pages, least).select(record().cast("binary").alias("value"))
+    members = records.mapInArrow(runtime.by_rows(_members, pa.schema([("value", pa.binary())]), runtime.BATCH_ROWS), "value binary")
+    # The text writer puts down the bytes of strings as they are.
+    writer = members.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", GAP)
+    writer.option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
 @dataclass
@@ -113,8 +130,8 @@ def _open(path: str):
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
-    raw = store.open_input_stream(inner, compression=None)
-    return gzip.GzipFile(fileobj=raw) if inner.endswith(".gz") else raw
+    raw = io.BufferedReader(store.open_input_stream(inner, compression=None), 1 << 20)
+    return gzip.GzipFile(fileobj=raw) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
 
 
 def _files(path: str) -> list[str]:

@@ -1,7 +1,10 @@
 """Archives by exact round trip, URL filters against their SQL and by hand."""
 
 import base64
+import gzip
 import hashlib
+import io
+import zlib
 
 import duckdb
 import pytest
@@ -48,11 +51,30 @@ def test_filters_are_pushed_down_and_payloads_left_alone(spark, tmp_path):
     kept = list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload",), b"")]))
     assert len(kept) == 1 and len(reader.filters) == 1
     with pytest.raises(EOFError):
-        import io
-
         list(warc.records(io.BytesIO(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc"), lambda r: True, True))
 
 
+def test_records_are_gzip_members_of_bounded_archives(spark, tmp_path):
+    warc.write(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), f"file://{tmp_path}/w", most=4)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) == 3
+    alone = []
+    for file in files:
+        data = file.read_bytes()
+        assert data.endswith(warc.GAP.encode("latin-1"))
+        while data:
+            member = zlib.decompressobj(31)
+            text = member.decompress(data)
+            data = member.unused_data
+            alone += list(warc.records(io.BytesIO(text), lambda r: True, True)) if text else []
+            assert text == b"" or text.startswith(b"WARC/1.0\r\n") and text.endswith(b"\r\n\r\n")
+    assert len(alone) == len(ROWS)
+    assert sorted(map(str, alone)) == sorted(str(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r)) for r in warc.read(spark, f"file://{tmp_path}/w").collect())
+    plain = tmp_path / "plain.warc"
+    plain.write_bytes(b"".join(gzip.decompress(f.read_bytes()) for f in files))
+    assert warc.read(spark, f"file://{plain}", payload=False).count() == len(ROWS)
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op3_warc(spark, str(tmp_path)).collect() == []

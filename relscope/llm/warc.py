@@ -266,7 +266,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, path).select(
         "page_id",
         F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, sha1_base32(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        # Revisits have no payload.  What stands first is always evaluated, so the parts that the digest repeats are computed once.
+        F.coalesce(sha1_base32(F.col("payload")), F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import roles
 from ..functions import special
 from . import batch
+from .ranks import matched, quantiles, ranked, running, splitters, tied_sums, with_median
 
 PAIR = ["category", "numeric"]
 #: Within-group mean squares that are as good as zero, as an absolute bound.
@@ -47,87 +48,15 @@ def one_way(df: DataFrame, pairs: list[tuple[str, str]], dropna: bool = True) ->
     return _named(df, pairs, one_way_of(batch.mixed(df, pairs, dropna), PAIR))
 
 
-#: Ranges per doubling in which running sums over values are taken.
-RANGES = 32
+def kruskal_of(rows: DataFrame, by: list[str], n: str | None = None, splits: list[float] | None = None) -> DataFrame:
+    """(by, n, k, h_stat, p_value).  Ranks run over distinct values with counts, range by range; ``n`` counts a row's copies."""
+    splits = splitters(rows, "y") if splits is None else splits
+    cells = rows.groupBy(*by, "level", "y").agg((F.sum(n) if n else F.count("*")).alias("c"))
+    return kruskal_of_sums(tied_sums(cells, by, "level", "c", splits), by)
 
 
-def range_of(value: str) -> Column:
-    """The number of a value's range: rises with the value, and the values of an octave are in ``RANGES`` of them."""
-    v = F.col(value).cast("double")
-    size = F.floor(F.log2(F.abs(v)) * RANGES) + 1100 * RANGES
-    return F.when(F.isnan(v) | (v == float("inf")), 1 << 20).when(v == float("-inf"), -(1 << 20)).when(v > 0, size).when(v < 0, -size).otherwise(0)
-
-
-def matched(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Inner join on groups, of which a null may be one."""
-    if not by:
-        return left.crossJoin(F.broadcast(right))
-    right = right.withColumnsRenamed({c: f"_by_{c}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return left.join(right, same).drop(*(f"_by_{c}" for c in by))
-
-
-def running(cells: DataFrame, by: list[str], value: str, n: str, name: str, own: bool) -> DataFrame:
-    """Adds the running sum of ``n`` in the order of ``value``, each row's own included or not.
-
-    Sums run within ranges of values and over the ranges' totals, so that no task holds all values of a group.
-    """
-    cells = cells.withColumn("_range", range_of(value))
-    totals = cells.groupBy(*by, "_range").agg(F.sum(n).alias("_all"))
-    before = totals.select(*by, "_range", (F.sum("_all").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_all")).alias("_before"))
-    part = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    within = F.sum(n).over(part) - (F.lit(0) if own else F.col(n))
-    return matched(cells.withColumn("_within", within), before, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
-
-
-def ranked(counts: DataFrame, by: list[str], value: str = "y", n: str = "n") -> DataFrame:
-    """Mid-ranks of distinct values with counts: adds ``rank``."""
-    return running(counts, by, value, n, "rank", False).withColumn("rank", F.col("rank") + (F.col(n) + 1) / 2)
-
-
-def quantiles(rows: DataFrame, by: list[str], shares: tuple[float, ...], y: str = "y") -> DataFrame:
-    """(by, q): exact quantiles, linear between neighbours, from running counts of distinct values."""
-    counts = rows.where(F.col(y).isNotNull()).groupBy(*by, F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    upto = running(counts, by, "y", "n", "upto", True)
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
-    upto = matched(upto, totals, by)
-    found = []
-    for i, share in enumerate(shares):
-        at = F.lit(share) * (F.col("_all") - 1)
-        for k, place in (("f", F.floor(at)), ("c", F.ceil(at))):
-            # The smallest value of which more than ``place`` rows are no larger.
-            found.append(F.min(F.when(F.col("upto") > place, F.col("y"))).alias(f"{k}{i}"))
-        found.append(F.max(at - F.floor(at)).alias(f"w{i}"))
-    s = upto.groupBy(*by).agg(*found)
-    return s.select(*by, F.array(*(F.col(f"f{i}") + (F.col(f"c{i}") - F.col(f"f{i}")) * F.col(f"w{i}") for i in range(len(shares)))).alias("q"))
-
-
-def with_median(df: DataFrame, stats: DataFrame, y: str, by: list[str]) -> DataFrame:
-    """One row per group with ``median`` added; null for a group without values."""
-    rows = df.select(*by, roles.number(df, y).alias("_y"))
-    found = quantiles(rows, by, (0.5,), "_y").select(*by, F.col("q")[0].alias("median"))
-    if not by:
-        return stats.crossJoin(F.broadcast(found.agg(F.max("median").alias("median"))))
-    found = found.withColumnsRenamed({c: f"_by_{c}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return stats.join(found, same, "left").drop(*(f"_by_{c}" for c in by))
-
-
-def kruskal_of(rows: DataFrame, by: list[str], n: str | None = None) -> DataFrame:
-    """(by, n, k, h_stat, p_value).  Ranks run over distinct values with counts, within ranges of them; ``n`` counts a row's copies."""
-    cells = rows.groupBy(*by, "level", "y").agg((F.sum(n) if n else F.count("*")).alias("c")).withColumn("_range", range_of("y"))
-    part = Window.partitionBy(*by, "_range")
-    ranks = cells.withColumn("upto", F.sum("c").over(part.orderBy("y").rangeBetween(Window.unboundedPreceding, 0))).withColumn("tied", F.sum("c").over(Window.partitionBy(*by, "_range", "y")))
-    within = F.col("upto") - F.col("tied") + (F.col("tied") + 1) / 2
-    # A level's rank sum in a range grows by all that stands in lower ranges, once for each of its rows there.
-    parts = ranks.groupBy(*by, "_range", "level").agg(F.sum("c").alias("gn"), F.sum(F.col("c") * within).alias("r"), F.sum(F.col("c") * (F.col("tied").cast("double") ** 2 - 1)).alias("ties"), F.max("tied").alias("tied"))
-    below = F.sum("gn").over(Window.partitionBy(*by).orderBy("_range").rangeBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("r", F.col("r") + F.coalesce(below, F.lit(0)) * F.col("gn"))
-    groups = parts.groupBy(*by, "level").agg(F.sum("gn").alias("gn"), F.sum("r").alias("r"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
+def kruskal_of_sums(groups: DataFrame, by: list[str]) -> DataFrame:
+    """The same from each level's rows ``gn``, rank sum ``r``, part of the ties and most equal rows."""
     s = groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum(F.col("r") ** 2 / F.col("gn")).alias("rr"), F.sum("gn").alias("n"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
     n = F.col("n").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("rr") - 3 * (n + 1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from . import anova, batch, numeric
+from . import anova, batch, numeric, ranks
 
 PAIR = ["category", "numeric"]
 #: What the lenient gate answers; a fixed value.
@@ -40,14 +40,14 @@ class KruskalRules:
 
 def levene(rows: DataFrame, by: list[str] = PAIR) -> DataFrame:
     """(by, p_value) of the median-centred test: ANOVA on distances from the group's median."""
-    centre = anova.quantiles(rows, [*by, "level"], (0.5,)).select(*by, "level", F.col("q")[0].alias("med"))
+    centre = ranks.quantiles(rows, [*by, "level"], (0.5,)).select(*by, "level", F.col("q")[0].alias("med"))
     away = rows.join(centre, [*by, "level"]).withColumn("y", F.abs(F.col("y") - F.col("med")))
     return anova.one_way_of(away, by).select(*by, F.col("f_stat").alias("levene"), "p_value")
 
 
 def without_outliers(rows: DataFrame, by: list[str] = PAIR, multiplier: float = 1.5) -> DataFrame:
     """Rows within the quartiles of their group, widened by a multiple of the quartile range."""
-    q = anova.quantiles(rows, [*by, "level"], (0.25, 0.75))
+    q = ranks.quantiles(rows, [*by, "level"], (0.25, 0.75))
     w = F.lit(multiplier) * (F.col("q")[1] - F.col("q")[0])
     return rows.join(q, [*by, "level"]).where((F.col("y") >= F.col("q")[0] - w) & (F.col("y") <= F.col("q")[1] + w)).drop("q")
 
@@ -73,59 +73,104 @@ def anova_met(df: DataFrame, pairs: list[tuple[str, str]], rules: AnovaRules = A
 
 
 def ks_exact_p(n1: int, n2: int, d: float) -> float:
-    """Two-sided tail by counting lattice paths that stay within the distance."""
+    """Two-sided tail: the share of lattice paths that reach the distance, counted row by row.
+
+    Only the band of cells within the distance is kept of a row; all paths to a cell beyond it count.
+    """
     if d <= 0:
         return 1.0
     n, m = max(n1, n2), min(n1, n2)
-    lcm = n * m // math.gcd(n, m)
-    h = round(d * lcm)
-    up, across = lcm // n, lcm // m
-    # Share of paths that stay strictly below the distance, cell by cell.
-    row = np.zeros(m + 1)
-    j = np.arange(m + 1)
-    inside = np.abs(j * across) < h
-    row[0] = 1.0
-    for k in range(1, m + 1):
-        row[k] = row[k - 1] if inside[k] and inside[k - 1] else 0.0
-    for i in range(1, n + 1):
-        ok = np.abs(i * up - j * across) < h
-        new = np.zeros(m + 1)
-        left = 0.0
-        for k in range(m + 1):
-            if ok[k]:
-                stay = i / (i + k)
-                left = row[k] * stay + (left * (k / (i + k)) if k else 0.0)
-            else:
-                left = 0.0
-            new[k] = left
-        row = new
-    return float(min(1.0, max(0.0, 1 - row[m])))
-
-
-def _ks_exact_small(p: pd.DataFrame) -> pd.DataFrame:
-    return p.assign(p_value=[ks_exact_p(a, b, d) for a, b, d in zip(p.n_1, p.n_2, p.ks_stat, strict=True)])
-
-
-def ks_pairs(rows: DataFrame, by: list[str] = PAIR, exact_cells: int = 400_000) -> DataFrame:
+    lcm = math.lcm(n, m)
+    h, up, across = round(d * lcm), lcm // m, lcm // n
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + m + 1)))])
+    paths = lambda i, k: factorial[i + k] - factorial[i] - factorial[k]
+    # Counts are in units of exp(scale), the largest so far being about 1.
+    row, low, high, scale = np.zeros(min(n, (h - 1) // across) + 1), 0, min(n, (h - 1) // across), -math.inf
+    for i in range(1, m + 1):
+        lo, hi = max(0, (i * up - h) // across + 1), min(n, -((-i * up - h) // across) - 1)
+        left = float(paths(i, lo - 1)) if lo else -math.inf
+        above = paths(i - 1, np.arange(high + 1, hi + 1))
+        largest = max(scale, left, above.max(initial=-math.inf))
+        if largest == -math.inf:
+            row, low, high = np.zeros(hi - lo + 1), lo, hi
+            continue
+        from_above = np.concatenate([row[lo - low :] * math.exp(scale - largest), np.exp(above - largest)])
+        row = math.exp(left - largest) + np.cumsum(from_above)
+        top = row.max()
+        row, low, high, scale = row / top if top else row, lo, hi, largest + math.log(top) if top else largest
+    return float(min(1.0, math.exp(min(0.0, scale - paths(m, n))) * row[-1])) if scale > -math.inf else 0.0
+
+
+def _exact(p: pd.DataFrame, most: int) -> pd.DataFrame:
+    """P-values of pairs of small groups replaced by exact ones."""
+    few = p[["n_1", "n_2"]].max(axis=1) <= most
+    return p.assign(p_value=[ks_exact_p(a, b, d) if f else q for f, a, b, d, q in zip(few, p.n_1, p.n_2, p.ks_stat, p.p_value, strict=True)])
+
+
+#: Shares that a sweep holds at a time.
+HELD = 4_000_000
+
+
+def _largest_gaps(by: list[str]):
+    """One range of one test: the largest gap of every two groups' cumulative shares at its values.
+
+    Rows with ``n`` tell each group's size and what it has in lower ranges.  A gap can only peak where one of both
+    groups has a row, so a group is held against all others at its own values.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        known, cells = p[p["n"].notna()].sort_values("level"), p[p["n"].isna()]
+        levels, sizes, upto = known["level"].to_numpy(), known["n"].to_numpy(float), known["c"].to_numpy(float)
+        group = pd.Index(levels).get_indexer(cells["level"])
+        values, place = np.unique(cells["y"].to_numpy(), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        place, group, count = place[order], group[order], cells["c"].to_numpy(float)[order]
+        gap, step = np.zeros((len(levels), len(levels))), max(1, HELD // max(1, len(levels)))
+        for at in range(0, len(values), step):
+            a, b = np.searchsorted(place, [at, at + step])
+            shares = np.zeros((min(step, len(values) - at), len(levels)))
+            shares[place[a:b] - at, group[a:b]] = count[a:b]
+            shares = np.cumsum(shares, axis=0) + upto
+            upto = shares[-1]
+            shares = shares / sizes
+            own = np.argsort(group[a:b], kind="stable")
+            edges = np.searchsorted(group[a:b][own], np.arange(len(levels) + 1))
+            for g in np.flatnonzero(np.diff(edges)).tolist():
+                at_own = shares[place[a:b][own[edges[g] : edges[g + 1]]] - at]
+                gap[g] = np.maximum(gap[g], np.abs(at_own - at_own[:, g : g + 1]).max(axis=0))
+        gap = np.maximum(gap, gap.T)
+        one, two = np.triu_indices(len(levels), 1)
+        out = {"x_1": levels[one], "x_2": levels[two], "n_1": sizes[one].astype(np.int64), "n_2": sizes[two].astype(np.int64), "gap": gap[one, two]}
+        return pd.DataFrame({c: p[c].iloc[0] for c in by} | out) if len(one) else pd.DataFrame(columns=[*by, *out])
+
+    return run
+
+
+def ks_pairs(rows: DataFrame, by: list[str] = PAIR, exact: int = EXACT) -> DataFrame:
     """(by, x_1, x_2, n_1, n_2, ks_stat, p_value) of every two groups.
 
-    The statistic is native: cumulative shares over the pair's distinct values.  P-values
-    are exact while the lattice has up to ``exact_cells`` cells, asymptotic beyond.
+    All groups are swept at once, range by range of the values, so a row takes part once however many groups
+    there are.  P-values are exact while both groups have up to ``exact`` rows, asymptotic beyond.
     """
+    splits = ranks.splitters(rows, "y")
     cells = rows.groupBy(*by, "level", "y").agg(F.count("*").alias("c"))
-    sizes = cells.groupBy(*by, "level").agg(F.sum("c").alias("n"))
-    one, two = (sizes.select(*by, F.col("level").alias(f"x_{k}"), F.col("n").alias(f"n_{k}")) for k in (1, 2))
-    pairs = one.join(two, by).where("x_1 < x_2")
-    key = [*by, "x_1", "x_2"]
-    sides = pairs.select(*key, "n_1", "n_2", F.explode(F.array(F.struct(F.col("x_1").alias("level"), F.lit(1).alias("side")), F.struct(F.col("x_2").alias("level"), F.lit(2).alias("side")))).alias("s")).select(*key, "n_1", "n_2", "s.*")
-    share = F.when(F.col("side") == 1, F.col("c") / F.col("n_1")).otherwise(-F.col("c") / F.col("n_2"))
-    steps = sides.join(cells, [*by, "level"]).withColumn("step", share).groupBy(*key, "n_1", "n_2", "y").agg(F.sum("step").alias("step"))
-    d = anova.running(steps, key, "y", "step", "gap", True).withColumn("gap", F.abs("gap")).groupBy(*key, "n_1", "n_2").agg(F.max("gap").alias("ks_stat"))
-    small = F.col("n_1") * F.col("n_2") <= exact_cells
+    cells = ranks.with_range(cells, "y", splits)
+    totals = cells.groupBy(*by, "_range", "level").agg(F.sum("c").alias("c"))
+    sizes = totals.groupBy(*by, "level").agg(F.sum("c").alias("n"))
+    grid = ranks.matched(totals.select(*by, "_range").distinct(), sizes, by)
+    grid = grid.join(totals, [*by, "_range", "level"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    known = ranks.before(grid, [*by, "level"], "c", "_before")
+    known = known.select(*by, "_range", "level", F.lit(None).cast("double").alias("y"), F.col("_before").alias("c"), "n")
+    both = known.unionByName(cells.select(*by, "_range", "level", F.col("y").cast("double").alias("y"), "c", F.lit(None).cast("long").alias("n")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+    level = rows.schema["level"].dataType.simpleString()
+    own = f"x_1 {level}, x_2 {level}, n_1 long, n_2 long"
+    gaps = both.groupBy(*by, "_range").applyInPandas(_largest_gaps(by), f"{kinds + ', ' if by else ''}{own}, gap double")
+    d = gaps.groupBy(*by, "x_1", "x_2", "n_1", "n_2").agg(F.max("gap").alias("ks_stat"))
     both = (F.col("n_1") * F.col("n_2") / (F.col("n_1") + F.col("n_2"))).cast("double")
-    large = d.where(~small).withColumn("p_value", special.kolmogorov_sf(F.sqrt(both) * F.col("ks_stat")))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields) + ", p_value double"
-    return d.where(small).mapInPandas(lambda it: map(_ks_exact_small, it), ddl).unionByName(large)
+    d = d.withColumn("p_value", special.kolmogorov_sf(F.sqrt(both) * F.col("ks_stat")))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
+    return d.mapInPandas(lambda it: (_exact(p, exact) for p in it), ddl) if exact else d
 
 
 def ks_met(pairs: DataFrame, by: list[str] = PAIR, alpha: float = 0.05, tolerant: bool = False) -> DataFrame:

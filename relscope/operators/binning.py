@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import roles
-from . import anova, numeric
+from . import anova, numeric, ranks
 
 PAD = 1e-10
 #: Answers of a bisection that one job prepares for: it tests 2 ** AHEAD - 1 numbers of bins.
@@ -134,9 +134,9 @@ def _moments(rows: DataFrame, by: list[str], columns: str) -> DataFrame:
     """Counts, means and sample variances of weighted columns: two aggregations, so nothing cancels."""
     total = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w")))
     means = rows.groupBy(*by).agg(*(e for c in columns for e in (total(c).alias(f"n{c}"), (F.sum(F.col(c) * F.col("w")) / total(c)).alias(f"m{c}"))))
-    away = anova.matched(rows, means, by)
+    away = ranks.matched(rows, means, by)
     squares = away.groupBy(*by).agg(*(F.sum((F.col(c) - F.col(f"m{c}")) ** 2 * F.col("w")).alias(f"s{c}") for c in columns))
-    both = anova.matched(means, squares, by)
+    both = ranks.matched(means, squares, by)
     return both.withColumns({f"v{c}": F.when(F.col(f"n{c}") > 1, F.col(f"s{c}") / F.nullif(F.col(f"n{c}") - 1, F.lit(0))) for c in columns})
 
 

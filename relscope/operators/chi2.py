@@ -23,25 +23,39 @@ def independence(df: DataFrame, pairs: list[tuple[str, str]], dropna: bool = Tru
     if not pairs:
         return df.sparkSession.createDataFrame([], "category_a string, category_b string, n long, chi2 double, dof long, p_value double, assumptions_met boolean")
     counts = batch.category_pairs(df, pairs, dropna)
-    rows, columns, all_ = Window.partitionBy(*PAIR, "la"), Window.partitionBy(*PAIR, "lb"), Window.partitionBy(*PAIR)
-    cells = counts.withColumn("ra", F.sum("n").over(rows)).withColumn("rb", F.sum("n").over(columns)).withColumn("total", F.sum("n").over(all_))
-    stats = cells.groupBy(*PAIR).agg(
-        F.max("total").alias("n"),
-        (F.sum(F.col("n") * F.col("n") * F.col("total") / (F.col("ra") * F.col("rb"))) - F.max("total")).alias("chi2"),
-        ((F.count_distinct("la") - 1) * (F.count_distinct("lb") - 1)).alias("dof"),
-    )
-    # Expected counts include empty cells, so they come from the margins.
-    a = counts.groupBy(*PAIR, "la").agg(F.sum("n").alias("ra"))
-    b = counts.groupBy(*PAIR, "lb").agg(F.sum("n").alias("rb"))
-    expected = a.join(b, PAIR).join(stats.select(*PAIR, F.col("n").alias("total")), PAIR).withColumn("e", F.col("ra") * F.col("rb") / F.col("total"))
-    rule = expected.groupBy(*PAIR).agg(((F.min("e") >= 1) & (F.avg(F.when(F.col("e") < 5, 1.0).otherwise(0.0)) <= 0.2)).alias("met"))
+    ra, rb = (counts.groupBy(*PAIR, level).agg(F.sum("n").alias(name)) for level, name in (("la", "ra"), ("lb", "rb")))
+    rule = expected_counts(ra, rb)
+    cells = counts.join(ra, [*PAIR, "la"]).join(rb, [*PAIR, "lb"])
+    stats = cells.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("rb"))).alias("share"))
+    stats = stats.join(rule.drop("total"), PAIR).select(*PAIR, "n", (F.col("n") * (F.col("share") - 1)).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"), "met")
     named = df.sparkSession.createDataFrame([(x, y, i) for i, (x, y) in enumerate(pairs)], "a string, b string, at int")
     defined = F.col("dof") > 0
-    out = F.broadcast(named).join(stats, PAIR, "left").join(rule, PAIR, "left")
+    out = F.broadcast(named).join(stats, PAIR, "left")
     out = out.select(F.col("a").alias("category_a"), F.col("b").alias("category_b"), F.coalesce("n", F.lit(0)).alias("n"), F.when(defined, F.greatest(F.lit(0.0), F.col("chi2"))).alias("chi2"), "dof", "met")
     return out.select("category_a", "category_b", "n", "chi2", "dof", special.chi2_sf(F.col("chi2"), F.col("dof").cast("double")).alias("p_value"), F.coalesce(F.col("met") & F.col("chi2").isNotNull(), F.lit(False)).alias("assumptions_met"))
 
 
+def expected_counts(ra: DataFrame, rb: DataFrame) -> DataFrame:
+    """(a, b, total, ka, kb, least, low, met) of column pairs from their margins (a, b, la, ra) and (a, b, lb, rb).
+
+    ``least`` is the smallest expected count and ``low`` the number of cells, empty ones included, with one
+    under 5.  Levels of one margin are alike, so two histograms of margins are merged: their values number at most the root of
+    twice the rows, whatever the number of levels.  An expected count ra * rb / total is under 5 where rb <= (5 * total - 1) div ra.
+    """
+    ha = ra.groupBy(*PAIR, F.col("ra").alias("margin")).agg(F.count("*").alias("k"))
+    hb = rb.groupBy(*PAIR, F.col("rb").alias("margin")).agg(F.count("*").alias("k"))
+    sizes = ha.groupBy(*PAIR).agg(F.sum(F.col("margin") * F.col("k")).alias("total"), F.sum("k").alias("ka"), F.min("margin").alias("least_a"))
+    others = hb.groupBy(*PAIR).agg(F.sum("k").alias("kb"), F.min("margin").alias("least_b"))
+    limit = F.expr("(5 * total - 1) div margin")
+    ahead = ha.join(sizes.select(*PAIR, "total"), PAIR).select(*PAIR, limit.alias("at"), F.lit(1).alias("asks"), "k")
+    merged = hb.select(*PAIR, F.col("margin").alias("at"), F.lit(0).alias("asks"), "k").unionByName(ahead)
+    upto = F.sum(F.when(F.col("asks") == 0, F.col("k")).otherwise(0)).over(Window.partitionBy(*PAIR).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    low = merged.withColumn("upto", upto).groupBy(*PAIR).agg(F.sum(F.when(F.col("asks") == 1, F.col("k") * F.col("upto")).otherwise(0)).alias("low"))
+    s = sizes.join(others, PAIR).join(low, PAIR)
+    least = F.col("least_a") * F.col("least_b") / F.col("total")
+    return s.select(*PAIR, "total", "ka", "kb", least.alias("least"), "low", ((least >= 1) & (F.col("low") * 5 <= F.col("ka") * F.col("kb"))).alias("met"))
+
+
 def independence_all(df: DataFrame, columns: roles.Names = None, target: roles.Names = None, exclude: roles.Names = None, dropna: bool = True) -> DataFrame:
     """Every pair of categoric columns, or each target with every other."""
     return independence(df, roles.same_pairs(roles.categoric_columns(df, columns, target, None if target else exclude), target, exclude), dropna)

@@ -1,22 +1,18 @@
-"""Cluster labels as features: k-means and Gaussian mixtures on MLlib, density clusters on a bounded sample."""
+"""Cluster labels as features: k-means and Gaussian mixtures fitted side by side, density clusters on a bounded sample."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Models fitted at a time: each is a run of short jobs, which leave cores idle alone.
-AT_ONCE = 4
+from . import mixtures
+
 #: Distinct rows that density clusters are fitted on, weighted with their counts; others take their nearest member's label.
 SAMPLE = 1500
 
@@ -162,19 +158,15 @@ def silhouette(d: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
     return float((s * weight).sum() / weight.sum())
 
 
-def at_once(fit: Callable[[int], tuple], ks) -> list[tuple]:
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        return list(pool.map(fit, ks))
-
-
 @dataclass
 class ClusterFeatures:
-    """Fits up to three clusterings on named columns and adds their labels."""
+    """Fits up to three clusterings on named columns and adds their labels; rows with a null, NaN or infinity there go."""
 
     seed: int = 42
     columns: list[str] = field(default_factory=list)
-    kmeans: KMeansModel | None = None
-    mixture: GaussianMixtureModel | None = None
+    origin: np.ndarray | None = None
+    kmeans: mixtures.Centres | None = None
+    mixture: mixtures.Mixture | None = None
     density: Density | None = None
     scores: dict[str, list[dict]] = field(default_factory=dict)
 
@@ -183,40 +175,25 @@ class ClusterFeatures:
         missing = [c for c in self.columns if c not in df.columns]
         if missing:
             raise ValueError(f"missing columns: {missing}")
-        return VectorAssembler(inputCols=self.columns, outputCol="features", handleInvalid="skip").transform(df)
-
-    def choose_kmeans(self, x: DataFrame, ks=range(2, 13)) -> KMeansModel:
-        """The highest silhouette, then the lowest cost."""
-
-        def fitted(k: int) -> tuple:
-            model = KMeans(k=k, seed=self.seed).fit(x)
-            labelled = model.transform(x)
-            score = ClusteringEvaluator().evaluate(labelled) if len(model.clusterCenters()) > 1 else -1.0
-            return -score, model.summary.trainingCost, k, model
-
-        found = sorted(at_once(fitted, ks), key=lambda f: f[:3])
-        self.scores["kmeans"] = [{"k": k, "silhouette": -s, "cost": c} for s, c, k, _ in found]
-        return found[0][-1]
-
-    def choose_mixture(self, x: DataFrame, ks=range(2, 13)) -> GaussianMixtureModel:
-        """The lowest BIC, then AIC; full covariances, which are what MLlib fits."""
-        n, d = x.count(), len(self.columns)
-
-        def fitted(k: int) -> tuple:
-            model = GaussianMixture(k=k, seed=self.seed).fit(x)
-            free = k * (d + d * (d + 1) / 2) + k - 1
-            ll = model.summary.logLikelihood
-            return free * np.log(n) - 2 * ll, 2 * free - 2 * ll, k, model
-
-        found = sorted(at_once(fitted, ks), key=lambda f: f[:3])
-        self.scores["mixture"] = [{"k": k, "bic": float(b), "aic": float(a)} for b, a, k, _ in found]
-        return found[0][-1]
-
-    def choose_density(self, x: DataFrame, sizes=(20, 40, 60), samples=(5, 10, 15)) -> Density | None:
+        out = df.withColumn("features", F.array(*(F.col(c).cast("double") for c in self.columns)))
+        return out.where(F.forall("features", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+
+    def choose_models(self, points: DataFrame, kmeans_ks, mixture_ks, kinds) -> None:
+        """k-means of the highest silhouette, then the lowest cost; the mixture of the lowest BIC, then AIC."""
+        found = mixtures.fit(points, len(self.columns), kmeans_ks, mixture_ks, kinds, self.seed)
+        if found is None:
+            raise ValueError("no row to fit")
+        self.origin = found.origin
+        by_score = sorted(found.kmeans.items(), key=lambda m: (-m[1].silhouette, m[1].cost, m[0]))
+        self.scores["kmeans"] = [{"k": k, "silhouette": m.silhouette, "cost": m.cost} for k, m in by_score]
+        by_fit = sorted(found.mixtures.items(), key=lambda m: (found.bic(m[1]), found.aic(m[1]), m[0]))
+        self.scores["mixture"] = [{"k": k, "kind": kind, "bic": found.bic(m), "aic": found.aic(m)} for (k, kind), m in by_fit]
+        self.kmeans, self.mixture = by_score[0][1], by_fit[0][1]
+
+    def choose_density(self, points: DataFrame, sizes=(20, 40, 60), samples=(5, 10, 15)) -> Density | None:
         """The highest silhouette of rows in clusters, then the least noise, then the most clusters."""
         # Equal rows are one, with their count, so that none of them fills the sample.
-        counts = x.groupBy(vector_to_array("features").alias("v")).agg(F.count("*").alias("n"))
-        picked = counts.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
+        picked = points.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
         rows, weight = np.array([r["v"] for r in picked]), np.array([r["n"] for r in picked])
         if len(rows) < 3:
             return None
@@ -231,51 +208,55 @@ class ClusterFeatures:
         self.scores["density"] = [{"min_cluster_size": a, "min_samples": b, "silhouette": -s, "noise": o, "clusters": -k} for s, o, k, a, b, _ in found]
         return found[0][-1]
 
-    def fit(self, df: DataFrame, columns: list[str], kmeans_ks=range(2, 13), mixture_ks=range(2, 13), density: bool = True) -> ClusterFeatures:
+    def fit(self, df: DataFrame, columns: list[str], kmeans_ks=range(2, 13), mixture_ks=range(2, 13), density: bool = True, kinds=("full", "diag")) -> ClusterFeatures:
         self.columns = list(columns)
-        x = self.vectors(df).select("features").cache()
+        points = mixtures.points_of(self.vectors(df), "features").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.kmeans = self.choose_kmeans(x, kmeans_ks)
-            self.mixture = self.choose_mixture(x, mixture_ks)
-            self.density = self.choose_density(x) if density else None
+            self.choose_models(points, kmeans_ks, mixture_ks, kinds)
+            self.density = self.choose_density(points) if density else None
         finally:
-            x.unpersist()
+            points.unpersist()
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds kmeans_cluster, gmm_cluster and density_cluster; rows in no density cluster share one number past the last, 1 where there is none."""
         if self.kmeans is None:
             raise RuntimeError("fit first")
-        out = self.vectors(df)
-        out = self.kmeans.setPredictionCol("kmeans_cluster").transform(out)
-        out = self.mixture.setPredictionCol("gmm_cluster").setProbabilityCol("_p").transform(out).drop("_p")
-        if self.density is not None:
-            d = self.density
-
-            @F.pandas_udf("int")
-            def label(v):
-                import pandas as pd
+        kmeans, mixture, density, origin = self.kmeans, self.mixture, self.density, self.origin
+        names = self.feature_names()
 
-                own = d.predict(np.stack(v.to_numpy()))
-                return pd.Series(np.where(own < 0, max(d.labels.max(), 0) + 1, own).astype("int32"))
+        @F.pandas_udf(", ".join(f"{n} int" for n in names))
+        def label(v: pd.Series) -> pd.DataFrame:
+            x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, len(origin)))
+            out = [kmeans.predict(x - origin), mixture.predict(x - origin)]
+            if density is not None:
+                own = density.predict(x)
+                out.append(np.where(own < 0, max(density.labels.max(), 0) + 1, own))
+            return pd.DataFrame({n: c.astype("int32") for n, c in zip(names, out, strict=True)})
 
-            out = out.withColumn("density_cluster", label(vector_to_array("features")))
-        return out.drop("features")
+        out = self.vectors(df).withColumn("_labels", label("features"))
+        return out.select(*df.columns, *(F.col(f"_labels.{n}").alias(n) for n in names))
 
     def feature_names(self) -> list[str]:
         return ["kmeans_cluster", "gmm_cluster", *(["density_cluster"] if self.density is not None else [])]
 
     def save(self, spark: SparkSession, path: str) -> None:
         """To a folder of any store that Spark writes."""
-        self.kmeans.write().overwrite().save(f"{path}/kmeans")
-        self.mixture.write().overwrite().save(f"{path}/mixture")
-        d = self.density
-        about = {"seed": self.seed, "columns": self.columns, "density": d and {"members": d.members.tolist(), "labels": d.labels.tolist(), "core": d.core.tolist(), "reach": d.reach.tolist(), "min_cluster_size": d.min_cluster_size, "min_samples": d.min_samples, "silhouette": d.silhouette}}
+        d, m = self.density, self.mixture
+        about = {
+            "seed": self.seed,
+            "columns": self.columns,
+            "origin": self.origin.tolist(),
+            "kmeans": self.kmeans.centres.tolist(),
+            "mixture": {"weights": m.weights.tolist(), "means": m.means.tolist(), "covariances": m.covariances.tolist(), "kind": m.kind},
+            "density": d and {"members": d.members.tolist(), "labels": d.labels.tolist(), "core": d.core.tolist(), "reach": d.reach.tolist(), "min_cluster_size": d.min_cluster_size, "min_samples": d.min_samples, "silhouette": d.silhouette},
+        }
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ClusterFeatures:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        d = about["density"]
+        d, m = about["density"], about["mixture"]
         density = d and Density(np.array(d["members"]), np.array(d["labels"], int), np.array(d["core"]), np.array(d["reach"]), d["min_cluster_size"], d["min_samples"], d["silhouette"])
-        return cls(about["seed"], about["columns"], KMeansModel.load(f"{path}/kmeans"), GaussianMixtureModel.load(f"{path}/mixture"), density)
+        mixture = mixtures.Mixture(np.array(m["weights"]), np.array(m["means"]), np.array(m["covariances"]), m["kind"])
+        return cls(about["seed"], about["columns"], np.array(about["origin"]), mixtures.Centres(np.array(about["kmeans"])), mixture, density)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import roles
-from . import anova, batch
+from . import anova, batch, ranks
 
 
 def column_makeup(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -52,7 +52,7 @@ def group_summary(df: DataFrame, group: str, y: str) -> DataFrame:
     skew = F.when((n > 2) & (F.var_pop("y") > 0), F.skewness("y") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))
     s = rows.groupBy("level").agg(n.alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), skew.alias("skew"))
     q = F.col("q")
-    return s.join(anova.quantiles(rows, ["level"], (0.25, 0.5, 0.75)), "level").select("level", "n", q[1].alias("median"), "mean", "std", (q[2] - q[0]).alias("iqr"), "skew")
+    return s.join(ranks.quantiles(rows, ["level"], (0.25, 0.5, 0.75)), "level").select("level", "n", q[1].alias("median"), "mean", "std", (q[2] - q[0]).alias("iqr"), "skew")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,7 +74,7 @@ def max_tie_ratio(df: DataFrame, columns: list[str]) -> DataFrame:
 def grouped_describe(df: DataFrame, y: str, by: list[str]) -> DataFrame:
     v = roles.number(df, y)
     s = df.groupBy(*by).agg(F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_samp(v).alias("std"), F.count("*").alias("size"))
-    return anova.with_median(df, s, y, by).select(*by, "min", "mean", "median", "max", "std", "size")
+    return ranks.with_median(df, s, y, by).select(*by, "min", "mean", "median", "max", "std", "size")
 
 
 def histogram(df: DataFrame, y: str, bins: int | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def histogram(df: DataFrame, y: str, bins: int | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
     span = s["hi"] - s["lo"]
     if bins is None:
-        q = anova.quantiles(df.select(v.alias("y")), [], (0.25, 0.75)).first()["q"]
+        q = ranks.quantiles(df.select(v.alias("y")), [], (0.25, 0.75)).first()["q"]
         widths = [span / (1 + math.log2(s["n"])), 2 * (q[1] - q[0]) / s["n"] ** (1 / 3)]
         width = min(w for w in widths if w > 0) if span and any(w > 0 for w in widths) else 0
         bins = max(1, -int(-span // width)) if width else 1
@@ -103,7 +103,7 @@ def histogram(df: DataFrame, y: str, bins: int | None = None) -> DataFrame:
 def distribution_per_category(df: DataFrame, group: str, y: str, shares: tuple[float, ...] = (0.0, 0.125, 0.25, 0.5, 0.75, 0.875, 1.0)) -> DataFrame:
     """(level, n, quantiles): what box, letter-value and violin plots draw."""
     rows = batch.mixed(df, [(group, y)])
-    return rows.groupBy("level").agg(F.count("*").alias("n")).join(anova.quantiles(rows, ["level"], shares), "level").select("level", "n", F.col("q").alias("quantiles"))
+    return rows.groupBy("level").agg(F.count("*").alias("n")).join(ranks.quantiles(rows, ["level"], shares), "level").select("level", "n", F.col("q").alias("quantiles"))
 
 
 def joint(df: DataFrame, x: str, y: str, bins: int = 30) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import roles
 from ..functions.special import normal_quantile, t_quantile
-from . import anova
+from . import ranks
 
 #: Samples below this size take Student's quantiles.
 SMALL = 30
@@ -104,7 +104,7 @@ def mean_estimates(df: DataFrame, y: str, confidence: float = 0.95, by: roles.Na
     names, v = roles.names(by), roles.number(df, y)
     size = F.count("*") if names else F.count(v)
     s = df.groupBy(*names).agg(size.alias("size"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_samp(v).alias("std"))
-    s = anova.with_median(df, s, y, names).select(*names, "size", "min", "mean", "median", "max", "std")
+    s = ranks.with_median(df, s, y, names).select(*names, "size", "min", "mean", "median", "max", "std")
     moe, low, high = mean_interval(F.col("mean"), F.col("std"), F.col("size"), confidence)
     return s.withColumns({"moe": moe, "lower": low, "upper": high}).orderBy("size", "mean", *(F.desc(c) for c in names))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import roles
-from . import anova, batch
+from . import anova, batch, ranks
 
 METHODS = ("pearson", "spearman", "kendall")
 #: Rows from which normality is tested by skewness and kurtosis.
@@ -69,10 +69,11 @@ def _spearman_of_complete(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFr
     """Pearson's of mid-ranks for columns without nulls: each column is ranked once, whatever the number of pairs."""
     names = list(dict.fromkeys(c for p in pairs for c in p))
     rows = df.select(*(roles.number(df, c).alias(f"v{i}") for i, c in enumerate(names)))
-    values = batch.numbers(rows, rows.columns).groupBy("numeric", "y").agg(F.count("*").alias("n"))
-    ranks = anova.ranked(values, ["numeric"]).select("numeric", "y", "rank")
+    every = batch.numbers(rows, rows.columns)
+    values = every.groupBy("numeric", "y").agg(F.count("*").alias("n"))
+    found = ranks.ranked(values, ["numeric"], splits=ranks.splitters(every, "y")).select("numeric", "y", "rank")
     for i in range(len(names)):
-        own = ranks.where(F.col("numeric") == f"v{i}").select(F.col("y").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        own = found.where(F.col("numeric") == f"v{i}").select(F.col("y").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
         rows = rows.join(own, f"v{i}")
     at = {c: f"r{i}" for i, c in enumerate(names)}
     one = rows.agg(*(f(*(at[c] for c in p)).alias(f"{k}{i}") for i, p in enumerate(pairs) for k, f in (("c", F.covar_pop), ("x", lambda a, b: F.var_pop(a)), ("y", lambda a, b: F.var_pop(b)))))
@@ -86,8 +87,8 @@ def _spearman(rows: DataFrame, w: str | None = None) -> DataFrame:
     points = rows.groupBy("a", "b", "x", "y").agg((F.sum(w) if w else F.count("*")).alias("n"))
     for v in ("x", "y"):
         values = points.groupBy("a", "b", v).agg(F.sum("n").alias("n"))
-        ranks = anova.ranked(values, ["a", "b"], v).select("a", "b", v, F.col("rank").alias(f"r{v}"))
-        points = points.join(ranks, ["a", "b", v])
+        found = ranks.ranked(values, ["a", "b"], v, splits=ranks.splitters(rows, v)).select("a", "b", v, F.col("rank").alias(f"r{v}"))
+        points = points.join(found, ["a", "b", v])
     return _pearson(points, "rx", "ry", "n")
 
 
@@ -105,6 +106,8 @@ def _kendall(rows: DataFrame, w: str | None = None) -> DataFrame:
     values = points.select(*by, sides.alias("s"), "n").select(*by, "s.*", "n").groupBy(*by, "side", "v").agg(F.sum("n").alias("n"))
     # Reads n, so that all that reads the values shares their shuffle.
     values = values.withColumn("one", F.when(F.col("n") > 0, 1).otherwise(0))
+    # One set for both columns: ranges of all values together.
+    splits = ranks.splitters(rows.select(F.explode(F.array("x", "y")).alias("v")), "v")
     own = lambda side, v: F.when(F.col("side") == side, v)
     tied = F.col("n") * (F.col("n") - 1) / 2
     totals = values.groupBy(*by).agg(F.sum(own("x", F.col("n"))).alias("all"), *(e for v in "xy" for e in (F.count(own(v, F.lit(1))).alias(f"m{v}"), F.sum(own(v, tied)).alias(f"t{v}"))))
@@ -112,12 +115,12 @@ def _kendall(rows: DataFrame, w: str | None = None) -> DataFrame:
     spans = totals.select(*by, fewer.alias("side"), F.length(F.bin(F.least("mx", "my") - 1)).alias("bits"))
     placed = points.join(F.broadcast(spans), by)
     placed = placed.select(*by, "side", "bits", "n", *(F.when(F.col("side") == s, F.col("x")).otherwise(F.col("y")).alias(c) for s, c in (("x", "v"), ("y", "other"))))
-    placed = placed.join(anova.running(values, [*by, "side"], "v", "one", "rank", False).select(*by, "side", "v", "rank"), [*by, "side", "v"])
+    placed = placed.join(ranks.running(values, [*by, "side"], "v", "one", "rank", False, splits).select(*by, "side", "v", "rank"), [*by, "side", "v"])
     each = placed.withColumn("bit", F.explode(F.expr("sequence(0, bits - 1)"))).withColumn("prefix", F.expr("shiftright(rank, bit + 1)"))
     upper = F.expr("shiftright(rank, bit) % 2 = 1")
     cells = each.groupBy(*group, "other").agg(F.sum(F.when(upper, 0.0).otherwise(F.col("n"))).alias("zeros"), F.sum(F.when(upper, F.col("n")).otherwise(0.0)).alias("ones"))
     ranges = Window.partitionBy(*group, "_range").orderBy("other").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_range", anova.range_of("other"))
+    cells = ranks.with_range(cells, "other", splits)
     cells = cells.withColumn("below", F.sum("zeros").over(ranges) - F.col("zeros"))
     in_order, equal = F.sum(F.col("ones") * F.col("below")), F.sum(F.col("ones") * F.col("zeros"))
     parts = cells.groupBy(*group, "_range").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), (2 * in_order + equal).alias("own"))

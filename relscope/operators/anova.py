@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import roles
@@ -55,14 +55,19 @@ def kruskal_of(rows: DataFrame, by: list[str], n: str | None = None, splits: lis
     return kruskal_of_sums(tied_sums(cells, by, "level", "c", splits), by)
 
 
-def kruskal_of_sums(groups: DataFrame, by: list[str]) -> DataFrame:
-    """The same from each level's rows ``gn``, rank sum ``r``, part of the ties and most equal rows."""
+def kruskal_tail() -> Column:
+    """The p-value of h_stat and k."""
+    return special.chi2_sf(F.col("h_stat"), (F.col("k") - 1).cast("double"))
+
+
+def kruskal_of_sums(groups: DataFrame, by: list[str], tail: Column | None = None) -> DataFrame:
+    """The same from each level's rows ``gn``, rank sum ``r``, part of the ties and most equal rows; ``tail`` is :func:`kruskal_tail`, if made before."""
     s = groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum(F.col("r") ** 2 / F.col("gn")).alias("rr"), F.sum("gn").alias("n"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
     n = F.col("n").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("rr") - 3 * (n + 1)
     fix = 1 - F.col("ties") / F.nullif(n**3 - n, F.lit(0.0))
     s = s.withColumn("h_stat", F.when((F.col("k") > 1) & (F.col("tied") < F.col("n")), raw / F.nullif(fix, F.lit(0.0))))
-    return s.select(*by, "n", "k", "h_stat", special.chi2_sf(F.col("h_stat"), (F.col("k") - 1).cast("double")).alias("p_value"))
+    return s.select(*by, "n", "k", "h_stat", (kruskal_tail() if tail is None else tail).alias("p_value"))
 
 
 def kruskal(df: DataFrame, pairs: list[tuple[str, str]], dropna: bool = True) -> DataFrame:

@@ -1,17 +1,21 @@
 """Equal-width bins, and the fewest bins that keep a relationship.
 
-All searches advance together on the distinct (y, x) points with their counts, which are
-gathered once: a round bins every pending pair with the next few numbers of bins that its
-bisection may ask for and tests them in one job, so a search over many pairs takes about
-log2(rows) / ``AHEAD`` jobs.
+All searches advance together on a table that is made once: each pair's distinct values of y in order, with counts and
+sums per value and level.  A round tries, for every pending pair, the next few numbers of bins that its
+bisection may ask for, in one job that reads the table and returns sums; a search over many pairs takes about
+log2(rows) / ``AHEAD`` jobs.  Only tests of both columns' ranks go back to the (y, x) points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import roles
@@ -19,7 +23,7 @@ from . import anova, numeric, ranks
 
 PAD = 1e-10
 #: Answers of a bisection that one job prepares for: it tests 2 ** AHEAD - 1 numbers of bins.
-AHEAD = 2
+AHEAD, AHEAD_OF_POINTS = 5, 2
 
 
 def bin_number(v: Column, low: Column, high: Column, bins: Column) -> Column:
@@ -101,79 +105,202 @@ class Minimum:
 
 
 NUMERIC_TESTS = ("welch", "student", "pearson", "spearman", "kendall")
+#: Tests of both columns' ranks, which need the points themselves.
+POINT_TESTS = ("spearman", "kendall")
 
 
-def _points(df: DataFrame, pairs: list[tuple[str, str]], method: str) -> DataFrame:
-    """(pair, level, x, y, w): the distinct points of each pair, by its number, with their counts."""
+def _rows(df: DataFrame, pairs: list[tuple[str, str]], method: str) -> DataFrame:
+    """(pair, level, x, y) of each pair's complete rows, by its number; the t tests take both columns' rows as they are."""
     each = []
     for i, (y, x) in enumerate(pairs):
         number = roles.number(df, x) if method in NUMERIC_TESTS else F.lit(None).cast("double")
         level = roles.level(x) if method not in NUMERIC_TESTS else F.lit("")
-        each.append(F.struct(F.lit(i).alias("pair"), level.alias("level"), number.alias("x"), roles.number(df, y).alias("y")))
-    rows = df.select(F.explode(F.array(*each)).alias("p")).select("p.*").where("level IS NOT NULL")
-    if method not in ("welch", "student"):
-        rows = rows.where("y IS NOT NULL" + (" AND x IS NOT NULL" if method in NUMERIC_TESTS else ""))
-    return rows.groupBy("pair", "level", "x", "y").agg(F.count("*").alias("w"))
+        each.append(F.struct(F.lit(i).alias("pair"), level.alias("level"), number.alias("x"), roles.number(df, y).cast("double").alias("y")))
+    rows = df.select(F.explode(F.array(*each)).alias("p")).select("p.*").where("level IS NOT NULL AND y IS NOT NULL")
+    return rows.where("x IS NOT NULL") if method in ("pearson", *POINT_TESTS) else rows
 
 
-def _limits(df: DataFrame, points: DataFrame, pairs: list[tuple[str, str]]) -> dict[int, dict]:
-    """Per pair: the limits of y over all rows; the mean of x over the pair's points, and whether x varies."""
+def _limits(df: DataFrame, rows: DataFrame, pairs: list[tuple[str, str]], method: str) -> dict[int, dict]:
+    """Per pair: the limits of y over all rows; for numbers the count, mean and variances of x."""
     names = list(dict.fromkeys(y for y, _ in pairs))
     one = df.agg(*(f(roles.number(df, y)).alias(f"{k}{i}") for i, y in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max)))).first()
-    own = points.groupBy("pair").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"), (F.min("x") < F.max("x")).alias("varies")).collect()
-    found = {r["pair"]: r for r in own}
-    out = {}
-    for i, (y, _) in enumerate(pairs):
-        at = names.index(y)
-        if i in found and one[f"lo{at}"] is not None:
-            out[i] = {"lo": float(one[f"lo{at}"]), "hi": float(one[f"hi{at}"]), "mean": found[i]["mean"], "varies": found[i]["varies"]}
-    return out
+    moments = {"n": F.count, "mean": F.avg, "pop": F.var_pop, "samp": F.var_samp}
+    if method in ("welch", "student"):
+        own = df.agg(*(f(roles.number(df, x)).alias(f"{k}{i}") for i, (_, x) in enumerate(pairs) for k, f in moments.items())).first()
+        about = {i: {k: own[f"{k}{i}"] for k in moments} for i in range(len(pairs))}
+    elif method in NUMERIC_TESTS:
+        about = {r["pair"]: r.asDict() for r in rows.groupBy("pair").agg(*(f("x").alias(k) for k, f in moments.items())).collect()}
+    else:
+        about = {i: {} for i in range(len(pairs))}
+    limits = {i: (one[f"lo{names.index(y)}"], one[f"hi{names.index(y)}"]) for i, (y, _) in enumerate(pairs)}
+    return {i: {"lo": float(lo), "hi": float(hi), **about[i]} for i, (lo, hi) in limits.items() if lo is not None and i in about}
 
 
-def _moments(rows: DataFrame, by: list[str], columns: str) -> DataFrame:
-    """Counts, means and sample variances of weighted columns: two aggregations, so nothing cancels."""
-    total = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w")))
-    means = rows.groupBy(*by).agg(*(e for c in columns for e in (total(c).alias(f"n{c}"), (F.sum(F.col(c) * F.col("w")) / total(c)).alias(f"m{c}"))))
-    away = ranks.matched(rows, means, by)
-    squares = away.groupBy(*by).agg(*(F.sum((F.col(c) - F.col(f"m{c}")) ** 2 * F.col("w")).alias(f"s{c}") for c in columns))
-    both = ranks.matched(means, squares, by)
-    return both.withColumns({f"v{c}": F.when(F.col(f"n{c}") > 1, F.col(f"s{c}") / F.nullif(F.col(f"n{c}") - 1, F.lit(0))) for c in columns})
+@dataclass
+class Table:
+    """Each pair's distinct values of y in order, in ranges, with what its test adds up at each.
 
+    A range is one row with arrays: the values, and per value and level a count and the sum of x less its
+    mean.  ``before`` has the pair's rows in lower ranges.  A probe reads the arrays alone.
+    """
 
-def _pearson(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, stat) in one aggregation, of x less its mean and y less the middle of its limits."""
-    dx, dy, w = F.col("x") - F.col("mean"), F.col("y") - (F.col("lo") + F.col("hi")) / 2, F.col("w")
-    s = rows.groupBy(*by).agg(*(F.sum(w * e).alias(k) for k, e in (("n", F.lit(1)), ("x", dx), ("y", dy), ("xx", dx * dx), ("yy", dy * dy), ("xy", dx * dy))), F.bool_or("varies").alias("varies"))
-    n = F.col("n")
-    vx, vy = F.col("xx") / n - (F.col("x") / n) ** 2, F.col("yy") / n - (F.col("y") / n) ** 2
-    c = F.col("xy") / n - F.col("x") / n * F.col("y") / n
-    return s.select(*by, F.when(F.col("varies") & (vx > 0) & (vy > 0), c / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0))).alias("stat"))
+    ranges: DataFrame
+    before: dict[tuple[int, float], float]
+    #: Made once, as tails are long expressions.
+    tail: Column | None = None
+
+    @classmethod
+    def of(cls, rows: DataFrame, limits: dict[int, dict]) -> Table:
+        splits = ranks.splitters(rows, "y")
+        mean = F.element_at(F.create_map(*(F.lit(v) for i, m in limits.items() for v in (i, float(m.get("mean") or 0.0)))), F.col("pair"))
+        away = F.coalesce(F.sum(F.col("x") - mean), F.lit(0.0))
+        cells = rows.where(F.col("pair").isin(list(limits))).groupBy("pair", "level", "y").agg(F.count("*").cast("double").alias("n"), away.alias("sx"))
+        cells = ranks.with_range(cells, "y", splits)
+        packed = cells.groupBy("pair", "_range").applyInPandas(_packed, "pair int, _range double, rows double, y array<double>, place array<int>, levels array<string>, level array<int>, n array<double>, sx array<double>")
+        packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
+        before, now = {}, {}
+        for r in packed.select("pair", "_range", "rows").orderBy("pair", "_range").collect():
+            before[r["pair"], r["_range"]] = now.get(r["pair"], 0.0)
+            now[r["pair"]] = now.get(r["pair"], 0.0) + r["rows"]
+        return cls(packed, before)
+
+    def probe(self, asked: dict[int, tuple[float, float, list[int]]], ranked: bool) -> DataFrame:
+        """Sums of each pair's numbers of bins: (pair, bins, level) with moments of bin numbers, or with rank sums and ties."""
+        before = self.before
+        found = self.ranges.mapInArrow(_probing(asked, before, ranked), PROBED_DDL)
+        if not ranked:
+            sums = (F.min if c == "least" else F.max if c == "largest" else F.sum for c in MOMENTS)
+            return found.groupBy("pair", "bins", "level").agg(*(f(c).alias(c) for f, c in zip(sums, MOMENTS, strict=True)))
+        whole = found.where("bin IS NULL").groupBy("pair", "bins", "level").agg(F.sum("n").alias("gn"), F.sum("r").alias("r"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
+        # A bin at the edge of a range may go on in the next.
+        edge = found.where("bin IS NOT NULL").groupBy("pair", "bins", "bin", "level").agg(F.sum("n").alias("n"), F.min("start").alias("start"))
+        own = Window.partitionBy("pair", "bins", "bin")
+        edge = edge.withColumn("tied", F.sum("n").over(own)).withColumn("start", F.min("start").over(own))
+        edge = edge.groupBy("pair", "bins", "level").agg(F.sum("n").alias("gn"), F.sum(F.col("n") * (F.col("start") + (F.col("tied") + 1) / 2)).alias("r"), F.sum(F.col("n") * (F.col("tied") ** 2 - 1)).alias("ties"), F.max("tied").alias("tied"))
+        both = whole.unionByName(edge).groupBy("pair", "bins", "level")
+        return both.agg(F.sum("gn").alias("gn"), F.sum("r").alias("r"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
+
+
+MOMENTS = ("n", "s1", "s2", "sx", "least", "largest")
+SUMS = (*MOMENTS, "r", "ties", "tied", "start")
+PROBED = pa.schema([("pair", pa.int32()), ("bins", pa.int32()), ("level", pa.string()), ("bin", pa.int32()), *((c, pa.float64()) for c in SUMS)])
+PROBED_DDL = "pair int, bins int, level string, bin int, " + ", ".join(f"{c} double" for c in SUMS)
+
+
+def _packed(p: pd.DataFrame) -> pd.DataFrame:
+    p = p.sort_values("y", kind="stable")
+    values, place = np.unique(p["y"].to_numpy(), return_inverse=True)
+    levels, level = np.unique(p["level"].to_numpy().astype(str), return_inverse=True)
+    n = p["n"].to_numpy()
+    return pd.DataFrame({"pair": [p["pair"].iloc[0]], "_range": [p["_range"].iloc[0]], "rows": [n.sum()], "y": [values], "place": [place.astype(np.int32)], "levels": [levels.tolist()], "level": [level.astype(np.int32)], "n": [n], "sx": [p["sx"].to_numpy()]})
+
+
+def bin_numbers(y: np.ndarray, low: float, high: float, bins: int) -> np.ndarray:
+    """:func:`bin_number` of an array."""
+    lo, hi = low - PAD, high + PAD
+    at = np.ceil((y - lo) * bins / (hi - lo)) if hi > lo else np.ones(len(y))
+    return np.clip(np.nan_to_num(at, nan=1.0), 1, bins).astype(np.int64)
+
+
+class _Found:
+    """Rows of a probe, gathered by column."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+
+    def add(self, pair: int, bins: int, levels: np.ndarray, number: int | None, sums: dict) -> None:
+        self.rows.append({"pair": pair, "bins": bins, "level": levels, "bin": number, **sums})
+
+    def batch(self) -> pa.RecordBatch:
+        columns = []
+        for f in PROBED:
+            each = [np.full(len(r["level"]), np.nan if r.get(f.name) is None else r[f.name], object if f.name == "level" else float) if np.ndim(r.get(f.name)) == 0 else r[f.name] for r in self.rows]
+            whole = np.concatenate(each) if each else np.zeros(0)
+            columns.append(pa.array(whole.tolist(), f.type) if f.name == "level" else pa.array(whole, mask=np.isnan(whole)).cast(f.type))
+        return pa.RecordBatch.from_arrays(columns, schema=PROBED)
+
+
+def _probing(asked: dict, before: dict, ranked: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                pair, number = batch["pair"][at].as_py(), batch["_range"][at].as_py()
+                if pair in asked:
+                    arrays = [batch[c][at].values.to_numpy(zero_copy_only=False) for c in ("y", "place", "level", "n", "sx")]
+                    found = _Found()
+                    _probed(found, pair, before[pair, number], np.array(batch["levels"][at].as_py(), object), *arrays, *asked[pair], ranked)
+                    yield found.batch()
+
+    return run
+
+
+def _probed(found: _Found, pair: int, below: float, levels: np.ndarray, y: np.ndarray, place: np.ndarray, level: np.ndarray, n: np.ndarray, sx: np.ndarray, low: float, high: float, probes: list[int], ranked: bool) -> None:
+    k = len(levels)
+    count = np.bincount(level, n, k)
+    for bins in probes:
+        number = bin_numbers(y, low, high, bins)
+        if not ranked:
+            c = (number - (bins + 1) // 2)[place].astype(float)
+            least, largest = np.full(k, np.inf), np.full(k, -np.inf)
+            np.minimum.at(least, level, c)
+            np.maximum.at(largest, level, c)
+            found.add(pair, bins, levels, None, {"n": count, "s1": np.bincount(level, n * c, k), "s2": np.bincount(level, n * c * c, k), "sx": np.bincount(level, sx * c, k), "least": least, "largest": largest})
+            continue
+        own, at = np.unique(number, return_inverse=True)
+        at = at[place]
+        tied = np.bincount(at, n, len(own))
+        start = below + np.cumsum(tied) - tied
+        inner = (at > 0) & (at < len(own) - 1)
+        if inner.any():
+            each, w, t, s = level[inner], n[inner], tied[at[inner]], start[at[inner]]
+            most = np.zeros(k)
+            np.maximum.at(most, each, t)
+            rows = np.bincount(each, w, k)
+            some = np.flatnonzero(rows)
+            sums = {"n": rows, "r": np.bincount(each, w * (s + (t + 1) / 2), k), "ties": np.bincount(each, w * (t * t - 1), k), "tied": most}
+            found.add(pair, bins, levels[some], None, {c: v[some] for c, v in sums.items()})
+        for e in sorted({0, len(own) - 1}):
+            w = np.bincount(level[at == e], n[at == e], k)
+            some = np.flatnonzero(w)
+            found.add(pair, bins, levels[some], int(own[e]), {"n": w[some], "start": start[e]})
+
+
+def _of_table(table: Table, limits: dict[int, dict], asked: dict, method: str) -> DataFrame:
+    """(pair, bins, stat) from a probe of the table.
+
+    Bin values are linear in bin numbers, so moments are those of numbers less the middle one, which are whole.
+    """
+    by = ["pair", "bins"]
+    if method == "kruskal":
+        table.tail = anova.kruskal_tail() if table.tail is None else table.tail
+        return anova.kruskal_of_sums(table.probe(asked, True), by, table.tail).select(*by, F.col("p_value").alias("stat"))
+    known = [(i, *(float(m[k]) if m.get(k) is not None else None for k in ("lo", "hi", "n", "mean", "pop", "samp"))) for i, m in limits.items()]
+    known = table.ranges.sparkSession.createDataFrame(known, "pair int, lo double, hi double, nx double, mx double, px double, vx double")
+    s = table.probe(asked, False).join(F.broadcast(known), "pair")
+    step = F.when(F.col("bins") == 1, F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")) / F.nullif(F.col("bins") - 1, F.lit(0)))
+    mean = F.col("s1") / F.col("n")
+    spread = F.when(F.col("least") < F.col("largest"), F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean)).otherwise(0.0)
+    middle = F.floor((F.col("bins") + 1) / 2)
+    value = F.when(F.col("bins") == 1, F.lit(1.0)).otherwise(F.col("lo") + (mean + middle - 1) * step)
+    if method == "pearson":
+        return s.select(*by, F.when((F.col("px") > 0) & (spread > 0), F.col("sx") / F.col("n") / F.nullif(F.sqrt("px") * F.sqrt(spread), F.lit(0.0))).alias("stat"))
+    if method in ("welch", "student"):
+        s = s.withColumn("my", value).withColumn("vy", F.when(F.col("n") > 1, spread * step * step * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0.0))))
+        test = anova.welch if method == "welch" else anova.student
+        return test(s, "n", "my", "vy", "nx", "mx", "vx").select(*by, F.col("p_value").alias("stat"))
+    groups = s.select(*by, F.col("n").alias("gn"), value.alias("mean"), (spread * step * step).alias("var"))
+    return anova.one_way_of_groups(groups, by).select(*by, F.col("p_value").alias("stat"))
 
 
-def _stats(points: DataFrame, limits: dict[int, dict], searches: list[tuple[int, Search]], method: str) -> dict[tuple[int, int], float | None]:
-    """The test of each pair with y in each of its probes' numbers of bins, in one job."""
-    asked = [(i, k, *(limits[i][c] for c in ("lo", "hi", "mean", "varies"))) for i, s in searches if i in limits for k in s.probes(AHEAD)]
-    asked = points.sparkSession.createDataFrame(asked, "pair int, bins int, lo double, hi double, mean double, varies boolean")
-    by = ["pair", "bins"]
-    rows = points.join(F.broadcast(asked), "pair")
+def _of_points(points: DataFrame, limits: dict[int, dict], asked: dict, method: str) -> DataFrame:
+    """(pair, bins, stat) of tests of both columns' ranks, from the points."""
+    probes = [(i, k, lo, hi) for i, (lo, hi, bins) in asked.items() for k in bins]
+    rows = points.join(F.broadcast(points.sparkSession.createDataFrame(probes, "pair int, bins int, lo double, hi double")), "pair")
     number = bin_number(F.col("y"), F.col("lo"), F.col("hi"), F.col("bins"))
     rows = rows.withColumn("y", rescaled(number, F.col("lo"), F.col("hi"), F.col("bins")))
-    if method in ("welch", "student"):
-        test = anova.welch if method == "welch" else anova.student
-        out = test(_moments(rows, by, "xy"), "ny", "my", "vy", "nx", "mx", "vx").select(*by, F.col("p_value").alias("stat"))
-    elif method == "pearson":
-        out = _pearson(rows, by)
-    elif method in NUMERIC_TESTS:
-        named = rows.select(F.col("pair").cast("string").alias("a"), F.col("bins").cast("string").alias("b"), "x", "y", "w")
-        kind = {"spearman": numeric._spearman, "kendall": numeric._kendall}[method]
-        out = kind(named, "w").select(F.col("a").cast("int").alias("pair"), F.col("b").cast("int").alias("bins"), F.col("correlation").alias("stat"))
-    elif method == "kruskal":
-        out = anova.kruskal_of(rows, by, "w").select(*by, F.col("p_value").alias("stat"))
-    else:
-        groups = _moments(rows, [*by, "level"], "y")
-        out = anova.one_way_of_groups(groups.select(*by, F.col("ny").alias("gn"), F.col("my").alias("mean"), (F.col("sy") / F.col("ny")).alias("var")), by).select(*by, F.col("p_value").alias("stat"))
-    sign = abs if method in ("pearson", "spearman", "kendall") else float
-    return {(r["pair"], r["bins"]): None if r["stat"] is None else sign(r["stat"]) for r in out.collect()}
+    named = rows.select(F.col("pair").cast("string").alias("a"), F.col("bins").cast("string").alias("b"), "x", "y", "w")
+    kind = {"spearman": numeric._spearman, "kendall": numeric._kendall}[method]
+    return kind(named, "w").select(F.col("a").cast("int").alias("pair"), F.col("b").cast("int").alias("bins"), F.col("correlation").alias("stat"))
 
 
 def find_minimums(df: DataFrame, pairs: list[tuple[str, str]], method: str, threshold: float, keep_above: bool) -> dict[str, Minimum]:
@@ -182,21 +309,28 @@ def find_minimums(df: DataFrame, pairs: list[tuple[str, str]], method: str, thre
     Correlations start at 2 bins.  An undefined statistic ends a pair's search without a
     result.  The number of jobs follows the logarithm of the rows and not the pairs.
     """
-    rows = df.count()
+    n = df.count()
     least = 2 if method in ("pearson", "spearman", "kendall") else 1
-    searches = [Search(y, x, least, max(rows, least)) for y, x in pairs]
-    points = _points(df, pairs, method).persist(StorageLevel.MEMORY_AND_DISK)
+    searches = [Search(y, x, least, max(n, least)) for y, x in pairs]
+    rows = _rows(df, pairs, method)
+    limits = _limits(df, rows, pairs, method)
+    if not limits:
+        return {y: Minimum(None, {x: s for s in searches for x in [s.x] if s.y == y}) for y, _ in pairs}
+    table = rows.groupBy("pair", "x", "y").agg(F.count("*").alias("w")).persist(StorageLevel.MEMORY_AND_DISK) if method in POINT_TESTS else Table.of(rows, limits)
+    sign = abs if method in ("pearson", "spearman", "kendall") else float
+    ahead = AHEAD_OF_POINTS if method in POINT_TESTS else AHEAD
     try:
-        limits = _limits(df, points, pairs)
         while pending := [(i, s) for i, s in enumerate(searches) if s.open]:
-            stats = _stats(points, limits, pending, method)
+            asked = {i: (limits[i]["lo"], limits[i]["hi"], s.probes(ahead)) for i, s in pending if i in limits}
+            found = (_of_points if method in POINT_TESTS else _of_table)(table, limits, asked, method).collect() if asked else []
+            stats = {(r["pair"], r["bins"]): None if r["stat"] is None else sign(r["stat"]) for r in found}
             for i, s in pending:
-                for _ in range(AHEAD):
+                for _ in range(ahead):
                     if s.open:
                         stat = stats.get((i, s.probe))
                         s.answer(stat, stat is not None and (stat >= threshold if keep_above else stat < threshold))
     finally:
-        points.unpersist()
+        (table if method in POINT_TESTS else table.ranges).unpersist()
     out: dict[str, Minimum] = {}
     for s in searches:
         m = out.setdefault(s.y, Minimum())

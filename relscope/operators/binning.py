@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -156,7 +155,7 @@ class Table:
         away = F.coalesce(F.sum(F.col("x") - mean), F.lit(0.0))
         cells = rows.where(F.col("pair").isin(list(limits))).groupBy("pair", "level", "y").agg(F.count("*").cast("double").alias("n"), away.alias("sx"))
         cells = ranks.with_range(cells, "y", splits)
-        packed = cells.groupBy("pair", "_range").applyInPandas(_packed, "pair int, _range double, rows double, y array<double>, place array<int>, levels array<string>, level array<int>, n array<double>, sx array<double>")
+        packed = cells.groupBy("pair", "_range").applyInArrow(_packed, PACKED_DDL)
         packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
         before, now = {}, {}
         for r in packed.select("pair", "_range", "rows").orderBy("pair", "_range").collect():
@@ -171,28 +170,30 @@ class Table:
         if not ranked:
             sums = (F.min if c == "least" else F.max if c == "largest" else F.sum for c in MOMENTS)
             return found.groupBy("pair", "bins", "level").agg(*(f(c).alias(c) for f, c in zip(sums, MOMENTS, strict=True)))
-        whole = found.where("bin IS NULL").groupBy("pair", "bins", "level").agg(F.sum("n").alias("gn"), F.sum("r").alias("r"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
-        # A bin at the edge of a range may go on in the next.
-        edge = found.where("bin IS NOT NULL").groupBy("pair", "bins", "bin", "level").agg(F.sum("n").alias("n"), F.min("start").alias("start"))
-        own = Window.partitionBy("pair", "bins", "bin")
-        edge = edge.withColumn("tied", F.sum("n").over(own)).withColumn("start", F.min("start").over(own))
-        edge = edge.groupBy("pair", "bins", "level").agg(F.sum("n").alias("gn"), F.sum(F.col("n") * (F.col("start") + (F.col("tied") + 1) / 2)).alias("r"), F.sum(F.col("n") * (F.col("tied") ** 2 - 1)).alias("ties"), F.max("tied").alias("tied"))
-        both = whole.unionByName(edge).groupBy("pair", "bins", "level")
-        return both.agg(F.sum("gn").alias("gn"), F.sum("r").alias("r"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
+        # A bin at the edge of a range may go on in the next; those inside a range are done.  One shuffle serves all that follows.
+        s = found.repartition("pair", "bins").groupBy("pair", "bins", "bin", "level").agg(F.sum("n").alias("gn"), F.min("start").alias("start"), F.sum("r").alias("r"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
+        own, edge = Window.partitionBy("pair", "bins", "bin"), F.col("bin").isNotNull()
+        s = s.withColumn("whole", F.sum("gn").over(own)).withColumn("start", F.min("start").over(own))
+        rank, ties = F.col("start") + (F.col("whole") + 1) / 2, F.col("gn") * (F.col("whole") ** 2 - 1)
+        s = s.select("pair", "bins", "level", "gn", *(F.when(edge, e).otherwise(F.col(c)).alias(c) for c, e in (("r", F.col("gn") * rank), ("ties", ties), ("tied", F.col("whole")))))
+        return s.groupBy("pair", "bins", "level").agg(F.sum("gn").alias("gn"), F.sum("r").alias("r"), F.sum("ties").alias("ties"), F.max("tied").alias("tied"))
 
 
 MOMENTS = ("n", "s1", "s2", "sx", "least", "largest")
 SUMS = (*MOMENTS, "r", "ties", "tied", "start")
+PACKED = pa.schema([("pair", pa.int32()), ("_range", pa.float64()), ("rows", pa.float64()), ("y", pa.list_(pa.float64())), ("place", pa.list_(pa.int32())), ("levels", pa.list_(pa.string())), ("level", pa.list_(pa.int32())), ("n", pa.list_(pa.float64())), ("sx", pa.list_(pa.float64()))])
+PACKED_DDL = "pair int, _range double, rows double, y array<double>, place array<int>, levels array<string>, level array<int>, n array<double>, sx array<double>"
 PROBED = pa.schema([("pair", pa.int32()), ("bins", pa.int32()), ("level", pa.string()), ("bin", pa.int32()), *((c, pa.float64()) for c in SUMS)])
 PROBED_DDL = "pair int, bins int, level string, bin int, " + ", ".join(f"{c} double" for c in SUMS)
 
 
-def _packed(p: pd.DataFrame) -> pd.DataFrame:
-    p = p.sort_values("y", kind="stable")
-    values, place = np.unique(p["y"].to_numpy(), return_inverse=True)
-    levels, level = np.unique(p["level"].to_numpy().astype(str), return_inverse=True)
-    n = p["n"].to_numpy()
-    return pd.DataFrame({"pair": [p["pair"].iloc[0]], "_range": [p["_range"].iloc[0]], "rows": [n.sum()], "y": [values], "place": [place.astype(np.int32)], "levels": [levels.tolist()], "level": [level.astype(np.int32)], "n": [n], "sx": [p["sx"].to_numpy()]})
+def _packed(t: pa.Table) -> pa.Table:
+    t = t.sort_by("y").combine_chunks()
+    values, place = np.unique(t["y"].to_numpy(), return_inverse=True)
+    named = t["level"].combine_chunks().dictionary_encode()
+    n = t["n"].to_numpy()
+    row = {"pair": [t["pair"][0].as_py()], "_range": [t["_range"][0].as_py()], "rows": [float(n.sum())], "y": [values], "place": [place], "levels": [named.dictionary.to_pylist()], "level": [named.indices.to_numpy()], "n": [n], "sx": [t["sx"].to_numpy()]}
+    return pa.table([pa.array(row[f.name], f.type) for f in PACKED], schema=PACKED)
 
 
 def bin_numbers(y: np.ndarray, low: float, high: float, bins: int) -> np.ndarray:

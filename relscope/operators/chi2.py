@@ -23,11 +23,11 @@ def independence(df: DataFrame, pairs: list[tuple[str, str]], dropna: bool = Tru
     if not pairs:
         return df.sparkSession.createDataFrame([], "category_a string, category_b string, n long, chi2 double, dof long, p_value double, assumptions_met boolean")
     counts = batch.category_pairs(df, pairs, dropna)
-    ra, rb = (counts.groupBy(*PAIR, level).agg(F.sum("n").alias(name)) for level, name in (("la", "ra"), ("lb", "rb")))
-    rule = expected_counts(ra, rb)
-    cells = counts.join(ra, [*PAIR, "la"]).join(rb, [*PAIR, "lb"])
+    rows, columns = Window.partitionBy(*PAIR, "la"), Window.partitionBy(*PAIR, "lb")
+    cells = counts.withColumn("ra", F.sum("n").over(rows)).withColumn("rb", F.sum("n").over(columns))
     stats = cells.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("rb"))).alias("share"))
-    stats = stats.join(rule.drop("total"), PAIR).select(*PAIR, "n", (F.col("n") * (F.col("share") - 1)).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"), "met")
+    rule = expected_counts(*(counts.groupBy(*PAIR, level).agg(F.sum("n").alias(name)) for level, name in (("la", "ra"), ("lb", "rb"))))
+    stats = stats.join(rule, PAIR).select(*PAIR, "n", (F.col("n") * (F.col("share") - 1)).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"), "met")
     named = df.sparkSession.createDataFrame([(x, y, i) for i, (x, y) in enumerate(pairs)], "a string, b string, at int")
     defined = F.col("dof") > 0
     out = F.broadcast(named).join(stats, PAIR, "left")
@@ -42,16 +42,14 @@ def expected_counts(ra: DataFrame, rb: DataFrame) -> DataFrame:
     under 5.  Levels of one margin are alike, so two histograms of margins are merged: their values number at most the root of
     twice the rows, whatever the number of levels.  An expected count ra * rb / total is under 5 where rb <= (5 * total - 1) div ra.
     """
-    ha = ra.groupBy(*PAIR, F.col("ra").alias("margin")).agg(F.count("*").alias("k"))
-    hb = rb.groupBy(*PAIR, F.col("rb").alias("margin")).agg(F.count("*").alias("k"))
-    sizes = ha.groupBy(*PAIR).agg(F.sum(F.col("margin") * F.col("k")).alias("total"), F.sum("k").alias("ka"), F.min("margin").alias("least_a"))
-    others = hb.groupBy(*PAIR).agg(F.sum("k").alias("kb"), F.min("margin").alias("least_b"))
-    limit = F.expr("(5 * total - 1) div margin")
-    ahead = ha.join(sizes.select(*PAIR, "total"), PAIR).select(*PAIR, limit.alias("at"), F.lit(1).alias("asks"), "k")
-    merged = hb.select(*PAIR, F.col("margin").alias("at"), F.lit(0).alias("asks"), "k").unionByName(ahead)
-    upto = F.sum(F.when(F.col("asks") == 0, F.col("k")).otherwise(0)).over(Window.partitionBy(*PAIR).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
-    low = merged.withColumn("upto", upto).groupBy(*PAIR).agg(F.sum(F.when(F.col("asks") == 1, F.col("k") * F.col("upto")).otherwise(0)).alias("low"))
-    s = sizes.join(others, PAIR).join(low, PAIR)
+    side = lambda margins, own, asks: margins.select(*PAIR, F.col(own).alias("margin"), F.lit(asks).alias("asks"))
+    alike = side(ra, "ra", 1).unionByName(side(rb, "rb", 0)).groupBy(*PAIR, "asks", "margin").agg(F.count("*").alias("k"))
+    pair, rows = Window.partitionBy(*PAIR), F.col("asks") == 1
+    known = {"total": F.sum(F.when(rows, F.col("margin") * F.col("k"))), "ka": F.sum(F.when(rows, F.col("k"))), "kb": F.sum(F.when(~rows, F.col("k"))), "least_a": F.min(F.when(rows, F.col("margin"))), "least_b": F.min(F.when(~rows, F.col("margin")))}
+    merged = alike.withColumns({name: e.over(pair) for name, e in known.items()})
+    merged = merged.withColumn("at", F.when(rows, F.expr("(5 * total - 1) div margin")).otherwise(F.col("margin")))
+    upto = F.sum(F.when(rows, 0).otherwise(F.col("k"))).over(pair.orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    s = merged.withColumn("upto", upto).groupBy(*PAIR).agg(*(F.first(name).alias(name) for name in known), F.sum(F.when(rows, F.col("k") * F.col("upto")).otherwise(0)).alias("low"))
     least = F.col("least_a") * F.col("least_b") / F.col("total")
     return s.select(*PAIR, "total", "ka", "kb", least.alias("least"), "low", ((least >= 1) & (F.col("low") * 5 <= F.col("ka") * F.col("kb"))).alias("met"))
 

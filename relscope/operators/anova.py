@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import roles
 from ..functions import special
-from . import batch
+from . import balancing, batch
 from .ranks import matched, quantiles, ranked, running, splitters, tied_sums, with_median
 
 PAIR = ["category", "numeric"]
@@ -173,8 +173,8 @@ def two_way(df: DataFrame, a: str, b: str, y: str, balanced: bool = False) -> Da
 def balanced_interactions(df: DataFrame, a: str, b: str, size: int | None = None, seed: int = 0) -> DataFrame:
     """As many random rows of each (a, b) cell, the smallest cell's number unless given; all columns stay.
 
-    A cell with fewer rows than ``size`` keeps what it has.
+    A cell with fewer rows than ``size`` keeps what it has.  Draws follow the rows' values.  :mod:`balancing` has more ways.
     """
     if size is None:
         size = df.groupBy(a, b).count().agg(F.min("count")).first()[0] or 0
-    return df.withColumn("_at", F.row_number().over(Window.partitionBy(a, b).orderBy(F.rand(seed)))).where(F.col("_at") <= size).drop("_at")
+    return balancing.first_drawn(df, [a, b], size, None, seed)

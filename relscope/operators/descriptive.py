@@ -106,6 +106,53 @@ def distribution_per_category(df: DataFrame, group: str, y: str, shares: tuple[f
     return rows.groupBy("level").agg(F.count("*").alias("n")).join(ranks.quantiles(rows, ["level"], shares), "level").select("level", "n", F.col("q").alias("quantiles"))
 
 
+def letter_values(df: DataFrame, group: str, y: str) -> DataFrame:
+    """(level, n, depth, low, high): what a letter-value plot draws of each category; its median has depth 0.
+
+    Depth i has the quantiles 2^-(i+1) and 1 - 2^-(i+1).  A category has log2(n) - 3 depths, rounded down, and at least one.
+    """
+    rows = batch.mixed(df, [(group, y)])
+    sizes = rows.groupBy("level").agg(F.count("*").alias("n"))
+    most = max(1, int(sizes.agg(F.max("n")).first()[0] or 0).bit_length() - 4)
+    shares = (0.5, *(s for i in range(1, most + 1) for s in (0.5 ** (i + 1), 1 - 0.5 ** (i + 1))))
+    found = sizes.join(ranks.quantiles(rows, ["level"], shares), "level")
+    at = lambda i: F.col("q")[F.lit(i)]
+    each = F.array(F.struct(F.lit(0).alias("depth"), at(0).alias("low"), at(0).alias("high")), *(F.struct(F.lit(i).alias("depth"), at(2 * i - 1).alias("low"), at(2 * i).alias("high")) for i in range(1, most + 1)))
+    depths = F.greatest(F.lit(1), F.length(F.bin("n")) - 4)
+    return found.select("level", "n", F.explode(each).alias("v"), depths.alias("_depths")).where("v.depth <= _depths").select("level", "n", "v.*")
+
+
+#: Bins that a density is gathered in, per step of its grid.
+FINE = 4
+
+
+def density(df: DataFrame, y: str, group: str | None = None, grid: int = 100, cut: float = 2.0, adjust: float = 1.0) -> DataFrame:
+    """(level, at, density) at ``grid`` points per category: Gaussian kernels of Scott's width times ``adjust``.
+
+    The grid goes ``cut`` widths beyond the values.  Rows are shared linearly between the nearest of ``FINE`` times as many
+    points, and these are convolved, so the work after one pass doesn't follow the rows.  Categories whose values
+    have no spread have no density.  Without ``group`` all rows are one, its level null.
+    """
+    if group is None:
+        rows = df.select(F.lit(None).cast("string").alias("level"), roles.number(df, y).alias("y")).where("y IS NOT NULL")
+    else:
+        rows = batch.mixed(df, [(group, y)]).select("level", "y")
+    s = rows.groupBy("level").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.stddev_samp("y").alias("sd")).where("sd > 0")
+    width = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)) * adjust
+    s = s.withColumn("width", width).withColumn("start", F.col("lo") - cut * F.col("width"))
+    s = s.withColumn("step", (F.col("hi") - F.col("lo") + 2 * cut * F.col("width")) / (grid - 1)).select("level", "n", "width", "start", "step")
+    place = (F.col("y") - F.col("start")) / F.col("step") * FINE
+    rows = ranks.matched(rows, s, ["level"]).withColumn("place", place).withColumn("left", F.floor("place"))
+    sides = F.array(F.struct(F.col("left").alias("bin"), (F.lit(1) - F.col("place") + F.col("left")).alias("mass")), F.struct((F.col("left") + 1).alias("bin"), (F.col("place") - F.col("left")).alias("mass")))
+    bins = rows.select("level", F.explode(sides).alias("b")).groupBy("level", F.col("b.bin").alias("bin")).agg(F.sum("b.mass").alias("mass"))
+    points = df.sparkSession.range(grid).select(F.col("id").alias("point"))
+    near = ranks.matched(bins, s, ["level"]).crossJoin(F.broadcast(points))
+    away = (F.col("point") * FINE - F.col("bin")) * F.col("step") / FINE / F.col("width")
+    kernel = F.exp(-away * away / 2) / math.sqrt(2 * math.pi)
+    out = near.groupBy("level", "point").agg(F.first(F.col("start") + F.col("point") * F.col("step")).alias("at"), (F.sum(F.col("mass") * kernel) / F.first(F.col("n") * F.col("width"))).alias("density"))
+    return out.select("level", "at", "density")
+
+
 def joint(df: DataFrame, x: str, y: str, bins: int = 30) -> dict[str, DataFrame]:
     """What a joint plot draws: ``points`` (bin_x, bin_y, n), the margins ``x`` and ``y`` (bin, low, high, n) and the ``line``.
 

@@ -109,6 +109,11 @@ def mean_estimates(df: DataFrame, y: str, confidence: float = 0.95, by: roles.Na
     return s.withColumns({"moe": moe, "lower": low, "upper": high}).orderBy("size", "mean", *(F.desc(c) for c in names))
 
 
+def in_season(df: DataFrame, column: str, season: str) -> DataFrame:
+    """Rows of one season."""
+    return df.where(F.col(f"`{column}`") == season)
+
+
 def interval_bars(estimates: DataFrame, value: str, labels: list[str]) -> DataFrame:
     """(label, left, width, middle): floating bars for a plot."""
     label = F.concat_ws(" | ", *(F.col(c).cast("string") for c in labels)) if labels else F.lit("all")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import roles
+from ..functions import draws
 from . import probability
 
 #: Days between purchases of a frequency label.
@@ -35,12 +37,12 @@ def with_days(df: DataFrame, columns: Columns = Columns()) -> DataFrame:
     return df.withColumn("days_between_purchases", days).withColumn("days_of_patronage", days * F.col(f"`{columns.previous}`"))
 
 
-def _rates(df: DataFrame, period_days: float, columns: Columns) -> DataFrame:
+def _rates(df: DataFrame, period_days: float, columns: Columns, *also: Column) -> DataFrame:
     """Rows with their expected purchases in a period and their season's mean amount."""
     days = days_of(F.col(f"`{columns.frequency}`"))
     amount, season = F.col(f"`{columns.amount}`").cast("double"), F.col(f"`{columns.season}`")
     means = df.groupBy(season.alias("season")).agg(F.avg(amount).alias("mean_amount"))
-    return df.select(season.alias("season"), (F.lit(period_days) / F.nullif(days, F.lit(0.0))).alias("rate")).join(F.broadcast(means), "season")
+    return df.select(*also, season.alias("season"), (F.lit(period_days) / F.nullif(days, F.lit(0.0))).alias("rate")).join(F.broadcast(means), "season")
 
 
 def expected_sales(df: DataFrame, multiplier: float = 1.0, period_days: float = 365 / 4, columns: Columns = Columns()) -> DataFrame:
@@ -50,10 +52,15 @@ def expected_sales(df: DataFrame, multiplier: float = 1.0, period_days: float =
     return r.groupBy("season").agg(F.count("*").alias("customers"), purchases.alias("purchases"), (purchases * F.max("mean_amount")).alias("sales"))
 
 
-def simulated_sales(df: DataFrame, multiplier: float = 2.0, period_days: float = 365 / 4, seed: int = 0, columns: Columns = Columns()) -> DataFrame:
-    """(season, customers, purchases, sales): each row draws from Poisson weights cut off at rate * multiplier, by a seeded inverse."""
-    r = _rates(df, period_days, columns).where("rate IS NOT NULL")
-    r = r.withColumn("_w", probability.poisson_steps(F.floor(F.col("rate") * multiplier), F.col("rate"))).withColumn("_u", F.rand(seed))
+def simulated_sales(df: DataFrame, multiplier: float = 2.0, period_days: float = 365 / 4, seed: int = 0, columns: Columns = Columns(), key: roles.Names = None) -> DataFrame:
+    """(season, customers, purchases, sales): each row draws from Poisson weights cut off at rate * multiplier, by a seeded inverse.
+
+    With ``key``, columns that tell rows apart, a row's draw follows these and nothing else.
+    """
+    names = roles.names(key)
+    draw = draws.uniform(seed, *(F.col(f"`{c}`") for c in names)) if names else F.rand(seed)
+    r = _rates(df, period_days, columns, draw.alias("_u")).where("rate IS NOT NULL")
+    r = r.withColumn("_w", probability.poisson_steps(F.floor(F.col("rate") * multiplier), F.col("rate")))
     start = F.struct(F.lit(0.0).alias("upto"), F.lit(0).alias("k"))
     goal = F.col("_u") * F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
     drawn = F.aggregate("_w", start, lambda s, x: F.struct((s.upto + x).alias("upto"), (s.k + F.when(s.upto + x < goal, 1).otherwise(0)).alias("k")), lambda s: s.k)

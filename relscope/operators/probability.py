@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import roles
-from ..functions import special
+from ..functions import draws, special
 
 CLIP = 1e-15
 
 
-def sampled(df: DataFrame, name: str, values: list, weights: list[float], seed: int = 0) -> DataFrame:
-    """Adds a column drawn from ``values`` by inverting the cumulated weights."""
+def sampled(df: DataFrame, name: str, values: list, weights: list[float], seed: int = 0, key: roles.Names = None) -> DataFrame:
+    """Adds a column drawn from ``values`` by inverting the cumulated weights; with ``key``, columns that tell rows apart, a row's draw follows these."""
     total, upto, draw = sum(weights), 0.0, F.col("_draw")
     out = F.lit(values[-1])
     steps = []
@@ -23,7 +23,9 @@ def sampled(df: DataFrame, name: str, values: list, weights: list[float], seed:
         steps.append((v, upto))
     for v, u in reversed(steps[:-1]):
         out = F.when(draw < u, F.lit(v)).otherwise(out)
-    return df.withColumn("_draw", F.rand(seed)).withColumn(name, out).drop("_draw")
+    names = roles.names(key)
+    drawn = draws.uniform(seed, *(F.col(f"`{c}`") for c in names)) if names else F.rand(seed)
+    return df.withColumn("_draw", drawn).withColumn(name, out).drop("_draw")
 
 
 def fit_normal(df: DataFrame, column: str) -> DataFrame:

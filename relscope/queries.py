@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import anova, assumptions, batch, binning, chi2, clustering, descriptive, estimate, forecast, numeric, preparation, probability
+from .operators import anova, assumptions, balancing, batch, binning, chi2, clustering, descriptive, estimate, forecast, numeric, preparation, probability
 from .plans import analyzer, compare
 from .sources import tables
 
@@ -107,6 +107,34 @@ def grouped_describe(spark, sf):
     return rounded(descriptive.grouped_describe(read(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"]), "mean", "median", "std")
 
 
+@query(
+    """WITH s AS (SELECT event_type AS level, count(*) AS n, unnest(range(0, 1 + greatest(1, length(bin(count(*))) - 4))) AS depth FROM events WHERE value IS NOT NULL GROUP BY 1),
+  v AS (SELECT event_type AS level, list(value ORDER BY value) AS x FROM events WHERE value IS NOT NULL GROUP BY 1),
+  q AS (SELECT level, n, depth, x, (n - 1) * 0.5 ** (depth + 1) AS a, (n - 1) * (1 - 0.5 ** (depth + 1)) AS b FROM s JOIN v USING (level))
+SELECT level, n, depth::INT AS depth, round(x[floor(a)::INT + 1] + (x[ceil(a)::INT + 1] - x[floor(a)::INT + 1]) * (a - floor(a)), 6) AS low, round(x[floor(b)::INT + 1] + (x[ceil(b)::INT + 1] - x[floor(b)::INT + 1]) * (b - floor(b)), 6) AS high FROM q"""
+)
+def letter_values(spark, sf):
+    return rounded(descriptive.letter_values(read(spark, sf, "events"), "event_type", "value"), "low", "high")
+
+
+def sql_density(rows: str, grid: int, cut: float) -> str:
+    """(level, at, density) of rows (level, y)."""
+    return f"""WITH r AS ({rows}), s AS (SELECT *, lo - {cut} * width AS start, (hi - lo + {2 * cut} * width) / {grid - 1} AS step FROM (SELECT level, count(*) AS n, min(y) AS lo, max(y) AS hi, stddev_samp(y) * count(*) ** -0.2 AS width FROM r GROUP BY level)),
+  p AS (SELECT s.level, (y - start) / step * 4 AS place FROM r JOIN s ON r.level IS NOT DISTINCT FROM s.level),
+  m AS (SELECT level, bin, sum(mass) AS mass FROM (SELECT level, floor(place) AS bin, 1 - place + floor(place) AS mass FROM p UNION ALL SELECT level, floor(place) + 1, place - floor(place) FROM p) GROUP BY ALL)
+SELECT s.level AS level, round(max(start + i * step), 6) AS at, round(sum(mass * exp(-(((i * 4 - bin) * step / 4 / width) ** 2) / 2) / sqrt(2 * pi())) / max(n * width), 8) AS density FROM m JOIN s ON m.level IS NOT DISTINCT FROM s.level, range({grid}) g(i) GROUP BY s.level, i"""
+
+
+@query(sql_density("SELECT event_type AS level, value AS y FROM events WHERE value IS NOT NULL", 100, 2.0))
+def violin_densities(spark, sf):
+    return rounded(rounded(descriptive.density(read(spark, sf, "events"), "value", "event_type"), "at"), "density", digits=8)
+
+
+@query(sql_density("SELECT NULL::VARCHAR AS level, o_totalprice AS y FROM orders", 200, 0.0).replace(", 8) AS density", ", 12) AS density"))
+def histogram_density(spark, sf):
+    return rounded(rounded(descriptive.density(read(spark, sf, "orders"), "o_totalprice", grid=200, cut=0.0), "at"), "density", digits=12)
+
+
 @query("WITH s AS (SELECT min(p_size)::DOUBLE AS lo, (max(p_size) - min(p_size)) / 7.0 AS w FROM part), b AS (SELECT least(6, floor((p_size - lo) / w))::INT AS bin, count(*) AS n FROM part, s GROUP BY 1) SELECT i::INT AS bin, round(lo + i * w, 6) AS low, round(lo + (i + 1) * w, 6) AS high, coalesce(n, 0) AS n FROM range(7) r(i) CROSS JOIN s LEFT JOIN b ON b.bin = i")
 def histogram(spark, sf):
     return rounded(descriptive.histogram(read(spark, sf, "part"), "p_size", 7), "low", "high")
@@ -283,6 +311,47 @@ def balanced_interactions(spark, sf):
     return anova.balanced_interactions(read(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
+def sql_hash(seed: int, *keys: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'coalesce({k}::VARCHAR, {chr(39) * 2})' for k in keys)})), 1, 13))::BIGINT"
+
+
+def sql_uniform(seed: int, *keys: str) -> str:
+    return f"(({sql_hash(seed, *keys)} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def sql_balanced(table: str, a: str, b: str, key: tuple[str, ...], size: str, min_size: int, seed: int, weight: str | None = None) -> str:
+    """Rows of :func:`balancing.balanced`; ``size`` is an aggregate of the sizes n of cells that have ``min_size``."""
+    order = sql_hash(seed, *key) if weight is None else f"-ln({sql_uniform(seed, *key)}) / count(*) OVER (PARTITION BY {a}, {b}, {weight})"
+    return f"""SELECT {", ".join(key)}, {a}, {b} FROM (SELECT *, row_number() OVER (PARTITION BY {a}, {b} ORDER BY h) AS pos FROM (SELECT *, {order} AS h, count(*) OVER (PARTITION BY {a}, {b}) AS n FROM {table})),
+  (SELECT {size} AS size FROM (SELECT count(*) AS n FROM {table} GROUP BY {a}, {b}) WHERE n >= {min_size}) WHERE n >= {min_size} AND pos <= size"""
+
+
+KEY = ("l_orderkey", "l_linenumber")
+
+
+@query(sql_balanced("lineitem", "l_returnflag", "l_linestatus", KEY, "floor(quantile_cont(n, 0.3))", 5, 3))
+def balanced_ntile(spark, sf):
+    d = read(spark, sf, "lineitem").select(*KEY, "l_returnflag", "l_linestatus")
+    return balancing.balanced(d, "l_returnflag", "l_linestatus", KEY, ntile=30, seed=3)
+
+
+@query(sql_balanced("(SELECT *, p_size > 40 AS large FROM part)", "p_type", "large", ("p_partkey",), "min(n)", 5, 4, "p_brand"))
+def balanced_strata(spark, sf):
+    d = read(spark, sf, "part").select("p_partkey", "p_type", (F.col("p_size") > 40).alias("large"), "p_brand")
+    return balancing.balanced(d, "p_type", "large", "p_partkey", strata="p_brand", seed=4).drop("p_brand")
+
+
+@query(
+    f"""{sql_balanced("part", "p_brand", "p_type", ("p_partkey",), "min(n)", 12, 5)} UNION ALL
+SELECT p_partkey, p_brand, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY {sql_hash(5, "p_partkey")}) - 1 AS place FROM part) JOIN
+  (SELECT p_brand, p_type, floor({sql_uniform(5, "p_brand", "p_type", "i")} * n) AS place FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) c,
+    range((SELECT min(n) FROM (SELECT count(*) AS n FROM part GROUP BY p_brand, p_type) WHERE n >= 12)) r(i) WHERE n < 12) USING (p_brand, p_type, place)"""
+)
+def balanced_replacement(spark, sf):
+    d = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
+    return balancing.balanced(d, "p_brand", "p_type", "p_partkey", min_size=12, override_min=True, seed=5)
+
+
 SQL_WELCH = "(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS dof"
 
 
@@ -613,11 +682,37 @@ def rescaled_bins(spark, sf):
     return binning.binned(read(spark, sf, "part"), "p_size", 6, True).select("p_partkey", "p_size -> Binned")
 
 
-@query()
+def sql_search(y: str, x: str, stat: str, least: int, good: str, rows: str, steps: int = 24) -> str:
+    """A bisection for the fewest bins, its answers one after the other: each step tries the middle of what is left.
+
+    ``stat`` selects v from b (bins of y) and x; ``good`` is a condition on v.
+    """
+    out = [f"WITH d AS MATERIALIZED (SELECT {y}::DOUBLE AS y, {x} AS x FROM {rows}), e AS (SELECT min(y) - 1e-10 AS lo, max(y) + 1e-10 AS hi FROM d), s0 AS (SELECT {least}::BIGINT AS low, greatest(count(*), {least})::BIGINT AS high, NULL::BIGINT AS found, NULL::BIGINT AS beyond, NULL::DOUBLE AS stat FROM d)"]
+    for i in range(1, steps + 1):
+        out.append(f"p{i} AS MATERIALIZED (SELECT *, (low + high) // 2 AS k FROM s{i - 1})")
+        out.append(f"b{i} AS (SELECT greatest(1, least(k, ceil((y - lo) * k / (hi - lo)))) AS b, x FROM d, e, p{i} WHERE low <= high)")
+        out.append(f"v{i} AS MATERIALIZED ({stat.format(rows=f'b{i}')})")
+        out.append(f"s{i} AS MATERIALIZED (SELECT CASE WHEN v IS NOT NULL AND NOT ({good}) THEN k + 1 ELSE low END AS low, CASE WHEN low <= high AND v IS NULL THEN low - 1 WHEN low <= high AND {good} THEN k - 1 ELSE high END AS high, CASE WHEN low > high THEN found WHEN v IS NULL THEN NULL WHEN {good} THEN k ELSE found END AS found, CASE WHEN low <= high AND v IS NOT NULL AND NOT ({good}) THEN k ELSE beyond END AS beyond, CASE WHEN low <= high AND {good} THEN v ELSE stat END AS stat FROM p{i}, v{i})")
+    return f"SELECT '{y}' AS y, '{x}' AS x, found::INT AS min_bins, beyond::INT AS beyond, round(stat, 6) AS stat FROM ({', '.join(out)} SELECT * FROM s{steps})"
+
+
+SQL_CORR = "SELECT abs(corr(b, x)) AS v FROM {rows}"
+SQL_RANKS = (
+    "SELECT CASE WHEN k > 1 AND tied < n THEN "
+    + sql_chi2_sf("h", "(k - 1)").replace("{", "{{").replace("}", "}}")
+    + """ END AS v FROM (SELECT *, (12 / (n * (n + 1)) * rr - 3 * (n + 1)) / nullif(1 - ties / (n ** 3 - n), 0) AS h FROM
+  (SELECT count(*) AS k, sum(r * r / gn) AS rr FROM (SELECT x, sum(rank) AS r, count(*)::DOUBLE AS gn FROM (SELECT x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rank FROM {rows}) GROUP BY x)),
+  (SELECT sum(t)::DOUBLE AS n, sum(t ** 3 - t) AS ties, max(t) AS tied FROM (SELECT count(*)::DOUBLE AS t FROM {rows} GROUP BY b)))"""
+)
+MIXED = "(SELECT l_quantity, l_quantity + l_extendedprice / 10000 AS mixed, CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS band FROM lineitem)"
+
+
+@query(" UNION ALL ".join([sql_search(y, x, SQL_CORR, 2, "v >= 0.6", MIXED) for y, x in (("l_quantity", "mixed"), ("mixed", "l_quantity"))] + [sql_search(y, "band", SQL_RANKS, 1, "v < 0.05", MIXED) for y in ("l_quantity", "mixed")]))
 def minimum_bins(spark, sf):
     d = read(spark, sf, "lineitem").select("l_quantity", (F.col("l_quantity") + F.col("l_extendedprice") / 10_000).alias("mixed"), F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("band"))
     found = binning.relational(d, ("pearson", 0.6, True), ("kruskal", 0.05, False))
-    return spark.createDataFrame([(y, x, s.found, s.beyond, s.stat) for y, m in found.items() for x, s in m.by_feature.items()], "y string, x string, min_bins int, beyond int, stat double")
+    out = spark.createDataFrame([(y, x, s.found, s.beyond, s.stat) for y, m in found.items() for x, s in m.by_feature.items()], "y string, x string, min_bins int, beyond int, stat double")
+    return rounded(out, "stat")
 
 
 # Estimates.
@@ -697,10 +792,10 @@ def poisson_model(spark, sf):
 def habits(spark: SparkSession, sf: str) -> DataFrame:
     labels, k = F.array(*map(F.lit, forecast.DAYS)), F.col("o_orderkey")
     season = F.element_at(F.array(*map(F.lit, forecast.SEASONS)), (F.quarter("o_orderdate")))
-    return read(spark, sf, "orders").select(F.element_at(labels, (k % 7 + 1).cast("int")).alias("Frequency of Purchases"), (k % 50).cast("int").alias("Previous Purchases"), season.alias("Season"), F.col("o_totalprice").alias("Purchase Amount (USD)"))
+    return read(spark, sf, "orders").select(F.element_at(labels, (k % 7 + 1).cast("int")).alias("Frequency of Purchases"), (k % 50).cast("int").alias("Previous Purchases"), season.alias("Season"), F.col("o_totalprice").alias("Purchase Amount (USD)"), k.alias("key"))
 
 
-SQL_HABITS = "(SELECT list_value({labels})[(o_orderkey % 7 + 1)::INT] AS f, list_value({days})[(o_orderkey % 7 + 1)::INT] AS d, o_orderkey % 50 AS p, list_value({seasons})[quarter(o_orderdate)] AS season, o_totalprice AS a FROM orders)".format(labels=", ".join(f"'{x}'" for x in forecast.DAYS), days=", ".join(f"{x!r}::DOUBLE" for x in forecast.DAYS.values()), seasons=", ".join(f"'{x}'" for x in forecast.SEASONS))
+SQL_HABITS = "(SELECT list_value({labels})[(o_orderkey % 7 + 1)::INT] AS f, list_value({days})[(o_orderkey % 7 + 1)::INT] AS d, o_orderkey % 50 AS p, list_value({seasons})[quarter(o_orderdate)] AS season, o_totalprice AS a, o_orderkey AS key FROM orders)".format(labels=", ".join(f"'{x}'" for x in forecast.DAYS), days=", ".join(f"{x!r}::DOUBLE" for x in forecast.DAYS.values()), seasons=", ".join(f"'{x}'" for x in forecast.SEASONS))
 
 
 @query(f"SELECT f AS frequency, round(d, 6) AS days, round(sum(d * p), 4) AS patronage FROM {SQL_HABITS} GROUP BY 1, 2")
@@ -719,9 +814,22 @@ def monthly_sales(spark, sf):
     return rounded(forecast.floating(forecast.by_period(forecast.expected_sales(habits(spark, sf)), "Months")), "sales", "start", digits=2)
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT season, 365 / 4.0 / d AS rate, avg(a) OVER (PARTITION BY season) AS mean, {sql_uniform(7, "key")} AS u FROM {SQL_HABITS}),
+  w AS (SELECT *, list_transform(range(0, floor(rate * 2)::INT + 1), lambda k: exp(k * ln(rate) - rate - lgamma(k + 1.0))) AS w FROM h),
+  k AS (SELECT *, least(len(w) - 1, len(list_filter(range(1, len(w) + 1), lambda i: list_sum(w[1:i]) < u * list_sum(w)))) AS k FROM w),
+  s AS (SELECT season, count(*) AS customers, sum(k)::BIGINT AS purchases, sum(k * mean) AS sales FROM k GROUP BY season)
+SELECT (i - 1)::INT AS at, seasons[i] AS season, coalesce(customers, 0) AS customers, coalesce(purchases, 0) AS purchases, round(coalesce(sales, 0), 2) AS sales FROM (SELECT list_value({", ".join(f"'{x}'" for x in forecast.SEASONS)}) AS seasons), range(1, 5) r(i) LEFT JOIN s ON season = seasons[i]"""
+)
 def simulated_sales(spark, sf):
-    return forecast.in_order(forecast.simulated_sales(habits(spark, sf), seed=7))
+    return rounded(forecast.in_order(forecast.simulated_sales(habits(spark, sf), seed=7, key="key")), "sales", digits=2)
+
+
+@query(f"SELECT p % 5 AS former, count(*) AS size, min(a) AS min, round(avg(a), 4) AS mean, round(quantile_cont(a, 0.5), 4) AS median, max(a) AS max, round(stddev_samp(a), 4) AS std, round({Z95} * stddev_samp(a) / sqrt(count(*)), 4) AS moe FROM {SQL_HABITS} WHERE season = 'Winter' GROUP BY 1")
+def mean_intervals_of_a_season(spark, sf):
+    d = estimate.in_season(habits(spark, sf), "Season", "Winter").withColumn("former", F.col("`Previous Purchases`") % 5)
+    found = estimate.mean_estimates(d, "Purchase Amount (USD)", 0.95, "former").drop("lower", "upper")
+    return rounded(found, "mean", "median", "std", "moe", digits=4)
 
 
 # Preparation.

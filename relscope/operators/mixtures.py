@@ -206,7 +206,7 @@ def fit(points: DataFrame, dim: int, ks, sizes, kinds=("full", "diag"), seed: in
     def spread(batch: pa.RecordBatch) -> np.ndarray:
         return sum(np.concatenate([[w.sum()], w @ x]) for x, w in arrays(batch, dim, np.zeros(dim)))
 
-    tasks = min(points.rdd.getNumPartitions(), math.ceil(points.count() / TASK) or 1)
+    tasks = max(1, min(points.rdd.getNumPartitions(), math.ceil(points.count() / TASK)))
     points = points.coalesce(tasks)
     total = sums.added(points, spread, 1 + dim, tasks)
     if not total[0]:

@@ -65,7 +65,12 @@ def group_normality(rows: DataFrame, by: list[str] = PAIR, alpha: float = 0.05)
 
 def anova_met(df: DataFrame, pairs: list[tuple[str, str]], rules: AnovaRules = AnovaRules(), dropna: bool = True) -> DataFrame:
     """(category, numeric, assumptions_met): after outliers go, sizes, equal spread and normality within groups."""
-    rows = without_outliers(batch.mixed(df, pairs, dropna), PAIR, rules.iqr_multiplier)
+    return anova_met_of(batch.mixed(df, pairs, dropna), rules)
+
+
+def anova_met_of(rows: DataFrame, rules: AnovaRules = AnovaRules()) -> DataFrame:
+    """The same of rows (category, numeric, level, y)."""
+    rows = without_outliers(rows, PAIR, rules.iqr_multiplier)
     out = group_sizes(rows, PAIR, rules.min_n).withColumnRenamed("met", "sizes")
     spread = levene(rows).select(*PAIR, F.coalesce(F.col("p_value") > rules.homogeneity_alpha, F.lit(False)).alias("spread"))
     shape = group_normality(rows, PAIR, rules.normality_alpha).withColumnRenamed("met", "shape")
@@ -196,10 +201,14 @@ def lenient(df: DataFrame, pairs: list[tuple[str, str]], max_ratio: float = 0.5)
 
 def kruskal_met(df: DataFrame, pairs: list[tuple[str, str]], rules: KruskalRules = KruskalRules(), dropna: bool = True) -> DataFrame:
     """(category, numeric, assumptions_met): 'True', 'False' or what the lenient gate answers."""
-    ties = lenient(df, pairs, rules.max_tie_ratio).withColumn("else_", F.when(F.col("lenient"), LENIENT).otherwise("False"))
+    return kruskal_met_of(batch.mixed(df, pairs, dropna), lenient(df, pairs, rules.max_tie_ratio), rules)
+
+
+def kruskal_met_of(rows: DataFrame, ties: DataFrame, rules: KruskalRules = KruskalRules()) -> DataFrame:
+    """The same of rows (category, numeric, level, y), with what :func:`lenient` says of the pairs."""
+    ties = ties.withColumn("else_", F.when(F.col("lenient"), LENIENT).otherwise("False"))
     if rules.only_lenient:
         return ties.select(*PAIR, F.col("else_").alias("assumptions_met"))
-    rows = batch.mixed(df, pairs, dropna)
     sizes = rows.groupBy(*PAIR, "level").agg(F.count("*").alias("n")).groupBy(*PAIR).agg(F.count("*").alias("k"), F.min("n").alias("least"))
     spread = levene(rows).select(*PAIR, F.coalesce(F.col("p_value") < rules.levene_alpha, F.lit(False)).alias("uneven"))
     shape = ks_met(ks_pairs(rows), PAIR, rules.ks_alpha, rules.tolerant)

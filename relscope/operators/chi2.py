@@ -22,13 +22,17 @@ def independence(df: DataFrame, pairs: list[tuple[str, str]], dropna: bool = Tru
     """
     if not pairs:
         return df.sparkSession.createDataFrame([], "category_a string, category_b string, n long, chi2 double, dof long, p_value double, assumptions_met boolean")
-    counts = batch.category_pairs(df, pairs, dropna)
+    named = df.sparkSession.createDataFrame([(x, y, i) for i, (x, y) in enumerate(pairs)], "a string, b string, at int")
+    return independence_of(batch.category_pairs(df, pairs, dropna), named)
+
+
+def independence_of(counts: DataFrame, named: DataFrame) -> DataFrame:
+    """The same from counts (a, b, la, lb, n) of level pairs, for the pairs (a, b, at) that are ``named``."""
     rows, columns = Window.partitionBy(*PAIR, "la"), Window.partitionBy(*PAIR, "lb")
     cells = counts.withColumn("ra", F.sum("n").over(rows)).withColumn("rb", F.sum("n").over(columns))
     stats = cells.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("rb"))).alias("share"))
     rule = expected_counts(*(counts.groupBy(*PAIR, level).agg(F.sum("n").alias(name)) for level, name in (("la", "ra"), ("lb", "rb"))))
     stats = stats.join(rule, PAIR).select(*PAIR, "n", (F.col("n") * (F.col("share") - 1)).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"), "met")
-    named = df.sparkSession.createDataFrame([(x, y, i) for i, (x, y) in enumerate(pairs)], "a string, b string, at int")
     defined = F.col("dof") > 0
     out = F.broadcast(named).join(stats, PAIR, "left")
     out = out.select(F.col("a").alias("category_a"), F.col("b").alias("category_b"), F.coalesce("n", F.lit(0)).alias("n"), F.when(defined, F.greatest(F.lit(0.0), F.col("chi2"))).alias("chi2"), "dof", "met")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import roles
 from ..operators import assumptions, binning, chi2, numeric, preparation
-from . import compare
+from . import compare, lattice
 
 OUTCOMES = ("significant", "not_significant", "assumptions_not_met")
 
@@ -128,7 +128,7 @@ class Analyzer:
         return self
 
     def fit_multivariate(self, df: DataFrame, targets: roles.Names, max_size: int = 3, min_size: int = 2) -> Analyzer:
-        """Combinations of categories that aren't significant alone, size by size, all of a size in one comparison.
+        """Combinations of categories that aren't significant alone, size by size, all of a size rolled up from one grouping.
 
         A size with more than ``max_combinations`` ends the search; members of significant
         combinations leave the pool after their size.
@@ -145,14 +145,8 @@ class Analyzer:
                     warnings.warn(f"{target}: more than {self.max_combinations} combinations of {size}", stacklevel=2)
                     break
                 combos = {preparation.HEADER.join(c): c for c in combinations(pool, size)}
-                wide = df.select(F.col(f"`{target}`"), *(F.col(f"`{c}`") for c in pool))
-                for name, c in combos.items():
-                    wide = preparation.concatenated(wide, list(c), self.delimiter, name)
-                names = list(combos)
-                if p.kind == "numeric":
-                    results = compare.measured(wide, {"numcat": self.tests["numcat"]}, [target], names, target, None, None, self.check_assumptions, self.anova_rules, self.kruskal_rules)
-                else:
-                    results = compare.measured(wide, {"catcat": self.tests["catcat"]}, [], [target, *names], None, target, None, self.check_assumptions)
+                tests = self.tests["numcat" if p.kind == "numeric" else "catcat"]
+                results = lattice.measured(df, target, p.kind == "numeric", pool, list(combos.values()), tests, self.delimiter, self.check_assumptions, self.anova_rules, self.kruskal_rules)
                 for r in compare.classified(results, self.tests, self.compat).collect():
                     other = r["column_b"] if r["column_a"] == target else r["column_a"]
                     p.combinations[r["outcome"]][combos[other]] = r["label"]

@@ -183,6 +183,41 @@ def normal_quantile(p: float) -> float:
     return _bisect(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)) - p, -40.0, 40.0)
 
 
+#: Wichura's rational approximations (algorithm AS 241), numerators and denominators from the constant up,
+#: of q = p - 1/2 by 0.180625 - q^2, and of r = sqrt(-log(min(p, 1 - p))) by r - 1.6 while r is at most 5.
+MIDDLE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+OUTER = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+
+
+def polynomial(coefficients, x):
+    """From the constant up."""
+    out = coefficients[-1]
+    for c in reversed(coefficients[:-1]):
+        out = out * x + c
+    return out
+
+
+def normal_quantile_of(p: Column) -> Column:
+    """The normal quantile of a probability between 1e-11 and 1 - 1e-11, to double precision."""
+    q = p - 0.5
+    near = F.lit(0.180625) - q * q
+    far = F.sqrt(-F.log(F.least(p, 1 - p))) - 1.6
+    outer = F.signum(q) * polynomial(OUTER[0], far) / polynomial(OUTER[1], far)
+    return F.when(F.abs(q) <= 0.425, q * polynomial(MIDDLE[0], near) / polynomial(MIDDLE[1], near)).otherwise(outer)
+
+
+def normal_sf(z: Column) -> Column:
+    """The upper tail, right far out too."""
+    half = chi2_sf(z * z, F.lit(1.0)) / 2
+    return F.when(z > 0, half).otherwise(1 - half)
+
+
 def _t_cdf(t: float, dof: float) -> float:
     """By the beta function's continued fraction."""
     a, b, x = dof / 2, 0.5, dof / (dof + t * t)

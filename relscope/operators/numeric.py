@@ -6,11 +6,11 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import roles
+from ..functions import special
 from . import anova, batch, ranks
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -158,8 +158,49 @@ def correlation_comparison(df: DataFrame, threshold: float = 0.6, keep_above: bo
 # Normality.
 
 
+#: Royston's polynomials, from the constant up, of the root of 1 / n, of n, and of log n.
+LAST = (0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+LAST_BUT_ONE = (0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+FEW_MEAN, FEW_LOG_SD, FEW_LIMIT = (0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322), (-2.273, 0.459)
+MANY_MEAN, MANY_LOG_SD = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+
+
+def shapiro_weights(spark: SparkSession) -> DataFrame:
+    """(n, a): what the order statistics of 3 to LARGE - 1 values are weighted with, from normal quantiles."""
+    d = spark.range(3, LARGE).select(F.col("id").alias("n"), F.col("id").cast("double").alias("x"))
+    d = d.withColumn("m", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: special.normal_quantile_of((i - 0.375) / (F.col("x") + 0.25))))
+    d = d.withColumn("mm", F.aggregate("m", F.lit(0.0), lambda s, v: s + v * v)).withColumn("u", 1 / F.sqrt("x"))
+    top, next_ = F.element_at("m", -1), F.element_at("m", -2)
+    last = F.when(F.col("n") == 3, math.sqrt(0.5)).otherwise(special.polynomial((0.0, *LAST), F.col("u")) + top / F.sqrt("mm"))
+    d = d.withColumn("last", last).withColumn("before", special.polynomial((0.0, *LAST_BUT_ONE), F.col("u")) + next_ / F.sqrt("mm"))
+    many = F.col("n") > 5
+    left = F.col("mm") - 2 * top * top - F.when(many, 2 * next_ * next_).otherwise(0.0)
+    rest = 1 - 2 * F.col("last") ** 2 - F.when(many, 2 * F.col("before") ** 2).otherwise(0.0)
+    d = d.withColumn("scale", F.when(F.col("n") == 3, 1.0).otherwise(F.sqrt(left / F.nullif(rest, F.lit(0.0)))))
+    at = lambda v, i: F.when(i == 0, -F.col("last")).when(i == F.col("n") - 1, F.col("last")).when(many & (i == 1), -F.col("before")).when(many & (i == F.col("n") - 2), F.col("before")).otherwise(v / F.col("scale"))
+    return d.select("n", F.transform("m", at).alias("a"))
+
+
+def shapiro(groups: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, p_value) of groups (by, n, x) with their values as arrays, by Royston's approximation; null under 3 values, 1 for equal ones."""
+    g = groups.join(F.broadcast(shapiro_weights(groups.sparkSession)), "n", "left").withColumn("x", F.array_sort("x"))
+    g = g.withColumn("mean", F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.col("n"))
+    spread = F.aggregate("x", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean")))
+    weighed = F.aggregate(F.zip_with("a", "x", lambda a, v: a * v), F.lit(0.0), lambda s, v: s + v)
+    g = g.withColumn("_w", F.least(F.lit(1.0), weighed * weighed / F.nullif(spread, F.lit(0.0))))
+    w, n = F.col("_w"), F.col("n").cast("double")
+    three = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+    gone, limit, size = F.log(F.when(w < 1, 1 - w)), special.polynomial(FEW_LIMIT, n), F.log(n)
+    few = (-F.log(F.when(limit > gone, limit - gone)) - special.polynomial(FEW_MEAN, n)) / F.exp(special.polynomial(FEW_LOG_SD, n))
+    many = (gone - special.polynomial(MANY_MEAN, size)) / F.exp(special.polynomial(MANY_LOG_SD, size))
+    g = g.withColumn("_z", F.when(F.col("n") <= 11, few).otherwise(many))
+    same = F.element_at("x", 1) == F.element_at("x", -1)
+    p = F.when(F.col("n") < 3, F.lit(None)).when(same, 1.0).when(F.col("n") == 3, three).when(w >= 1, 1.0).when((F.col("n") <= 11) & (limit <= gone), 0.0)
+    return g.select(*by, "n", p.otherwise(special.normal_sf(F.col("_z"))).cast("double").alias("p_value"))
+
+
 def shapiro_p(x: np.ndarray) -> float | None:
-    """Shapiro and Wilk's test by Royston's approximation, for 3 to 5000 values."""
+    """The same of one array of 3 to 5000 values, on its own."""
     x = np.sort(np.asarray(x, float))
     n = len(x)
     if n < 3 or x[0] == x[-1]:
@@ -226,13 +267,9 @@ def normal_p(rows: DataFrame, by: list[str], y: str = "y") -> DataFrame:
     """(by, n, p_value)."""
     m = rows.groupBy(*by).agg(F.count("*").alias("n"), F.skewness(y).alias("skew"), F.kurtosis(y).alias("kurt"), F.var_pop(y).alias("var"))
     large = m.where(F.col("n") >= LARGE).select(*by, "n", F.when(F.col("var") > 0, F.exp(-k2(F.col("n"), F.col("skew"), F.col("kurt")) / 2)).alias("p_value"))
-    few = rows.join(m.where(F.col("n") < LARGE).select(*by), by)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
-
-    def test(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{c: [p[c].iloc[0]] for c in by}, "n": [len(p)], "p_value": [shapiro_p(p[y].to_numpy())]})
-
-    return large.unionByName(few.groupBy(*by).applyInPandas(test, f"{ddl}, n long, p_value double"))
+    few = ranks.matched(rows, m.where(F.col("n") < LARGE).select(*by, "n"), by)
+    few = few.groupBy(*by, "n").agg(F.collect_list(F.col(y).cast("double")).alias("x"))
+    return large.unionByName(shapiro(few, by))
 
 
 def normality_comparison(df: DataFrame, alpha: float = 0.05, keep_above: bool | None = False, **kind) -> DataFrame:

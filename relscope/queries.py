@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import special
 from .operators import anova, assumptions, balancing, batch, binning, chi2, clustering, descriptive, estimate, forecast, numeric, preparation, probability
 from .plans import analyzer, compare
 from .sources import tables
@@ -443,7 +444,29 @@ def normality(spark, sf):
     return rounded(numeric.normality(read(spark, sf, "customer"), ["c_acctbal", "c_nationkey"]), "p_value")
 
 
-@query()
+def sql_polynomial(c: tuple[float, ...], x: str) -> str:
+    return "(" + " + ".join(f"({v!r}::DOUBLE) * ({x}) ** {i}" if i else f"({v!r}::DOUBLE)" for i, v in enumerate(c)) + ")"
+
+
+def sql_normal_quantile(p: str) -> str:
+    near, far = f"(0.180625 - ({p} - 0.5) ** 2)", f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)"
+    (a, b), (c, d) = special.MIDDLE, special.OUTER
+    return f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {sql_polynomial(a, near)} / {sql_polynomial(b, near)} ELSE sign({p} - 0.5) * {sql_polynomial(c, far)} / {sql_polynomial(d, far)} END)"
+
+
+def sql_shapiro_of(rows: str) -> str:
+    """(g, n, p_value) of rows (g, v), for groups of 6 to 299 rows that are not all equal."""
+    sf = f"CASE WHEN z > 0 THEN {sql_chi2_sf('z * z', '1')} / 2 ELSE 1 - {sql_chi2_sf('z * z', '1')} / 2 END"
+    few, many = (f"(y - {sql_polynomial(mean, x)}) / exp({sql_polynomial(sd, x)})" for mean, sd, x in ((numeric.FEW_MEAN, numeric.FEW_LOG_SD, "n::DOUBLE"), (numeric.MANY_MEAN, numeric.MANY_LOG_SD, "ln(n)")))
+    return f"""SELECT g, n, round({sf}, 6) AS p_value FROM (SELECT g, n, CASE WHEN n <= 11 THEN {few} ELSE {many} END AS z FROM (
+  SELECT g, n, CASE WHEN n <= 11 THEN -ln({sql_polynomial(numeric.FEW_LIMIT, "n::DOUBLE")} - ln(1 - w)) ELSE ln(1 - w) END AS y FROM (
+  SELECT g, n, (list_sum(list_transform(range(3, n - 1), lambda i: m[i] * x[i])) / sqrt((mm - 2 * m[n] ** 2 - 2 * m[n - 1] ** 2) / (1 - 2 * a ** 2 - 2 * b ** 2)) + a * (x[n] - x[1]) + b * (x[n - 1] - x[2])) ** 2 / list_sum(list_transform(x, lambda v: (v - mean) ** 2)) AS w FROM (
+  SELECT *, {sql_polynomial((0.0, *numeric.LAST), "n ** -0.5")} + m[n] / sqrt(mm) AS a, {sql_polynomial((0.0, *numeric.LAST_BUT_ONE), "n ** -0.5")} + m[n - 1] / sqrt(mm) AS b FROM (
+  SELECT *, list_sum(list_transform(m, lambda q: q * q)) AS mm FROM (
+  SELECT g, count(*) AS n, avg(v) AS mean, list(v ORDER BY v) AS x, list_transform(range(1, count(*) + 1), lambda i: {sql_normal_quantile("((i - 0.375::DOUBLE) / (count(*) + 0.25::DOUBLE))")}) AS m FROM ({rows}) GROUP BY g))))))"""
+
+
+@query(f"SELECT 's_acctbal' AS numeric, n, p_value FROM ({sql_shapiro_of('SELECT 0 AS g, s_acctbal::DOUBLE AS v FROM supplier WHERE s_suppkey < 80')})")
 def normality_of_few(spark, sf):
     return rounded(numeric.normality(read(spark, sf, "supplier").where("s_suppkey < 80"), ["s_acctbal"]), "p_value")
 
@@ -494,11 +517,6 @@ def lenient_gate(spark, sf):
     return assumptions.lenient(read(spark, sf, "lineitem"), [("l_returnflag", "l_quantity"), ("l_returnflag", "l_tax")], 0.05)
 
 
-@query()
-def anova_assumptions(spark, sf):
-    return assumptions.anova_met(read(spark, sf, "customer"), [("c_mktsegment", "c_acctbal")])
-
-
 @query()
 def kruskal_assumptions(spark, sf):
     return assumptions.kruskal_met(read(spark, sf, "customer"), [("c_mktsegment", "c_acctbal")], assumptions.KruskalRules(return_lenient=True, tolerant=True))
@@ -517,13 +535,19 @@ def sql_levene(c: str, y: str, rows: str) -> str:
     return sql_anova("", c, y, f"SELECT g, abs(y - med) AS y FROM {rows} JOIN (SELECT g, quantile_cont(y, 0.5) AS med FROM {rows} GROUP BY g) USING (g)")
 
 
+def sql_normal_of(rows: str) -> str:
+    """(g, n, p_value) of rows (g, v), by the test for a group's size."""
+    of = lambda few: f"SELECT g, v FROM (SELECT *, count(*) OVER (PARTITION BY g) AS size FROM ({rows})) WHERE size {'<' if few else '>='} {numeric.LARGE}"
+    return f"{sql_k2_of(of(False))} UNION ALL {sql_shapiro_of(of(True))}"
+
+
 def sql_anova_met(table: str, c: str, y: str, rules: assumptions.AnovaRules = assumptions.AnovaRules()) -> str:
-    """(category, numeric, assumptions_met), for groups of 300 rows and more."""
+    """(category, numeric, assumptions_met), for groups of 6 rows and more."""
     w = f"{rules.iqr_multiplier} * (b - a)"
     return f"""SELECT * FROM (WITH r AS MATERIALIZED (SELECT {c} AS g, {y}::DOUBLE AS y FROM {table} WHERE {c} IS NOT NULL AND {y} IS NOT NULL),
 kept AS MATERIALIZED (SELECT g, y FROM r JOIN (SELECT g, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM r GROUP BY g) USING (g) WHERE y BETWEEN a - {w} AND b + {w})
 SELECT '{c}' AS category, '{y}' AS numeric, (SELECT min(n) >= {rules.min_n} FROM (SELECT count(*) AS n FROM kept GROUP BY g)) AND coalesce((SELECT p_value > {rules.homogeneity_alpha} FROM ({sql_levene(c, y, "kept")})), false)
-  AND (SELECT bool_and(coalesce(p_value > {rules.normality_alpha}, false)) FROM ({sql_k2_of("SELECT g, y AS v FROM kept")})) AS assumptions_met)"""
+  AND (SELECT bool_and(coalesce(p_value > {rules.normality_alpha}, false)) FROM ({sql_normal_of("SELECT g, y AS v FROM kept")})) AS assumptions_met)"""
 
 
 def sql_kruskal_met(table: str, c: str, y: str, rules: assumptions.KruskalRules) -> str:
@@ -550,6 +574,11 @@ def group_normality(spark, sf):
 BELL = " + ".join(f"(l_orderkey * {k} + l_linenumber * {k * k}) % 101" for k in (7, 11, 13, 17, 19, 23, 29, 31))
 
 
+@query(sql_anova_met("customer", "c_mktsegment", "c_acctbal"))
+def anova_assumptions(spark, sf):
+    return assumptions.anova_met(read(spark, sf, "customer"), [("c_mktsegment", "c_acctbal")])
+
+
 @query(f"WITH bell AS (SELECT *, {BELL} AS bell FROM lineitem) {sql_anova_met('bell', 'l_returnflag', 'bell')} UNION ALL {sql_anova_met('bell', 'l_returnflag', 'l_quantity')}")
 def anova_assumptions_of_many(spark, sf):
     return assumptions.anova_met(read(spark, sf, "lineitem").withColumn("bell", F.expr(BELL)), [("l_returnflag", "bell"), ("l_returnflag", "l_quantity")])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relscope.functions import draws
+from relscope.functions import draws, special
 from relscope.operators import anova, assumptions, balancing, batch, binning, chi2, descriptive, mixtures, numeric, ranks
 
 
@@ -214,3 +214,22 @@ def test_letter_values(spark):
     got = {(r.level, r.depth): (r.low, r.high) for r in descriptive.letter_values(frame(spark, rows, "g string, y double"), "g", "y").collect()}
     assert {d for g, d in got if g == "a"} == set(range(0, int(math.log2(1000)) - 3 + 1)) and {d for g, d in got if g == "b"} == {0, 1}
     assert got["a", 2] == pytest.approx((np.quantile(range(1000), 0.125), np.quantile(range(1000), 0.875))) and got["b", 0] == (2.0, 2.0)
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    p = [1e-10, 1e-4, 0.002, 0.074, 0.075, 0.2, 0.5, 0.7, 0.926, 0.9999]
+    got = frame(spark, [(v,) for v in p], "p double").select(special.normal_quantile_of(F.col("p")).alias("z")).collect()
+    assert [r.z for r in got] == pytest.approx([NormalDist().inv_cdf(v) for v in p], rel=1e-13)
+
+
+def test_shapiro_of_many_groups(spark):
+    rng = np.random.default_rng(8)
+    own = {f"g{n}": (rng.normal(size=n) if n % 2 else rng.exponential(size=n)).round(3) for n in (1, 2, 3, 4, 5, 6, 7, 11, 12, 40, 150, 299)}
+    own |= {"same": np.ones(20), "line": np.arange(30.0), "three": np.array([0.0, 0.0, 1.0]), "apart": np.array([0.0] * 9 + [1e6])}
+    d = frame(spark, [(g, float(v)) for g, x in own.items() for v in x], "g string, y double")
+    got = {r.g: r for r in numeric.normal_p(d, ["g"]).collect()}
+    for g, x in own.items():
+        want = numeric.shapiro_p(x)
+        assert got[g].n == len(x) and got[g].p_value == (None if want is None else pytest.approx(want, rel=1e-7, abs=1e-12)), g

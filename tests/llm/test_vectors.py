@@ -81,6 +81,33 @@ def test_search_has_recall(spark, monkeypatch, scale):
     assert hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("n, dim, spread", [(6000, 64, 0.25), (6000, 64, 1.0), (3000, 384, 0.0), (3000, 384, 0.5)])
+def test_recall_of_other_norms_and_dimensions(spark, monkeypatch, n, dim, spread):
+    monkeypatch.setattr(knn, "SHARD", 2500)
+    rng = np.random.default_rng(n + dim)
+    rows = rng.standard_normal((n, dim))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = (rows * np.exp(spread * rng.standard_normal((n, 1)))).astype(np.float32)
+    vecs = spark.createDataFrame([(i, r.tolist(), 0, "") for i, r in enumerate(rows)], SCHEMA).repartition(3)
+    found = {}
+    for r in knn.search(vecs, vecs.where("vec_id % 60 = 0"), 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    score = rows[::60].astype(float) @ rows.T.astype(float)
+    score[np.arange(len(score)), np.arange(0, n, 60)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(found[60 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)]) >= 0.9
+
+
+def test_queries_pass_held_shards_in_one_block(spark, monkeypatch):
+    rows = near_copies(6, 400)
+    vecs = spark.createDataFrame([(i, r.tolist(), 0, "") for i, r in enumerate(rows)], SCHEMA).repartition(3)
+    monkeypatch.setattr(knn, "SHARD", 50)
+    one = sorted(map(tuple, knn.search(vecs, vecs, 5, first=1000).collect()))
+    monkeypatch.setattr(knn, "SHARD", 1000)
+    monkeypatch.setattr(knn, "BLOCK", 30)
+    assert one == sorted(map(tuple, knn.search(vecs, vecs, 5, first=1000).collect()))
+
+
 def test_equal_vectors_score_alike(spark, monkeypatch):
     monkeypatch.setattr(knn, "SHARD", 300)
     rows = np.random.default_rng(4).standard_normal((800, 384)).astype(np.float32)

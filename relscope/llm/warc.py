@@ -262,12 +262,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     path = f"{runtime.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(runtime.read(spark, sf_dir, "pages"), path)
-    response = F.col("record_type") == "response"
-    return read(spark, path).select(
-        "page_id",
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        # Revisits have no payload.  What stands first is always evaluated, so the parts that the digest repeats are computed once.
-        F.coalesce(sha1_base32(F.col("payload")), F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    return read_back(spark, path)
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in a folder, the digests of responses made from what was read.
+
+    Responses are read with their payload, revisits by their headers alone; the source gets both conditions.
+    """
+    responses = read(spark, path).where("record_type = 'response'")
+    responses = responses.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"), "record_type", "refers_to")
+    revisits = read(spark, path, payload=False).where("record_type = 'revisit'")
+    return responses.unionByName(revisits.select(*responses.columns))

@@ -112,7 +112,8 @@ def judged(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     mass = F.col("trust") + F.col("distrust")
     risk = F.when(mass > 0, F.round(F.col("distrust") / mass, 9)).otherwise(0.0)
     hosts = runtime.stored(ranks.select("host", F.when(risk > THRESHOLD, "block").otherwise("allow").alias("_host")))
-    return rows.join(hosts, "host").select("page_id", "host", "path", "rule", F.coalesce(kind, "_host").alias("verdict"))
+    # A host with very many pages, such as the empty one of null urls, is split over parts.
+    return graphs.lookup(rows, hosts, "host", "page_id").select("page_id", "host", "path", "rule", F.coalesce(kind, "_host").alias("verdict"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

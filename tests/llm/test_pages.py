@@ -54,6 +54,25 @@ def test_filters_are_pushed_down_and_payloads_left_alone(spark, tmp_path):
         list(warc.records(io.BytesIO(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc"), lambda r: True, True))
 
 
+def test_the_query_reads_revisits_by_their_headers(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame(ROWS, SCHEMA).coalesce(2), path)
+    plan = warc.read_back(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "record_type" in plan
+    # What the source takes over, Spark doesn't compare again.
+    assert "= response" not in plan and "= revisit" not in plan
+    assert warc.read_back(spark, path).where("record_type = 'revisit'").count() == sum(r.record_type == "revisit" for r in warc.read_back(spark, path).collect()) > 2
+
+
+def test_a_host_with_very_many_pages_is_split(spark, monkeypatch):
+    rows = [(i, f"http://big.net/{i}", "", "x") for i in range(300)] + [(1000 + i, None, None, "x") for i in range(100)] + [(2000, "http://a.example.com/en/", "", "x"), (None, "http://big.net/fr/", "", "x")]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = sorted(map(tuple, url_filters.judged(pages).collect()), key=str)
+    monkeypatch.setattr(url_filters.graphs, "PART", 20)
+    monkeypatch.setattr(url_filters.graphs.parts, "__defaults__", (20,))
+    assert sorted(map(tuple, url_filters.judged(pages).collect()), key=str) == want and len(want) == len(rows)
+
+
 def test_records_are_gzip_members_of_bounded_archives(spark, tmp_path):
     warc.write(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), f"file://{tmp_path}/w", most=4)
     files = sorted((tmp_path / "w").glob("part-*"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import roles
-from ..operators import assumptions, binning, chi2, numeric, preparation
+from ..operators import assumptions, binning, chi2, descriptive, numeric, preparation
 from . import compare, lattice
 
 OUTCOMES = ("significant", "not_significant", "assumptions_not_met")
@@ -237,6 +237,43 @@ class Analyzer:
                 rows += [(t, p.kind, p.distribution, p.longest_combination, c, label) for c, label in found]
         return df.sparkSession.createDataFrame(rows, "target string, type string, distribution string, longest_combination int, features array<string>, tests string")
 
+    def plot_data(self, df: DataFrame, targets: roles.Names, auto_fit: bool = True, multivariates: bool = False, plot: str = "boxen") -> dict[tuple[str, ...], dict[str, DataFrame]]:
+        """The data of every plot of :meth:`target_plots`, by family and columns, as frames that follow levels and grids and not the rows.
+
+        Numbers have ``histogram`` and ``density``, categories ``counts``; pairs of numbers what a joint plot draws, numbers over
+        categories quartiles (``box``), ``letter_values`` (``boxen``) or ``density`` (``violin``), pairs of categories a
+        ``contingency`` table, super- and subcategories their ``makeup``.  With ``multivariates`` significant
+        combinations come as one category each.
+        """
+        if plot not in ("box", "boxen", "violin"):
+            raise ValueError("plot must be box, boxen or violin")
+        over = {
+            "box": lambda d, c, y: {"quartiles": descriptive.distribution_per_category(d, c, y, (0.0, 0.25, 0.5, 0.75, 1.0))},
+            "boxen": lambda d, c, y: {"letter_values": descriptive.letter_values(d, c, y)},
+            "violin": lambda d, c, y: {"density": descriptive.density(d, y, c)},
+        }[plot]
+        out: dict[tuple[str, ...], dict[str, DataFrame]] = {}
+        listed = self.target_plots(df, targets, auto_fit)
+        for y in listed["numeric"]:
+            out["numeric", y] = {"histogram": descriptive.histogram(df, y), "density": descriptive.density(df, y, grid=200, cut=0.0)}
+        for c in listed["categoric"]:
+            out["categoric", c] = {"counts": descriptive.value_counts(df, [c])}
+        for a, b in listed["numnum"]:
+            out["numnum", a, b] = descriptive.joint(df, a, b)
+        for a, b in listed["numcat"]:
+            out["numcat", a, b] = over(df, b, a)
+        for a, b in listed["catcat"]:
+            out["catcat", a, b] = {"contingency": descriptive.contingency(df, a, b)}
+        for a, b in listed["super_sub"]:
+            out["super_sub", a, b] = {"makeup": descriptive.column_makeup(df, a, b)}
+        for t in roles.names(targets) if multivariates else []:
+            p = self.profiles[t]
+            for members in p.combinations["significant"]:
+                wide = preparation.concatenated(df, list(members), self.delimiter, "_combination")
+                frames = over(wide, "_combination", t) if p.kind == "numeric" else {"contingency": descriptive.contingency(wide, t, "_combination")}
+                out["combination", t, *members] = frames
+        return out
+
     def target_plots(self, df: DataFrame, targets: roles.Names, auto_fit: bool = True) -> dict[str, list]:
         """What to draw for targets: univariate columns and pairs by family, each once; fits what is missing.
 

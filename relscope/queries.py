@@ -815,6 +815,12 @@ def poisson_model(spark, sf):
     return rounded(d.select("p_size", probability.poisson_pmf(F.lit(5), rate).alias("pmf"), probability.poisson_cdf(F.lit(5), rate).alias("cdf")), "pmf", "cdf")
 
 
+@query(f"SELECT CASE WHEN u < 0.125 THEN 'a' WHEN u < 0.375 THEN 'b' ELSE 'c' END AS drawn, count(*) AS n FROM (SELECT {sql_uniform(9, 'o_orderkey')} AS u FROM orders) GROUP BY 1")
+def drawn_values(spark, sf):
+    d = probability.sampled(read(spark, sf, "orders").select("o_orderkey"), "drawn", ["a", "b", "c"], [1, 2, 5], 9, "o_orderkey")
+    return d.groupBy("drawn").agg(F.count("*").alias("n"))
+
+
 # Forecasts, on orders told as purchase habits.
 
 

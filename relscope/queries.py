@@ -722,7 +722,7 @@ def sql_search(y: str, x: str, stat: str, least: int, good: str, rows: str, step
         out.append(f"b{i} AS (SELECT greatest(1, least(k, ceil((y - lo) * k / (hi - lo)))) AS b, x FROM d, e, p{i} WHERE low <= high)")
         out.append(f"v{i} AS MATERIALIZED ({stat.format(rows=f'b{i}')})")
         out.append(f"s{i} AS MATERIALIZED (SELECT CASE WHEN v IS NOT NULL AND NOT ({good}) THEN k + 1 ELSE low END AS low, CASE WHEN low <= high AND v IS NULL THEN low - 1 WHEN low <= high AND {good} THEN k - 1 ELSE high END AS high, CASE WHEN low > high THEN found WHEN v IS NULL THEN NULL WHEN {good} THEN k ELSE found END AS found, CASE WHEN low <= high AND v IS NOT NULL AND NOT ({good}) THEN k ELSE beyond END AS beyond, CASE WHEN low <= high AND {good} THEN v ELSE stat END AS stat FROM p{i}, v{i})")
-    return f"SELECT '{y}' AS y, '{x}' AS x, found::INT AS min_bins, beyond::INT AS beyond, round(stat, 6) AS stat FROM ({', '.join(out)} SELECT * FROM s{steps})"
+    return f"SELECT '{y}' AS y, '{x}' AS x, found::DOUBLE AS min_bins, beyond::DOUBLE AS beyond, round(stat, 6) AS stat FROM ({', '.join(out)} SELECT * FROM s{steps})"
 
 
 SQL_CORR = "SELECT abs(corr(b, x)) AS v FROM {rows}"
@@ -741,7 +741,7 @@ def minimum_bins(spark, sf):
     d = read(spark, sf, "lineitem").select("l_quantity", (F.col("l_quantity") + F.col("l_extendedprice") / 10_000).alias("mixed"), F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("band"))
     found = binning.relational(d, ("pearson", 0.6, True), ("kruskal", 0.05, False))
     out = spark.createDataFrame([(y, x, s.found, s.beyond, s.stat) for y, m in found.items() for x, s in m.by_feature.items()], "y string, x string, min_bins int, beyond int, stat double")
-    return rounded(out, "stat")
+    return rounded(out.withColumns({c: F.col(c).cast("double") for c in ("min_bins", "beyond")}), "stat")
 
 
 # Estimates.

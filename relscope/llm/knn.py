@@ -36,7 +36,7 @@ from . import runtime, vectors
 #: are for LOW dimensions or fewer, and grow with the root of more.
 RANKS, PIVOTS, FIRST, LOW = 48, 18, 30, 64
 #: Beyond some 50,000 rows candidates grow with a higher power, as roots of rows lose some neighbours.
-LATER, POWER = 3.4, 0.7
+LATER, POWER = 1.16, 0.8
 #: Queries compared with all rows and rows compared with them, where norms differ by more than EVEN.
 KNOWN, FITTED, EVEN = 64, 2048, 1e-3
 #: Pivots at most: the driver chooses them among twice as many rows.  With more rows than this allows for, files grow longer.

@@ -144,7 +144,8 @@ def two_way(df: DataFrame, a: str, b: str, y: str, balanced: bool = False) -> Da
     rows = df.select(roles.level(a).alias("a"), roles.level(b).alias("b"), roles.number(df, y).alias("y")).where("a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL")
     cells = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
     grand = F.avg("m") if balanced else F.sum(F.col("n") * F.col("m")) / F.sum("n")
-    whole = cells.agg(F.avg("n").alias("_mean"), grand.alias("grand"))
+    # Reads v, which no cell lacks, so that both uses of the cells share their shuffle.
+    whole = cells.where("v IS NOT NULL").agg(F.avg("n").alias("_mean"), grand.alias("grand"))
     c = cells.crossJoin(F.broadcast(whole)).withColumn("w", F.col("_mean") if balanced else F.col("n").cast("double"))
     mean = lambda part: F.sum(F.col("w") * F.col("m")).over(part) / F.sum("w").over(part)
     c = c.withColumn("ma", mean(Window.partitionBy("a"))).withColumn("mb", mean(Window.partitionBy("b")))

@@ -35,6 +35,39 @@ def test_near_duplicates(spark, monkeypatch):
     assert len(got) == len(table) - 1
 
 
+@pytest.mark.parametrize("run, miss", [(8, 1e-12), (400, 1e-4)])
+def test_windows_and_long_runs_find_all_links(spark, run, miss):
+    """Small windows over many strips, partly shorter than their runs; and one window for all."""
+    rows = near_copies(7, 400)
+    vecs = spark.createDataFrame([(i, r.tolist(), 0, "") for i, r in enumerate(rows)], SCHEMA).repartition(3)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(vecs, run=run, miss=miss).collect()}
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    own = np.arange(len(rows))
+    for _ in range(len(rows)):
+        own = np.array([own[near[i]].min() for i in range(len(rows))])
+    for i in range(len(rows)):
+        assert (got[i].n_links, got[i].component_id) == (near[i].sum() - 1, own[i])
+
+
+def test_places_follow_the_order_of_each_pass(spark):
+    rng = np.random.default_rng(8)
+    keys = rng.integers(0, 40, (500, 3))
+    keyed = spark.createDataFrame([(i, i % 2, k.tolist()) for i, k in enumerate(keys)], "rep long, own long, keys array<long>").repartition(3)
+    got = embedding_dedup.ordered(keyed, 500).collect()
+    assert len(got) == 1500
+    for number in range(3):
+        own = sorted((r for r in got if r["pass"] == number), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(500))
+        assert [(r.key, r.rep) for r in own] == sorted((int(k), i) for i, k in enumerate(keys[:, number]))
+
+
+def test_different_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], 0, ""), (1, [0.0, 1.0], 0, ""), (2, [1.0, 0.1], 0, ""), (3, [0.1, 1.0], 0, ""), (4, [-1.0, 0.0], 0, "")]
+    got = {(r.vec_id, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert embedding_dedup.near_duplicates(empty).collect() == []

@@ -6,7 +6,8 @@ within a pre-token.  Where the pre-token boundaries of two neighbours agree with
 overlap, both scans go on alike from there: the texts between such places are encoded
 apart, and their ids in a row are those of the whole text.  A boundary after white space is
 never used, since the pattern looks ahead there.  Where neighbours don't agree (one
-pre-token as long as the overlap), the rest of the text is encoded in one piece.
+pre-token as long as the overlap), they become one longer chunk, which is scanned again
+and meets the next one; cutting resumes there.
 Decoding concatenates the bytes of the ids.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretoken, runtime, vocab
@@ -27,6 +28,8 @@ from . import pretoken, runtime, vocab
 CHUNK, OVERLAP = 32_768, 1_024
 #: At a chunk's end the scan lacks what follows: its last boundaries count for nothing.
 BLIND = 8
+#: Times that chunks are joined at most; then the rest of such a text is encoded in one piece.
+ROUNDS = 6
 
 SEGMENTS = pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("segment", pa.int64()), ("ids", pa.binary())])
 SEGMENTS_DDL = "key string, doc_id long, copies long, segment long, ids binary"
@@ -50,8 +53,8 @@ def _encoded(path: str):
     return run
 
 
-CHUNKS = pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("text", pa.string()), ("last", pa.bool_())])
-CHUNKS_DDL = "key string, doc_id long, copies long, n long, text string, last boolean"
+CHUNKS = pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("span", pa.int64()), ("text", pa.string()), ("last", pa.bool_())])
+CHUNKS_DDL = "key string, doc_id long, copies long, n long, span long, text string, last boolean"
 
 
 def _chunks(chunk: int, overlap: int):
@@ -59,7 +62,7 @@ def _chunks(chunk: int, overlap: int):
         for key, doc_id, copies, text in rows:
             last = max(0, len(text) - overlap - 1) // chunk
             for n in range(last + 1):
-                yield key, doc_id, copies, n, text[n * chunk :] if n == last else text[n * chunk : (n + 1) * chunk + overlap], n == last
+                yield key, doc_id, copies, n, 1, text[n * chunk :] if n == last else text[n * chunk : (n + 1) * chunk + overlap], n == last
 
     return run
 
@@ -74,17 +77,41 @@ def _scan(chunk: int, overlap: int):
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         pretoken.use("tiktoken", table)
-        for key, doc_id, copies, n, text, last in rows:
+        for key, doc_id, copies, n, span, text, last in rows:
             at = pretoken.boundaries(text, "tiktoken")
             at = at[at > 0]
             solid = pretoken.class_table("tiktoken")[pretoken.code_points(text)[at - 1]] != pretoken.WHITE
             at = at[solid & (last | (at <= len(text) - BLIND))]
             place = at + n * chunk
-            yield key, doc_id, copies, n, text, last, place[at < overlap].tolist() if n else [], place[at >= chunk].tolist() if not last else []
+            yield key, doc_id, copies, n, span, text, last, place[at < overlap].tolist() if n else [], place[at >= span * chunk].tolist() if not last else []
 
     return run
 
 
+def _met(scanned: DataFrame) -> DataFrame:
+    """(key, n, at, end): chunk ``n`` meets chunk ``at`` at ``end``, null where they have no boundary in common; stored."""
+    tails = scanned.where(~F.col("last")).select("key", "n", (F.col("n") + F.col("span")).alias("at"), "tail")
+    heads = scanned.where("n > 0").select("key", F.col("n").alias("at"), "head")
+    return runtime.stored(tails.join(heads, ["key", "at"]).select("key", "n", "at", F.array_min(F.array_intersect("tail", "head")).alias("end")))
+
+
+def _joined(scanned: DataFrame, met: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """The chunks, those that have no boundary in common with the next ones joined to these and scanned again; stored."""
+    failing = met.where("end IS NULL").select("key", F.col("at").alias("n"), F.lit(True).alias("on"))
+    # A text has few chunks, and their texts stay out of the window.
+    chunks = scanned.select("key", "n").join(failing.select("key").distinct(), "key").join(failing, ["key", "n"], "left")
+    by_place = Window.partitionBy("key").orderBy("n")
+    runs = chunks.withColumn("first", F.last(F.when(F.col("on").isNull(), F.col("n")), ignorenulls=True).over(by_place))
+    whole = Window.partitionBy("key", "first")
+    runs = runs.withColumn("ends", F.max("n").over(whole)).where("first < ends").select("key", "n", "first", "ends")
+    parts = scanned.join(runs, ["key", "n"])
+    own = F.when(F.col("n") == F.col("ends"), F.col("text")).otherwise(F.col("text").substr(F.lit(1), (F.col("span") * chunk).cast("int")))
+    texts = F.array_sort(F.collect_list(F.struct("n", own.alias("text"))))
+    joined = parts.groupBy("key", "doc_id", "copies", F.col("first").alias("n")).agg(F.sum("span").alias("span"), F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"), F.max("last").alias("last"))
+    again = joined.mapInArrow(runtime.by_rows(_scan(chunk, overlap), SCANNED, 16), SCANNED_DDL)
+    return runtime.stored(scanned.join(runs.select("key", "n"), ["key", "n"], "left_anti").select(*SCANNED.names).unionByName(again))
+
+
 def _long_segments(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """(key, doc_id, copies, segment, text) of texts longer than a chunk."""
     # Equal rows are encoded once; the key is theirs alone.
@@ -93,13 +120,17 @@ def _long_segments(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     chunks = rows.mapInArrow(runtime.by_rows(_chunks(chunk, overlap), CHUNKS, 16), CHUNKS_DDL)
     spread = chunks.repartition(runtime.shards(docs.sparkSession), "key", "n")
     scanned = runtime.stored(spread.mapInArrow(runtime.by_rows(_scan(chunk, overlap), SCANNED, 16), SCANNED_DDL))
-    tails = scanned.where(~F.col("last")).select("key", "n", "tail")
-    heads = scanned.where("n > 0").select("key", (F.col("n") - 1).alias("n"), "head")
-    met = tails.join(heads, ["key", "n"]).select("key", "n", F.array_min(F.array_intersect("tail", "head")).alias("end"))
-    # From the first pair without a common boundary on, the text stays in one piece.
+    met = _met(scanned)
+    for _ in range(ROUNDS):
+        if not met.where("end IS NULL").take(1):
+            break
+        scanned = _joined(scanned, met, chunk, overlap)
+        met = _met(scanned)
+    # From the first pair still without a common boundary on, the text stays in one piece.
     apart = met.where("end IS NULL").groupBy("key").agg(F.min("n").alias("apart"))
-    ends = met.join(apart, "key", "left").where("apart IS NULL OR n < apart").select("key", "n", "end")
-    starts = ends.select("key", (F.col("n") + 1).alias("n"), F.col("end").alias("start"))
+    ends = met.join(apart, "key", "left").where("apart IS NULL OR n < apart").select("key", "n", "at", "end")
+    starts = ends.select("key", F.col("at").alias("n"), F.col("end").alias("start"))
+    ends = ends.drop("at")
     base = F.col("n") * chunk
     cut = scanned.drop("head", "tail").join(ends, ["key", "n"], "left").join(starts, ["key", "n"], "left").join(apart, "key", "left")
     length = F.coalesce(F.col("end") - base, F.length("text").cast("long")) - F.coalesce(F.col("start") - base, F.lit(0))

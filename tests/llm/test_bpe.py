@@ -58,3 +58,21 @@ def test_query(spark, tmp_path, monkeypatch):
 
 def test_nothing(spark):
     assert bpe.decode(bpe.encode(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def pieces(spark, text, chunk, overlap):
+    got = bpe.decode(bpe.encode(spark.createDataFrame([(1, text, "", "")], SCHEMA), PATH, chunk, overlap)).collect()
+    own = sorted((r.segment, bytes(r.ids), bytes(r.bytes)) for r in got)
+    assert b"".join(i for _, i, _ in own) == np.array(vocab.rank_encoding(PATH).encode_ordinary(text), "<u4").tobytes()
+    return [len(b) for *_, b in own]
+
+
+@pytest.mark.parametrize("run", ["y" * 150, "-" * 150, "\n" * 150, " " * 150, "y" * 70 + "\n" * 70])
+def test_cutting_resumes_after_a_long_run(spark, run):
+    text = "word " * 60 + run + " word" * 60 + run + " word" * 60
+    assert max(pieces(spark, text, 40, 20)) <= 300
+
+
+def test_rest_in_one_piece_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "ROUNDS", 0)
+    assert max(pieces(spark, "word " * 60 + "y" * 150 + " word" * 60, 40, 20)) > 400

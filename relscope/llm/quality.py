@@ -13,6 +13,7 @@ and others apart, as perplexities of short texts scatter more.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -46,33 +47,53 @@ def marked(text: str) -> str:
     return _WORDS.sub(lambda m: m[1] + AGAIN * (len(m[0].split()) - 1), text)
 
 
-def grams(text: str) -> np.ndarray:
-    """The n-grams of a marked text between line ends as integers of 16 bits per character; those beyond U+FFFF fold onto others."""
-    text = marked(text)
-    points = pretoken.code_points("\n" * (ORDER - 1) + text + "\n").astype(np.int64) & _MASK
-    out = np.zeros(len(points) - ORDER + 1, np.int64)
-    for k in range(ORDER):
-        out = (out << SYMBOL_BITS) | points[k : len(points) - ORDER + 1 + k]
-    return out
+def grams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a text once marked, between line ends, as integers of 16 bits per character; those beyond U+FFFF fold onto others.
+
+    ``PART_CHARS`` come at a time, so that long texts take no more memory than their code points.
+    """
+    points = pretoken.code_points("\n" * (ORDER - 1) + marked(text) + "\n")
+    for at in range(0, len(points) - ORDER + 1, PART_CHARS):
+        part = points[at : at + PART_CHARS + ORDER - 1].astype(np.int64) & _MASK
+        out = np.zeros(len(part) - ORDER + 1, np.int64)
+        for k in range(ORDER):
+            out = (out << SYMBOL_BITS) | part[k : k + len(out)]
+        yield out
+
+
+def merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of distinct keys, in their order, summed up over several such lists."""
+    keys, code = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    return keys, np.bincount(code, np.concatenate([n for _, n in counts]), len(keys)).astype(np.int64)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, in order, and how often each comes."""
+    parts = (np.unique(part, return_counts=True) for part in grams(text))
+    return functools.reduce(lambda total, part: merged([total, part]), parts)
 
 
 def _extract(rows: Iterator[tuple]) -> Iterator[blocks.Counts]:
-    """Blocks of documents' gram counts; a row is (doc_id, lang, row, text)."""
+    """Blocks of documents' gram counts; a row is (doc_id, lang, row, text).
+
+    Each text is counted on its own, so a block takes memory for its documents' distinct
+    grams, neither for every character nor for every pair of a document and a gram.
+    """
 
-    def block(ids: list, sizes: list[int], owners: list[int], found: list[np.ndarray]) -> blocks.Counts:
-        own = np.repeat(np.array(owners, np.int64), [len(f) for f in found])
-        keys, code = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if len(ids) * len(keys) <= 1 << 25:
-            table = np.bincount(own * len(keys) + code, minlength=len(ids) * len(keys))
-            at = np.flatnonzero(table)
-            return blocks.Counts(ids, sizes, (at // max(1, len(keys))).astype(np.uint32), (at % max(1, len(keys))).astype(np.uint32), table[at], keys)
-        return blocks.Counts(ids, sizes, *blocks.sparse(own, code, len(keys)), keys)
+    def block(ids: list, sizes: list[int], owners: list[int], found: list[tuple]) -> blocks.Counts:
+        if not found:
+            return blocks.Counts(ids, sizes, *(np.zeros(0, np.uint32) for _ in range(3)), np.zeros(0, np.int64))
+        own = np.repeat(np.array(owners, np.uint32), [len(k) for k, _ in found])
+        freq = np.concatenate([n for _, n in found])
+        keys, code = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        return blocks.Counts(ids, sizes, own, code.astype(np.uint32), freq, keys)
 
     ids, sizes, owners, found, size = [], [], [], [], 0
     for *own, text in rows:
         if text:
             owners.append(len(ids))
-            found.append(grams(text))
+            keys, n = gram_counts(text)
+            found.append((keys, n.astype(np.uint32)))
         ids.append(tuple(own))
         sizes.append(len(text))
         size += len(text) + 1
@@ -90,12 +111,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        keys, n = merged(held)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], schema=GRAM_COUNTS)
 
     for (text,) in runtime.rows_of(batches):
         if text:
-            held.append(grams(text))
+            held.append(gram_counts(text))
             size += len(text)
         if size > BLOCK_CHARS:
             yield flush()

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -101,3 +102,30 @@ def test_runs_of_a_word_or_line_are_junk(spark):
 def test_marks():
     assert quality.marked("a a  a\na b b. b.") == "a" + quality.AGAIN * 3 + " b b." + quality.AGAIN
     assert quality.marked("a b\na b\na b c") == "a b" + quality.AGAIN + "\na b c"
+
+
+def test_counts_of_parts_are_those_of_the_text(monkeypatch):
+    whole = lambda text: {sum(ord(c) << 16 * k for k, c in enumerate(reversed(g))): n for g, n in Counter(grams(text)).items()}
+    texts = ["the cat sat on the mat", "a", "abababababab", "x" * 20]
+    for size in (1, 2, 7, 500_000):
+        monkeypatch.setattr(quality, "PART_CHARS", size)
+        for text in texts:
+            keys, n = quality.gram_counts(text)
+            assert keys.tolist() == sorted(keys.tolist()) and dict(zip(keys.tolist(), n.tolist(), strict=True)) == whole(text)
+        (block,) = quality._extract((k, "en", 0, t) for k, t in enumerate(["", *texts]))
+        assert len(block.ids) == 5 and block.extra == [0, *map(len, texts)]
+        got = {(int(o), int(block.keys[c])): int(f) for o, c, f in zip(block.owner, block.code, block.freq, strict=True)}
+        assert got == {(k + 1, g): n for k, t in enumerate(texts) for g, n in whole(t).items()}
+
+
+def test_blocks_take_memory_for_distinct_grams_only():
+    rng = random.Random(9)
+    text = lambda first, letters, n: "".join(map(chr, rng.choices(range(first, first + letters), k=n)))
+    rows = [(k, "en", 0, text(97, 8, 3300)) for k in range(800)] + [(800 + k, "en", 0, text(200, 60, 3300)) for k in range(10)]
+    for rows, most in ((rows, 100e6), ([(0, "en", 0, text(97, 20, 4_000_000))], 100e6)):
+        tracemalloc.start()
+        (block,) = quality._extract(iter(rows))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert block.freq.sum() == sum(len(t) + 1 for *_, t in rows)
+        assert peak < most

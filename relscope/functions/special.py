@@ -40,13 +40,21 @@ def bound(f, **values: Column) -> Column:
     """``f`` of values that are computed once, however often it uses them.
 
     A null gives null.  The optimizer copies a column's definition to each of its uses; a lambda's variable
-    stays one.
+    stays one, so plans, which the driver holds, stay small.
     """
     one = F.array(F.struct(*(v.cast("double").alias(k) for k, v in values.items())))
-    known = F.lit(True)
-    for v in values.values():
-        known = known & v.isNotNull()
-    return F.when(known, F.element_at(F.transform(one, lambda s: f(*(s[k] for k in values))), 1))
+
+    def of(s: Column) -> Column:
+        known = F.lit(True)
+        for k in values:
+            known = known & s[k].isNotNull()
+        return F.when(known, f(*(s[k] for k in values)))
+
+    return F.element_at(F.transform(one, of), 1)
+
+
+def _guarded(v: Column) -> Column:
+    return F.when(F.abs(v) < TINY, TINY).otherwise(v)
 
 
 def lgamma(x: Column) -> Column:
@@ -70,26 +78,30 @@ def gamma_sf(a: Column, x: Column) -> Column:
 
 def _gamma_sf_any(a: Column, x: Column) -> Column:
     large = (a > LARGE) & (x > 0)
-    ratio = F.when(large, x / a).otherwise(1.0)
-    # log1p keeps the difference exact near 1.
-    half = F.greatest(F.lit(0.0), (ratio - 1) - F.log1p(ratio - 1))
-    eta = F.signum(ratio - 1) * F.sqrt(2 * half)
-    near = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), eta))  # farther out the correction is nothing
 
-    def series(coefficients: tuple[float, ...]) -> Column:
+    def series(coefficients: tuple[float, ...], near: Column) -> Column:
         out = F.lit(coefficients[-1])
         for c in coefficients[-2::-1]:
             out = out * near + c
         return out
 
-    correction = F.exp(-a * half) / F.sqrt(2 * math.pi * a) * (series(UNIFORM_0) + series(UNIFORM_1) / a)
-    tail = bound(_gamma_sf, a=F.when(large, 0.5).otherwise(a), x=F.when(large, a * half).otherwise(x))
-    uniform = F.when(eta >= 0, tail / 2).otherwise(1 - tail / 2) + correction
-    return F.when(large, F.greatest(F.lit(0.0), F.least(F.lit(1.0), uniform))).otherwise(tail)
+    def of_half(ratio: Column, half: Column) -> Column:
+        tail = bound(_gamma_sf, a=F.when(large, 0.5).otherwise(a), x=F.when(large, a * half).otherwise(x))
+
+        def finish(tail: Column, eta: Column) -> Column:
+            near = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), eta))  # farther out the correction is nothing
+            terms = bound(lambda near: series(UNIFORM_0, near) + series(UNIFORM_1, near) / a, near=near)
+            uniform = F.when(eta >= 0, tail / 2).otherwise(1 - tail / 2) + F.exp(-a * half) / F.sqrt(2 * math.pi * a) * terms
+            return F.when(large, F.greatest(F.lit(0.0), F.least(F.lit(1.0), uniform))).otherwise(tail)
+
+        return bound(finish, tail=tail, eta=F.signum(ratio - 1) * F.sqrt(2 * half))
+
+    # log1p keeps the difference exact near 1.
+    of_ratio = lambda r: bound(of_half, ratio=r, half=F.greatest(F.lit(0.0), (r - 1) - F.log1p(r - 1)))
+    return bound(of_ratio, ratio=F.when(large, x / a).otherwise(1.0))
 
 
 def _gamma_sf(a: Column, x: Column) -> Column:
-    front = F.exp(a * F.log(x) - x - lgamma(a))
     series = _fold(
         F.struct((1 / a).alias("t"), (1 / a).alias("s")),
         STEPS,
@@ -99,16 +111,16 @@ def _gamma_sf(a: Column, x: Column) -> Column:
 
     def step(s: Column, n: Column) -> Column:
         an, b = -n * (n - a), s.b + 2
-        d = an * s.d + b
-        d = F.when(F.abs(d) < TINY, TINY).otherwise(d)
-        c = b + an / s.c
-        c = F.when(F.abs(c) < TINY, TINY).otherwise(c)
-        return F.struct(b.alias("b"), c.alias("c"), (1 / d).alias("d"), (s.h * c / d).alias("h"))
+        return bound(lambda c, d: F.struct(b.alias("b"), c.alias("c"), (1 / d).alias("d"), (s.h * c / d).alias("h")), c=_guarded(b + an / s.c), d=_guarded(an * s.d + b))
+
+    def fraction(b0: Column, d0: Column) -> Column:
+        first = F.struct(b0.alias("b"), F.lit(1 / TINY).alias("c"), d0.alias("d"), d0.alias("h"))
+        return _fold(first, STEPS, step, lambda s: s.h)
 
     b0 = x + 1 - a
-    first = F.struct(b0.alias("b"), F.lit(1 / TINY).alias("c"), (1 / F.when(b0 == 0, TINY).otherwise(b0)).alias("d"), (1 / F.when(b0 == 0, TINY).otherwise(b0)).alias("h"))
-    fraction = _fold(first, STEPS, step, lambda s: s.h)
-    return F.when(x <= 0, 1.0).when(x < a + 1, 1 - front * series).otherwise(F.least(F.lit(1.0), front * fraction))
+    far = bound(fraction, b0=b0, d0=1 / F.when(b0 == 0, TINY).otherwise(b0))
+    value = bound(lambda front: F.when(x < a + 1, 1 - front * series).otherwise(F.least(F.lit(1.0), front * far)), front=F.exp(a * F.log(x) - x - lgamma(a)))
+    return F.when(x <= 0, 1.0).otherwise(value)
 
 
 def beta_cdf(a: Column, b: Column, x: Column) -> Column:
@@ -118,27 +130,28 @@ def beta_cdf(a: Column, b: Column, x: Column) -> Column:
 
 def _beta_cdf(a: Column, b: Column, x: Column) -> Column:
     def fraction(a: Column, b: Column, x: Column) -> Column:
-        guard = lambda v: F.when(F.abs(v) < TINY, TINY).otherwise(v)
-
         def step(s: Column, m: Column) -> Column:
             even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            d1, c1 = 1 / guard(1 + even * s.d), guard(1 + even / s.c)
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            d2, c2 = 1 / guard(1 + odd * d1), guard(1 + odd / c1)
-            return F.struct(c2.alias("c"), d2.alias("d"), (s.h * d1 * c1 * d2 * c2).alias("h"))
 
-        d0 = 1 / guard(1 - (a + b) * x / (a + 1))
-        return _fold(F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h")), STEPS, step, lambda s: s.h)
+            def second(c1: Column, d1: Column) -> Column:
+                odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+                both = lambda c2, d2: F.struct(c2.alias("c"), d2.alias("d"), (s.h * d1 * c1 * d2 * c2).alias("h"))
+                return bound(lambda odd: bound(both, c2=_guarded(1 + odd / c1), d2=1 / _guarded(1 + odd * d1)), odd=odd)
+
+            return bound(lambda even: bound(second, c1=_guarded(1 + even / s.c), d1=1 / _guarded(1 + even * s.d)), even=even)
+
+        first = lambda d0: F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+        return bound(lambda d0: _fold(first(d0), STEPS, step, lambda s: s.h), d0=1 / _guarded(1 - (a + b) * x / (a + 1)))
+
+    def inner(y: Column) -> Column:
+        front = F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * F.log(y) + b * F.log(1 - y))
+        direct = y < (a + 1) / (a + b + 2)
+        # One fraction, of the side that is fast.
+        side = F.when(direct, F.struct(a.alias("a"), b.alias("b"), y.alias("x"))).otherwise(F.struct(b.alias("a"), a.alias("b"), (1 - y).alias("x")))
+        part = F.element_at(F.transform(F.array(side), lambda s: fraction(s.a, s.b, s.x) / s.a), 1)
+        return bound(lambda p: F.when(direct, p).otherwise(1 - p), p=front * part)
 
-    inner = (x > 0) & (x < 1)
-    y = F.when(inner, x).otherwise(0.5)
-    front = F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * F.log(y) + b * F.log(1 - y))
-    direct = y < (a + 1) / (a + b + 2)
-    # One fraction, of the side that is fast.
-    side = F.when(direct, F.struct(a.alias("a"), b.alias("b"), y.alias("x"))).otherwise(F.struct(b.alias("a"), a.alias("b"), (1 - y).alias("x")))
-    part = F.element_at(F.transform(F.array(side), lambda s: fraction(s.a, s.b, s.x) / s.a), 1)
-    value = F.when(direct, front * part).otherwise(1 - front * part)
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(value)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(bound(inner, y=x))
 
 
 def chi2_sf(x: Column, dof: Column) -> Column:
@@ -214,8 +227,7 @@ def normal_quantile_of(p: Column) -> Column:
 
 def normal_sf(z: Column) -> Column:
     """The upper tail, right far out too."""
-    half = chi2_sf(z * z, F.lit(1.0)) / 2
-    return F.when(z > 0, half).otherwise(1 - half)
+    return bound(lambda z: bound(lambda half: F.when(z > 0, half).otherwise(1 - half), half=chi2_sf(z * z, F.lit(1.0)) / 2), z=z)
 
 
 def _t_cdf(t: float, dof: float) -> float:

@@ -70,11 +70,11 @@ def kruskal_of_sums(groups: DataFrame, by: list[str], tail: Column | None = None
     return s.select(*by, "n", "k", "h_stat", (kruskal_tail() if tail is None else tail).alias("p_value"))
 
 
-def kruskal(df: DataFrame, pairs: list[tuple[str, str]], dropna: bool = True) -> DataFrame:
+def kruskal(df: DataFrame, pairs: list[tuple[str, str]], dropna: bool = True, splits: list[float] | None = None) -> DataFrame:
     """Kruskal-Wallis with tie correction, of every (categoric, numeric) pair; null for a constant or one group."""
     if not pairs:
         return _empty(df, "category string, numeric string, n long, k long, h_stat double, p_value double")
-    return _named(df, pairs, kruskal_of(batch.mixed(df, pairs, dropna), PAIR))
+    return _named(df, pairs, kruskal_of(batch.mixed(df, pairs, dropna), PAIR, splits=splits))
 
 
 TESTS = {"anova": one_way, "kruskal": kruskal}

@@ -38,16 +38,16 @@ class KruskalRules:
     only_lenient: bool = False
 
 
-def levene(rows: DataFrame, by: list[str] = PAIR) -> DataFrame:
+def levene(rows: DataFrame, by: list[str] = PAIR, splits: list[float] | None = None) -> DataFrame:
     """(by, p_value) of the median-centred test: ANOVA on distances from the group's median."""
-    centre = ranks.quantiles(rows, [*by, "level"], (0.5,)).select(*by, "level", F.col("q")[0].alias("med"))
+    centre = ranks.quantiles(rows, [*by, "level"], (0.5,), splits=splits).select(*by, "level", F.col("q")[0].alias("med"))
     away = rows.join(centre, [*by, "level"]).withColumn("y", F.abs(F.col("y") - F.col("med")))
     return anova.one_way_of(away, by).select(*by, F.col("f_stat").alias("levene"), "p_value")
 
 
-def without_outliers(rows: DataFrame, by: list[str] = PAIR, multiplier: float = 1.5) -> DataFrame:
+def without_outliers(rows: DataFrame, by: list[str] = PAIR, multiplier: float = 1.5, splits: list[float] | None = None) -> DataFrame:
     """Rows within the quartiles of their group, widened by a multiple of the quartile range."""
-    q = ranks.quantiles(rows, [*by, "level"], (0.25, 0.75))
+    q = ranks.quantiles(rows, [*by, "level"], (0.25, 0.75), splits=splits)
     w = F.lit(multiplier) * (F.col("q")[1] - F.col("q")[0])
     return rows.join(q, [*by, "level"]).where((F.col("y") >= F.col("q")[0] - w) & (F.col("y") <= F.col("q")[1] + w)).drop("q")
 
@@ -57,24 +57,30 @@ def group_sizes(rows: DataFrame, by: list[str] = PAIR, min_n: int = 5) -> DataFr
     return rows.groupBy(*by, "level").agg(F.count("*").alias("n")).groupBy(*by).agg((F.min("n") >= min_n).alias("met"))
 
 
-def group_normality(rows: DataFrame, by: list[str] = PAIR, alpha: float = 0.05) -> DataFrame:
-    """(by, met): whether no group departs from normal; a group of fewer than 3 does."""
+def group_normality(rows: DataFrame, by: list[str] = PAIR, alpha: float = 0.05, min_n: int = 3) -> DataFrame:
+    """(by, met): whether no group departs from normal; a group of fewer than ``min_n`` does, 3 at least."""
     p = numeric.normal_p(rows, [*by, "level"])
-    return p.groupBy(*by).agg(F.bool_and(F.coalesce((F.col("n") >= 3) & (F.col("p_value") > alpha), F.lit(False))).alias("met"))
+    return p.groupBy(*by).agg(F.bool_and(F.coalesce((F.col("n") >= max(3, min_n)) & (F.col("p_value") > alpha), F.lit(False))).alias("met"))
 
 
-def anova_met(df: DataFrame, pairs: list[tuple[str, str]], rules: AnovaRules = AnovaRules(), dropna: bool = True) -> DataFrame:
+def anova_met(df: DataFrame, pairs: list[tuple[str, str]], rules: AnovaRules = AnovaRules(), dropna: bool = True, splits: list[float] | None = None) -> DataFrame:
     """(category, numeric, assumptions_met): after outliers go, sizes, equal spread and normality within groups."""
-    return anova_met_of(batch.mixed(df, pairs, dropna), rules)
+    return anova_met_of(batch.mixed(df, pairs, dropna), rules, splits)
 
 
-def anova_met_of(rows: DataFrame, rules: AnovaRules = AnovaRules()) -> DataFrame:
+def _anova_gates(rows: DataFrame, rules: AnovaRules, splits: list[float] | None) -> tuple[DataFrame, DataFrame]:
+    """(category, numeric, spread) and (category, numeric, shape); one set of splitters serves rows and what is left of them."""
+    splits = ranks.splitters(rows, "y") if splits is None else splits
+    rows = without_outliers(rows, PAIR, rules.iqr_multiplier, splits)
+    spread = levene(rows, PAIR, splits).select(*PAIR, F.coalesce(F.col("p_value") > rules.homogeneity_alpha, F.lit(False)).alias("spread"))
+    # Sizes are looked at along with shapes.
+    return spread, group_normality(rows, PAIR, rules.normality_alpha, rules.min_n).withColumnRenamed("met", "shape")
+
+
+def anova_met_of(rows: DataFrame, rules: AnovaRules = AnovaRules(), splits: list[float] | None = None) -> DataFrame:
     """The same of rows (category, numeric, level, y)."""
-    rows = without_outliers(rows, PAIR, rules.iqr_multiplier)
-    out = group_sizes(rows, PAIR, rules.min_n).withColumnRenamed("met", "sizes")
-    spread = levene(rows).select(*PAIR, F.coalesce(F.col("p_value") > rules.homogeneity_alpha, F.lit(False)).alias("spread"))
-    shape = group_normality(rows, PAIR, rules.normality_alpha).withColumnRenamed("met", "shape")
-    return out.join(spread, PAIR).join(shape, PAIR).select(*PAIR, (F.col("sizes") & F.col("spread") & F.col("shape")).alias("assumptions_met"))
+    spread, shape = _anova_gates(rows, rules, splits)
+    return shape.join(spread, PAIR).select(*PAIR, (F.col("shape") & F.col("spread")).alias("assumptions_met"))
 
 
 def ks_exact_p(n1: int, n2: int, d: float) -> float:
@@ -151,13 +157,13 @@ def _largest_gaps(by: list[str]):
     return run
 
 
-def ks_pairs(rows: DataFrame, by: list[str] = PAIR, exact: int = EXACT) -> DataFrame:
+def ks_pairs(rows: DataFrame, by: list[str] = PAIR, exact: int = EXACT, splits: list[float] | None = None) -> DataFrame:
     """(by, x_1, x_2, n_1, n_2, ks_stat, p_value) of every two groups.
 
     All groups are swept at once, range by range of the values, so a row takes part once however many groups
     there are.  P-values are exact while both groups have up to ``exact`` rows, asymptotic beyond.
     """
-    splits = ranks.splitters(rows, "y")
+    splits = ranks.splitters(rows, "y") if splits is None else splits
     cells = rows.groupBy(*by, "level", "y").agg(F.count("*").alias("c"))
     cells = ranks.with_range(cells, "y", splits)
     totals = cells.groupBy(*by, "_range", "level").agg(F.sum("c").alias("c"))
@@ -199,25 +205,44 @@ def lenient(df: DataFrame, pairs: list[tuple[str, str]], max_ratio: float = 0.5)
     return df.sparkSession.createDataFrame(pairs, "category string, numeric string").join(ok, "numeric", "left").select(*PAIR, "lenient")
 
 
-def kruskal_met(df: DataFrame, pairs: list[tuple[str, str]], rules: KruskalRules = KruskalRules(), dropna: bool = True) -> DataFrame:
+def kruskal_met(df: DataFrame, pairs: list[tuple[str, str]], rules: KruskalRules = KruskalRules(), dropna: bool = True, splits: list[float] | None = None) -> DataFrame:
     """(category, numeric, assumptions_met): 'True', 'False' or what the lenient gate answers."""
-    return kruskal_met_of(batch.mixed(df, pairs, dropna), lenient(df, pairs, rules.max_tie_ratio), rules)
+    return kruskal_met_of(batch.mixed(df, pairs, dropna), lenient(df, pairs, rules.max_tie_ratio), rules, splits)
 
 
-def kruskal_met_of(rows: DataFrame, ties: DataFrame, rules: KruskalRules = KruskalRules()) -> DataFrame:
+def kruskal_met_of(rows: DataFrame, ties: DataFrame, rules: KruskalRules = KruskalRules(), splits: list[float] | None = None) -> DataFrame:
     """The same of rows (category, numeric, level, y), with what :func:`lenient` says of the pairs."""
     ties = ties.withColumn("else_", F.when(F.col("lenient"), LENIENT).otherwise("False"))
     if rules.only_lenient:
         return ties.select(*PAIR, F.col("else_").alias("assumptions_met"))
+    splits = ranks.splitters(rows, "y") if splits is None else splits
     sizes = rows.groupBy(*PAIR, "level").agg(F.count("*").alias("n")).groupBy(*PAIR).agg(F.count("*").alias("k"), F.min("n").alias("least"))
-    spread = levene(rows).select(*PAIR, F.coalesce(F.col("p_value") < rules.levene_alpha, F.lit(False)).alias("uneven"))
-    shape = ks_met(ks_pairs(rows), PAIR, rules.ks_alpha, rules.tolerant)
+    spread = levene(rows, PAIR, splits).select(*PAIR, F.coalesce(F.col("p_value") < rules.levene_alpha, F.lit(False)).alias("uneven"))
+    shape = ks_met(ks_pairs(rows, splits=splits), PAIR, rules.ks_alpha, rules.tolerant)
     s = ties.join(sizes, PAIR, "left").join(spread, PAIR, "left").join(shape, PAIR, "left")
     strict = (F.col("least") >= 3) & ~F.coalesce("uneven", F.lit(False)) & F.coalesce("met", F.lit(True))
     other = F.col("else_") if rules.return_lenient else F.lit("False")
     return s.select(*PAIR, F.when(F.coalesce(F.col("k") < 2, F.lit(True)), "False").when(strict, "True").otherwise(other).alias("assumptions_met"))
 
 
+def _settled(answers: DataFrame) -> DataFrame:
+    """A gate's answers, a row per pair of columns, found now: what reads them doesn't hold the gate's plan."""
+    return F.broadcast(answers.sparkSession.createDataFrame(answers.collect(), answers.schema))
+
+
+def settled(df: DataFrame, method: str, pairs: list[tuple[str, str]], anova_rules: AnovaRules = AnovaRules(), kruskal_rules: KruskalRules = KruskalRules(), dropna: bool = True, splits: list[float] | None = None) -> DataFrame:
+    """What :func:`anova_met` or :func:`kruskal_met` answers, found now and gate by gate.
+
+    Plans of gates are large, and Spark plans all that is left of a query anew after each of its stages, so the driver's memory
+    grows with the gates that one query has.
+    """
+    rows = batch.mixed(df, pairs, dropna)
+    if method == "kruskal":
+        return _settled(kruskal_met_of(rows, lenient(df, pairs, kruskal_rules.max_tie_ratio), kruskal_rules, splits))
+    spread, shape = map(_settled, _anova_gates(rows, anova_rules, splits))
+    return shape.join(spread, PAIR).select(*PAIR, (F.col("shape") & F.col("spread")).alias("assumptions_met"))
+
+
 def kruskal_report(df: DataFrame, category: str, y: str) -> dict[str, DataFrame]:
     """What the Kruskal gate looks at: summary, levene, ks_pairwise and the test."""
     from . import descriptive

@@ -239,21 +239,25 @@ def shapiro_p(x: np.ndarray) -> float | None:
 
 def k2(n, skew, kurt):
     """D'Agostino and Pearson's statistic from population moments, as an expression; ``kurt`` is the excess."""
-    n = n.cast("double")
+    return special.bound(_k2, n=n, skew=skew, kurt=kurt)
+
+
+def _k2(n, skew, kurt):
     y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (beta2 - 1)) - 1
-    alpha = F.sqrt(2 / (w2 - 1))
-    zs = F.asinh(y / alpha) / F.sqrt(0.5 * F.log(w2))
+    zs = special.bound(lambda w2: F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2)), w2=F.sqrt(2 * (beta2 - 1)) - 1)
     e = 3 * (n - 1) / (n + 1)
     var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
     x = (kurt + 3 - e) / F.sqrt(var)
     b1 = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / b1 * (2 / b1 + F.sqrt(1 + 4 / (b1 * b1)))
-    down = 1 + x * F.sqrt(2 / (a - 4))
-    cube = F.signum(down) * F.pow((1 - 2 / a) / F.abs(F.nullif(down, F.lit(0.0))), F.lit(1 / 3))
-    zk = (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
-    return zs * zs + zk * zk
+    a = special.bound(lambda b1: 6 + 8 / b1 * (2 / b1 + F.sqrt(1 + 4 / (b1 * b1))), b1=b1)
+
+    def of_kurtosis(a, down):
+        cube = F.signum(down) * F.pow((1 - 2 / a) / F.abs(F.nullif(down, F.lit(0.0))), F.lit(1 / 3))
+        return (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
+
+    zk = special.bound(lambda a: special.bound(of_kurtosis, a=a, down=1 + x * F.sqrt(2 / (a - 4))), a=a)
+    return special.bound(lambda zs, zk: zs * zs + zk * zk, zs=zs, zk=zk)
 
 
 def normality(df: DataFrame, columns: roles.Names = None, exclude: roles.Names = None) -> DataFrame:

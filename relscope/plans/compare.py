@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import roles
-from ..operators import anova, assumptions, batch, chi2, numeric
+from ..operators import anova, assumptions, batch, chi2, numeric, ranks
 
 #: The result relation.
 RESULT = "column_a string, column_b string, test string, p_value double, correlation double, assumptions_met string"
@@ -57,6 +57,7 @@ def measured(df: DataFrame, tests: dict[str, list[Instruction]], numeric_columns
 
     Pairs of a number and a category have the number as column_a.  Where assumptions are
     checked, an undefined p-value counts as not met; correlations have no assumptions.
+    Gates of tests over groups are evaluated here, one by one, before the tests are.
     """
     on = roles.families(categoric_target, numeric_target)
     nums = roles.numeric_columns(df, numeric_columns, numeric_target)
@@ -68,12 +69,13 @@ def measured(df: DataFrame, tests: dict[str, list[Instruction]], numeric_columns
         parts.append(_shaped(found, *shape))
 
     mixed = roles.mixed_pairs(cats, nums, categoric_target, numeric_target, exclude)
-    for method, threshold, above in tests.get("numcat", []):
-        if mixed:
-            met = None
-            if check_assumptions:
-                met = assumptions.anova_met(df, mixed, anova_rules, dropna) if method == "anova" else assumptions.kruskal_met(df, mixed, kruskal_rules, dropna)
-            add(anova.TESTS[method](df, mixed, dropna), "p_value", threshold, above, "numeric", "category", method, "p_value", met, ("category", "numeric"))
+    over_groups = tests.get("numcat", []) if mixed else []
+    # One set of splitters for all that looks at the same rows.
+    splits = ranks.splitters(batch.mixed(df, mixed, dropna), "y") if over_groups and (check_assumptions or any(method == "kruskal" for method, _, _ in over_groups)) else None
+    for method, threshold, above in over_groups:
+        met = assumptions.settled(df, method, mixed, anova_rules, kruskal_rules, dropna, splits) if check_assumptions else None
+        found = anova.one_way(df, mixed, dropna) if method == "anova" else anova.kruskal(df, mixed, dropna, splits)
+        add(found, "p_value", threshold, above, "numeric", "category", method, "p_value", met, ("category", "numeric"))
     for method, threshold, above in tests.get("catcat", []):
         pairs = roles.same_pairs(cats, categoric_target, exclude)
         if on["catcat"] and pairs:

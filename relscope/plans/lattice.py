@@ -84,9 +84,10 @@ def measured(df: DataFrame, target: str, numeric: bool, pool: list[str], combos:
     else:
         rows = _rows(df, target, pool, combos, delimiter)
         ties = assumptions.lenient(df, [(str(i), target) for i in range(len(combos))], kruskal_rules.max_tie_ratio)
+        splits = ranks.splitters(rows, "y")
         for method, _, _ in tests:
-            found = (anova.one_way_of if method == "anova" else anova.kruskal_of)(rows, anova.PAIR)
-            met = assumptions.anova_met_of(rows, anova_rules) if method == "anova" else assumptions.kruskal_met_of(rows, ties, kruskal_rules)
+            found = anova.one_way_of(rows, anova.PAIR) if method == "anova" else anova.kruskal_of(rows, anova.PAIR, splits=splits)
+            met = assumptions.anova_met_of(rows, anova_rules, splits) if method == "anova" else assumptions.kruskal_met_of(rows, ties, kruskal_rules, splits)
             found = found.join(met.select(*anova.PAIR, F.col("assumptions_met").cast("string").alias("_met")), anova.PAIR, "left")
             met = F.when(F.col("p_value").isNull(), "False").otherwise(F.col("_met"))
             parts.append((method, found.select(F.col("category").cast("int").alias("combo"), "p_value", met.alias("met"))))
